@@ -28,7 +28,7 @@ for _a, _b, _k in ((65, 90, _UPPER), (97, 122, _LOWER), (48, 57, _DIGIT), (128,
     _CLASS[_a : _b + 1] = np.where(_CLASS[_a : _b + 1] == 0, _k, _CLASS[_a : _b + 1])
 N_CLASSES = _CONTROL + 1
 N_FEATURES = N_CLASSES + 8
-BINS = 16
+BINS = 8
 
 
 def style_features(words: Words) -> np.ndarray:
@@ -104,12 +104,12 @@ def _descend(model: Model, pos: np.ndarray, unl: np.ndarray, steps: int, l2: flo
         else:
             rest = -np.log1p(-np.minimum(su, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(sp, 1 - 1e-12)).mean()
             if rest >= 0:
-                gp, gu = prior * ((sp - 1) - sp) / len(sp), su / len(su)
+                gp, gu = np.full(len(sp), -prior / len(sp)), su / len(su)
             else:  # the estimate of the negatives' loss went below nothing: step it back up
                 gp, gu = prior * sp / len(sp), -su / len(su)
         grad = np.append(np.bincount(pos_at.ravel(), np.repeat(gp, f), f * BINS) + np.bincount(unl_at.ravel(), np.repeat(gu, f), f * BINS) + l2 * w, gp.sum() + gu.sum())
         m, v = 0.9 * m + 0.1 * grad, 0.99 * v + 0.01 * grad**2
-        move = 0.03 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
+        move = 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.99**step)) + 1e-8)
         w, b = w - move[:-1], b - move[-1]
     return Model(model.cuts, w.reshape(f, BINS), float(b), model.prior)
 
@@ -121,10 +121,11 @@ def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
     p, u = tail(pos), tail(unl)
     margin = np.sqrt(np.log(20) / (2 * len(unl))) + np.sqrt(np.log(20) / (2 * len(pos)))
     best = int(np.argmin((u + margin) / np.maximum(p, 1e-9)))
-    return float(np.clip(u[best] / p[best], 0.01, 0.99))
+    error = np.sqrt(u[best] * (1 - u[best]) / len(unl))  # one standard error less: the least of many ratios in small samples is high
+    return float(np.clip((u[best] - error) / p[best], 0.01, 0.99))
 
 
-def train(pos: np.ndarray, unl: np.ndarray, steps: int = 400, l2: float = 1e-4) -> Model:
+def train(pos: np.ndarray, unl: np.ndarray, steps: int = 600, l2: float = 1e-5) -> Model:
     """Fit on feature rows of trusted and of unlabelled documents (in a fixed order)."""
     if not len(pos) or not len(unl):
         return Model(np.zeros((N_FEATURES, BINS - 1)), np.zeros((N_FEATURES, BINS)), 0.0, 0.5)
@@ -135,7 +136,7 @@ def train(pos: np.ndarray, unl: np.ndarray, steps: int = 400, l2: float = 1e-4)
     other = np.arange(len(u)) % 2 == 0
     priors = []
     for a, c in ((half, other), (~half, ~other)):
-        plain = _descend(model, p[a], u[c], steps // 2, 1e-3, None)
+        plain = _descend(model, p[a], u[c], steps // 3, 1e-5, None)
         priors.append(estimate_prior(plain.logit(p[~a]), plain.logit(u[~c])))
     model.prior = float(np.mean(priors)) if len(p) > 20 else 0.5
     return _descend(model, p, u, steps, l2, model.prior)
