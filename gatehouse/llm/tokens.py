@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 import numpy as np
 
-MAX_PIECES = 250_000
+MAX_PIECES = 600_000
 _SPACE_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _ODD = re.compile("[\x1c-\x1f\x85]|<\\|")
 _JOIN = 256
@@ -70,7 +70,7 @@ class Encoder:
                 else:
                     into.add(p)
 
-        for p in pieces - known.keys():
+        for p in pieces:
             if p in older:
                 known[p] = older[p]
                 continue
@@ -93,15 +93,18 @@ class Encoder:
         odd = dict(zip(whole, self._by_library([texts[i] for i in whole]), strict=True)) if whole else {}
         split = _SPACE_PIECES.findall if self.keeps_space else str.split
         out = []
-        for begin in range(0, len(texts), 64):  # some texts at a time share a call of the library
-            parts = [split(t) if i not in odd else [] for i, t in enumerate(texts[begin : begin + 64], begin)]
+        for begin in range(0, len(texts), 128):  # some texts at a time share a call of the library
             if len(self.known) > MAX_PIECES:
                 self.known, self.older = {}, self.known
-            every = set().union(*parts)
-            if not every <= self.known.keys():
-                self._learn(every)
-            known = self.known
-            out += [odd[i] if i in odd else b"".join([known[p] for p in pieces]) for i, pieces in enumerate(parts, begin)]
+            known, look = self.known, self.known.get
+            parts = [split(t) if i not in odd else [] for i, t in enumerate(texts[begin : begin + 128], begin)]
+            found = [list(map(look, pieces)) for pieces in parts]  # the one look at most pieces
+            gaps = [k for k, ids in enumerate(found) if None in ids]
+            if gaps:
+                self._learn({p for k in gaps for p, ids in zip(parts[k], found[k], strict=True) if ids is None})
+                for k in gaps:
+                    found[k] = [known[p] if ids is None else ids for p, ids in zip(parts[k], found[k], strict=True)]
+            out += [odd[i] if i in odd else b"".join(ids) for i, ids in enumerate(found, begin)]
         return out
 
 
