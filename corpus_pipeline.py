@@ -10,14 +10,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatehouse.llm import decontam, neardup, packing, pii, toxicity
-from gatehouse.llm.common import staged, table
+from gatehouse.llm.common import rows_with, staged, table, text_of
 from gatehouse.llm.queries import WORD_VOCAB, vocabulary
 
 
-def _text_hash(docs: DataFrame) -> DataFrame:
-    return docs.withColumn("_hash", F.xxhash64(F.coalesce("text", F.lit(""))))
-
-
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents scored below 0.7 stay. The score goes along with the row, so rows that repeat an id are judged apart."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
@@ -30,9 +26,9 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which benchmark windows cover a twentieth of the words or more go."""
-    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th")).distinct()
-    rows = _text_hash(docs)
-    return rows.join(found, rows["doc_id"].eqNullSafe(found["_id"]) & (rows["_hash"] == found["_th"]), "left_anti").select(docs.columns)
+    found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "text_hash").distinct()
+    rows = rows_with(docs, own_id=F.col("doc_id").cast("long"), own_hash=F.xxhash64(text_of()))
+    return rows.join(found, F.expr("own_id <=> doc_id and own_hash = text_hash"), "left_anti").select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -35,7 +35,16 @@ def staged(df: DataFrame, label: str) -> DataFrame:
 
 def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id long, text string`` with null texts as empty; any other column is dropped."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), text_of(text_col).alias("text"))
+
+
+def rows_with(docs: DataFrame, **keys: Column) -> DataFrame:
+    """``docs`` as one struct column ``row`` beside further columns, so that no name of theirs can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(k) for k, c in keys.items()])
+
+
+def text_of(text_col: str = "text") -> Column:
+    return F.coalesce(F.col(text_col).cast("string"), F.lit(""))
 
 
 def id_remainder(id_col: str | Column, modulus: int) -> Column:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.llm.common import documents_of, staged
+from gatehouse.llm.common import documents_of, rows_with, staged, text_of
 from gatehouse.llm.textvec import U64, blocks, mix, shingles, words_of
 
 GOLDEN = U64(0x9E3779B97F4A7C15)
@@ -233,8 +233,7 @@ def classify(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int
 
 def deduplicate(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one document of each near-duplicate class, all its columns as they are."""
-    kept = _placed(docs, words, threshold, bands, rows, id_col, text_col).where("kept").select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key"))
-    keyed = docs.withColumns({"_row_id": F.col(id_col).cast("long"), "_row_key": F.unhex(F.md5(F.coalesce(F.col(text_col).cast("string"), F.lit("")).cast("binary")))})
-    same = keyed["_row_id"].eqNullSafe(kept["_id"]) & (keyed["_row_key"] == kept["_key"])
+    kept = _placed(docs, words, threshold, bands, rows, id_col, text_col).where("kept").select("doc_id", "text_key")
+    keyed = rows_with(docs, own_id=F.col(id_col).cast("long"), own_key=F.unhex(F.md5(text_of(text_col).cast("binary"))))
     # rows equal in id and text are one document
-    return keyed.join(kept, same).dropDuplicates(["_row_id", "_row_key"]).select(docs.columns)
+    return keyed.join(kept, F.expr("own_id <=> doc_id and own_key = text_key")).dropDuplicates(["own_id", "own_key"]).select("row.*")

@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.llm.common import staged
+from gatehouse.llm.common import rows_with, staged, text_of
 
 MARK = ""  # one code point in the place of a separator
 KINDS = ("email", "ip", "card", "phone")
@@ -27,7 +27,8 @@ IP = r"(?:(?<![0-9])|\G)[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++"
 CARD = rf"[0-9][0-9{MARK}]++"
 PHONE = r"\+[0-9][ ().0-9\-]+[0-9]"
 _TOKEN = r"A-Za-z0-9_.@+\-"
-TOKEN = rf"(?<![{_TOKEN}])(?=[A-Za-z_.@+\-]*+[0-9])[{_TOKEN}]++"
+# six to 64 characters, four digits or more
+TOKEN = rf"(?<![{_TOKEN}])(?=(?:[A-Za-z_.@+\-]*+[0-9]){{4}})[{_TOKEN}]{{6,64}}+(?![{_TOKEN}])"
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -37,15 +38,26 @@ def _hits(text: Column, pattern: str, when: Column) -> dict[str, Column]:
     return {"hit": F.when(when, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none), "gap": F.when(when, F.split(text, pattern, -1)).otherwise(none)}
 
 
-def _spans(prefix: str) -> Column:
-    """Code point spans of the matches, from the lengths of the gaps and the matches before them."""
-    fold = (
-        f"aggregate(zip_with({prefix}_hit, slice({prefix}_gap, 1, size({prefix}_hit)), (h, g) -> named_struct('h', h, 'g', g)), "
+def _spans(prefix: str, chunk: int = 256) -> Column:
+    """Code point spans of the matches, from the lengths of the gaps and the matches before them.
+
+    Places are summed within chunks of matches and then over the chunks, since a fold that appends
+    to one array copies it at every step.
+    """
+    part = lambda side: f"slice({prefix}_{side}, {chunk} * c + 1, least({chunk}, size({prefix}_hit) - {chunk} * c))"
+    within = (
+        f"aggregate(zip_with({part('hit')}, {part('gap')}, (h, g) -> named_struct('h', h, 'g', g)), "
         f"named_struct('at', 0, 'found', cast(array() as {SPANS})), "
         "(a, x) -> named_struct('at', a.at + length(x.g) + length(x.h), 'found', "
-        "concat(a.found, array(named_struct('start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.h), 'value', x.h)))), a -> a.found)"
+        "concat(a.found, array(named_struct('start', a.at + length(x.g), 'end', a.at + length(x.g) + length(x.h), 'value', x.h)))))"
+    )
+    chunks = f"transform(sequence(0, (size({prefix}_hit) - 1) div {chunk}), c -> {within})"
+    placed = (
+        f"aggregate({chunks}, named_struct('at', 0, 'all', cast(array() as array<{SPANS}>)), "
+        "(a, x) -> named_struct('at', a.at + x.at, 'all', concat(a.all, array(transform(x.found, s -> named_struct('start', s.start + a.at, 'end', s.end + a.at, 'value', s.value))))), "
+        "a -> flatten(a.all))"
     )
-    return F.expr(f"if(size({prefix}_hit) = 0, cast(array() as {SPANS}), {fold})")
+    return F.expr(f"if(size({prefix}_hit) = 0 or size({prefix}_gap) = 0, cast(array() as {SPANS}), {placed})")
 
 
 _VALID = {
@@ -77,7 +89,7 @@ def base_spans(rows: DataFrame, text_col: str = "text") -> DataFrame:
     out = out.withColumns({k: _spans(k) for k in (*KINDS, "token")})
     out = out.withColumns({k: F.expr(f"filter({k}, s -> {v})") for k, v in _VALID.items()})
     overlaps = " or ".join(f"exists({k}, b -> b.start < t.end and t.start < b.end)" for k in KINDS)
-    out = out.withColumn("token", F.expr(f"filter(token, t -> length(t.value) between 6 and 64 and length(regexp_replace(t.value, '[^0-9]', '')) >= 4 and not ({overlaps}))"))
+    out = out.withColumn("token", F.expr(f"filter(token, t -> not ({overlaps}))"))
     return out.drop("clean", "dotted", "grouped", *(f"{k}_{x}" for k in (*KINDS, "token") for x in ("hit", "gap")))
 
 
@@ -116,7 +128,7 @@ def find(docs: DataFrame, rounds: int = 3, threshold: float = 0.6, min_seeds: in
     Null and empty texts have none; rows that repeat an id are judged by their own texts; null ids stay;
     an empty table gives no rows; further columns are ignored.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    text = text_of(text_col)
     rows = base_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")))
     left = lambda k: f"transform({k}, s -> named_struct('value', s.value, 'start', s.start, 'end', s.end, 'left', substring(text, greatest(1, s.start - 59), least(60, s.start))))"
     seen = staged(rows.select("doc_id", "th", *KINDS, F.expr(left("concat(email, ip, card, phone)")).alias("seeds"), F.expr(left("token")).alias("tokens")), "pii-spans")
@@ -137,13 +149,14 @@ def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **se
 
     Other columns stay as they are; null texts stay null.
     """
-    found = find(docs, id_col=id_col, text_col=text_col, **settings).select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_th"), F.array_sort(F.concat(*[F.expr(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end, 'kind', '{k}'))") for k in (*KINDS, "id")])).alias("_spans")).where(F.size("_spans") > 0).distinct()
-    joined = docs.join(found, (F.col(id_col).cast("long").eqNullSafe(F.col("_id"))) & (F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))) == F.col("_th")), "left")
-    t = f"`{text_col}`"
+    spans = F.array_sort(F.concat(*[F.expr(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end, 'kind', '{k}'))") for k in (*KINDS, "id")]))
+    found = find(docs, id_col=id_col, text_col=text_col, **settings).select("doc_id", "text_hash", spans.alias("spans")).where(F.size("spans") > 0).distinct()
+    rows = rows_with(docs, own_id=F.col(id_col).cast("long"), own_hash=F.xxhash64(text_of(text_col)), own_text=text_of(text_col))
+    joined = rows.join(found, F.expr("own_id <=> doc_id and own_hash = text_hash"), "left")
     built = F.expr(
-        f"""concat(aggregate(_spans, named_struct('text', '', 'at', 0),
+        """concat(aggregate(spans, named_struct('text', '', 'at', 0),
             (a, s) -> if(s.start < a.at, named_struct('text', a.text, 'at', greatest(a.at, s.end)),
-                named_struct('text', concat(a.text, substring({t}, a.at + 1, s.start - a.at), '<', upper(s.kind), '>'), 'at', s.end)), a -> a.text),
-            substring({t}, aggregate(_spans, 0, (a, s) -> greatest(a, s.end)) + 1))"""
+                named_struct('text', concat(a.text, substring(own_text, a.at + 1, s.start - a.at), '<', upper(s.kind), '>'), 'at', s.end)), a -> a.text),
+            substring(own_text, aggregate(spans, 0, (a, s) -> greatest(a, s.end)) + 1))"""
     )
-    return joined.withColumn(text_col, F.when(F.col("_spans").isNotNull(), built).otherwise(F.col(text_col))).select(docs.columns)
+    return joined.select(*[F.when(F.col("spans").isNotNull(), built).otherwise(F.col(f"row.`{c}`")).alias(c) if c == text_col else F.col(f"row.`{c}`") for c in docs.columns])

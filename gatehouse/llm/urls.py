@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.llm.common import staged
+
 #: Suffixes of two labels under which domains are registered (fixed values).
 TWO_LABEL_SUFFIXES = ("ac.uk", "co.jp", "co.nz", "co.uk", "co.za", "com.au", "com.br", "com.cn", "com.mx", "com.tr", "gov.uk", "net.au", "org.au", "org.uk")
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -51,22 +53,25 @@ def matched_rule(host: Column, path: Column, rules: Sequence[tuple[str, str]]) -
 
 
 def _shrunk(groups: DataFrame, parent: DataFrame | None, key: str, parent_key: str | None) -> DataFrame:
-    """``key, mean, strength`` of each group's beta posterior; ``groups`` has key, parent_key, n, bad."""
+    """``key, mean, strength`` of each group's beta posterior; ``groups`` has key, parent_key, n, bad.
+
+    The driver sees two sums per level.
+    """
     if parent is None:
-        joined = groups.crossJoin(groups.agg(((F.coalesce(F.sum("bad"), F.lit(0)) + 0.5) / (F.coalesce(F.sum("n"), F.lit(0)) + 1)).alias("centre")))  # one row
+        all_n, all_bad = groups.agg(F.coalesce(F.sum("n"), F.lit(0.0)), F.coalesce(F.sum("bad"), F.lit(0.0))).first()
+        joined = groups.withColumn("centre", F.lit((all_bad + 0.5) / (all_n + 1)))
     else:
         joined = groups.join(parent.select(F.col(parent_key), F.col("mean").alias("centre")), parent_key)
     # moments: the groups' squared distance from their centres, less what sampling alone explains
-    spread = joined.agg(
-        F.sum(F.expr("n * pow(bad / n - centre, 2) - centre * (1 - centre)")).alias("over"), F.sum("n").alias("all_n"), F.sum(F.expr("n * centre * (1 - centre)")).alias("scale")
-    ).select(F.expr("least(1000D, greatest(1D, coalesce(scale / nullif(greatest(over, 0D), 0D) - 1, 1000D)))").alias("strength"))
-    return joined.crossJoin(spread).select(key, F.expr("(bad + strength * centre) / (n + strength)").alias("mean"), F.expr("n + strength").alias("strength"))  # spread has one row
+    over, scale = joined.agg(F.sum(F.expr("n * pow(bad / n - centre, 2) - centre * (1 - centre)")), F.sum(F.expr("n * centre * (1 - centre)"))).first()
+    strength = min(1000.0, max(1.0, scale / over - 1)) if over and over > 0 else 1000.0
+    return joined.select(key, ((F.col("bad") + F.lit(strength) * F.col("centre")) / (F.col("n") + F.lit(strength))).alias("mean"), (F.col("n") + F.lit(strength)).alias("strength"))
 
 
 def host_reputation(outcomes: DataFrame) -> DataFrame:
     """``host, mean, strength`` of the posterior bad rate of every host in ``outcomes(host, bad 0/1)``."""
     hosts = outcomes.groupBy("host").agg(F.count("*").cast("double").alias("n"), F.sum("bad").cast("double").alias("bad"))
-    hosts = hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))})
+    hosts = staged(hosts.withColumns({"domain": domain_of(F.col("host")), "suffix": suffix_of(F.col("host"))}), "host-outcomes")
     up = lambda df, *keys: df.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = up(hosts, "domain", "suffix")
     suffixes = _shrunk(up(domains, "suffix"), None, "suffix", None)
