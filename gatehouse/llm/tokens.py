@@ -17,7 +17,7 @@ import numpy as np
 
 MAX_PIECES = 600_000
 _SPACE_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
-_ODD = re.compile("[\x1c-\x1f\x85]|<\\|")
+_ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 _JOIN = 256
 _TAIL = "".join(chr(c) for c in range(33, 127) if not chr(c).isalnum() and chr(c) != "'")
 
@@ -89,7 +89,7 @@ class Encoder:
         known.update((p, known[base] + known[tail]) for p, base, tail in tailed)
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
-        whole = [i for i, t in enumerate(texts) if _ODD.search(t)]
+        whole = [i for i, t in enumerate(texts) if any(o in t for o in _ODD)]
         odd = dict(zip(whole, self._by_library([texts[i] for i in whole]), strict=True)) if whole else {}
         split = _SPACE_PIECES.findall if self.keeps_space else str.split
         out = []
