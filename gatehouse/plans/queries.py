@@ -1,4 +1,258 @@
-"""Registered queries and their SQL."""
+"""Registered queries and their SQL.
 
-QUERIES: dict = {}
+The tables hold nothing that a detector looks for, so both sides plant the same positives and near misses, in
+groups that pass and groups that fail. Every query reads its whole table.
+"""
+
+from __future__ import annotations
+
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from gatehouse.functions.globs import globs_regex
+from gatehouse.functions.patterns import HOME_PATHS, SECRETS, SPACE, any_of, base_name, evidence_label, redacted_remote
+from gatehouse.functions.text import heading_level
+from gatehouse.operators import checks, consistency, dialogue, readme
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+
+def query(sql: str | None = None) -> Callable:
+    def add(f: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _quoted(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+#: Texts with planted secrets (only in some sources) and near misses.
+SECRET_TEXT = "case when doc_id % 7 = 0 and length(source) = 4 then concat(coalesce(text, ''), ' sk-', repeat('A', 24)) when doc_id % 7 = 1 then concat(coalesce(text, ''), ' sk-', repeat('A', 19)) when doc_id % 7 = 2 and source = 'src11' then concat(coalesce(text, ''), ' AKIA', repeat('Z', 16)) else coalesce(text, '') end"
+PATH_TEXT = "case when doc_id % 5 = 0 and length(source) = 4 then concat(coalesce(text, ''), ' /home/', 'someone/x') when doc_id % 5 = 1 then concat(coalesce(text, ''), ' /home/', chr(12288), 'x') when doc_id % 11 = 0 and source = 'src12' then concat(coalesce(text, ''), ' C:/Users/', 'abc') else coalesce(text, '') end"
+LABEL = "case when doc_id % 9 = 0 then concat('dir/ghp_', repeat('b', 22), '.txt') when doc_id % 9 = 1 then concat('a/b/ghp_', repeat('b', 12)) else concat('docs/', cast(doc_id as varchar(20)), '.md') end"
+DUCK_SECRETS, DUCK_PATHS = _quoted(any_of(SECRETS)), _quoted(any_of(HOME_PATHS))
+
+
+def _secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id"), F.expr(SECRET_TEXT).alias("content"))
+
+
+@query(f"""select source as repo_id, cast(count(*) filter (where regexp_matches({SECRET_TEXT}, {DUCK_SECRETS})) as bigint) as finding_count,
+    case when count(*) filter (where regexp_matches({SECRET_TEXT}, {DUCK_SECRETS})) > 0 then 'fail' else 'pass' end as status from documents group by source""")
+def secret_scan_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.secret_scan(_secrets(spark, sf_dir))
+
+
+@query(f"""with h as (select source as repo_id, concat(cast(doc_id as varchar), '.md') as label, regexp_matches({PATH_TEXT}, {DUCK_PATHS}) as hit from documents)
+    select repo_id, cast(count(*) filter (where hit) as bigint) as finding_count, md5(coalesce(string_agg(distinct label, ',' order by label) filter (where hit), '')) as labels,
+    case when count(*) filter (where hit) > 0 then 'fail' else 'pass' end as status from h group by repo_id""")
+def personal_path_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = _table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.expr(PATH_TEXT).alias("content"))
+    return checks.personal_path_scan(files).withColumn("labels", F.md5(F.concat_ws(",", "labels")))
+
+
+@query(f"""with l as (select doc_id, regexp_extract({LABEL}, '[^/]*$') as label from documents)
+    select doc_id, case when regexp_matches(label, {DUCK_SECRETS}) or regexp_matches(label, {DUCK_PATHS}) then '<redacted-path>' else label end as label from l""")
+def redact_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "documents").select("doc_id", evidence_label(base_name(F.expr(LABEL))).alias("label"))
+
+
+REMOTE = "case when page_id % 4 = 0 then concat('git@host', cast(page_id as varchar(20)), '.org:team/x.git?token=1#f') when page_id % 4 = 1 then replace(url, '://', '://user:secret@') when page_id % 4 = 2 then concat('/srv/git/', cast(page_id as varchar(20)), '#x') else url end"
+
+
+@query(f"""with u as (select page_id, {REMOTE} as url from pages), b as (select page_id, url, regexp_replace(url, '[?#].*$', '', 's') as bare from u)
+    select page_id, nullif(case when url like '%://%' then regexp_replace(bare, '^([^:]*://)[^/]*@', '\\1')
+      when regexp_matches(bare, '^[^/:]*@[^/:]*:') or regexp_matches(bare, '^[^/:@]*\\.[^/:@]*:') then regexp_replace(bare, '^[^/:]*@', '') else bare end, '') as remote from b""")
+def redact_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _table(spark, sf_dir, "pages").select("page_id", redacted_remote(F.expr(REMOTE)).alias("remote"))
+
+
+@query("""with p as (select distinct c_mktsegment as repo_id, case when c_mktsegment < 'C' then 'one' else concat('p', cast(c_nationkey as varchar)) end as author, 'one' as committer from customer)
+    select repo_id, cast(count(*) as bigint) as identities, cast(count(*) filter (where author <> 'one' or committer <> 'one') as bigint) as mismatches, 'configured' as policy,
+    case when count(*) filter (where author <> 'one' or committer <> 'one') > 0 then 'fail' else 'pass' end as status from p group by repo_id""")
+def commit_identity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_mktsegment as repo_id", "case when c_mktsegment < 'C' then 'one 1700000000 +0900' else concat('p', cast(c_nationkey as string), ' 1700000000 -0100') end as author", "'one' as committer")
+    return checks.commit_identity(rows, "one")
+
+
+_NAMES = "', '".join(checks.REQUIRED_DOCUMENTS)
+
+
+@query(f"""with w as (select n_name as repo_id, n_nationkey as k, unnest(['{_NAMES}']) as path from nation), m as (select * from w where k % 3 <> 0 and (ascii(path) + k) % 4 = 0)
+    select n_name as repo_id, coalesce((select string_agg(path, ',' order by path) from m where m.repo_id = n_name), '') as missing, case when exists (select 1 from m where m.repo_id = n_name) then 'fail' else 'pass' end as status from nation""")
+def required_documents_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation = _table(spark, sf_dir, "nation").select(F.col("n_name").alias("repo_id"), F.col("n_nationkey").alias("k"))
+    files = nation.withColumn("path", F.explode(F.array(*map(F.lit, checks.REQUIRED_DOCUMENTS)))).where("not (k % 3 <> 0 and (ascii(path) + k) % 4 = 0)").withColumn("content", F.lit(""))
+    return checks.required_documents(nation, files).select("repo_id", F.concat_ws(",", "missing").alias("missing"), "status")
+
+
+CHECK_ROWS = "case o_orderkey % 4 when 0 then 'secret_scan' when 1 then 'origin' when 2 then 'ci_configuration' else 'human_visual_review' end as name, case when o_custkey % 50 = 0 then 'tool_error' when o_orderkey % 13 = 0 then 'fail' when o_orderkey % 11 = 0 then 'unknown' when o_orderkey % 7 = 0 then 'not_applicable' else 'pass' end as status"
+
+
+@query(f"""with c as (select o_custkey as repo_id, {CHECK_ROWS} from orders) select repo_id, cast(count(*) as bigint) as checks,
+    case when bool_or(status = 'tool_error') then 'tool_error' when bool_or(status in ('fail', 'unknown')) then 'blocked' else 'pass' end as status from c where name <> 'human_visual_review' group by repo_id""")
+def scan_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return checks.rollup(_table(spark, sf_dir, "orders").selectExpr("o_custkey as repo_id", *_split(CHECK_ROWS)))
+
+
+def _split(two: str) -> list[str]:
+    head, tail = two.split(" as name, ")
+    return [head + " as name", tail]
+
+
+@query("""select source as repo_id, cast(count(distinct md5(coalesce(text, ''))) as bigint) as objects from documents where coalesce(n_chars, 0) <= 2000 group by source""")
+def object_dedupe_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    objects = _table(spark, sf_dir, "documents").selectExpr("source as repo_id", "md5(coalesce(text, '')) as oid", "'blob' as type", "coalesce(n_chars, 0) as size")
+    return checks.history_objects(objects, 2000).groupBy("repo_id").agg(F.count("*").alias("objects"))
+
+
+LINKED = "concat('see [a](../f', cast(doc_id % 40 as varchar(9)), '.md#x) and ![i](no.png)', case when doc_id % 3 = 0 then '[b](<g.md> \"t\")' else '' end, '[c](http://x.y/z) [d](#top)', case when doc_id % 10 = 0 then ' [up](../../../etc)' else '' end)"
+
+
+@query("""with d as (select source as repo_id, concat('docs/', cast(doc_id as varchar), '/r.md') as path, doc_id from documents),
+    tracked as (select distinct source as repo_id, concat('docs/f', cast(doc_id % 35 as varchar), '.md') as path from documents),
+    f as (select d.repo_id, concat('markdown_link_missing:', d.path, ':../f', cast(d.doc_id % 40 as varchar), '.md') as finding from d left join tracked t on t.repo_id = d.repo_id and t.path = concat('docs/f', cast(d.doc_id % 40 as varchar), '.md') where t.path is null
+      union all select repo_id, concat('markdown_link_missing:', path, ':g.md') from d where doc_id % 3 = 0
+      union all select repo_id, concat('markdown_link_outside_repo:', path, ':../../../etc') from d where doc_id % 10 = 0) select distinct repo_id, finding from f""")
+def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents")
+    pages = docs.select(F.col("source").alias("repo_id"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit("/r.md")).alias("path"), F.expr(LINKED).alias("content"))
+    tracked = docs.selectExpr("source as repo_id", "concat('docs/f', cast(doc_id % 35 as string), '.md') as path")
+    return consistency.link_findings(pages, tracked).distinct()
+
+
+@query("""with n as (select distinct l_orderkey % 500 as repo_id, concat('f', cast(l_partkey % 20 as varchar)) as finding from lineitem where l_returnflag = 'R'),
+    o as (select distinct l_orderkey % 500 as repo_id, concat('f', cast(l_partkey % 20 as varchar)) as finding from lineitem where l_returnflag = 'A'),
+    b as (select coalesce(n.repo_id, o.repo_id) as repo_id, coalesce(n.finding, o.finding) as finding, n.finding is not null as now, o.finding is not null as old from n full join o on n.repo_id = o.repo_id and n.finding = o.finding)
+    select repo_id, coalesce(string_agg(finding, ',' order by finding) filter (where now and old), '') as accepted, coalesce(string_agg(finding, ',' order by finding) filter (where now and not old), '') as new, coalesce(string_agg(finding, ',' order by finding) filter (where old and not now), '') as resolved from b group by repo_id""")
+def ratchet_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 500 as repo_id", "concat('f', cast(l_partkey % 20 as string)) as finding", "l_returnflag as flag")
+    out = consistency.ratchet(rows.where("flag = 'R'"), rows.where("flag = 'A'"))
+    return out.select("repo_id", *[F.concat_ws(",", c).alias(c) for c in ("accepted", "new", "resolved")])
+
+
+@query("""select source as repo_id, concat(cast(doc_id as varchar), '.txt') as path, case when doc_id % 6 = 0 then 'missing' when doc_id % 6 = 1 then 'drift' else 'current' end as state from documents""")
+def artifact_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "source as repo_id", "concat(cast(doc_id as string), '.txt') as path", "coalesce(text, '') as content")
+    wanted = docs.select("repo_id", "path", F.sha2(F.expr("case when doc_id % 6 = 1 then concat(content, '.') else content end"), 256).alias("sha256"))
+    return consistency.artifact_findings(wanted, docs.where("doc_id % 6 <> 0"))
+
+
+CHANGED = "case (l_orderkey + l_linenumber) % 6 when 0 then concat('src/a/', cast(l_partkey as varchar(20)), '.py') when 1 then concat('x/docs/g', cast(l_suppkey as varchar(20)), '.md') when 2 then 'sub/README.md' when 3 then concat('web/', cast(l_linenumber as varchar(20)), '.png') when 4 then '.github/workflows/ci.yml' else concat('lib/auth/', cast(l_linenumber as varchar(20)), '.go') end"
+IMPACT = ({"change": ("src/**",), "requires_any": ("docs/*.md",)}, {"change": (".github/**",), "requires_any": ("README.md",)})
+
+
+def _duck_glob(*globs: str) -> str:
+    return f"regexp_matches(path, {_quoted(globs_regex(globs))})"
+
+
+@query(f"""with c as (select l_orderkey as repo_id, {CHANGED} as path from lineitem), g as (select repo_id, {', '.join(f"bool_or({_duck_glob(*r['change'])}) and not bool_or({_duck_glob(*r['requires_any'])}) as r{k}" for k, r in enumerate(IMPACT, 1))} from c group by repo_id)
+    select repo_id, 'related_docs_update_missing:impact-1' as finding from g where r1 union all select repo_id, 'related_docs_update_missing:impact-2' from g where r2""")
+def impact_map(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return consistency.impact_findings(_table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as repo_id", f"{CHANGED} as path"), IMPACT)
+
+
+@query(f"""with c as (select distinct l_suppkey as repo_id, {CHANGED} as path from lineitem), r as ({' union all '.join(f"select repo_id, '{k}' as route, path from c where {_duck_glob(*g)}" for k, g in consistency.ROUTES.items())})
+    select repo_id, route, string_agg(path, ',' order by path) as paths from r group by repo_id, route""")
+def capability_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_suppkey as repo_id", f"{CHANGED} as path")
+    return consistency.capability_routes(rows).select("repo_id", "route", F.concat_ws(",", "paths").alias("paths"))
+
+
+HEADED = "concat('# T', chr(10), 'x', chr(10), repeat('#', 2 + cast(doc_id % 3 as int)), ' Usage', chr(10), case when doc_id % 2 = 0 then concat('#### ', chr(9731), ' deep', chr(10)) else '' end, '#no', chr(10), '## Limits', chr(13), chr(10), coalesce(replace(text, '#', ''), ''))"
+
+
+@query(f"""with l as (select doc_id, unnest(range(1, len(a) + 1)) as n, unnest(a) as line from (select doc_id, regexp_split_to_array({HEADED}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') as a from documents)),
+    h as (select doc_id, n, length(regexp_extract(line, '^(#{{1,6}})[{SPACE}]+[^{SPACE}]', 1)) as level from l), b as (select *, lag(level) over (partition by doc_id order by n) as before from h where level > 0)
+    select doc_id, cast(n as int) as n, cast(before as int) as before, cast(level as int) as level from b where level > before + 1""")
+def heading_level_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readme.level_jumps(readme.headings(_table(spark, sf_dir, "documents").select("doc_id", F.expr(HEADED).alias("text"))))
+
+
+README = "concat(case when doc_id % 4 = 0 then '## Sub' else '# Tool' end, chr(10), case when doc_id % 3 = 0 then '## Overview' else '## x' end, chr(10), '## Features', chr(10), case when doc_id % 5 < 4 then '## Usage' else '#### Usage' end, chr(10), case when doc_id % 7 = 0 then 'a revolutionary tool' else 'plain' end, chr(10), '## Security', chr(10))"
+
+
+@query("""with c as (select doc_id, [case when doc_id % 4 = 0 then 'missing_h1' end, case when doc_id % 5 = 4 then 'heading_level_jump' end, case when doc_id % 3 <> 0 then 'missing_purpose_section' end, case when doc_id % 7 = 0 then 'generic_marketing_copy' end] as a from documents)
+    select doc_id, array_to_string(list_sort(list_filter(a, lambda x: x is not null)), ',') as codes, case when a[1] is not null or a[2] is not null or a[3] is not null then 'blocked' else 'pass' end as status, false as japanese from c""")
+def readme_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return readme.review(_table(spark, sf_dir, "documents").select("doc_id", F.expr(README).alias("text"))).withColumn("codes", F.concat_ws(",", "codes"))
+
+
+PROPOSALS = "event_id, user_id as repo_id, event_type as id, case event_id % 4 when 0 then 'security_hold' when 1 then 'external_evidence' when 2 then 'optional_policy' else 'github_baseline' end as kind, case when event_id % 3 = 0 then 'recommended' else 'required' end as severity"
+AS_OF = "date '2024-06-01'"
+
+
+@query(f"""with p as (select {PROPOSALS} from events), d as (select distinct user_id as repo_id, event_type as id from events where event_id % 5 = 0 or (event_id % 7 = 0 and {AS_OF} <= date '2024-06-01'))
+    select p.event_id, case when kind = 'security_hold' then false when d.id is null then false when kind = 'github_baseline' or severity = 'recommended' or kind = 'external_evidence' then true else false end as suppressed
+    from p left join d on d.repo_id = p.repo_id and d.id = p.id""")
+def dismissal_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    events = _table(spark, sf_dir, "events")
+    props = events.selectExpr(*[c.strip() for c in PROPOSALS.split(", ", 3)[:3]], *_two(PROPOSALS.split(", ", 3)[3]))
+    dismissals = events.where("event_id % 5 = 0 or event_id % 7 = 0 or event_id % 11 = 0").selectExpr("user_id as repo_id", "event_type as id", "case when event_id % 5 = 0 then 'forever' else 'snooze' end as mode", "case when event_id % 7 = 0 then date '2024-06-01' else date '2024-05-31' end as until")
+    return dialogue.with_suppressed(props, dismissals, F.expr(AS_OF)).select("event_id", "suppressed")
+
+
+def _two(s: str) -> list[str]:
+    head, tail = s.split(" as kind, ")
+    return [head + " as kind", tail]
+
+
+@query(f"""select o_orderkey, case when o_orderkey % 10 = 0 then 'unknown' when date_diff('day', cast(o_orderdate as date), date '1998-08-02') > 90 then 'stale' else 'fresh' end as status from orders""")
+def baseline_freshness(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = _table(spark, sf_dir, "orders").withColumn("last", F.expr("case when o_orderkey % 10 <> 0 then cast(o_orderdate as date) end"))
+    return orders.select("o_orderkey", dialogue.baseline_status(F.col("last"), F.lit(90), F.expr("date '1998-08-02'")).alias("status"))
+
+
+@query(f"""with c as (select o_custkey as repo_id, {CHECK_ROWS} from orders), s as (select repo_id, case when bool_or(status = 'tool_error') then 'tool_error' when bool_or(status in ('fail', 'unknown')) then 'blocked' else 'pass' end as status from c where name <> 'human_visual_review' group by repo_id),
+    p as (select repo_id, bool_or(name = 'secret_scan' and status = 'fail') as hold, bool_or(name = 'origin' and status = 'unknown') as needs from c group by repo_id)
+    select s.repo_id, case when s.status = 'tool_error' or p.hold then 'blocked' when p.needs or s.status = 'blocked' then 'needs_human_input' else 'ready_after_confirmation' end as status from s join p on p.repo_id = s.repo_id""")
+def dialogue_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_custkey as repo_id", *_split(CHECK_ROWS))
+    return dialogue.dialogue_status(checks.rollup(rows), dialogue.proposals(rows, "publish"))
+
+
+FLOW = "concat('name: x', chr(10), case when c_custkey % 4 = 0 then ' jobs:' else 'jobs :' end, chr(10))"
+
+
+@query("""select n_name as repo_id, cast(count(c_custkey) filter (where n_nationkey % 5 <> 0) as bigint) as workflows, cast(count(*) filter (where n_nationkey % 5 <> 0 and n_nationkey % 2 = 1 and c_custkey % 4 = 0) as bigint) as invalid,
+    case when count(*) filter (where n_nationkey % 5 <> 0 and n_nationkey % 2 = 1 and c_custkey % 4 = 0) > 0 then 'fail' when count(c_custkey) filter (where n_nationkey % 5 <> 0) = 0 then 'unknown' else 'pass' end as status from nation left join customer on c_nationkey = n_nationkey group by n_name""")
+def ci_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nation, customer = _table(spark, sf_dir, "nation"), _table(spark, sf_dir, "customer")
+    files = customer.join(nation, F.col("c_nationkey") == F.col("n_nationkey")).where("n_nationkey % 5 <> 0").select(F.col("n_name").alias("repo_id"), F.concat(F.lit(".github/workflows/"), F.col("c_custkey").cast("string"), F.lit(".yml")).alias("path"), F.expr(f"case when n_nationkey % 2 = 1 then {FLOW} else 'jobs:' end").alias("content"))
+    return checks.ci_configuration(nation.select(F.col("n_name").alias("repo_id")), files)
+
+
+@query("""select s_suppkey as repo_id, case when s_suppkey % 3 = 0 then 'go.mod' when s_suppkey % 3 = 1 then 'go.sum' else '' end as files, case when s_suppkey % 3 = 2 then 'not_applicable' else 'pass' end as status from supplier""")
+def dependency_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
+    repos = _table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("repo_id"))
+    files = repos.withColumn("path", F.expr("case repo_id % 3 when 0 then 'go.mod' when 1 then 'go.sum' else 'sub/go.mod' end"))
+    return checks.dependency_configuration(repos, files).withColumn("files", F.concat_ws(",", "files"))
+
+
+FENCED = "concat('a', chr(10), repeat('`', 3 + cast(doc_id % 2 as int)), 'sh', chr(10), '# in', chr(10), '```', chr(10), case when doc_id % 2 = 1 then concat('````', chr(10)) else '' end, '# out', chr(10), '~~~', chr(10), coalesce(text, ''))"
+
+
+@query()
+def outside_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines outside fenced blocks; closing depends on the opening mark, which SQL doesn't say well."""
+    return readme.fence_free_lines(_table(spark, sf_dir, "documents").select("doc_id", F.expr(FENCED).alias("text"))).withColumn("level", heading_level(F.col("line"))).select("doc_id", "n", "line", "level")
+
+
+@query("""select doc_id, concat(cast(doc_id as varchar), ' start,Yes,go on') as labels from documents where doc_id % 2 = 0 union all select doc_id, concat('hello ', cast(doc_id as varchar)) from documents where doc_id % 2 = 1""")
+def mermaid_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    flow = "array('flowchart LR', 'style x fill', concat('A[', cast(doc_id as string), ' start] -->|Yes| B'), 'B -- go on --> C')"
+    talk = "array('sequenceDiagram', concat('A->>B: hello ', cast(doc_id as string)))"
+    diagrams = _table(spark, sf_dir, "documents").select("doc_id", F.expr(f"if(doc_id % 2 = 0, {flow}, {talk})").alias("lines"))
+    return readme.labels(diagrams).withColumn("labels", F.concat_ws(",", "labels"))
