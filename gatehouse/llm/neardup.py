@@ -8,8 +8,9 @@ processes are advanced together up to a time by which the components are filled,
 costs about m ln m + n steps.
 
 Signatures are banded; documents that share a band are candidates. In a band's group all are compared with one leader
-first, then what is left with a leader of its own, and at last only members of different
-classes with each other, so a group of copies never makes all its pairs. A link is a verified
+first, then those of other classes with a second one, and at last only members of different classes with each other, so a
+group of copies never makes all its pairs. Such a pair is made only if its likeness can reach
+the threshold at all, by a bound from shortened hashes of both texts' shingles. A link is a verified
 weighted Jaccard likeness of the whole multisets; classes are connected components.
 """
 
@@ -25,6 +26,10 @@ from pyspark.sql import functions as F
 from gatehouse.llm.common import documents_of, rows_with, staged, text_of
 from gatehouse.llm.textvec import U64, blocks, mix, shingles, words_of
 
+#: Times that a group's members meet a leader before those of different classes meet each other; small groups take two.
+LEADER_TURNS = 4
+#: Members of a large group.
+LARGE_GROUP = 12
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
@@ -150,6 +155,28 @@ def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) ->
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
+def profiles(docs: DataFrame, words: int, limit: int = 1500) -> DataFrame:
+    """``node, profile``: distinct numbers of 20 hash bits of a shingle and of which repeat it is; null for more than ``limit`` of them.
+
+    Two multisets share at most as many shingles as their profiles have in common, which bounds their likeness.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).to_pylist()
+            for a, b in blocks(texts):
+                value, doc = shingles(words_of(texts[a:b]), words)
+                border = np.searchsorted(doc, np.arange(b - a + 1)).tolist()
+                rows = []
+                for i, j in zip(border, border[1:], strict=False):
+                    own = np.sort((value[i:j] >> U64(44)).astype(np.int64))
+                    repeat = np.arange(j - i) - np.searchsorted(own, own)
+                    rows.append(None if j - i > limit or (repeat > 2047).any() else ((own << 11) | repeat).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.list_(pa.int32()))], ["node", "profile"])
+
+    return docs.select("node", "text").mapInArrow(run, "node long, profile array<int>")
+
+
 def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
     """``node, class`` (the least node of its component) of every node in ``edges(a, b)``, by label passing with shortcuts."""
     both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "near-edges")
@@ -178,25 +205,30 @@ def _placed(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int
     groups = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
     members = staged(banded.join(groups, "band"), "near-members")
     in_group = members.select("node").distinct()
+    band_lists = seen.select(F.col("rid").alias("node"), "bands")
     keys = nodes.join(in_group, "node").select("node", "text_key")
     texts = staged(own.join(keys, "text_key").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
 
     links, tried, classes = None, None, None
     state = members.withColumn("class", F.col("node"))
-    for turn in ("leader", "leader", "rest"):
-        if turn == "leader":
-            # all of a group that are not in one class with their leader meet it; the leader is the group's least, then the least of the rest
-            leaders = state.groupBy("band").agg(F.min(F.struct("class", "node")).alias("l"), F.count("*").alias("n")).where("n > 1")
-            if classes is not None:
-                outside = state.join(leaders, "band").where("class <> l.class").select("band", "node", "weight", "class")
-                leaders = outside.groupBy("band").agg(F.min(F.struct("class", "node")).alias("l"))
-                state_now = outside
-            else:
-                state_now = state
-            pairs = state_now.join(leaders.select("band", F.col("l.node").alias("a"), F.col("l.class").alias("ca")), "band").where("class <> ca and node <> a").select("a", F.col("node").alias("b"))
+    for turn in range(LEADER_TURNS + 1):
+        if turn < LEADER_TURNS:
+            # all of a group that are not in one class with its leader meet it; the first leader is the group's least, so that copies share one
+            rank = F.col("class") if turn == 0 else F.xxhash64("node", "band", F.lit(turn))
+            groups = state.groupBy("band").agg(F.min(F.struct(rank.alias("rank"), "node", "class")).alias("l"), F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
+            leaders = groups.where(F.expr(f"low < high and n >= {2 if turn < 2 else LARGE_GROUP}")).select("band", F.col("l.node").alias("a"), F.col("l.class").alias("ca"))
+            pairs = state.join(leaders, "band").where("class <> ca").select("a", F.col("node").alias("b"))
         else:
-            x, y = state.alias("x"), state.alias("y")
-            pairs = x.join(y, F.expr(f"x.band = y.band and x.node < y.node and x.class <> y.class and least(x.weight, y.weight) >= {threshold} * greatest(x.weight, y.weight)")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
+            split = state.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "n")
+            open_ = staged(state.join(split, "band"), "near-open")
+            in_open = open_.select("node").distinct()
+            facts = profiles(texts.join(in_open, "node"), words).join(band_lists.join(in_open, "node"), "node").withColumnRenamed("node", "of")
+            bounded = staged(open_.join(facts, F.col("node") == F.col("of")).drop("of", "n"), "near-bounded")
+            x, y = bounded.alias("x"), bounded.alias("y")
+            # a pair is made in the first band that it shares, and only if the bound on its likeness reaches the threshold
+            shared = "cast(size(array_intersect(x.profile, y.profile)) as double)"
+            alike = f"x.profile is null or y.profile is null or {shared} * {1 + threshold}D >= {threshold}D * (x.weight + y.weight) - 1e-6D"
+            pairs = x.join(y, F.expr(f"x.band = y.band and x.node < y.node and x.class <> y.class and least(x.weight, y.weight) >= {threshold} * greatest(x.weight, y.weight) and x.band = element_at(array_intersect(x.bands, y.bands), 1) and ({alike})")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
         pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
         if tried is not None:
             pairs = pairs.join(tried, ["a", "b"], "left_anti")

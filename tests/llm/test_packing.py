@@ -1,3 +1,4 @@
+import random
 import zlib
 from collections import defaultdict
 
@@ -17,7 +18,9 @@ VOCAB = queries.vocabulary(queries.WORD_VOCAB)
 def test_encoder_equals_the_library(name, small):
     path = queries.vocabulary(name)
     lib, own = Tokenizer.from_file(path), Encoder(path)
-    texts = [t for _, t in texts_in(small)] + [t or "" for _, t in odd_rows()] + ["a  b", " lead", "trail ", "\n\nx\n", "don't we'll", "don' t", "x y", "　z", "a b", "İstanbul", "ﬁne ½", "tab\tsep", "1,234.5", "éa", "#tag!!??", "a</w>b", "Ġword", "mixed123abc", "…", "'s", "\r\n", "x" * 5000]
+    texts = [t for _, t in texts_in(small)] + [t or "" for _, t in odd_rows()] + ["a  b", " lead", "trail ", "\n\nx\n", "don't we'll", "don' t", "x y", "　z", "a b", "İstanbul", "ﬁne ½", "tab\tsep", "1,234.5", "éa", "#tag!!??", "a</w>b", "Ġword", "mixed123abc", "…", "'s", "\r\n", "x" * 5000, "a\r\nb", "a\n\n\nb c", "a\n b", "a \nb", "a\tb c\t d", "a\u00a0b\u3000 c", "end\n", "\nstart", " ", "one\ntwo three\nfour", "foo…*** bar’s, it's.", "12, 3.5% of", "naïve— word", "a\x00b c", "x\u200b y.", "don't, won't!!"]
+    rng = random.Random(5)
+    texts += ["".join(rng.choice(["a", "b1", " ", " ", "  ", "\n", "\t", ".", ",", "'s", "é", "\u3000", "…", "!"]) for _ in range(30)) for _ in range(3000)]
     for _ in range(2):  # the second time from memory
         got = own.encode(texts)
         for text, raw in zip(texts, got, strict=True):
