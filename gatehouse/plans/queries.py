@@ -40,7 +40,7 @@ def _quoted(s: str) -> str:
 
 #: Texts with planted secrets (only in some sources) and near misses.
 SECRET_TEXT = "case when doc_id % 7 = 0 and length(source) = 4 then concat(coalesce(text, ''), ' sk-', repeat('A', 24)) when doc_id % 7 = 1 then concat(coalesce(text, ''), ' sk-', repeat('A', 19)) when doc_id % 7 = 2 and source = 'src11' then concat(coalesce(text, ''), ' AKIA', repeat('Z', 16)) else coalesce(text, '') end"
-PATH_TEXT = "case when doc_id % 5 = 0 and length(source) = 4 then concat(coalesce(text, ''), ' /home/', 'someone/x') when doc_id % 5 = 1 then concat(coalesce(text, ''), ' /home/', chr(12288), 'x') when doc_id % 11 = 0 and source = 'src12' then concat(coalesce(text, ''), ' C:/Users/', 'abc') else coalesce(text, '') end"
+PATH_TEXT = "case when doc_id % 5 = 0 and length(source) = 4 then concat(coalesce(text, ''), ' /home/', 'someone/x') when doc_id % 5 = 1 then concat(coalesce(text, ''), ' /home/', '　', 'x') when doc_id % 11 = 0 and source = 'src12' then concat(coalesce(text, ''), ' C:/Users/', 'abc') else coalesce(text, '') end"
 LABEL = "case when doc_id % 9 = 0 then concat('dir/ghp_', repeat('b', 22), '.txt') when doc_id % 9 = 1 then concat('a/b/ghp_', repeat('b', 12)) else concat('docs/', cast(doc_id as varchar(20)), '.md') end"
 DUCK_SECRETS, DUCK_PATHS = _quoted(any_of(SECRETS)), _quoted(any_of(HOME_PATHS))
 
