@@ -1,0 +1 @@
+"""No operator works on streams: what expires is compared with an explicit date."""
