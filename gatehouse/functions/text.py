@@ -32,6 +32,64 @@ def outside_fences(lines: Column) -> Column:
     return F.aggregate(lines, start, step, lambda a: a["kept"])
 
 
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
+
+
+def _marked(lines: Column, quoted: bool = False) -> Column:
+    """Every line with its fence mark (or ''), info string and text without leading white space; ``quoted``: block-quote prefixes are removed first."""
+    fence = rf"^[{SPACE}]*(`{{3,}}|~{{3,}})([^`]*)$"
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, rf"^[{SPACE}]*(?:>[{SPACE}]?)+", "")) if quoted else lines
+    return F.transform(bare, lambda x: F.struct(x.alias("line"), F.regexp_extract(x, fence, 1).alias("mark"), stripped(F.regexp_extract(x, fence, 2)).alias("info"), F.regexp_replace(x, f"^[{SPACE}]+", "").alias("rest")))
+
+
+def prose_lines(lines: Column) -> Column:
+    """Lines outside fenced blocks as the review of a document sees them: any line that begins with the opening mark closes it."""
+    start = F.expr("named_struct('mark', '', 'kept', cast(array() as array<string>))")
+
+    def step(a: Column, x: Column) -> Column:
+        opens = (a["mark"] == "") & (x["mark"] != "")
+        closes = (a["mark"] != "") & F.startswith(x["rest"], a["mark"])
+        return F.struct(
+            F.when(opens, x["mark"]).when(closes, F.lit("")).otherwise(a["mark"]).alias("mark"),
+            F.when((a["mark"] == "") & ~opens, F.concat(a["kept"], F.array(x["line"]))).otherwise(a["kept"]).alias("kept"),
+        )
+
+    return F.aggregate(_marked(lines), start, step, lambda a: a["kept"])
+
+
+def mermaid_diagrams(lines: Column) -> Column:
+    """Array of the line arrays of every Mermaid block, quoted ones too; a block that nothing closes ends with the text."""
+    start = F.expr("named_struct('mark', '', 'inside', false, 'block', cast(array() as array<string>), 'done', cast(array() as array<array<string>>))")
+
+    def step(a: Column, x: Column) -> Column:
+        opens = (a["mark"] == "") & (x["mark"] != "")
+        closes = (a["mark"] != "") & F.startswith(x["rest"], a["mark"])
+        return F.struct(
+            F.when(opens, x["mark"]).when(closes, F.lit("")).otherwise(a["mark"]).alias("mark"),
+            F.when(opens, F.lower(x["info"]) == "mermaid").when(closes, F.lit(False)).otherwise(a["inside"]).alias("inside"),
+            F.when(opens | closes, F.expr("cast(array() as array<string>)")).when(a["inside"], F.concat(a["block"], F.array(x["line"]))).otherwise(a["block"]).alias("block"),
+            F.when(closes & a["inside"], F.concat(a["done"], F.array(a["block"]))).otherwise(a["done"]).alias("done"),
+        )
+
+    return F.aggregate(_marked(lines, quoted=True), start, step, lambda a: F.when(a["inside"], F.concat(a["done"], F.array(a["block"]))).otherwise(a["done"]))
+
+
+def lead_summary(prose: Column) -> Column:
+    """The first paragraph after the first H1 and before the next H2 of lines outside fences, joined by spaces; '' if there is none."""
+    at = lambda a, p: F.coalesce(F.array_position(F.transform(a, p), True), F.lit(0)).cast("int")
+    begin = at(prose, lambda x: F.startswith(x, F.lit("# ")))
+    after = F.when(begin > 0, F.slice(prose, begin + 1, F.size(prose))).otherwise(F.expr("cast(array() as array<string>)"))
+    start = F.expr("named_struct('over', false, 'kept', cast(array() as array<string>))")
+
+    def step(a: Column, x: Column) -> Column:
+        line = stripped(x)
+        over = a["over"] | F.startswith(x, F.lit("## ")) | ((line == "") & (F.size(a["kept"]) > 0))
+        return F.struct(over.alias("over"), F.when(over | (line == ""), a["kept"]).otherwise(F.concat(a["kept"], F.array(line))).alias("kept"))
+
+    return F.aggregate(after, start, step, lambda a: F.array_join(a["kept"], " "))
+
+
 def heading_level(line: Column) -> Column:
     """1 to 6, or 0 if the line is no heading."""
     return F.length(F.regexp_extract(line, rf"^(#{{1,6}})[{SPACE}]+[^{SPACE}]", 1))
@@ -73,10 +131,19 @@ def is_japanese(text: Column, least: int = 20, ratio: float = 0.1) -> Column:
 
 
 def diagram_labels(lines: Column) -> Column:
-    """Node, edge and message labels of one diagram's lines."""
-    kept = F.filter(lines, lambda x: (F.trim(x) != "") & ~F.trim(x).rlike("^(?:style |classDef |class |linkStyle |click |subgraph|end|direction |%%)"))
-    patterns = (r"[\[(\"{]([^\[\]()\"{}]{2,}?)[\])\"}]", r"(?:-->|---|-\.->|==>)\s*\|([^|]{2,})\|", r"--\s+(.+?)\s+-->")
-    labels = lambda x: F.concat(*[F.regexp_extract_all(x, F.lit(p), F.lit(1)) for p in patterns])
-    message = lambda x: F.regexp_extract_all(x, F.lit(r"(?:-{1,2}>>?|--?[x)])[^:]*:\s*(.+)$"), F.lit(1))
-    sequence = F.lower(F.trim(F.element_at(lines, 1))).startswith("sequencediagram")
-    return F.flatten(F.transform(kept, lambda x: F.when(sequence, message(x)).otherwise(labels(x))))
+    """Node, edge, relation and message labels of one diagram's lines; its first line that isn't blank names its type."""
+    texts = F.filter(F.transform(lines, stripped), lambda x: x != "")
+    sequence = F.lower(F.regexp_extract(F.try_element_at(texts, F.lit(1)), f"^[^{SPACE}]+", 0)) == "sequencediagram"
+    body = F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0)))
+    kept = F.filter(body, lambda x: ~x.rlike("^(?:style |classDef |class |linkStyle |click |subgraph|end|direction |%%)"))
+    patterns = (
+        r"[\[(\"{]([^\[\]()\"{}]{2,}?)[\])\"}]",
+        r"[\p{L}\p{N}_]>([^\]\n]{2,})\]",  # asymmetric nodes
+        rf"(?:-->|---|-\.->|==>)[{SPACE}]*\|([^|]{{2,}})\|",
+        rf"--[{SPACE}]+(.+?)[{SPACE}]+-->",
+    )
+    relation = lambda x: F.when(F.contains(x, F.lit(":")) & x.rlike(r"\|\||o[|{]|[}|]o"), F.array(F.substring_index(x, ":", -1))).otherwise(F.array().cast("array<string>"))
+    labels = lambda x: F.concat(*[F.regexp_extract_all(x, F.lit(p), F.lit(1)) for p in patterns], relation(x))
+    message = lambda x: F.regexp_extract_all(x, F.lit(rf"(?:-{{1,2}}>>?|--?[x)])[^:]*:[{SPACE}]*(.+)$"), F.lit(1))
+    found = F.flatten(F.transform(kept, lambda x: F.when(sequence, message(x)).otherwise(labels(x))))
+    return F.filter(F.transform(found, stripped), lambda x: x != "")

@@ -7,8 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from gatehouse.functions.patterns import SPACE
-from gatehouse.functions.text import diagram_labels, heading_level, heading_title, is_japanese, lines_of, outside_fences
+from gatehouse.functions.patterns import JAPANESE, SPACE
+from gatehouse.functions.text import diagram_labels, heading_level, heading_title, is_japanese, lead_summary, lines_of, mermaid_diagrams, outside_fences, prose_lines
 
 #: Words of headings that name a section (fixed values).
 SECTIONS = {
@@ -20,6 +20,10 @@ SECTIONS = {
 #: Phrases that say nothing (fixed values).
 GENERIC = ("next-generation", "revolutionary", "cutting-edge", "comprehensive solution")
 MAX_LINES = 300
+MAX_SUMMARY = 240
+_WORD = r"\p{L}\p{N}_"
+#: Headings that announce a user interface (fixed values).
+UI = rf"(?i)(?<![{_WORD}])(?:ui|interface|dashboard|frontend|web app)(?![{_WORD}])|画面|screenshots?"
 
 
 def headings(docs: DataFrame) -> DataFrame:
@@ -41,6 +45,8 @@ def _names(heads: Column, words: tuple[str, ...]) -> Column:
 def review(docs: DataFrame) -> DataFrame:
     """``doc_id, codes, status``: sorted error and warning codes of ``docs(doc_id, text)``, and blocked if any is an error.
 
+    Rules of headings, sections, length and wording only; a pass here is no pass of ``release_review``, which has all rules.
+
     One row's lines are folded where they are; nothing is shuffled.
     """
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("lines", lines_of(F.col("text")))
@@ -62,6 +68,61 @@ def review(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", codes.alias("codes"), F.when(bad, "blocked").otherwise("pass").alias("status"), is_japanese(F.col("text")).alias("japanese"))
 
 
+def release_review(docs: DataFrame) -> DataFrame:
+    """``doc_id, codes, status, release_gate, recommended`` and metrics of ``docs(doc_id, text)``; a null text is a missing document.
+
+    All rules but the width of table cells. One row's lines are folded where they are; nothing is shuffled.
+    """
+    rows = docs.select("doc_id", F.col("text").isNull().alias("absent"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n").alias("text")).withColumn("lines", lines_of(F.col("text")))
+    # a heading of white space alone counts, as in the reference
+    heads = F.transform("lines", lambda x: F.struct(F.length(F.regexp_extract(x, rf"^(#{{1,6}})[{SPACE}]+.", 1)).alias("level"), F.regexp_extract(x, rf"^#{{1,6}}[{SPACE}]+(.*?)[{SPACE}]*$", 1).alias("title")))
+    rows = rows.withColumn("heads", F.filter(heads, lambda h: h["level"] > 0)).withColumn("prose", prose_lines(F.col("lines"))).withColumn("diagrams", F.transform(mermaid_diagrams(F.col("lines")), diagram_labels))
+    rows = rows.withColumn("summary", lead_summary(F.col("prose"))).withColumn("japanese", is_japanese(F.array_join("prose", "")))
+    levels = F.transform("heads", lambda h: h["level"])
+    jump = F.exists(F.zip_with(levels, F.slice(levels, F.lit(2), F.greatest(F.size(levels) - 1, F.lit(0))), lambda a, b: b > a + 1), lambda x: F.coalesce(x, F.lit(False)))
+    lacks = {k: ~_names(F.col("heads"), words) for k, words in SECTIONS.items()}
+    errors = {
+        "missing_h1": F.coalesce(F.try_element_at(levels, F.lit(1)) != 1, F.lit(True)),
+        "missing_lead_summary": F.col("summary") == "",
+        "lead_summary_too_long": F.length("summary") > MAX_SUMMARY,
+        "heading_level_jump": jump,
+        "readme_too_long": F.size("lines") > MAX_LINES,
+        **{f"missing_{k}_section": c for k, c in lacks.items()},
+    }
+    warnings = {
+        "generic_marketing_copy": reduce(lambda a, p: a | F.contains(F.lower("text"), F.lit(p)), GENERIC, F.lit(False)),
+        "decorative_heading_emoji": F.exists("lines", lambda x: x.rlike(rf"^#{{1,6}}[{SPACE}]+[^{_WORD}`#{SPACE}]")),
+        "diagram_labels_not_localized": F.col("japanese") & F.exists("diagrams", lambda d: (F.size(d) > 0) & ~F.exists(d, lambda x: x.rlike(JAPANESE))),
+    }
+    rows = rows.withColumns({k: c for k, c in (errors | warnings).items()})
+    steps = F.regexp_count("text", F.lit(rf"(?dm)^[{SPACE}]*\p{{Nd}}+[.)][{SPACE}]+"))
+    image, surface = F.col("text").rlike(r"!\[[^\]]*\]\([^)]+\)"), F.exists("heads", lambda h: h["title"].rlike(UI))
+    advice = {
+        "Template Creator": F.col("missing_h1") | reduce(lambda a, k: a | F.col(f"missing_{k}_section"), SECTIONS, F.lit(False)),
+        "Product Design": F.col("missing_lead_summary") | F.col("missing_purpose_section") | F.col("missing_capabilities_section"),
+        "Localize Diagram": F.col("diagram_labels_not_localized"),
+        "ai-slop-check": F.col("decorative_heading_emoji"),
+        "Visualize": (steps >= 4) & (F.size("diagrams") == 0),
+        "Figma or frontend-design": surface & ~image,
+    }
+    listed = lambda names: F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in names.items()])))
+    bad = F.col("absent") | reduce(lambda a, k: a | F.col(k), errors, F.lit(False))
+    unless_absent = lambda c: F.when(~F.col("absent"), c)
+    return rows.select(
+        "doc_id",
+        F.when(F.col("absent"), F.array(F.lit("readme_missing"))).otherwise(listed({k: F.col(k) for k in (errors | warnings)})).alias("codes"),
+        F.when(bad, "blocked").otherwise("pass").alias("status"),
+        F.when(F.col("absent"), "blocked_readme_missing").when(bad, "blocked_readme_design").otherwise("passed_readme_design").alias("release_gate"),
+        F.when(F.col("absent"), F.array(F.lit("Template Creator"))).otherwise(listed(advice)).alias("recommended"),
+        unless_absent(F.size("lines")).alias("line_count"),
+        unless_absent(F.size("heads")).alias("heading_count"),
+        unless_absent(F.length("summary")).alias("lead_summary_chars"),
+        unless_absent(F.col("japanese")).alias("japanese"),
+        unless_absent(F.size("diagrams")).alias("diagram_count"),
+        unless_absent(F.size(F.flatten("diagrams"))).alias("diagram_label_count"),
+    )
+
+
 def fence_free_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(outside_fences(lines_of(F.col("text")))).alias("l")).select("doc_id", "l.n", "l.line")
 
