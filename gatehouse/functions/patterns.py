@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -41,6 +42,24 @@ def has_any(text: Column, patterns: Sequence[str]) -> Column:
     return F.coalesce(text.rlike(rx) | (F.contains(text, F.lit("%")) & percent_decoded(text).rlike(rx)), F.lit(False))
 
 
+def utf16_text(data: bytes | None) -> str | None:
+    """Bytes as UTF-16, little-endian without a byte order mark; None if they aren't."""
+    try:
+        return None if data is None else bytes(data).decode("utf-16")
+    except UnicodeDecodeError:
+        return None
+
+
+def content_has_any(content: Column, patterns: Sequence[str]) -> Column:
+    """A match in a file's bytes read as UTF-8 or as UTF-16, each also percent-decoded; a reading that fails is left out. False for null.
+
+    Texts are taken by their UTF-8 bytes. Every pattern needs an ASCII character, so in UTF-16 a zero byte: only bytes with one go to Python.
+    """
+    data, text = content.cast("binary"), content.cast("string")
+    wide = F.pandas_udf(lambda s: pd.Series([utf16_text(x) for x in s], index=s.index, dtype=object), "string")
+    return has_any(F.when(F.is_valid_utf8(text), text), patterns) | has_any(wide(F.when(F.contains(data, F.lit(b"\0")), data)), patterns)
+
+
 def evidence_label(label: Column) -> Column:
     """A label that can be shown: withheld whole if it looks like a secret or a home folder."""
     return F.when(has_any(label, SECRETS + HOME_PATHS), F.lit("<redacted-path>")).otherwise(label)

@@ -11,7 +11,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.functions.patterns import HOME_PATHS, SECRETS, base_name, effective_identity, evidence_label, has_any
+from gatehouse.functions.patterns import HOME_PATHS, SECRETS, base_name, content_has_any, effective_identity, evidence_label
 
 #: Documents that a repository must have (fixed values).
 REQUIRED_DOCUMENTS = ("README.md", "LICENSE", "SECURITY.md", "CONTRIBUTING.md", "PREFLIGHT.md")
@@ -29,18 +29,18 @@ def status_of(failed: Column, unknown: Column | None = None) -> Column:
 
 
 def secret_scan(files: DataFrame, history: DataFrame | None = None) -> DataFrame:
-    """repo_id, finding_count, status. ``files(repo_id, content)``; a secret in ``history(repo_id, oid, content)`` counts once per object more."""
-    hits = files.groupBy("repo_id").agg(F.count_if(has_any(F.col("content"), SECRETS)).alias("n"))
+    """repo_id, finding_count, status. ``files(repo_id, content)``; a secret in ``history(repo_id, oid, content)`` counts once per object more. Contents are bytes or texts."""
+    hits = files.select("repo_id", content_has_any(F.col("content"), SECRETS).alias("hit")).groupBy("repo_id").agg(F.count_if("hit").alias("n"))
     if history is not None:
-        old = history.groupBy("repo_id", "oid").agg(F.max(has_any(F.col("content"), SECRETS)).alias("hit"))
+        old = history.select("repo_id", "oid", content_has_any(F.col("content"), SECRETS).alias("hit")).groupBy("repo_id", "oid").agg(F.max("hit").alias("hit"))
         hits = hits.unionByName(old.groupBy("repo_id").agg(F.count_if("hit").alias("n")))
     return hits.groupBy("repo_id").agg(F.sum("n").alias("finding_count")).withColumn("status", status_of(F.col("finding_count") > 0))
 
 
 def personal_path_scan(files: DataFrame) -> DataFrame:
-    """repo_id, finding_count, labels (sorted, shown safely), status of ``files(repo_id, path, content)``."""
-    hit = has_any(F.col("content"), HOME_PATHS)
-    found = files.groupBy("repo_id").agg(F.count_if(hit).alias("finding_count"), F.array_sort(F.collect_set(F.when(hit, evidence_label(base_name(F.col("path")))))).alias("labels"))
+    """repo_id, finding_count, labels (sorted, shown safely), status of ``files(repo_id, path, content)``; contents are bytes or texts."""
+    hits = files.select("repo_id", "path", content_has_any(F.col("content"), HOME_PATHS).alias("hit"))
+    found = hits.groupBy("repo_id").agg(F.count_if("hit").alias("finding_count"), F.array_sort(F.collect_set(F.when(F.col("hit"), evidence_label(base_name(F.col("path")))))).alias("labels"))
     return found.withColumn("status", status_of(F.col("finding_count") > 0))
 
 
