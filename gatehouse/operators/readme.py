@@ -127,6 +127,7 @@ def fence_free_lines(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", F.explode(outside_fences(lines_of(F.col("text")))).alias("l")).select("doc_id", "l.n", "l.line")
 
 
-def labels(diagrams: DataFrame) -> DataFrame:
-    """``doc_id, labels`` of ``diagrams(doc_id, lines)``."""
-    return diagrams.select("doc_id", diagram_labels(F.col("lines")).alias("labels"))
+def labels(docs: DataFrame) -> DataFrame:
+    """``doc_id, n, labels`` of every Mermaid diagram in ``docs(doc_id, text)``, numbered from 1."""
+    found = docs.select("doc_id", F.posexplode(mermaid_diagrams(lines_of(F.col("text")))).alias("at", "lines"))
+    return found.select("doc_id", (F.col("at") + 1).alias("n"), diagram_labels(F.col("lines")).alias("labels"))

@@ -268,7 +268,12 @@ def outside_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("""select doc_id, concat(cast(doc_id as varchar), ' start,Yes,go on') as labels from documents where doc_id % 2 = 0 union all select doc_id, concat('hello ', cast(doc_id as varchar)) from documents where doc_id % 2 = 1""")
 def mermaid_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Diagrams are planted in whole texts, by doc_id fenced, quoted, or at the end without a closing fence."""
     flow = "array('flowchart LR', 'style x fill', concat('A[', cast(doc_id as string), ' start] -->|Yes| B'), 'B -- go on --> C')"
     talk = "array('sequenceDiagram', concat('A->>B: hello ', cast(doc_id as string)))"
-    diagrams = _table(spark, sf_dir, "documents").select("doc_id", F.expr(f"if(doc_id % 2 = 0, {flow}, {talk})").alias("lines"))
-    return readme.labels(diagrams).withColumn("labels", F.concat_ws(",", "labels"))
+    body = f"if(doc_id % 2 = 0, {flow}, {talk})"
+    text = f"""case doc_id % 3 when 0 then concat('intro', chr(10), '```mermaid', chr(10), array_join({body}, chr(10)), chr(10), '```', chr(10), coalesce(text, ''))
+        when 1 then concat('> ~~~ Mermaid', chr(10), '> ', array_join({body}, concat(chr(10), '> ')), chr(10), '> ~~~', chr(10), coalesce(text, ''))
+        else concat('```sh', chr(10), 'A[no diagram]', chr(10), '```', chr(10), coalesce(text, ''), chr(10), '```mermaid', chr(10), array_join({body}, chr(10))) end"""
+    found = readme.labels(_table(spark, sf_dir, "documents").select("doc_id", F.expr(text).alias("text")))
+    return found.select("doc_id", F.concat_ws(",", "labels").alias("labels"))

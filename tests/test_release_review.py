@@ -1,3 +1,6 @@
+from pyspark.sql import functions as F
+
+from gatehouse.functions import text
 from gatehouse.operators import readme
 
 SECTIONS = "## Overview\n## What\n## Usage\n## Limits\n"
@@ -47,3 +50,10 @@ def test_labels_of_a_japanese_document(spark):
     plain, local, some = review(spark, *("# T\n" + prose + "\n" + SECTIONS + f"```mermaid\ngraph LR\n{x}\n```\n" for x in ("A[read it]", "A[読む]", "style x")))
     assert (plain.codes, plain.status, plain.recommended) == (["diagram_labels_not_localized"], "pass", ["Localize Diagram"])
     assert local.codes == some.codes == []
+
+
+def test_diagrams_in_whole_texts(spark):
+    given = "a\n```mermaid\n\ngraph LR\nA[in it] --> B>odd one]\n```\n````md\n```mermaid\nA[example]\n```\n````\n> ~~~ MERMAID \n> erDiagram\n> A ||--o{ B : has\n>\n> ~~~\n```mermaid x\nA[info string]\n```\n```mermaid\nsequenceDiagram\nA->>B: hi there"
+    docs = spark.createDataFrame([(1, given), (2, "no diagram"), (3, "```mermaid\n```")], "doc_id long, text string")
+    assert [tuple(r) for r in readme.labels(docs).orderBy("doc_id", "n").collect()] == [(1, 1, ["in it", "odd one"]), (1, 2, ["has"]), (1, 3, ["hi there"]), (3, 1, [])]
+    assert docs.select(text.mermaid_diagrams(text.lines_of(F.col("text"))).alias("d")).count() == 3
