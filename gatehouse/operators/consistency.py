@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.functions.globs import globs_regex
+from gatehouse.functions.globs import glob_regex, globs_regex
 from gatehouse.functions.text import link_targets, resolved
 
 #: Kinds of review that changed paths call for (fixed values).
@@ -31,11 +32,24 @@ def link_findings(documents: DataFrame, tracked: DataFrame) -> DataFrame:
     return outside.unionByName(missing)
 
 
-def artifact_findings(artifacts: DataFrame, files: DataFrame) -> DataFrame:
-    """``repo_id, path, state``: missing, drift or current, by SHA-256 of ``files(repo_id, path, content)``."""
+def artifact_findings(artifacts: DataFrame, files: DataFrame, changes: DataFrame | None = None) -> DataFrame:
+    """``repo_id, path, state``: missing, drift or current, by SHA-256 of ``files(repo_id, path, content)``.
+
+    With ``changes(repo_id, path)``, artifacts also have ``sources``, an array of globs: an artifact that didn't change while a
+    source did is update_missing, in a row of its own beside missing or drift and in the place of current.
+    """
     digests = files.select("repo_id", "path", F.sha2(F.col("content").cast("binary"), 256).alias("digest"))
     joined = artifacts.select("repo_id", "path", "sha256").join(digests, ["repo_id", "path"], "left")
-    return joined.select("repo_id", "path", F.when(F.col("digest").isNull(), "missing").when(F.col("digest") != F.col("sha256"), "drift").otherwise("current").alias("state"))
+    found = joined.select("repo_id", "path", F.when(F.col("digest").isNull(), "missing").when(F.col("digest") != F.col("sha256"), "drift").otherwise("current").alias("state"))
+    if changes is None:
+        return found
+    changed = changes.select("repo_id", "path").distinct()
+    regex = F.pandas_udf(lambda s: pd.Series([glob_regex(g) for g in s], index=s.index, dtype=object), "string")
+    globs = artifacts.select("repo_id", "path", F.explode("sources").alias("glob")).where("glob is not null").distinct().withColumn("rx", regex("glob"))
+    touched = globs.alias("g").join(changed.alias("c"), F.expr("g.repo_id = c.repo_id and c.path rlike g.rx"), "left_semi").select("repo_id", "path").distinct()
+    late = touched.join(changed, ["repo_id", "path"], "left_anti").withColumn("late", F.lit(True))
+    states = F.array_compact(F.array(F.when(F.col("late"), F.lit("update_missing")), F.when(F.col("late").isNull() | (F.col("state") != "current"), F.col("state"))))
+    return found.join(late, ["repo_id", "path"], "left").select("repo_id", "path", F.explode(states).alias("state"))
 
 
 def impact_findings(changes: DataFrame, rules: Sequence[Mapping[str, Sequence[str]]]) -> DataFrame:

@@ -22,8 +22,56 @@ RULES = (
 )
 
 
+OUTWARD = ("push", "open_pr", "merge", "publish", "release")
+#: Proposals for a new repository: id, kind, severity (fixed values).
+CREATE_REPO = (("confirm_visibility_private_default", "github_settings", "required"), ("confirm_repo_identity", "github_settings", "required"), ("seed_required_documents", "scaffold", "recommended"))
+_PROPOSAL = "array<struct<id:string,kind:string,severity:string>>"
+
+
+def conversation(scans: DataFrame, checks: DataFrame, intent: str, audience: str = "unspecified", baseline: str | None = None) -> DataFrame:
+    """``repo_id, id, kind, severity, blocks_intent`` of all proposals for ``scans(repo_id, status)``; a null status is a scan not made.
+
+    ``checks(repo_id, name, status)`` may have ``missing`` and ``invalid`` (arrays of documents) and ``policy``. A broken scan calls for its repair
+    alone; a check without a row is as good as none, so a repository without an origin row has no origin. ``baseline`` is the guide's status.
+    """
+    has = lambda c, t: F.col(c) if c in checks.columns else F.lit(None).cast(t)
+    of = lambda name, c: F.when(F.col("name") == name, c)
+    seen = checks.groupBy("repo_id").agg(
+        F.collect_set(F.concat_ws(":", "name", "status")).alias("states"),
+        *[F.array_distinct(F.flatten(F.collect_list(of("required_documents", has(c, "array<string>"))))).alias(c) for c in ("missing", "invalid")],
+        F.bool_or(F.coalesce(of("commit_identity", has("policy", "string")) == "not_configured", F.lit(False))).alias("open_policy"),
+    )
+    one = lambda i, kind, severity: F.struct((F.lit(i) if isinstance(i, str) else i).alias("id"), F.lit(kind).alias("kind"), F.lit(severity).alias("severity"))
+    state = lambda c, s: F.coalesce(F.array_contains("states", f"{c}:{s}"), F.lit(False))
+    named = lambda c, prefix, kind: F.coalesce(F.transform(c, lambda d: one(F.concat(F.lit(prefix), F.lower(F.replace(d, F.lit("."), F.lit("_")))), kind, "required")), F.array().cast(_PROPOSAL))
+    found = [F.when(state(c, s), one(i, k, v)) for c, s, i, k, v, intents in RULES if c != "origin" and (not intents or intent in intents)]
+    if intent in OUTWARD:
+        found.append(F.when(~state("origin", "pass"), one("configure_origin", "missing_remote", "required")))
+    if intent in OUTWARD and intent != "merge":
+        found.append(F.when(F.coalesce("open_policy", F.lit(False)) & ~state("commit_identity", "fail"), one("configure_expected_identity", "optional_policy", "recommended")))
+    if intent == "publish" and audience in ("unspecified", "local"):
+        found.append(one("choose_audience", "audience", "required"))
+    create = [one(*r) for r in CREATE_REPO] if intent == "create_repo" else []
+    scanned = F.concat(F.array_compact(F.array(*found, *create)), named("missing", "create_missing_", "missing_artifact"), named("invalid", "fix_invalid_", "invalid_artifact"))
+    unscanned = F.array(*create) if create else F.array(one("run_scan_first", "missing_scan", "required"))
+    wanted = F.when(F.col("status").isNull(), unscanned).when(F.col("status") == "tool_error", F.array(one("fix_tool_error", "tool_error", "required"))).otherwise(scanned)
+    if baseline == "stale" and intent in ("create_repo", "publish", "release", "open_pr", "merge"):
+        wanted = F.concat(wanted, F.array(one("refresh_github_settings_baseline", "github_baseline", "recommended")))
+    rows = scans.select("repo_id", "status").join(seen, "repo_id", "left")
+    return rows.select("repo_id", F.explode(wanted).alias("p")).select("repo_id", "p.*", (F.col("p.severity") == "required").alias("blocks_intent"))
+
+
+def confirmations(scans: DataFrame, intent: str) -> DataFrame:
+    """``repo_id, id, kind, severity, blocks_intent, action``: the last question before an intent, one a repository."""
+    action = {"publish": "expand_audience", "create_repo": "create_private_repository"}.get(intent, intent)
+    return scans.select("repo_id", F.lit(f"confirm_{intent}").alias("id"), F.lit("intent_confirmation").alias("kind"), F.lit("required").alias("severity"), F.lit(True).alias("blocks_intent"), F.lit(action).alias("action"))
+
+
 def proposals(checks: DataFrame, intent: str) -> DataFrame:
-    """``repo_id, id, kind, severity, blocks_intent`` that the checks call for; a short rule table of literals."""
+    """``repo_id, id, kind, severity, blocks_intent`` that the checks call for; a short rule table of literals.
+
+    Rules of one check's status only; ``conversation`` has all proposals.
+    """
     rules = [r for r in RULES if not r[5] or intent in r[5]]
     wanted = F.array_compact(F.array(*[F.when((F.col("name") == c) & (F.col("status") == s), F.struct(F.lit(i).alias("id"), F.lit(k).alias("kind"), F.lit(v).alias("severity"))) for c, s, i, k, v, _ in rules]))
     return checks.select("repo_id", F.explode(wanted).alias("p")).select("repo_id", "p.*", (F.col("p.severity") == "required").alias("blocks_intent")).distinct()

@@ -150,6 +150,16 @@ def artifact_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistency.artifact_findings(wanted, docs.where("doc_id % 6 <> 0"))
 
 
+@query("""with d as (select source as repo_id, concat(cast(doc_id as varchar), '.txt') as path, doc_id % 6 as k, doc_id % 4 = 1 as late from documents)
+    select repo_id, path, 'update_missing' as state from d where late union all select repo_id, path, case k when 0 then 'missing' when 1 then 'drift' else 'current' end from d where not late or k < 2""")
+def artifact_updates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Artifacts against their sources' changes too: by doc_id the source changed alone, with its artifact, or another path did."""
+    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "source as repo_id", "concat(cast(doc_id as string), '.txt') as path", "coalesce(text, '') as content")
+    wanted = docs.select("repo_id", "path", F.expr("array(concat('none/', doc_id, '/**'), concat('src/', doc_id, '/**'))").alias("sources"), F.sha2(F.expr("case when doc_id % 6 = 1 then concat(content, '.') else content end"), 256).alias("sha256"))
+    changes = docs.select("repo_id", F.explode(F.expr("case doc_id % 4 when 0 then array(path) when 1 then array(concat('src/', doc_id, '/a/b.py')) when 2 then array(path, concat('src/', doc_id, '/b.py')) else array(concat('src/x', doc_id, '/b.py')) end")).alias("path"))
+    return consistency.artifact_findings(wanted, docs.where("doc_id % 6 <> 0"), changes)
+
+
 CHANGED = "case (l_orderkey + l_linenumber) % 6 when 0 then concat('src/a/', cast(l_partkey as varchar(20)), '.py') when 1 then concat('x/docs/g', cast(l_suppkey as varchar(20)), '.md') when 2 then 'sub/README.md' when 3 then concat('web/', cast(l_linenumber as varchar(20)), '.png') when 4 then '.github/workflows/ci.yml' else concat('lib/auth/', cast(l_linenumber as varchar(20)), '.go') end"
 IMPACT = ({"change": ("src/**",), "requires_any": ("docs/*.md",)}, {"change": (".github/**",), "requires_any": ("README.md",)})
 
@@ -239,6 +249,20 @@ def dialogue_status_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dialogue.dialogue_status(checks.rollup(rows), dialogue.proposals(rows, "publish"))
 
 
+@query(f"""with c as (select o_custkey as repo_id, {CHECK_ROWS} from orders), s as (select repo_id, case when repo_id % 9 = 0 then null when bool_or(status = 'tool_error') then 'tool_error' when bool_or(status in ('fail', 'unknown')) then 'blocked' else 'pass' end as status from c where name <> 'human_visual_review' group by repo_id),
+    p as (select repo_id, bool_or(name = 'secret_scan' and status = 'fail') as hold, bool_or(name = 'origin' and status = 'pass') as origin from c group by repo_id),
+    l as (select s.repo_id, s.status, hold, case when s.status is null then ['run_scan_first'] when s.status = 'tool_error' then ['fix_tool_error'] else ['choose_audience', case when s.repo_id % 2 = 0 then 'configure_expected_identity' end, case when not origin then 'configure_origin' end, case when s.repo_id % 3 = 0 then 'create_missing_license' end, case when s.repo_id % 3 = 0 then 'create_missing_readme_md' end, case when s.repo_id % 5 = 0 then 'fix_invalid_preflight_md' end, case when hold then 'resolve_secret_findings' end] end as ids from s join p on p.repo_id = s.repo_id)
+    select repo_id, array_to_string(list_sort(list_filter(ids, lambda x: x is not null)), ',') as ids, case when status = 'tool_error' or (status is not null and hold) then 'blocked' else 'needs_human_input' end as status from l""")
+def dialogue_conversation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All proposals for publishing to an audience not chosen, with planted documents, policies and scans not made."""
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_custkey as repo_id", *_split(CHECK_ROWS))
+    scans = checks.rollup(rows).select("repo_id", F.when(F.col("repo_id") % 9 != 0, F.col("status")).alias("status"))
+    planted = scans.selectExpr("repo_id", "inline(array(named_struct('name', 'required_documents', 'missing', if(repo_id % 3 = 0, array('README.md', 'LICENSE'), array()), 'invalid', if(repo_id % 5 = 0, array('PREFLIGHT.md'), array()), 'policy', null), named_struct('name', 'commit_identity', 'missing', null, 'invalid', null, 'policy', if(repo_id % 2 = 0, 'not_configured', 'configured'))))").withColumn("status", F.lit("pass"))
+    props = dialogue.conversation(scans, rows.unionByName(planted, allowMissingColumns=True), "publish")
+    ids = props.groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    return dialogue.dialogue_status(scans, props).join(ids, "repo_id").select("repo_id", "ids", "status")
+
+
 FLOW = "concat('name: x', chr(10), case when c_custkey % 4 = 0 then ' jobs:' else 'jobs :' end, chr(10))"
 
 
