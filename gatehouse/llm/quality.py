@@ -8,7 +8,7 @@ threshold compared to trusted documents kept out of that fit.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.llm.common import documents_of, id_remainder
+from gatehouse.llm.common import documents_of, id_remainder, staged
 from gatehouse.llm.textvec import Words, blocks, grams, words_of
 
 _PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
@@ -86,6 +86,13 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.logit(self.bins(x)), -40, 40)))
 
 
+@dataclass
+class Half:
+    model: Model  # fitted on one half
+    pos: np.ndarray  # its scores of the trusted documents of the other half
+    fitted: np.ndarray  # which unlabelled rows it was fitted on
+
+
 def _sigmoid(z: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(z, -40, 40)))
 
@@ -114,64 +121,128 @@ def _descend(model: Model, pos: np.ndarray, unl: np.ndarray, steps: int, l2: flo
     return Model(model.cuts, w.reshape(f, BINS), float(b), model.prior)
 
 
-def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
-    """Share of positives in the unlabelled scores: the least ratio of both tails, each with its sampling margin."""
-    cuts = np.unique(np.quantile(pos, np.linspace(0.02, 0.9, 60)))
-    tail = lambda x: 1 - np.searchsorted(np.sort(x), cuts, "left") / len(x)
-    p, u = tail(pos), tail(unl)
-    margin = np.sqrt(np.log(20) / (2 * len(unl))) + np.sqrt(np.log(20) / (2 * len(pos)))
+def _tail_cuts(pos: np.ndarray) -> np.ndarray:
+    return np.unique(np.quantile(pos, np.linspace(0.02, 0.9, 60)))
+
+
+def prior_of_tails(p: np.ndarray, u: np.ndarray, n_pos: int, n_unl: int) -> float:
+    """Share of positives by the shares ``p`` and ``u`` of both sides above the same cuts: their least ratio, each with its sampling margin."""
+    margin = np.sqrt(np.log(20) / (2 * n_unl)) + np.sqrt(np.log(20) / (2 * n_pos))
     best = int(np.argmin((u + margin) / np.maximum(p, 1e-9)))
-    error = np.sqrt(u[best] * (1 - u[best]) / len(unl))  # one standard error less: the least of many ratios in small samples is high
+    error = np.sqrt(u[best] * (1 - u[best]) / n_unl)  # one standard error less: the least of many ratios in small samples is high
     return float(np.clip((u[best] - error) / p[best], 0.01, 0.99))
 
 
-def train(pos: np.ndarray, unl: np.ndarray, steps: int = 600, l2: float = 1e-5) -> Model:
-    """Fit on feature rows of trusted and of unlabelled documents (in a fixed order)."""
+def estimate_prior(pos: np.ndarray, unl: np.ndarray) -> float:
+    """Share of positives in the unlabelled scores."""
+    cuts = _tail_cuts(pos)
+    tail = lambda x: 1 - np.searchsorted(np.sort(x), cuts, "left") / len(x)
+    return prior_of_tails(tail(pos), tail(unl), len(pos), len(unl))
+
+
+def train(pos: np.ndarray, unl: np.ndarray, steps: int = 600, l2: float = 1e-5, cuts: np.ndarray | None = None, priors_of: Callable[[list[Half]], list[float]] | None = None) -> Model:
+    """Fit on feature rows of trusted and of unlabelled documents (in a fixed order).
+
+    ``cuts`` and ``priors_of`` give the bins' cuts and the priors of the two half fits where these cover more rows than ``unl``.
+    """
     if not len(pos) or not len(unl):
         return Model(np.zeros((N_FEATURES, BINS - 1)), np.zeros((N_FEATURES, BINS)), 0.0, 0.5)
-    cuts = np.quantile(unl, np.arange(1, BINS) / BINS, axis=0).T
+    cuts = np.quantile(unl, np.arange(1, BINS) / BINS, axis=0).T if cuts is None else cuts
     model = Model(cuts, np.zeros((len(cuts), BINS)), 0.0, 0.5)
     p, u = model.bins(pos), model.bins(unl)
-    half = np.arange(len(p)) % 2 == 0
-    other = np.arange(len(u)) % 2 == 0
-    priors = []
-    for a, c in ((half, other), (~half, ~other)):
-        plain = _descend(model, p[a], u[c], steps // 3, 1e-5, None)
-        priors.append(estimate_prior(plain.logit(p[~a]), plain.logit(u[~c])))
-    model.prior = float(np.mean(priors)) if len(p) > 20 else 0.5
+    if len(p) > 20:
+        half = np.arange(len(p)) % 2 == 0
+        other = np.arange(len(u)) % 2 == 0
+        parts = []
+        for a, c in ((half, other), (~half, ~other)):
+            plain = _descend(model, p[a], u[c], steps // 3, 1e-5, None)
+            parts.append(Half(plain, plain.logit(p[~a]), c))
+        priors = priors_of(parts) if priors_of else [estimate_prior(h.pos, h.model.logit(u[~h.fitted])) for h in parts]
+        model.prior = float(np.mean(priors))
     return _descend(model, p, u, steps, l2, model.prior)
 
 
-def fit(docs: DataFrame, labels: DataFrame, holdout_mod: int = 5, holdout_rest: int = 0, max_positive: int = 6000, max_unlabelled: int = 8000) -> Model:
-    """Train on at most so many trusted documents, none held out, and so many of all documents, those of least id hash."""
-    trusted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (id_remainder("doc_id", holdout_mod) != holdout_rest))
-    order = lambda df, n: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
-    picked = order(trusted, max_positive).withColumn("kind", F.lit(1)).unionByName(order(docs.where("doc_id is not null"), max_unlabelled).withColumn("kind", F.lit(0)))
+def _matrix(column: pa.Array) -> np.ndarray:
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, N_FEATURES)
+
+
+def features_of(docs: DataFrame) -> DataFrame:
+    """``doc_id, x`` of every document, kept as a table, since the cuts, the priors, the fit and the scores read it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
+            texts = batch.column(1).to_pylist()
             for a, b in blocks(texts):
-                rows = [x.astype("<f8").tobytes() for x in style_features(words_of(texts[a:b]))]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(rows, pa.binary())], ["doc_id", "kind", "x"])
+                x = style_features(words_of(texts[a:b]))
+                rows = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), rows], ["doc_id", "x"])
+
+    return staged(docs.select("doc_id", "text").mapInArrow(run, "doc_id long, x array<double>"), "quality-features")
+
+
+def all_cuts(features: DataFrame) -> np.ndarray:
+    """The bins' cuts, approximate quantiles of all documents."""
+    probs = F.array(*[F.lit(k / BINS) for k in range(1, BINS)])
+    row = features.agg(*[F.percentile_approx(F.get("x", F.lit(j)), probs, 10_000).alias(f"q{j}") for j in range(N_FEATURES)]).first()
+    return np.array([list(q) for q in row], float)
+
 
-    rows = docs.join(F.broadcast(picked), "doc_id").select("doc_id", "kind", "text").mapInArrow(run, "doc_id long, kind int, x binary").collect()
-    rows = sorted(rows, key=lambda r: bytes(r.x))  # an order that the partitions don't decide
+def all_priors(features: DataFrame, parts: list[Half], ids: np.ndarray) -> list[float]:
+    """Each half fit's prior against all documents but those that it was fitted on (``ids`` are those of the sample)."""
+    shared = features.sparkSession.sparkContext.broadcast([(h.model, _tail_cuts(h.pos), np.unique(ids[h.fitted])) for h in parts])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = [np.zeros(len(cuts) + 1, np.int64) for _, cuts, _ in shared.value]
+        for batch in batches:
+            x, own = _matrix(batch.column(1)), batch.column(0)
+            known = own.is_valid().to_numpy(zero_copy_only=False)
+            doc_ids = own.fill_null(0).to_numpy(zero_copy_only=False)
+            for (model, cuts, used), n in zip(shared.value, found, strict=True):
+                z = model.logit(model.bins(x[~(known & np.isin(doc_ids, used))]))
+                n += np.bincount(np.searchsorted(cuts, z, "right"), minlength=len(cuts) + 1)
+        yield pa.RecordBatch.from_pylist([{"part": k, "n": n.tolist()} for k, n in enumerate(found)], pa.schema([("part", pa.int32()), ("n", pa.list_(pa.int64()))]))
+
+    counts = features.mapInArrow(run, "part int, n array<long>").select("part", F.posexplode("n").alias("at", "n")).groupBy("part", "at").agg(F.sum("n").alias("n")).collect()
+    out = []
+    for k, h in enumerate(parts):
+        cuts = _tail_cuts(h.pos)
+        n = np.zeros(len(cuts) + 1)
+        for r in counts:
+            if r.part == k:
+                n[r["at"]] = r.n
+        if not n.sum():
+            out.append(0.5)
+            continue
+        above = np.cumsum(n[::-1])[::-1][1:] / n.sum()  # the share of scores of at least each cut
+        p = 1 - np.searchsorted(np.sort(h.pos), cuts, "left") / len(h.pos)
+        out.append(prior_of_tails(p, above, len(h.pos), int(n.sum())))
+    return out
+
+
+def fit(features: DataFrame, labels: DataFrame, holdout_mod: int = 5, holdout_rest: int = 0, max_positive: int = 6000, max_unlabelled: int = 8000) -> Model:
+    """Fit weights on at most so many trusted documents, none held out, and so many of all documents, those of least id hash. Cuts and priors are of all documents."""
+    trusted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (id_remainder("doc_id", holdout_mod) != holdout_rest))
+    order = lambda df, n: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
+    picked = order(trusted, max_positive).withColumn("kind", F.lit(1)).unionByName(order(features.where("doc_id is not null"), max_unlabelled).withColumn("kind", F.lit(0)))
+    rows = features.join(F.broadcast(picked), "doc_id").select("doc_id", "kind", "x").collect()
+    rows = sorted(rows, key=lambda r: (np.array(r.x, "<f8").tobytes(), r.doc_id))  # an order that the partitions don't decide
     rng = np.random.default_rng(7)
-    sides = [np.array([np.frombuffer(r.x, "<f8") for r in rows if r.kind == y]).reshape(-1, N_FEATURES) for y in (1, 0)]
-    return train(*(s[rng.permutation(len(s))] for s in sides))
+    order_of = [rng.permutation(sum(r.kind == y for r in rows)) for y in (1, 0)]
+    sides = [np.array([r.x for r in rows if r.kind == y], float).reshape(-1, N_FEATURES)[o] for y, o in zip((1, 0), order_of, strict=True)]
+    if not len(sides[0]) or not len(sides[1]):
+        return train(*sides)
+    ids = np.array([r.doc_id for r in rows if r.kind == 0], np.int64)[order_of[1]]
+    return train(*sides, cuts=all_cuts(features), priors_of=lambda parts: all_priors(features, parts, ids))
 
 
-def score(docs: DataFrame, model: Model) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+def score(features: DataFrame, model: Model) -> DataFrame:
+    shared = features.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(shared.value.scores(style_features(words_of(texts[a:b]))))], ["doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(shared.value.scores(_matrix(batch.column(1))))], ["doc_id", "score"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double")
+    return features.mapInArrow(run, "doc_id long, score double")
 
 
 def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, holdout_mod: int = 5, holdout_rest: int = 0, max_positive: int = 6000, max_unlabelled: int = 8000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -181,6 +252,6 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ho
     trusted documents every text scores 0.5; ties and repeated rows are scored alike. The
     features are of the text alone.
     """
-    own = documents_of(docs, id_col, text_col)
+    own = features_of(documents_of(docs, id_col, text_col))
     scored = score(own, fit(own, labels, holdout_mod, holdout_rest, max_positive, max_unlabelled))
     return scored.select("doc_id", (id_remainder("doc_id", holdout_mod) == holdout_rest).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
