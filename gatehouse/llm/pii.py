@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from gatehouse.llm.common import rows_with, staged, text_of
 
 MARK = ""  # one code point in the place of a separator
+OTHER = "\ue001"  # in the place of a marker that the text already has; in no class
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = rf"A-Za-z0-9._%+\-{MARK}"
 _HOST = r"A-Za-z0-9\-"
@@ -70,7 +71,7 @@ _VALID = {
 
 def base_spans(rows: DataFrame, text_col: str = "text") -> DataFrame:
     """Adds array columns ``email, ip, card, phone`` of valid spans and ``token`` of identifier-shaped tokens outside them."""
-    clean = F.translate(F.col(text_col), MARK, "x")
+    clean = F.translate(F.col(text_col), MARK, OTHER)
     has_digit = F.col("clean").rlike("[0-9]")
     out = rows.withColumn("clean", clean).withColumns(
         {
