@@ -5,7 +5,8 @@ weight as rate: -ln(u) / weight, with u from a hash of the document's id and the
 the least of its shards', a region's the least of its racks', so each is again exponential with
 the sum of the weights below as rate. A document descends to the region, the rack and the
 shard of least draw. A changed or added shard changes only the draws on its own path: rows move
-only into it or, if it lost weight, only out of it.
+only into it or, if it lost weight, only out of it. As minima of minima are minima, the result equals flat weighted
+rendezvous hashing: how shards are put into racks and regions changes no row's place.
 """
 
 from __future__ import annotations
