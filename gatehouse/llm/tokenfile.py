@@ -29,7 +29,7 @@ FILE_DDL = "part int, before long, doc_ids array<long>, doc_tokens array<long>,
 
 
 def _replace(seq: np.ndarray, last: np.ndarray, base: int, room: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One Re-Pair step on a batch of pairs: (rules as 32-bit pair codes, new sequence, new end marks)."""
+    """One Re-Pair step on a batch of pairs: (rules as 32-bit pair codes, new sequence, new end marks). A rule replaces ``least`` pairs or is left out."""
     code = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
     inner = ~last[:-1]
     ordered = np.sort(code[inner])
@@ -55,6 +55,8 @@ def _replace(seq: np.ndarray, last: np.ndarray, base: int, room: int, least: int
     run_start = np.maximum.accumulate(np.where(begins, np.arange(len(pos)), 0))
     even = (np.arange(len(pos)) - run_start) % 2 == 0
     pos, rule = pos[even], rule[even]
+    pays = np.bincount(rule, minlength=len(rules)) >= least  # pairs that overlap others are replaced less often than counted
+    pos, rule, rules = pos[pays[rule]], (np.cumsum(pays) - 1)[rule[pays[rule]]], rules[pays]
     seq, last = seq.copy(), last.copy()
     seq[pos] = base + rule
     last[pos] = last[pos + 1]
@@ -63,8 +65,11 @@ def _replace(seq: np.ndarray, last: np.ndarray, base: int, room: int, least: int
     return rules, seq[keep], last[keep]
 
 
-def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, rounds: int = 5, batch: int = 2048, least: int = 12) -> bytes:
-    """Payload of one shard. Ids must be below ``base``, and ``base`` at most 65536."""
+def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, rounds: int | None = None, batch: int = 2048, least: int = 5) -> bytes:
+    """Payload of one shard. Ids must be below ``base``, and ``base`` at most 65536.
+
+    Goes on (unless ``rounds`` are given) until the symbols are used up or no pair pays: a rule takes 8 bytes, a pair replaced saves 2.
+    """
     if base > LIMIT:
         raise ValueError(f"{base} ids don't fit in 16 bits")
     seq = ids.astype(np.uint16)
@@ -73,12 +78,15 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, rounds: int = 5
     left, right = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint16)]
     length = np.ones(LIMIT, np.uint32)
     n = base
-    for _ in range(rounds):
-        if n >= LIMIT or len(seq) < 2:
-            break
+    done = 0
+    while n < LIMIT and len(seq) >= 2 and done != rounds:
         rules, seq, last = _replace(seq, last, n, min(batch, LIMIT - n), least)
         if not len(rules):
-            break
+            if batch == 1:
+                break
+            batch //= 2  # fewer pairs overlap each other less
+            continue
+        done += 1
         left.append((rules >> np.uint32(16)).astype(np.uint16))
         right.append((rules & np.uint32(0xFFFF)).astype(np.uint16))
         length[n : n + len(rules)] = length[left[-1]] + length[right[-1]]
