@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -10,9 +11,11 @@ from pyspark.sql import functions as F
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where that is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``. Local Spark alone may go without: it gets a temporary one."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         root = "file://" + tempfile.mkdtemp(prefix="gatehouse-checkpoint-")
         spark.sparkContext.setCheckpointDir(root)
     return root.rstrip("/")
@@ -22,15 +25,33 @@ def new_path(spark: SparkSession, label: str) -> str:
     return f"{checkpoint_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def staged(df: DataFrame, label: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it back.
+class Scratch:
+    """Tables of one run in the shared folder.
 
-    This cuts the lineage at a replicated table, so a lost executor costs only the
-    current stage, and later joins are planned from the table's real size.
+    ``put`` writes a table as Parquet and reads it back: this cuts the lineage at a replicated table, so a lost
+    executor costs only the current stage, and later joins are planned from the table's real size. ``drop``
+    deletes tables that nothing reads any more; what the returned DataFrame reads must stay.
     """
-    path = new_path(df.sparkSession, label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+    def __init__(self, spark: SparkSession, label: str) -> None:
+        self.spark, self.root = spark, new_path(spark, label)
+
+    def path(self, name: str) -> str:
+        return f"{self.root}/{name}"
+
+    def put(self, name: str, df: DataFrame) -> DataFrame:
+        df.write.parquet(self.path(name))
+        return self.spark.read.schema(df.schema).parquet(self.path(name))
+
+    def drop(self, *names: str) -> None:
+        for name in names:
+            at = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name))
+            at.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+def staged(df: DataFrame, label: str) -> DataFrame:
+    """``df`` written to the shared folder and read back, for good."""
+    return Scratch(df.sparkSession, label).put("table", df)
 
 
 def documents_of(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

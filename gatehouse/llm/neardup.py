@@ -7,11 +7,12 @@ earliest point, so two documents agree in it with probability sum(min)/sum(max).
 processes are advanced together up to a time by which the components are filled, hence a signature
 costs about m ln m + n steps.
 
-Signatures are banded; documents that share a band are candidates. In a band's group all are compared with one leader
-first, then those of other classes with a second one, and at last only members of different classes with each other, so a
-group of copies never makes all its pairs. Such a pair is made only if its likeness can reach
-the threshold at all, by a bound from shortened hashes of both texts' shingles. A link is a verified
-weighted Jaccard likeness of the whole multisets; classes are connected components.
+Signatures are banded; texts that share a band are candidates. First every text is compared with one leader, the most
+central text that it shares a band with: the one whose bands hold most. Leaders are more central than those that meet them, so
+these links are a forest, and one comparison a text joins nearly all of a group of copies. Then members of different classes of a
+band meet each other, in blocks of a bounded size, so that no task holds a large group; such a pair is made only
+if its likeness can reach the threshold at all, by a bound from shortened hashes of both texts'
+shingles. A link is a verified weighted Jaccard likeness of the whole multisets; classes are connected components.
 """
 
 from __future__ import annotations
@@ -23,13 +24,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.llm.common import documents_of, rows_with, staged, text_of
+from gatehouse.llm.common import Scratch, documents_of, rows_with, text_of
 from gatehouse.llm.textvec import U64, blocks, mix, shingles, words_of
 
-#: Times that a group's members meet a leader before those of different classes meet each other; small groups take two.
-LEADER_TURNS = 4
-#: Members of a large group.
-LARGE_GROUP = 12
+#: Members of a band that meet each other in one task at most.
+BLOCK = 1024
 GOLDEN = U64(0x9E3779B97F4A7C15)
 
 
@@ -141,131 +140,156 @@ def _hashes(raw: bytes) -> np.ndarray:
     return full.view("<u8").ravel()
 
 
-def verified(pairs: DataFrame, docs: DataFrame, words: int, threshold: float) -> DataFrame:
-    """``a, b`` of the pairs (each once) whose multisets are at least ``threshold`` alike; docs has node, text."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    sets = staged(shingle_sets(docs.join(nodes, "node"), words), "near-shingles")
+def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """``a, b`` of the pairs whose multisets are at least ``threshold`` alike; ``sets`` has node, shingles."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("sa")), "a").join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("sb")), "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            alike = [weighted_jaccard(_hashes(x), _hashes(y)) >= threshold for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            alike = [weighted_jaccard(_hashes(x.as_py()), _hashes(y.as_py())) >= threshold for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(alike, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
 
-def profiles(docs: DataFrame, words: int, limit: int = 1500) -> DataFrame:
-    """``node, profile``: distinct numbers of 20 hash bits of a shingle and of which repeat it is; null for more than ``limit`` of them.
+def profiles(sets: DataFrame, limit: int = 1500) -> DataFrame:
+    """``of, profile``: distinct numbers of 20 hash bits of a shingle and of which repeat it is; null for more than ``limit`` of them.
 
-    Two multisets share at most as many shingles as their profiles have in common, which bounds their likeness.
+    Two multisets share at most as many shingles as their profiles have in common, which bounds their likeness;
+    a text without a profile is compared with no bound.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                value, doc = shingles(words_of(texts[a:b]), words)
-                border = np.searchsorted(doc, np.arange(b - a + 1)).tolist()
-                rows = []
-                for i, j in zip(border, border[1:], strict=False):
-                    own = np.sort((value[i:j] >> U64(44)).astype(np.int64))
-                    repeat = np.arange(j - i) - np.searchsorted(own, own)
-                    rows.append(None if j - i > limit or (repeat > 2047).any() else ((own << 11) | repeat).astype(np.int32))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(rows, pa.list_(pa.int32()))], ["node", "profile"])
-
-    return docs.select("node", "text").mapInArrow(run, "node long, profile array<int>")
-
-
-def components(edges: DataFrame, rounds: int = 50) -> DataFrame:
+            rows = []
+            for raw in batch.column(1):
+                own = np.sort((_hashes(raw.as_py()) >> U64(28)).astype(np.int64))
+                repeat = np.arange(len(own)) - np.searchsorted(own, own)
+                rows.append(None if len(own) > limit or (repeat > 2047).any() else ((own << 11) | repeat).astype(np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["of", "profile"])
+
+    return sets.select("node", "shingles").mapInArrow(run, "of long, profile array<int>")
+
+
+def rooted(links: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
+    """``node, class`` of the forest ``links(node, up)``: its root, by doubling how far up each node points."""
+    at = links.select("node", F.col("up").alias("class"))
+    for k in range(rounds):
+        above = at.select(F.col("node").alias("class"), F.col("class").alias("root"))
+        moved = scratch.put(f"roots-{k}", at.join(above, "class", "left").select("node", F.coalesce("root", "class").alias("class"), F.col("root").isNotNull().alias("moved")))
+        at = moved.select("node", "class")
+        scratch.drop(f"roots-{k - 1}")
+        if moved.where("moved").isEmpty():
+            return at
+    raise RuntimeError(f"roots still move after {rounds} rounds")
+
+
+def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFrame:
     """``node, class`` (the least node of its component) of every node in ``edges(a, b)``, by label passing with shortcuts."""
-    both = staged(edges.select("a", "b").union(edges.select("b", "a")).distinct(), "near-edges")
-    labels = staged(both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("class")), "near-labels")
-    for _ in range(rounds):
+    both = scratch.put("edges", edges.select("a", "b").union(edges.select("b", "a")).distinct())
+    labels = scratch.put("labels-0", both.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("class")))
+    for k in range(1, rounds + 1):
         near = both.join(labels.select(F.col("node").alias("b"), "class"), "b").groupBy(F.col("a").alias("node")).agg(F.min("class").alias("via"))
         once = labels.join(near, "node").select("node", F.least("class", "via").alias("new"), F.col("class").alias("old"))
         # shortcut: the label of one's label
         far = labels.select(F.col("node").alias("new"), F.col("class").alias("root"))
-        moved = staged(once.join(far, "new", "left").select("node", F.least("new", F.coalesce("root", "new")).alias("class"), "old"), "near-labels")
+        moved = scratch.put(f"labels-{k}", once.join(far, "new", "left").select("node", F.least("new", F.coalesce("root", "new")).alias("class"), "old"))
         labels = moved.select("node", "class")
+        scratch.drop(f"labels-{k - 1}")
         if moved.where("class < old").isEmpty():
-            break
-    else:
-        raise RuntimeError(f"components still change after {rounds} rounds")
-    return labels
+            scratch.drop("edges")
+            return labels
+    raise RuntimeError(f"components still change after {rounds} rounds")
+
+
+def close_pairs(open_: DataFrame, sets: DataFrame, bands_of: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
+    """``a, b``, each once: members of different classes in one band whose likeness may reach ``threshold``.
+
+    ``open_`` has band, node, weight, class and n, the members of the band. A band's members are dealt into blocks, and each pair of blocks
+    meets in a cell of its own, so a task holds at most two blocks of a band.
+    """
+    inside = open_.select("node").distinct()
+    facts = profiles(sets.join(inside, "node")).join(bands_of.withColumnRenamed("node", "of"), "of")
+    blocks_of = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
+    dealt = open_.withColumn("blocks", blocks_of).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    scratch.put("bounded", dealt.join(facts, F.col("node") == F.col("of")).select("band", "node", "weight", "class", "blocks", "block", "profile", "bands"))
+
+    def side(name: str) -> DataFrame:
+        own = scratch.spark.read.parquet(scratch.path("bounded"))
+        return own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).alias(name)
+
+    # a pair is made in the first band that it shares, in the one cell of its blocks, and only if the bound on its likeness reaches the threshold
+    shared = "cast(size(array_intersect(x.profile, y.profile)) as double)"
+    alike = f"x.profile is null or y.profile is null or {shared} * {1 + threshold}D >= {threshold}D * (x.weight + y.weight) - 1e-6D"
+    meets = f"x.band = y.band and x.low = y.low and x.high = y.high and x.node < y.node and x.class <> y.class and (x.block <> y.block or x.low = x.high) and least(x.weight, y.weight) >= {threshold} * greatest(x.weight, y.weight) and x.band = element_at(array_intersect(x.bands, y.bands), 1) and ({alike})"
+    return side("x").join(side("y"), F.expr(meets)).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
 
 
 def _placed(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_key, class_id, n_links, kept of every row; see classify."""
+    """doc_id, text_key, class_id, n_verified, kept, repeats of every row; see classify."""
+    scratch = Scratch(docs.sparkSession, "near")
     own = documents_of(docs, id_col, text_col).withColumn("text_key", F.unhex(F.md5(F.col("text").cast("binary"))))
-    seen = staged(signatures(own, words, bands, rows).withColumn("rid", F.monotonically_increasing_id()), "near-signatures")
+    seen = scratch.put("signatures", signatures(own, words, bands, rows).withColumn("rid", F.monotonically_increasing_id()))
     # a node stands for all documents of one text; its number is that of one of them
-    nodes = staged(seen.groupBy("text_key").agg(F.min("rid").alias("node"), F.max("weight").alias("weight")), "near-nodes")
+    nodes = scratch.put("nodes", seen.groupBy("text_key").agg(F.min("rid").alias("node"), F.max("weight").alias("weight")))
     banded = seen.join(nodes.where("weight > 0").select(F.col("node").alias("rid")), "rid", "left_semi").select(F.col("rid").alias("node"), "weight", F.explode("bands").alias("band"))
-    groups = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").select("band")
-    members = staged(banded.join(groups, "band"), "near-members")
-    in_group = members.select("node").distinct()
-    band_lists = seen.select(F.col("rid").alias("node"), "bands")
-    keys = nodes.join(in_group, "node").select("node", "text_key")
-    texts = staged(own.join(keys, "text_key").groupBy("node").agg(F.first("text").alias("text")), "near-texts")
-
-    links, tried, classes = None, None, None
-    state = members.withColumn("class", F.col("node"))
-    for turn in range(LEADER_TURNS + 1):
-        if turn < LEADER_TURNS:
-            # all of a group that are not in one class with its leader meet it; the first leader is the group's least, so that copies share one
-            rank = F.col("class") if turn == 0 else F.xxhash64("node", "band", F.lit(turn))
-            groups = state.groupBy("band").agg(F.min(F.struct(rank.alias("rank"), "node", "class")).alias("l"), F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high"))
-            leaders = groups.where(F.expr(f"low < high and n >= {2 if turn < 2 else LARGE_GROUP}")).select("band", F.col("l.node").alias("a"), F.col("l.class").alias("ca"))
-            pairs = state.join(leaders, "band").where("class <> ca").select("a", F.col("node").alias("b"))
-        else:
-            split = state.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "n")
-            open_ = staged(state.join(split, "band"), "near-open")
-            in_open = open_.select("node").distinct()
-            facts = profiles(texts.join(in_open, "node"), words).join(band_lists.join(in_open, "node"), "node").withColumnRenamed("node", "of")
-            bounded = staged(open_.join(facts, F.col("node") == F.col("of")).drop("of", "n"), "near-bounded")
-            x, y = bounded.alias("x"), bounded.alias("y")
-            # a pair is made in the first band that it shares, and only if the bound on its likeness reaches the threshold
-            shared = "cast(size(array_intersect(x.profile, y.profile)) as double)"
-            alike = f"x.profile is null or y.profile is null or {shared} * {1 + threshold}D >= {threshold}D * (x.weight + y.weight) - 1e-6D"
-            pairs = x.join(y, F.expr(f"x.band = y.band and x.node < y.node and x.class <> y.class and least(x.weight, y.weight) >= {threshold} * greatest(x.weight, y.weight) and x.band = element_at(array_intersect(x.bands, y.bands), 1) and ({alike})")).select(F.col("x.node").alias("a"), F.col("y.node").alias("b"))
-        pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        pairs = staged(pairs, "near-pairs")
-        if pairs.isEmpty():
-            continue
-        found = staged(verified(pairs, texts, words, threshold), "near-links")
-        tried = pairs if tried is None else tried.union(pairs)
-        links = found if links is None else links.union(found)
-        classes = components(links)
-        state = members.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node"))
-        state = staged(state.select("band", "node", "weight", "class"), "near-state")
-    if links is None:
-        labelled = nodes.select("text_key", F.col("node").alias("class"), F.lit(0).cast("long").alias("n_links"))
-    else:
-        degree = links.select(F.explode(F.array("a", "b")).alias("node")).groupBy("node").agg(F.count("*").alias("n_links"))
-        labelled = nodes.join(classes, "node", "left").join(degree, "node", "left").select("text_key", F.coalesce("class", "node").alias("class"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"))
-    placed = staged(seen.select("doc_id", "rid", "text_key").join(labelled, "text_key").select("doc_id", "rid", "text_key", "class", "n_links"), "near-classes")
+    groups = banded.groupBy("band").agg(F.count("*").alias("n")).where("n > 1")
+    members = scratch.put("members", banded.join(groups, "band"))
+    in_group = members.groupBy("node").agg(F.sum("n").alias("central"))
+    ranked = scratch.put("ranked", members.join(in_group, "node"))
+
+    # the shingles of one document of each text that has candidates; copies are spread over the join by their ids
+    keys = seen.join(in_group.select(F.col("node").alias("rid")), "rid").select(F.col("rid").alias("node"), F.col("text_key").alias("key"), F.col("doc_id").alias("rep"))
+    picked = own.join(keys, F.expr("text_key = key and doc_id <=> rep")).select("node", "text")
+    sets = scratch.put("sets", shingle_sets(picked, words).dropDuplicates(["node"]))
+
+    rank = F.struct("central", "node")
+    leaders = ranked.groupBy("band").agg(F.max(rank).alias("leader"))
+    met = ranked.join(leaders, "band").where("node <> leader.node").groupBy("node").agg(F.max("leader").alias("leader"))
+    first = scratch.put("links-leaders", verified(met.select(F.col("leader.node").alias("a"), F.col("node").alias("b")), sets, threshold).select(F.col("b").alias("node"), F.col("a").alias("up")))
+    classes = scratch.put("classes", rooted(first, scratch))
+
+    state = scratch.put("state", members.select("band", "node", "weight").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
+    split = state.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "n")
+    open_ = scratch.put("open", state.join(split, "band"))
+    pairs = scratch.put("pairs", close_pairs(open_, sets, seen.select(F.col("rid").alias("node"), "bands"), threshold, scratch))
+    second = scratch.put("links", verified(pairs, sets, threshold))
+    of = classes.select("node", "class")
+    ends = second.join(of.toDF("a", "ca"), "a", "left").join(of.toDF("b", "cb"), "b", "left")
+    joined = components(ends.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")), scratch).toDF("class", "root")
+
+    degree = first.select(F.explode(F.array("node", "up")).alias("node")).union(second.select(F.explode(F.array("a", "b")))).groupBy("node").agg(F.count("*").alias("n_verified"))
+    labelled = nodes.join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")).join(joined, "class", "left").join(degree, "node", "left")
+    labelled = labelled.select("text_key", F.coalesce("root", "class").alias("class"), F.coalesce("n_verified", F.lit(0).cast("long")).alias("n_verified"))
+    placed = scratch.put("placed", seen.select("doc_id", "rid", "text_key").join(labelled, "text_key").select("doc_id", "rid", "text_key", "class", "n_verified"))
     heads = placed.groupBy("class").agg(F.min("doc_id").alias("class_id"), F.min(F.struct(F.isnull("doc_id").alias("none"), "doc_id", "rid"))["rid"].alias("head"))
-    return placed.join(heads, "class").select("doc_id", "text_key", "class_id", "n_links", (F.col("rid") == F.col("head")).alias("kept"))
+    out = scratch.put("result", placed.join(heads, "class").select("doc_id", "text_key", "class_id", "n_verified", (F.col("rid") == F.col("head")).alias("kept")))
+    scratch.drop("signatures", "nodes", "members", "ranked", "sets", "links-leaders", "classes", "state", "open", "bounded", "pairs", "links", "placed")
+    return out
 
 
 def classify(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Near-duplicate class of every document: doc_id, class_id (the least doc_id of the class), n_links, kept.
+    """Near-duplicate class of every document: doc_id, class_id (the least doc_id of the class), n_verified, kept.
 
     Equal texts are one node; links join nodes whose multisets of ``words``-word shingles have a weighted Jaccard likeness of at
-    least ``threshold``; ``n_links`` counts a node's verified links to other texts (at least those that hold its class
-    together), and one document of each class, that of the least id, is kept. Texts without words match equal texts only.
+    least ``threshold``; ``n_verified`` counts the links to other texts that were verified on the way to the classes (not all that a
+    text may have), and one document of each class, that of the least id, is kept. Texts without words match equal texts only.
     Null texts count as empty; a null id is as a document of its own class member, never kept before another; of
-    rows that repeat an id one is kept. An empty table gives no rows.
+    rows that repeat an id one is kept. An empty table gives no rows; further columns, whatever their names, are ignored.
     """
     return _placed(docs, words, threshold, bands, rows, id_col, text_col).drop("text_key")
 
 
 def deduplicate(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int = 30, rows: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one document of each near-duplicate class, all its columns as they are."""
-    kept = _placed(docs, words, threshold, bands, rows, id_col, text_col).where("kept").select("doc_id", "text_key")
+    """``docs`` with one document of each near-duplicate class, all its columns as they are.
+
+    That of the least id stays, one with an id before one without; of rows equal in id and text any one. Null and empty texts
+    are one class of copies; an empty table stays empty; columns of clashing names are carried along.
+    """
+    placed = _placed(docs, words, threshold, bands, rows, id_col, text_col)
+    kept = placed.where("kept").select("doc_id", "text_key")
     keyed = rows_with(docs, own_id=F.col(id_col).cast("long"), own_key=F.unhex(F.md5(text_of(text_col).cast("binary"))))
-    # rows equal in id and text are one document
-    return keyed.join(kept, F.expr("own_id <=> doc_id and own_key = text_key")).dropDuplicates(["own_id", "own_key"]).select("row.*")
+    found = keyed.join(kept, F.expr("own_id <=> doc_id and own_key = text_key"))
+    repeats = placed.groupBy("doc_id", "text_key").agg(F.count("*").alias("n"), F.max("kept").alias("kept")).where("kept and n > 1")
+    # rows equal in id and text are one document; without such, nothing is moved for them
+    return (found if repeats.isEmpty() else found.dropDuplicates(["own_id", "own_key"])).select("row.*")
