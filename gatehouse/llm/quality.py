@@ -220,11 +220,15 @@ def all_priors(features: DataFrame, parts: list[Half], ids: np.ndarray) -> list[
 
 
 def fit(features: DataFrame, labels: DataFrame, holdout_mod: int = 5, holdout_rest: int = 0, max_positive: int = 6000, max_unlabelled: int = 8000) -> Model:
-    """Fit weights on at most so many trusted documents, none held out, and so many of all documents, those of least id hash. Cuts and priors are of all documents."""
+    """Fit weights on at most so many trusted documents, none held out, and so many of all documents, those of least id hash.
+
+    Cuts and priors are of all documents. The unlabelled side of the risk is a mean over a few hundred bins, of which the
+    default bound gives each about twenty documents. An id counts once: of rows that repeat it, that of the least features.
+    """
     trusted = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("quality")).where((F.col("quality") == 1) & F.col("doc_id").isNotNull() & (id_remainder("doc_id", holdout_mod) != holdout_rest))
     order = lambda df, n: df.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     picked = order(trusted, max_positive).withColumn("kind", F.lit(1)).unionByName(order(features.where("doc_id is not null"), max_unlabelled).withColumn("kind", F.lit(0)))
-    rows = features.join(F.broadcast(picked), "doc_id").select("doc_id", "kind", "x").collect()
+    rows = features.join(F.broadcast(picked), "doc_id").groupBy("doc_id", "kind").agg(F.min("x").alias("x")).collect()
     rows = sorted(rows, key=lambda r: (np.array(r.x, "<f8").tobytes(), r.doc_id))  # an order that the partitions don't decide
     rng = np.random.default_rng(7)
     order_of = [rng.permutation(sum(r.kind == y for r in rows)) for y in (1, 0)]

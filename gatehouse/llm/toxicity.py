@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.llm.common import documents_of, id_remainder
+from gatehouse.llm.common import Scratch, documents_of, id_remainder
 from gatehouse.llm.textvec import U64, Words, blocks, mix, words_of
 
 FEATURE_BITS = 20
@@ -57,38 +57,33 @@ def noisy_or(scores: np.ndarray, doc: np.ndarray, n: int) -> np.ndarray:
     return -np.expm1(np.bincount(doc, np.log1p(-np.minimum(scores, 1 - 1e-15)), n))
 
 
-def train(bags: Sequence[tuple[int, np.ndarray, np.ndarray]], weights: tuple[float, float] = (1.0, 1.0), steps: int = 300, max_features: int = 4000, l2: float = 1e-4) -> Model:
-    """Fit on bags (label, feature, sentence of each feature); ``weights`` of negative and positive bags.
+@dataclass
+class Bag:
+    """A labelled document: the numbers of its chosen features, the sentence of each, and how many sentences it has."""
 
-    Features are those in at least five positive bags and clearly more often there than in negative ones.
-    """
-    size = 1 << FEATURE_BITS
-    seen = np.zeros((2, size))
-    n = [0, 0]
-    for label, feature, _ in bags:
-        seen[label][np.unique(feature)] += 1
-        n[label] += 1
-    model = Model(np.zeros(size), -6.0)
-    if not all(n):
-        model.bias = -40.0 if not n[1] else 0.0
+    label: int
+    feature: np.ndarray
+    sentence: np.ndarray
+    n_sentences: int
+
+
+def train(bags: Sequence[Bag], chosen: np.ndarray, weights: tuple[float, float] = (1.0, 1.0), steps: int = 300, l2: float = 1e-4) -> Model:
+    """Fit the chosen features' weights; ``weights`` of negative and positive bags."""
+    model = Model(np.zeros(1 << FEATURE_BITS), -6.0)
+    labels = {b.label for b in bags}
+    if len(labels) < 2:
+        model.bias = 0.0 if labels == {1} else -40.0
         return model
-    rate = [(seen[y] + 0.5) / (n[y] + 1) for y in (0, 1)]
-    lift = np.where((seen[1] >= 5) & (rate[1] > 3 * rate[0]), seen[1] * np.log(rate[1] / rate[0]), 0)
-    chosen = np.argsort(-lift, kind="stable")[:max_features]
-    chosen = np.sort(chosen[lift[chosen] > 0])
-    number = np.full(size, -1)
-    number[chosen] = np.arange(len(chosen))
     feature, sentence, sentence_doc, extra, at = [], [], [], np.zeros(len(bags)), 0
-    for d, (_, f, s) in enumerate(bags):
-        keep = number[f] >= 0
-        found, own = np.unique(s[keep], return_inverse=True)
-        feature.append(number[f][keep])
+    for d, bag in enumerate(bags):
+        found, own = np.unique(bag.sentence, return_inverse=True)
+        feature.append(bag.feature)
         sentence.append(own + at)
         sentence_doc.append(np.full(len(found), d))
-        extra[d] = (int(s.max()) + 1 if len(s) else 0) - len(found)  # sentences that have the bias alone
+        extra[d] = bag.n_sentences - len(found)  # sentences that have the bias alone
         at += len(found)
     x, s, d = (np.concatenate(v).astype(np.int64) for v in (feature, sentence, sentence_doc))
-    y = np.array([b[0] for b in bags], float)
+    y = np.array([b.label for b in bags], float)
     importance = np.where(y == 1, weights[1], weights[0])
     importance /= importance.sum()
     w, b = np.zeros(len(chosen)), -6.0
@@ -107,29 +102,80 @@ def train(bags: Sequence[tuple[int, np.ndarray, np.ndarray]], weights: tuple[flo
     return model
 
 
-def fit(docs: DataFrame, labels: DataFrame, holdout_mod: int = 3, holdout_rest: int = 1, max_per_class: int = 3000) -> Model:
-    """Train on at most ``max_per_class`` labelled documents of each class, those of least id hash, none of them held out."""
-    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where((id_remainder("doc_id", holdout_mod) != holdout_rest) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
-    counts = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+def labelled_bags(docs: DataFrame, known: DataFrame, max_per_class: int, scratch: Scratch) -> DataFrame:
+    """``doc_id, toxic, pairs, n_sentences`` of at most ``max_per_class`` documents of each class, those of least id hash.
+
+    An id counts once: as toxic if any label says so, with the text of least hash if rows repeat it. A pair is a sentence
+    and a feature that it has.
+    """
     picked = None
     for y in (0, 1):
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
         picked = part if picked is None else picked.unionByName(part)
+    texts = docs.join(F.broadcast(picked), "doc_id")
+    first = texts.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("hash"))
+    texts = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(first), ["doc_id", "hash"]).dropDuplicates(["doc_id"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, labelled = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for text, y in zip(texts, labelled, strict=True):
-                words = words_of([text])
+            pairs, sizes = [], []
+            for text in batch.column(2):
+                words = words_of([text.as_py()])
                 sentence = sentence_ids(words)
-                pair = np.unique(np.concatenate([np.zeros(0, np.int64), *((sentence << FEATURE_BITS) | f for f in word_features(words))]))
-                f, s = (pair & ((1 << FEATURE_BITS) - 1)).astype("<i4"), (pair >> FEATURE_BITS).astype("<i4")
-                yield pa.RecordBatch.from_pylist([{"y": y, "f": f.tobytes(), "s": s.tobytes()}], pa.schema([("y", pa.int32()), ("f", pa.binary()), ("s", pa.binary())]))
+                pairs.append(np.unique(np.concatenate([np.zeros(0, np.int64), *((sentence << FEATURE_BITS) | f for f in word_features(words))])))
+                sizes.append(int(sentence[-1]) + 1 if len(sentence) else 0)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pairs, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "toxic", "pairs", "n_sentences"])
+
+    return scratch.put("bags", texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, pairs array<long>, n_sentences long"))
+
+
+def chosen_features(bags: DataFrame, counts: dict[int, int], max_features: int = 4000) -> np.ndarray:
+    """Features that are in at least five positive bags and clearly more often there than in negative ones, those that tell most."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << FEATURE_BITS), np.int64)
+        for batch in batches:
+            for y, pairs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                seen[y][np.unique(pairs.values.to_numpy() & ((1 << FEATURE_BITS) - 1))] += 1
+        some = np.flatnonzero(seen.any(axis=0))
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[1][some]), pa.array(seen[0][some])], ["feature", "pos", "neg"])
+
+    in_bags = bags.select("toxic", "pairs").mapInArrow(run, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    rated = in_bags.where("pos >= 5").selectExpr("feature", "pos", f"(pos + 0.5D) / {counts[1] + 1} as p", f"(neg + 0.5D) / {counts[0] + 1} as q")
+    best = rated.where("p > 3 * q").orderBy(F.expr("pos * ln(p / q)").desc(), "feature").limit(max_features)
+    return np.sort(np.array([r.feature for r in best.select("feature").collect()], np.int64))
+
+
+def fit(docs: DataFrame, labels: DataFrame, holdout_mod: int = 3, holdout_rest: int = 1, max_per_class: int = 3000) -> Model:
+    """Train on at most ``max_per_class`` labelled documents of each class, none of them held out.
+
+    Their features are counted and chosen by Spark; the driver gets only the pairs of at most 4000 chosen ones.
+    """
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where((id_remainder("doc_id", holdout_mod) != holdout_rest) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    of_class = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    bags = labelled_bags(docs, known, max_per_class, scratch)
+    counts = {0: 0, 1: 0} | {r.toxic: r.n for r in bags.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    chosen = chosen_features(bags, counts) if all(counts.values()) else np.zeros(0, np.int64)
+    shared = docs.sparkSession.sparkContext.broadcast(chosen)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = np.full(1 << FEATURE_BITS, -1)
+        number[shared.value] = np.arange(len(shared.value))
+        for batch in batches:
+            kept = []
+            for pairs in batch.column(2):
+                pair = pairs.values.to_numpy()
+                own = number[pair & ((1 << FEATURE_BITS) - 1)]
+                kept.append(((pair >> FEATURE_BITS << FEATURE_BITS) | own)[own >= 0].tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary()), batch.column(3)], ["doc_id", "toxic", "pairs", "n_sentences"])
 
-    rows = docs.join(F.broadcast(picked), "doc_id").select("text", "toxic").mapInArrow(run, "y int, f binary, s binary").collect()
-    bags = [(r.y, np.frombuffer(r.f, "<i4"), np.frombuffer(r.s, "<i4")) for r in sorted(rows, key=lambda r: (r.y, bytes(r.f)))]
-    used = [max(1, min(max_per_class, counts.get(y, 0))) for y in (0, 1)]
-    return train(bags, tuple(counts.get(y, 0) / used[y] for y in (0, 1)))
+    rows = bags.mapInArrow(run, "doc_id long, toxic int, pairs binary, n_sentences long").orderBy("doc_id").collect()
+    scratch.drop("bags")
+    shared.destroy()
+    pairs = [np.frombuffer(r.pairs, np.int64) for r in rows]
+    told = [Bag(r.toxic, p & ((1 << FEATURE_BITS) - 1), p >> FEATURE_BITS, r.n_sentences) for r, p in zip(rows, pairs, strict=True)]
+    return train(told, chosen, tuple(of_class.get(y, 0) / max(1, counts[y]) for y in (0, 1)))
 
 
 SCORES = "doc_id long, score double, offending array<struct<start:int,end:int,score:double>>"
@@ -161,7 +207,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, h
     """Score every document; returns doc_id, held_out, score, predicted, offending.
 
     Null and empty texts have no sentence and score 0; null ids are scored and never train; without labels of
-    both classes every text gets a constant score; ties and repeated rows are scored alike.
+    both classes every text gets a constant score; ties and repeated rows are scored alike, each row by its own text. An empty
+    table gives no rows; further columns, whatever their names, are ignored.
     """
     own = documents_of(docs, id_col, text_col)
     scored = score(own, fit(own, labels, holdout_mod, holdout_rest, max_per_class))
@@ -169,7 +216,11 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, h
 
 
 def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_col: str = "doc_id", text_col: str = "text", **fit_settings: int) -> DataFrame:
-    """``docs`` without the rows that score ``threshold`` or more, all columns as they are."""
+    """``docs`` without the rows that score ``threshold`` or more, all columns as they are.
+
+    Null and empty texts have no sentence and stay; rows without an id are scored like others; of rows that repeat an id each is
+    judged by its own text; columns of any name are carried along; an empty table stays empty.
+    """
     model = fit(documents_of(docs, id_col, text_col), labels, **fit_settings)
     shared = docs.sparkSession.sparkContext.broadcast((model.weights.astype(np.float32), model.bias))
     column = docs.columns.index(text_col)
