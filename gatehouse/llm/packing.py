@@ -15,12 +15,11 @@ import zlib
 from collections.abc import Callable, Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.llm.common import documents_of, staged
+from gatehouse.llm.common import Scratch, documents_of
 from gatehouse.llm.tokens import encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
@@ -90,28 +89,31 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray,
     return bins, offsets, n_bins
 
 
-def _pack_partition(pdf: pd.DataFrame, capacity: int, level: int, slots: int, slot: int, last: bool) -> pd.DataFrame:
-    pdf = pdf.sort_values("rid", kind="stable").reset_index(drop=True)
-    lengths = pdf["length"].to_numpy()
+def _pack_partition(part: pa.Table, capacity: int, level: int, slots: int, slot: int, last: bool) -> pa.Table:
+    """One partition's pieces packed anew, or as they are where that needs no fewer bins; only lengths and bins leave Arrow."""
+    part = part.sort_by("rid")
+    lengths = part["length"].to_numpy()
     bins, offsets, n_bins = best_fit_decreasing(lengths, capacity)
-    before = pdf["sequence_id"].nunique() if level else n_bins + 1
-    if n_bins < before:
-        pdf["sequence_id"], pdf["offset"] = (level << 56) + bins * slots + slot, offsets
+    if level:
+        old, old_bins = np.unique(part["sequence_id"].to_numpy(), return_inverse=True)
+    if not level or n_bins < len(old):
+        sequence, offsets = pa.array((level << 56) + bins * slots + slot), pa.array(offsets)
     else:
-        bins = pd.factorize(pdf["sequence_id"])[0]
-        n_bins = before
+        sequence, offsets = part["sequence_id"], part["offset"]
+        bins, n_bins = old_bins, len(old)
     free = capacity - np.bincount(bins, weights=lengths, minlength=n_bins).astype(np.int64)
     gap = n_bins - lower_bound(lengths, capacity)
     give = 0 if last else 1 if gap == 0 else max(8 * gap, n_bins // 8)
     loosest = np.argsort(-free, kind="stable")[:give]
     given = np.zeros(n_bins, bool)
     given[loosest[free[loosest] > 0]] = True
-    return pdf.assign(given=given[bins])
+    facts = [part[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32", "rid")]
+    return pa.table([*facts, sequence, offsets, pa.array(given[bins])], names=["doc_id", "piece", "start", "length", "ids_crc32", "rid", "sequence_id", "offset", "given"])
 
 
-def _round(capacity: int, level: int, slots: int, last: bool) -> Callable[[tuple, pd.DataFrame], pd.DataFrame]:
-    def run(part: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        return _pack_partition(pdf.drop(columns="slot"), capacity, level, slots, int(part[0]), last)
+def _round(capacity: int, level: int, slots: int, last: bool) -> Callable[[tuple[pa.Scalar, ...], pa.Table], pa.Table]:
+    def run(key: tuple[pa.Scalar, ...], part: pa.Table) -> pa.Table:
+        return _pack_partition(part, capacity, level, slots, key[0].as_py(), last)
 
     return run
 
@@ -125,7 +127,8 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
     that one partition may hold alone, and it holds at most ``per_partition`` pieces unless ``max_rounds`` ended first.
     """
     pieces = tokenized_pieces(documents_of(docs, id_col, text_col), tokenizer_path, capacity, end_id)
-    todo = staged(pieces.withColumn("rid", F.monotonically_increasing_id()).withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}), "pack-pieces")
+    scratch = Scratch(docs.sparkSession, "packing")
+    todo = scratch.put("pieces", pieces.withColumn("rid", F.monotonically_increasing_id()).withColumns({"sequence_id": F.lit(None).cast("long"), "offset": F.lit(None).cast("long")}))
     done: list[DataFrame] = []
     rows = todo.count()
     for level in range(max_rounds):
@@ -136,10 +139,12 @@ def pack(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int
         key = F.col("rid") if level == 0 else F.col("sequence_id")  # whole bins move, so that a partition can compare
 
         run = _round(capacity, level, slots, last)
-        packed = staged(todo.withColumn("slot", F.pmod(F.xxhash64(key, F.lit(level)), F.lit(slots)).cast("int")).groupBy("slot").applyInPandas(run, PACKED), f"pack-round{level}")
+        packed = scratch.put(f"round-{level}", todo.withColumn("slot", F.pmod(F.xxhash64(key, F.lit(level)), F.lit(slots)).cast("int")).groupBy("slot").applyInArrow(run, PACKED))
         done.append(packed.where("not given"))
         todo = packed.where("given").drop("given")
         rows = todo.count()
+        if level == 0:
+            scratch.drop("pieces")
     out = (done or [todo.limit(0)])[0]
     for df in done[1:]:
         out = out.unionByName(df)

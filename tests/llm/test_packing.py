@@ -9,7 +9,7 @@ from tokenizers import Tokenizer
 from gatehouse.llm import packing, queries
 from gatehouse.llm.tokens import Encoder
 
-from .conftest import odd_rows, texts_in
+from .conftest import docs_of, odd_rows, texts_in
 
 VOCAB = queries.vocabulary(queries.WORD_VOCAB)
 
@@ -113,3 +113,11 @@ def test_many_partitions_exchange_their_gaps(spark, small):
 def test_odd_rows_and_an_empty_table(spark, odd_docs, no_docs):
     check_packed(packing.pack(odd_docs, VOCAB).collect(), odd_rows())
     assert packing.pack(no_docs, VOCAB).count() == 0
+
+
+def test_large_ids_beside_a_null_stay_exact(spark):
+    docs = [(9007199254740993, "one two"), (9007199254740995, "three four five"), (None, "six"), (-9223372036854775807, "seven")]
+    rows = packing.pack(docs_of(spark, docs), queries.vocabulary(queries.WORD_VOCAB), capacity=8, per_partition=2).collect()
+    assert sorted(r.doc_id for r in rows if r.doc_id is not None) == sorted(i for i, _ in docs if i is not None)
+    assert sum(r.doc_id is None for r in rows) == 1
+    check_packed(rows, docs, capacity=8)
