@@ -28,41 +28,79 @@ FILE = pa.schema([("part", pa.int32()), ("before", pa.int64()), ("doc_ids", pa.l
 FILE_DDL = "part int, before long, doc_ids array<long>, doc_tokens array<long>, payload binary"
 
 
-def _replace(seq: np.ndarray, last: np.ndarray, base: int, room: int, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """One Re-Pair step on a batch of pairs: (rules as 32-bit pair codes, new sequence, new end marks). A rule replaces ``least`` pairs or is left out."""
-    code = (seq[:-1].astype(np.uint32) << np.uint32(16)) | seq[1:]
-    inner = ~last[:-1]
-    ordered = np.sort(code[inner])
-    if not len(ordered):
-        return np.zeros(0, np.uint32), seq, last
-    at = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1]))
-    count = np.diff(np.append(at, len(ordered)))
-    often = np.flatnonzero(count >= least)
-    if len(often) > room:
-        often = np.sort(often[np.argsort(-count[often], kind="stable")[:room]])
-    rules = ordered[at[often]]
-    if not len(rules):
-        return rules, seq, last
-    sieve = np.zeros(1 << 20, bool)  # most pairs are out at the first look
-    spread = lambda x: (x * np.uint32(2654435761)) >> np.uint32(12)
-    sieve[spread(rules)] = True
-    pos = np.flatnonzero(sieve[spread(code)] & inner)
-    rule = np.minimum(np.searchsorted(rules, code[pos]), len(rules) - 1)
-    hit = rules[rule] == code[pos]
-    pos, rule = pos[hit], rule[hit]
-    # in a run of overlapping pairs every second one is replaced
-    begins = np.append(True, np.diff(pos) != 1)
-    run_start = np.maximum.accumulate(np.where(begins, np.arange(len(pos)), 0))
-    even = (np.arange(len(pos)) - run_start) % 2 == 0
-    pos, rule = pos[even], rule[even]
-    pays = np.bincount(rule, minlength=len(rules)) >= least  # pairs that overlap others are replaced less often than counted
-    pos, rule, rules = pos[pays[rule]], (np.cumsum(pays) - 1)[rule[pays[rule]]], rules[pays]
-    seq, last = seq.copy(), last.copy()
-    seq[pos] = base + rule
-    last[pos] = last[pos + 1]
-    keep = np.ones(len(seq), bool)
-    keep[pos + 1] = False
-    return rules, seq[keep], last[keep]
+def _slot(code: np.ndarray) -> np.ndarray:
+    return (code * np.uint32(2654435761)) >> np.uint32(12)
+
+
+class _Symbols:
+    """A shard's symbols while pairs are replaced.
+
+    ``live`` marks where a pair begins that may still be frequent. A pair's count never grows once both of its symbols
+    exist, so one counted below ``least`` is never looked at again, and a round costs what the last one changed.
+    """
+
+    def __init__(self, ids: np.ndarray, doc_tokens: np.ndarray) -> None:
+        self.seq = ids.astype(np.uint16)
+        self.last = np.zeros(len(ids), bool)
+        self.last[np.cumsum(doc_tokens) - 1] = True
+        self.live = ~self.last
+
+    def frequent(self, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(pairs seen ``least`` times as 32-bit codes, ascending; their counts; places of live pairs; the codes there)."""
+        at = np.flatnonzero(self.live)
+        code = (self.seq[at].astype(np.uint32) << np.uint32(16)) | self.seq[at + 1]
+        ordered = np.sort(code)
+        first = np.flatnonzero(np.append(True, ordered[1:] != ordered[:-1])) if len(ordered) else np.zeros(0, np.int64)
+        count = np.diff(np.append(first, len(ordered)))
+        pairs, count = ordered[first[count >= least]], count[count >= least]
+        sieve = np.zeros(1 << 20, bool)  # all frequent pairs pass, and few others
+        sieve[_slot(pairs)] = True
+        maybe = sieve[_slot(code)]
+        at, code = at[maybe], code[maybe]
+        self.live[:] = False
+        self.live[at] = True
+        return pairs, count, at, code
+
+    def replace(self, base: int, room: int, least: int) -> np.ndarray:
+        """One Re-Pair step on at most ``room`` pairs, the most frequent; those that became rules. A rule replaces ``least`` pairs or is left out."""
+        rules, count, pos, code = self.frequent(least)
+        if not len(rules):
+            return rules
+        if len(rules) > room:
+            chosen = np.sort(np.argsort(-count, kind="stable")[:room])
+            rules, count = rules[chosen], count[chosen]
+        number = np.full(1 << 20, -1, np.int32)
+        number[_slot(rules)] = np.arange(len(rules), dtype=np.int32)
+        alone = number[_slot(rules)] == np.arange(len(rules))  # of pairs that share a slot the last one; the others' turn comes in the next step
+        rule = number[_slot(code)]
+        hit = np.flatnonzero(rule >= 0)
+        hit = hit[rules[rule[hit]] == code[hit]]
+        pos, rule = pos[hit], (np.cumsum(alone) - 1)[rule[hit]]
+        rules, count = rules[alone], count[alone]
+        # of overlapping pairs the more frequent one goes first, and of what it leaves every second one
+        weight = count[rule]
+        beside = np.diff(pos) == 1
+        wins = np.append(True, ~beside | (weight[1:] > weight[:-1])) & np.append(~beside | (weight[:-1] >= weight[1:]), True)
+        blocked = wins | np.append(False, wins[:-1] & beside) | np.append(wins[1:] & beside, False)
+        rest = np.flatnonzero(~blocked)
+        begins = np.append(True, np.diff(pos[rest]) != 1)
+        run_start = np.maximum.accumulate(np.where(begins, np.arange(len(rest)), 0)) if len(rest) else rest
+        wins[rest[(np.arange(len(rest)) - run_start) % 2 == 0]] = True
+        pos, rule = pos[wins], rule[wins]
+        pays = np.bincount(rule, minlength=len(rules)) >= least  # pairs that overlap others are replaced less often than counted
+        pos, rule, rules = pos[pays[rule]], (np.cumsum(pays) - 1)[rule[pays[rule]]], rules[pays]
+        if not len(rules):
+            return rules
+        self.seq[pos] = base + rule
+        self.last[pos] = self.last[pos + 1]
+        keep = np.ones(len(self.seq), bool)
+        keep[pos + 1] = False
+        self.seq, self.last, self.live = self.seq[keep], self.last[keep], self.live[keep]
+        own = pos - np.arange(len(pos))  # each pair before took one place
+        self.live[own] = ~self.last[own]
+        before = own[own > 0] - 1
+        self.live[before] = ~self.last[before]
+        return rules
 
 
 def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, rounds: int | None = None, batch: int = 2048, least: int = 5) -> bytes:
@@ -72,15 +110,13 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, rounds: int | N
     """
     if base > LIMIT:
         raise ValueError(f"{base} ids don't fit in 16 bits")
-    seq = ids.astype(np.uint16)
-    last = np.zeros(len(seq), bool)
-    last[np.cumsum(doc_tokens) - 1] = True
+    symbols = _Symbols(ids, doc_tokens)
     left, right = [np.zeros(0, np.uint16)], [np.zeros(0, np.uint16)]
     length = np.ones(LIMIT, np.uint32)
     n = base
     done = 0
-    while n < LIMIT and len(seq) >= 2 and done != rounds:
-        rules, seq, last = _replace(seq, last, n, min(batch, LIMIT - n), least)
+    while n < LIMIT and done != rounds:
+        rules = symbols.replace(n, min(batch, LIMIT - n), least)
         if not len(rules):
             if batch == 1:
                 break
@@ -92,7 +128,16 @@ def compress(ids: np.ndarray, doc_tokens: np.ndarray, base: int, rounds: int | N
         length[n : n + len(rules)] = length[left[-1]] + length[right[-1]]
         n += len(rules)
     lefts, rights = np.concatenate(left), np.concatenate(right)
-    return MAGIC + np.array([base, n - base, len(seq)], "<u4").tobytes() + lefts.astype("<u2").tobytes() + rights.astype("<u2").tobytes() + length[base:n].astype("<u4").tobytes() + seq.astype("<u2").tobytes()
+    return MAGIC + np.array([base, n - base, len(symbols.seq)], "<u4").tobytes() + lefts.astype("<u2").tobytes() + rights.astype("<u2").tobytes() + length[base:n].astype("<u4").tobytes() + symbols.seq.astype("<u2").tobytes()
+
+
+def _gathered(flat: np.ndarray, begin: np.ndarray, length: np.ndarray, seq: np.ndarray) -> np.ndarray:
+    """The expansions of ``seq`` end to end."""
+    size = length[seq]
+    ends = np.cumsum(size)
+    if not len(ends):
+        return flat[:0]
+    return flat[np.arange(ends[-1]) + np.repeat(begin[seq] - (ends - size), size)]
 
 
 class Shard:
@@ -108,8 +153,31 @@ class Shard:
         self.length = np.append(np.ones(self.base, np.int64), np.frombuffer(payload, "<u4", n, at + 4 * n))
         self.symbols = np.frombuffer(payload, "<u2", size, at + 8 * n)
         self.border = np.append(0, np.cumsum(self.length[self.symbols]))
+        self._flat: tuple[np.ndarray, np.ndarray] | None = None
+
+    def _texts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(all symbols' expansions end to end, where each begins), made level by level from the rules' parts."""
+        if self._flat is None:
+            begin = np.append(np.arange(self.base), self.base + np.cumsum(np.append(0, self.length[self.base :]))[:-1])
+            flat = np.zeros(int(self.base + self.length[self.base :].sum()), np.uint32)
+            flat[: self.base] = np.arange(self.base)
+            ready, todo = self.base, len(self.left)
+            while ready < self.base + todo:  # rules whose parts are all made before
+                rest = slice(ready - self.base, None)
+                late = np.flatnonzero(np.maximum(self.left[rest], self.right[rest]) >= ready)
+                upto = ready + int(late[0]) if len(late) else self.base + todo
+                own = np.arange(ready, upto)
+                parts = np.column_stack([self.left[own - self.base], self.right[own - self.base]]).ravel()
+                made = _gathered(flat, begin, self.length, parts)
+                flat[begin[ready] : begin[ready] + len(made)] = made
+                ready = upto
+            self._flat = flat, begin
+        return self._flat
 
     def _expand(self, seq: np.ndarray) -> np.ndarray:
+        if len(seq) > len(self.left):  # worth the whole table
+            flat, begin = self._texts()
+            return _gathered(flat, begin, self.length, seq)
         seq = seq.astype(np.uint32)
         while len(rule := np.flatnonzero(seq >= self.base)):
             width = np.ones(len(seq), np.int64)

@@ -2,7 +2,7 @@
 
 White space always ends a pre-token in both vocabularies, so a text's ids are the ids of its
 white-space-delimited pieces in order. Pieces repeat far more than texts do; the library encodes each
-new piece once and a worker keeps its ids as little-endian unsigned 32-bit bytes. New purely
+new piece once and a worker keeps the ids of short ones as little-endian unsigned 32-bit bytes. New purely
 alphabetic pieces go to the library many at a time as one spaced text, which costs less per piece.
 Texts holding a special token's string, or a control character on which regular-expression
 dialects disagree, are encoded whole.
@@ -15,7 +15,9 @@ from collections.abc import Sequence
 
 import numpy as np
 
+#: Pieces that a worker remembers, in each of two generations, and the longest of them in characters.
 MAX_PIECES = 600_000
+MAX_LENGTH = 40
 _SPACE_PIECES = re.compile(r" ?\S+|\s+(?!\S)|\s+")
 _ODD = ("<|", "\x1c", "\x1d", "\x1e", "\x1f", "\x85")
 _JOIN = 256
@@ -41,7 +43,7 @@ class Encoder:
     def _by_library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _joined(self, words: list[str], glue: str) -> None:
+    def _joined(self, words: list[str], glue: str, into: dict[str, bytes]) -> None:
         """Learn alphabetic pieces from runs of them; a run that doesn't split into as many goes one by one."""
         runs = [words[i : i + _JOIN] for i in range(0, len(words), _JOIN)]
         for run, e in zip(runs, self.tokenizer.encode_batch_fast([glue.join(r) for r in runs], add_special_tokens=False), strict=True):
@@ -55,38 +57,39 @@ class Encoder:
                 end = [*begin[1:], len(ids)]
             if len(begin) == len(run):
                 raw = ids.tobytes()
-                self.known.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(run, begin, end, strict=True))
+                into.update((w, raw[4 * a : 4 * b]) for w, a, b in zip(run, begin, end, strict=True))
             else:
-                self.known.update(zip(run, self._by_library(run), strict=True))
+                into.update(zip(run, self._by_library(run), strict=True))
 
-    def _learn(self, pieces: set[str]) -> None:
+    def _learn(self, pieces: set[str]) -> dict[str, bytes]:
+        """The ids of new pieces; the short ones are remembered."""
         known, older = self.known, self.older
+        out: dict[str, bytes] = {}
         spaced, plain, alone, tailed = set(), set(), set(), []
-
-        def want(p: str, into: set[str]) -> None:
-            if p not in known:
-                if p in older:
-                    known[p] = older[p]
-                else:
-                    into.add(p)
-
         for p in pieces:
-            if p in older:
-                known[p] = older[p]
+            if (ids := older.get(p)) is not None:
+                out[p] = ids
                 continue
             base = p.rstrip(_TAIL)
             if not (base[1:] if base[:1] == " " else base).isalpha():
                 alone.add(p)
                 continue
-            want(base, spaced if base[0] == " " else plain)
             if base != p:
-                want(tail := p[len(base) :], alone)
+                tail = p[len(base) :]
                 tailed.append((p, base, tail))
-        self._joined(sorted(spaced), "")
-        self._joined(sorted(plain), "\n" if self.keeps_space else " ")
+                if tail not in known:
+                    alone.add(tail)
+                if base in known:
+                    continue
+            (spaced if base[0] == " " else plain).add(base)
+        self._joined(sorted(spaced), "", out)
+        self._joined(sorted(plain), "\n" if self.keeps_space else " ", out)
         alone = sorted(alone)
-        known.update(zip(alone, self._by_library(alone), strict=True))
-        known.update((p, known[base] + known[tail]) for p, base, tail in tailed)
+        out.update(zip(alone, self._by_library(alone), strict=True))
+        for p, base, tail in tailed:
+            out[p] = (known.get(base) or out[base]) + (known.get(tail) or out[tail])
+        known.update(out if max(map(len, out)) <= MAX_LENGTH else {p: ids for p, ids in out.items() if len(p) <= MAX_LENGTH})
+        return out
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         whole = [i for i, t in enumerate(texts) if any(o in t for o in _ODD)]
@@ -96,15 +99,21 @@ class Encoder:
         for begin in range(0, len(texts), 128):  # some texts at a time share a call of the library
             if len(self.known) > MAX_PIECES:
                 self.known, self.older = {}, self.known
-            known, look = self.known, self.known.get
-            parts = [split(t) if i not in odd else [] for i, t in enumerate(texts[begin : begin + 128], begin)]
-            found = [list(map(look, pieces)) for pieces in parts]  # the one look at most pieces
-            gaps = [k for k, ids in enumerate(found) if None in ids]
-            if gaps:
-                self._learn({p for k in gaps for p, ids in zip(parts[k], found[k], strict=True) if ids is None})
+            pieces, ends = [], []
+            for i, t in enumerate(texts[begin : begin + 128], begin):
+                if i not in odd:
+                    pieces += split(t)
+                ends.append(len(pieces))
+            ids = list(map(self.known.get, pieces))  # the one look at most pieces
+            if None in ids:
+                gaps = [k for k, x in enumerate(ids) if x is None]
+                new = self._learn({pieces[k] for k in gaps})
                 for k in gaps:
-                    found[k] = [known[p] if ids is None else ids for p, ids in zip(parts[k], found[k], strict=True)]
-            out += [odd[i] if i in odd else b"".join(ids) for i, ids in enumerate(found, begin)]
+                    ids[k] = new[pieces[k]]
+            at = 0
+            for i, end in enumerate(ends, begin):
+                out.append(odd[i] if i in odd else b"".join(ids[at:end]))
+                at = end
         return out
 
 
