@@ -1,4 +1,6 @@
+import math
 import re
+from collections import defaultdict
 
 import pytest
 
@@ -65,3 +67,62 @@ def test_outcomes_come_from_labelled_documents(spark):
     pages = spark.createDataFrame([(1, "http://x.com/en/7?page=2"), (2, "http://x.com/de/8.html"), (3, "http://y.com/"), (4, "http://y.com/99999999999999999999"), (5, None)], "page_id long, url string")
     labels = spark.createDataFrame([(7, 1, 0), (8, 0, 0), (9, 1, 1), (None, 1, 1)], "doc_id long, quality int, toxic int")
     assert sorted(map(tuple, urls.labelled_outcomes(pages, labels).collect())) == [("x.com", 0), ("x.com", 1)]
+
+
+def by_hand(pages, outcomes, z=1.645):
+    """bad_rate and its bound of each host, a level at a time."""
+    two = lambda h: ".".join(h.split(".")[-2:]) in urls.TWO_LABEL_SUFFIXES
+    cut = lambda h, k: ".".join(h.split(".")[-k:])
+    domain, suffix = (lambda h: cut(h, 3 if two(h) else 2)), (lambda h: cut(h, 2 if two(h) else 1))
+    top = (sum(b for _, b in outcomes) + 0.5) / (len(outcomes) + 1)
+
+    def level(of, centre):
+        groups = defaultdict(list)
+        for h, b in outcomes:
+            groups[of(h)].append(b)
+        above = {g: centre(next(h for h, _ in outcomes if of(h) == g)) for g in groups}
+        over = sum(len(x) * (sum(x) / len(x) - above[g]) ** 2 - above[g] * (1 - above[g]) for g, x in groups.items())
+        tau = min(1000.0, max(1.0, sum(len(x) * above[g] * (1 - above[g]) for g, x in groups.items()) / over - 1)) if over > 0 else 1000.0
+        return {g: ((sum(x) + tau * above[g]) / (len(x) + tau), 1 / (len(x) + tau + 1)) for g, x in groups.items()}, tau
+
+    s, ts = level(suffix, lambda h: top)
+    d, td = level(domain, lambda h: s[suffix(h)][0])
+    o, th = level(lambda h: h, lambda h: d[domain(h)][0])
+    out = {}
+    for h in pages:
+        if h in o:
+            m, v = o[h]
+        elif domain(h) in d:
+            m, v = d[domain(h)][0], d[domain(h)][1] + 1 / (th + 1)
+        elif suffix(h) in s:
+            m, v = s[suffix(h)][0], s[suffix(h)][1] + 1 / (th + 1) + 1 / (td + 1)
+        else:
+            m, v = top, 1 / (len(outcomes) + 2) + 1 / (th + 1) + 1 / (td + 1) + 1 / (ts + 1)
+        out[h] = (m, max(0.0, m - z * math.sqrt(m * (1 - m) * v)))
+    return out
+
+
+def test_verdicts_of_seen_and_unseen_hosts(spark):
+    seen = [(f"bad{k % 9}.evil.com", int(k % 50 != 0)) for k in range(500)] + [(f"h{k % 30}.good{k % 5}.com", int(k % 40 == 0)) for k in range(600)] + [(f"s{k}.rot{k % 40}.zip", 1) for k in range(400)] + [(f"x{k}.mix.co.uk", k % 2) for k in range(60)]
+    hosts = ["bad1.evil.com", "new.evil.com", "h3.good3.com", "new.good2.com", "new.unseen.com", "new.unseen.zip", "y.mix.co.uk", "z.other.co.uk", "none.net", "localhost", ""]
+    pages = spark.createDataFrame([(k, f"http://{h}/p", "x") for k, h in enumerate(hosts)] + [(99, None, "x")], "page_id long, url string, mean string")
+    rows = {r.page_id: r for r in urls.filter_urls(pages, (), spark.createDataFrame(seen, "host string, bad int")).collect()}
+    want = by_hand(hosts[:-1], seen)
+    for k, h in enumerate(hosts[:-1]):
+        assert (rows[k].bad_rate, rows[k].bad_rate_bound) == pytest.approx(want[h]), h
+        assert rows[k].verdict == ("block" if want[h][1] > 0.5 else "allow"), h
+    blocked = {h for k, h in enumerate(hosts) if rows[k].verdict == "block"}
+    assert {"bad1.evil.com", "new.evil.com", "new.unseen.zip"} <= blocked  # the last two by domain and by suffix alone
+    assert not blocked & {"h3.good3.com", "new.good2.com", "none.net", "localhost", ""}
+    assert rows[99].verdict == "allow" and rows[99].bad_rate is None
+
+
+def test_query_by_hand(spark, small):
+    rows = queries.op5_url_filter(spark, small).collect()
+    pages, labels = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("pages", "labels"))
+    want = by_hand({r.host for r in rows if r.host}, [tuple(r) for r in urls.labelled_outcomes(pages, labels).collect()])
+    for r in rows:
+        if r.host:
+            assert (r.bad_rate, r.bad_rate_bound) == pytest.approx(want[r.host], abs=1e-6)
+        if r.rule is None:
+            assert r.verdict == ("block" if r.host and want[r.host][1] > 0.5 else "allow")
