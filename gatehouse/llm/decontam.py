@@ -2,7 +2,7 @@
 
 A text's 7-word grams are hashed and of every seven consecutive ones the least hash is kept, so any
 13 shared consecutive words share the fingerprint kept for them. Test fingerprints go into a bit
-filter of fixed size; a training text gives, for each kept fingerprint that passes it, the 13-word windows it was
+filter whose size follows their number, up to 16 MB; a training text gives, for each kept fingerprint that passes it, the 13-word windows it was
 kept for, and Spark joins these with the test windows by fingerprint and by two further hashes of all 13 words.
 Items of fewer words are one window each, whose own hash is its fingerprint, looked up
 at every place of a text.
@@ -17,10 +17,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.llm.common import staged
-from gatehouse.llm.textvec import U64, Words, blocks, grams, mix, words_of
+from gatehouse.llm.common import Scratch
+from gatehouse.llm.textvec import U64, Words, grams, mix, text_blocks, words_of
 
-FILTER_BITS = 1 << 22
+#: Bits of the filter for each test fingerprint, and the most bits that it has.
+BITS_EACH, MOST_BITS = 32, 1 << 27
 WINDOW_COLS = ("fp", "start", "len", "h1", "h2")
 TEST_DDL = "item_id long, fp long, len int, h1 long, h2 long"
 DOC_DDL = "doc_id long, th long, n_words long, fp array<long>, start array<int>, len array<int>, h1 array<long>, h2 array<long>"
@@ -60,8 +61,8 @@ def _windows(words: Words, gram: int, window: int, short: list[int], bits: np.nd
                 at = at[np.diff(words.first)[words.doc[at]] == length]
             fp = every[at]
         if bits is not None:
-            slot = (fp % U64(FILTER_BITS)).astype(np.int64)
-            hit = (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 == 1
+            slot = fp & U64(64 * len(bits) - 1)
+            hit = (bits[(slot >> U64(6)).astype(np.int64)] >> (slot & U64(63))) & U64(1) == 1
             at, fp = at[hit], fp[hit]
         found.append((at, fp, np.full(len(at), length, np.int32), _window_hash(words.hash, at, length, 1), _window_hash(words.hash, at, length, 2)))
     at, fp, length, h1, h2 = (np.concatenate(x) for x in zip(*found, strict=True))
@@ -73,15 +74,28 @@ def _windows(words: Words, gram: int, window: int, short: list[int], bits: np.nd
 def test_windows(benchmark: DataFrame, gram: int, window: int, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            ids, texts = np.array(batch.column(0).to_pylist(), object), batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                w = _windows(words_of(texts[a:b]), gram, window, list(range(1, window)), None)
+            ids = np.array(batch.column(0).to_pylist(), object)
+            for a, b, texts in text_blocks(batch.column(1)):
+                w = _windows(words_of(texts), gram, window, list(range(1, window)), None)
                 yield pa.RecordBatch.from_arrays([pa.array(ids[a:b][w["doc"]].tolist(), pa.int64()), *(pa.array(w[c]) for c in ("fp", "len", "h1", "h2"))], ["item_id", "fp", "len", "h1", "h2"])
 
     rows = benchmark.select(F.col(id_col).cast("long"), F.coalesce(F.col(text_col).cast("string"), F.lit("")))
     return rows.mapInArrow(run, TEST_DDL).distinct()
 
 
+def fingerprint_filter(tests: DataFrame) -> np.ndarray:
+    """Bit filter of the fingerprints as unsigned 64-bit words, a power of two of them. Spark sets the bits; the driver gets the words that have any."""
+    n = tests.select("fp").distinct().count()
+    size = 1 << 16
+    while size < min(BITS_EACH * n, MOST_BITS):
+        size *= 2
+    # 2**k divides 2**64, so the remainders of signed and of unsigned numbers agree
+    words = tests.select(F.expr(f"pmod(fp, {size}L)").alias("slot")).groupBy(F.expr("slot div 64").alias("at")).agg(F.bit_or(F.expr("shiftleft(1L, cast(slot % 64 as int))")).alias("bits")).toArrow()
+    out = np.zeros(size // 64, np.int64)
+    out[words["at"].to_numpy()] = words["bits"].to_numpy()
+    return out.view(U64)
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = 7, window: int = 13, id_col: str = "doc_id", text_col: str = "text", item_id_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """Words of each document inside any occurrence of a benchmark window.
 
@@ -90,29 +104,25 @@ def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = 7, window:
     ids like others (a null item id shows as ``null``); an empty benchmark hits nothing; further columns are ignored.
     """
     spark = docs.sparkSession
-    tests = staged(test_windows(benchmark, gram, window, item_id_col, item_text_col), "benchmark-windows")
-    bits = np.zeros(FILTER_BITS // 8, np.uint8)
-    # never more numbers than the filter has bits
-    slots = np.array([r[0] for r in tests.select(F.expr(f"pmod(fp, {FILTER_BITS})")).distinct().collect()], np.int64)
-    np.bitwise_or.at(bits, slots >> 3, np.left_shift(1, slots & 7).astype(np.uint8))
+    scratch = Scratch(spark, "decontamination")
+    tests = scratch.put("tests", test_windows(benchmark, gram, window, item_id_col, item_text_col))
+    bits = fingerprint_filter(tests)
     short = sorted(r[0] for r in tests.where(F.col("len") < window).select("len").distinct().collect())
     shared = spark.sparkContext.broadcast(bits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in blocks(texts):
-                words = words_of(texts[a:b])
+            for a, b, texts in text_blocks(batch.column(2)):
+                words = words_of(texts)
                 w = _windows(words, gram, window, short, shared.value)
                 border = pa.array(np.searchsorted(w["doc"], np.arange(b - a + 1)), pa.int32())
                 lists = [pa.ListArray.from_arrays(border, pa.array(w[c])) for c in WINDOW_COLS]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(np.diff(words.first)), *lists], ["doc_id", "th", "n_words", *WINDOW_COLS])
 
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    # the filter's slots are of unsigned hashes: 2**22 divides 2**64, so both remainders agree
-    seen = staged(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, DOC_DDL), "document-windows")
+    seen = scratch.put("documents", docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")).mapInArrow(run, DOC_DDL))
     found = seen.where(F.size("fp") > 0).select("doc_id", "th", F.explode(F.arrays_zip(*WINDOW_COLS)).alias("w")).select("doc_id", "th", "w.*")
-    found = staged(found.join(tests.drop("item_id").distinct(), ["fp", "len", "h1", "h2"], "left_semi").distinct(), "window-hits")
+    found = scratch.put("hits", found.join(tests.drop("item_id").distinct(), ["fp", "len", "h1", "h2"], "left_semi").distinct())
     # words in the union of the windows, in order of their starts
     covered = F.expr("aggregate(array_sort(collect_set(struct(start, start + len as stop))), struct(0L as n, 0 as upto), (a, w) -> struct(a.n + greatest(0, w.stop - greatest(w.start, a.upto)) as n, greatest(a.upto, w.stop) as upto), a -> a.n)")
     hits = found.groupBy("doc_id", "th").agg(covered.alias("n_hit"))

@@ -38,7 +38,8 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return urls.filter_urls(pages, URL_RULES, urls.labelled_outcomes(pages, table(spark, sf_dir, "labels")))
+    judged = urls.filter_urls(pages, URL_RULES, urls.labelled_outcomes(pages, table(spark, sf_dir, "labels")))
+    return judged.withColumns({c: F.round(c, 6) for c in ("bad_rate", "bad_rate_bound")})
 
 
 def op6_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,6 +74,63 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     for f in (op1_best_fit_packing, op2_token_file, op3_fingerprints, op4_toxicity, op5_url_filter, op6_pii, op7_hash_tree_sharding, op8_decontamination, op9_quality, op10_near_duplicates, pipeline)
 }
 
-#: Every one of these needs something that SQL lacks (a tokenizer, hashes of bytes, training, graph classes
-#: or crc32), so each is tested against a brute-force version instead.
-ORACLE_SQL: dict[str, str] = {}
+_FOLDED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_TWO = ", ".join(f"'{x}'" for x in urls.TWO_LABEL_SUFFIXES)
+_HOST = "coalesce(" + _FOLDED.format(r"regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1)") + ", '')"
+_PATH = r"coalesce(regexp_extract(url, '(?s)^.*?://[^/?#]*([^?#]*)', 1), '')"
+_LAST = lambda k: f"array_to_string(list_slice(string_split(host, '.'), -{k}, -1), '.')"
+_LEVELS = f"case when {_LAST(2)} in ({_TWO}) then {_LAST(3)} else {_LAST(2)} end as domain, case when {_LAST(2)} in ({_TWO}) then {_LAST(2)} else {_LAST(1)} end as suffix"
+_RULES = "case " + " ".join(f"when (host = '{r.partition('/')[0]}' or ends_with(host, '.{r.partition('/')[0]}')) and starts_with(path, '/{r.partition('/')[2]}') then '{r}'" for r, _ in sorted(URL_RULES, key=lambda x: (-len(x[0]), x[1] != "block"))) + " end"
+_VERDICTS = "case rule " + " ".join(f"when '{r}' then '{v}'" for r, v in URL_RULES)
+_STRENGTH = "coalesce((select case when sum(n * pow(bad / n - centre, 2) - centre * (1 - centre)) > 0 then least(1000, greatest(1, sum(n * centre * (1 - centre)) / sum(n * pow(bad / n - centre, 2) - centre * (1 - centre)) - 1)) else 1000 end from {0}), 1000)"
+
+
+def _level(name: str, groups: str) -> str:
+    """A level's groups (key, n, bad, centre) and their posteriors."""
+    return f"{name}_in as ({groups}), {name}_tau as (select {_STRENGTH.format(name + '_in')} as tau), {name}_out as (select {name}, (bad + tau * centre) / (n + tau) as {name}_mean, 1 / (n + tau + 1) as {name}_spread from {name}_in, {name}_tau)"
+
+
+_URLS = f"""
+with split as (select page_id, {_HOST} as host, {_PATH} as path from pages),
+outcomes as (
+  select host, bad from (select host, try_cast(regexp_extract(path, '([0-9]+)[^0-9]*$', 1) as bigint) as doc_id from split) s
+  join (select doc_id, max(case when coalesce(quality, 1) = 0 or coalesce(toxic, 0) = 1 then 1 else 0 end) as bad from labels group by doc_id) l using (doc_id)),
+counted as (select *, {_LEVELS} from (select host, count(*)::double as n, sum(bad)::double as bad from outcomes group by host) h),
+everything as (select coalesce(sum(n), 0) as all_n, (coalesce(sum(bad), 0) + 0.5) / (coalesce(sum(n), 0) + 1) as top from counted),
+{_level("suffix", "select suffix, sum(n) as n, sum(bad) as bad, any_value(top) as centre from counted, everything group by suffix")},
+{_level("domain", "select domain, sum(n) as n, sum(bad) as bad, any_value(suffix_mean) as centre from counted join suffix_out using (suffix) group by domain")},
+{_level("host", "select host, n, bad, domain_mean as centre from counted join domain_out using (domain)")},
+known as (
+  select host, coalesce(host_mean, domain_mean, suffix_mean, top) as mean,
+    coalesce(host_spread, domain_spread + 1 / (host_tau.tau + 1), suffix_spread + 1 / (host_tau.tau + 1) + 1 / (domain_tau.tau + 1),
+      1 / (all_n + 2) + 1 / (host_tau.tau + 1) + 1 / (domain_tau.tau + 1) + 1 / (suffix_tau.tau + 1)) as spread
+  from (select *, {_LEVELS} from (select distinct host from split where host <> '') d) p
+  left join host_out using (host) left join domain_out using (domain) left join suffix_out using (suffix), everything, host_tau, domain_tau, suffix_tau),
+rated as (select host, mean as bad_rate, greatest(0, mean - 1.645 * sqrt(mean * (1 - mean) * spread)) as bad_rate_bound from known),
+ruled as (select *, {_RULES} as rule from split)
+select page_id, host, path, rule, {_VERDICTS} else case when bad_rate_bound > 0.5 then 'block' else 'allow' end end as verdict, round(bad_rate, 6) as bad_rate, round(bad_rate_bound, 6) as bad_rate_bound
+from ruled left join rated using (host)
+"""
+
+_WORDS = "regexp_extract_all(" + _FOLDED.format("coalesce(text, '')") + r", '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+_CONTAMINATION = f"""
+with docs as (select row_number() over () as rid, doc_id, {_WORDS} as w from documents),
+items as (select item_id, {_WORDS} as w from benchmark),
+test as (
+  select distinct item_id, least(13, len(w)) as n, array_to_string(list_slice(w, i, i + least(13, len(w)) - 1), ' ') as win
+  from (select item_id, w, unnest(range(1, len(w) - least(13, len(w)) + 2)) as i from items where len(w) > 0) x),
+sizes as (select distinct n from test),
+places as (
+  select rid, i, n, array_to_string(list_slice(w, i, i + n - 1), ' ') as win
+  from (select rid, w, n, unnest(range(1, len(w) - n + 2)) as i from docs, sizes where len(w) >= n) x),
+found as (select rid, i, n, item_id from places join test using (n, win)),
+hits as (select rid, count(distinct k) as n_hit from (select rid, unnest(range(i, i + n)) as k from found) x group by rid),
+hit_items as (select rid, count(*) as n_items, string_agg(item_id::varchar, ',' order by item_id::varchar) as all_items from (select distinct rid, item_id from found) x group by rid)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(all_items, '')) as items_sha256,
+  coalesce(n_hit, 0) > 0 and 20 * coalesce(n_hit, 0) >= len(w) as contaminated
+from docs left join hits using (rid) left join hit_items using (rid)
+"""
+
+#: The others need something that SQL lacks (a tokenizer, Spark's hashes, training, graph classes,
+#: places of matches), so each is tested against a second implementation in tests/llm.
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": _URLS, "op8_decontamination": _CONTAMINATION}
