@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatehouse.llm.common import Scratch, documents_of, rows_with, text_of
-from gatehouse.llm.textvec import U64, blocks, mix, shingles, words_of
+from gatehouse.llm.textvec import U64, mix, shingles, text_blocks, words_of
 
 #: Members of a band that meet each other in one task at most.
 BLOCK = 1024
@@ -109,9 +109,8 @@ def signatures(docs: DataFrame, words: int, bands: int, rows: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(2).to_pylist()
-            for a, b in blocks(texts, 1 << 19):
-                doc, element, weight = multisets(texts[a:b], words)
+            for a, b, texts in text_blocks(batch.column(2), 1 << 19):
+                doc, element, weight = multisets(texts, words)
                 keys = band_keys(bag_min_hash(doc, element, weight, b - a, bands * rows), bands)
                 total = np.bincount(doc, weight, b - a).astype(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a + 1) * bands, bands), pa.int32()), pa.array(keys.ravel()))
@@ -125,9 +124,8 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                value, doc = shingles(words_of(texts[a:b]), words)
+            for a, b, texts in text_blocks(batch.column(1)):
+                value, doc = shingles(words_of(texts), words)
                 border = np.searchsorted(doc, np.arange(b - a + 1)).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([np.sort(value[i:j] >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i, j in zip(border, border[1:], strict=False)], pa.binary())], ["node", "shingles"])
 

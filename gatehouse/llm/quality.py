@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatehouse.llm.common import documents_of, id_remainder, staged
-from gatehouse.llm.textvec import Words, blocks, grams, words_of
+from gatehouse.llm.textvec import Words, grams, text_blocks, words_of
 
 _PUNCTUATION = [c for c in range(33, 127) if not chr(c).isalnum()]
 _CLASS = np.zeros(256, np.int64)
@@ -171,9 +171,8 @@ def features_of(docs: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                x = style_features(words_of(texts[a:b]))
+            for a, b, texts in text_blocks(batch.column(1)):
+                x = style_features(words_of(texts))
                 rows = pa.ListArray.from_arrays(pa.array(np.arange(b - a + 1, dtype=np.int32) * N_FEATURES), pa.array(x.ravel()))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), rows], ["doc_id", "x"])
 

@@ -11,6 +11,8 @@ from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 U64 = np.uint64
 BLOCK_BYTES = 1 << 20
@@ -102,6 +104,17 @@ def blocks(texts: Sequence[str], limit: int = BLOCK_BYTES) -> Iterator[tuple[int
         yield begin, len(texts)
 
 
+def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[str]]]:
+    """Ranges of about ``limit`` bytes each (a longer text stands alone) and their texts, made one range at a time."""
+    ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False) + 1)
+    begin = 0
+    while begin < len(ends):
+        before = int(ends[begin - 1]) if begin else 0
+        end = max(begin + 1, int(np.searchsorted(ends, before + limit, "right")))
+        yield begin, end, column.slice(begin, end - begin).to_pylist()
+        begin = end
+
+
 def grams(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:
     """Hash of every run of ``n`` consecutive words (runs over text borders included)."""
     count = max(0, len(hashes) - n + 1)

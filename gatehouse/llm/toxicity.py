@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatehouse.llm.common import Scratch, documents_of, id_remainder
-from gatehouse.llm.textvec import U64, Words, blocks, mix, words_of
+from gatehouse.llm.textvec import U64, Words, mix, text_blocks, words_of
 
 FEATURE_BITS = 20
 PREFIX_BYTES = (4, 5)
@@ -102,45 +102,40 @@ def train(bags: Sequence[Bag], chosen: np.ndarray, weights: tuple[float, float]
     return model
 
 
-def labelled_bags(docs: DataFrame, known: DataFrame, max_per_class: int, scratch: Scratch) -> DataFrame:
-    """``doc_id, toxic, pairs, n_sentences`` of at most ``max_per_class`` documents of each class, those of least id hash.
+def labelled_texts(docs: DataFrame, known: DataFrame, max_per_class: int) -> DataFrame:
+    """``doc_id, toxic, text`` of at most ``max_per_class`` documents of each class, those of least id hash.
 
-    An id counts once: as toxic if any label says so, with the text of least hash if rows repeat it. A pair is a sentence
-    and a feature that it has.
+    An id counts once: as toxic if any label says so, with the text of least hash if rows repeat it.
     """
     picked = None
     for y in (0, 1):
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_per_class)
         picked = part if picked is None else picked.unionByName(part)
-    texts = docs.join(F.broadcast(picked), "doc_id")
-    first = texts.groupBy("doc_id").agg(F.min(F.xxhash64("text")).alias("hash"))
-    texts = texts.withColumn("hash", F.xxhash64("text")).join(F.broadcast(first), ["doc_id", "hash"]).dropDuplicates(["doc_id"])
+    texts = docs.join(F.broadcast(picked), "doc_id").withColumn("hash", F.xxhash64("text"))
+    first = texts.groupBy("doc_id").agg(F.min("hash").alias("hash"))
+    return texts.join(F.broadcast(first), ["doc_id", "hash"]).dropDuplicates(["doc_id"]).select("doc_id", "toxic", "text")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            pairs, sizes = [], []
-            for text in batch.column(2):
-                words = words_of([text.as_py()])
-                sentence = sentence_ids(words)
-                pairs.append(np.unique(np.concatenate([np.zeros(0, np.int64), *((sentence << FEATURE_BITS) | f for f in word_features(words))])))
-                sizes.append(int(sentence[-1]) + 1 if len(sentence) else 0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(pairs, pa.list_(pa.int64())), pa.array(sizes, pa.int64())], ["doc_id", "toxic", "pairs", "n_sentences"])
 
-    return scratch.put("bags", texts.select("doc_id", "toxic", "text").mapInArrow(run, "doc_id long, toxic int, pairs array<long>, n_sentences long"))
+def bag_pairs(text: str) -> tuple[np.ndarray, int]:
+    """(distinct pairs of a sentence and a feature that it has, number of sentences)."""
+    words = words_of([text])
+    sentence = sentence_ids(words)
+    pairs = np.unique(np.concatenate([np.zeros(0, np.int64), *((sentence << FEATURE_BITS) | f for f in word_features(words))]))
+    return pairs, int(sentence[-1]) + 1 if len(sentence) else 0
 
 
-def chosen_features(bags: DataFrame, counts: dict[int, int], max_features: int = 4000) -> np.ndarray:
+def chosen_features(texts: DataFrame, counts: dict[int, int], max_features: int = 4000) -> np.ndarray:
     """Features that are in at least five positive bags and clearly more often there than in negative ones, those that tell most."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 1 << FEATURE_BITS), np.int64)
+        seen = np.zeros((2, 1 << FEATURE_BITS), np.int32)
         for batch in batches:
-            for y, pairs in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                seen[y][np.unique(pairs.values.to_numpy() & ((1 << FEATURE_BITS) - 1))] += 1
+            for y, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                seen[y][np.unique(bag_pairs(text.as_py())[0] & ((1 << FEATURE_BITS) - 1))] += 1
         some = np.flatnonzero(seen.any(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[1][some]), pa.array(seen[0][some])], ["feature", "pos", "neg"])
+        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(seen[1][some].astype(np.int64)), pa.array(seen[0][some].astype(np.int64))], ["feature", "pos", "neg"])
 
-    in_bags = bags.select("toxic", "pairs").mapInArrow(run, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    in_bags = texts.select("toxic", "text").mapInArrow(run, "feature long, pos long, neg long").groupBy("feature").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
     rated = in_bags.where("pos >= 5").selectExpr("feature", "pos", f"(pos + 0.5D) / {counts[1] + 1} as p", f"(neg + 0.5D) / {counts[0] + 1} as q")
     best = rated.where("p > 3 * q").orderBy(F.expr("pos * ln(p / q)").desc(), "feature").limit(max_features)
     return np.sort(np.array([r.feature for r in best.select("feature").collect()], np.int64))
@@ -154,24 +149,25 @@ def fit(docs: DataFrame, labels: DataFrame, holdout_mod: int = 3, holdout_rest:
     scratch = Scratch(docs.sparkSession, "toxicity")
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where((id_remainder("doc_id", holdout_mod) != holdout_rest) & F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     of_class = {r.toxic: r.n for r in known.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    bags = labelled_bags(docs, known, max_per_class, scratch)
-    counts = {0: 0, 1: 0} | {r.toxic: r.n for r in bags.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
-    chosen = chosen_features(bags, counts) if all(counts.values()) else np.zeros(0, np.int64)
+    texts = scratch.put("texts", labelled_texts(docs, known, max_per_class))
+    counts = {0: 0, 1: 0} | {r.toxic: r.n for r in texts.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
+    chosen = chosen_features(texts, counts) if all(counts.values()) else np.zeros(0, np.int64)
     shared = docs.sparkSession.sparkContext.broadcast(chosen)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number = np.full(1 << FEATURE_BITS, -1)
         number[shared.value] = np.arange(len(shared.value))
         for batch in batches:
-            kept = []
-            for pairs in batch.column(2):
-                pair = pairs.values.to_numpy()
+            kept, sizes = [], []
+            for text in batch.column(2):
+                pair, n = bag_pairs(text.as_py())
                 own = number[pair & ((1 << FEATURE_BITS) - 1)]
                 kept.append(((pair >> FEATURE_BITS << FEATURE_BITS) | own)[own >= 0].tobytes())
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary()), batch.column(3)], ["doc_id", "toxic", "pairs", "n_sentences"])
+                sizes.append(n)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(kept, pa.binary()), pa.array(sizes, pa.int64())], ["doc_id", "toxic", "pairs", "n_sentences"])
 
-    rows = bags.mapInArrow(run, "doc_id long, toxic int, pairs binary, n_sentences long").orderBy("doc_id").collect()
-    scratch.drop("bags")
+    rows = texts.mapInArrow(run, "doc_id long, toxic int, pairs binary, n_sentences long").orderBy("doc_id").collect()
+    scratch.drop("texts")
     shared.destroy()
     pairs = [np.frombuffer(r.pairs, np.int64) for r in rows]
     told = [Bag(r.toxic, p & ((1 << FEATURE_BITS) - 1), p >> FEATURE_BITS, r.n_sentences) for r, p in zip(rows, pairs, strict=True)]
@@ -188,9 +184,8 @@ def score(docs: DataFrame, model: Model, sentence_threshold: float = 0.5) -> Dat
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            texts = batch.column(1).to_pylist()
-            for a, b in blocks(texts):
-                words = words_of(texts[a:b])
+            for a, b, texts in text_blocks(batch.column(1)):
+                words = words_of(texts)
                 p, doc = own.sentence_scores(words)
                 sentence, found = sentence_ids(words), [[] for _ in range(b - a)]
                 for k in np.flatnonzero(p >= sentence_threshold).tolist():
@@ -228,10 +223,9 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_co
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = Model(*shared.value)
         for batch in batches:
-            texts = [t or "" for t in batch.column(column).to_pylist()]
-            clean = np.ones(len(texts), bool)
-            for a, b in blocks(texts):
-                clean[a:b] = noisy_or(*own.sentence_scores(words_of(texts[a:b])), b - a) < threshold
+            clean = np.ones(batch.num_rows, bool)
+            for a, b, texts in text_blocks(batch.column(column).fill_null("")):
+                clean[a:b] = noisy_or(*own.sentence_scores(words_of(texts)), b - a) < threshold
             yield batch.filter(pa.array(clean))
 
     return docs.mapInArrow(run, docs.schema)
