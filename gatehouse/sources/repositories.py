@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 FILES = "repo_id string, path string, mode string, stage int, tracked boolean, content binary, error string"
 COMMITS = "repo_id string, author string, committer string, error string"
 REPOS = "repo_id string, head string, dirty boolean, origin string, error string"
+CHANGES = "repo_id string, scope string, kind string, path string, old_path string, error string"
 OBJECTS = "repo_id string, oid string, type string, size long, content binary, error string"
 
 
@@ -53,10 +54,35 @@ def _facts(repo: str) -> Iterator[tuple]:
 
 def _objects(repo: str, revisions: str, max_bytes: int) -> Iterator[tuple]:
     oids = list(dict.fromkeys(_git(repo, "rev-list", "--objects", "--no-object-names", revisions).split()))
+    wanted = []
     for line in _git(repo, "cat-file", "--batch-check", given=b"\n".join(oids)).splitlines():
         oid, kind, size = line.split(b" ")
         if kind == b"blob" and int(size) <= max_bytes:
-            yield _text(oid), "blob", int(size), _git(repo, "cat-file", "blob", _text(oid))
+            wanted.append((oid, int(size)))
+    with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as stream:
+        for oid, size in wanted:  # one at a time, so neither pipe fills
+            stream.stdin.write(oid + b"\n")
+            stream.stdin.flush()
+            head, content = stream.stdout.readline().split(), stream.stdout.read(size + 1)
+            if head != [oid, b"blob", b"%d" % size] or len(content) != size + 1 or content[-1:] != b"\n":
+                raise ValueError("unexpected object")
+            yield _text(oid), "blob", size, content[:-1]
+        stream.stdin.close()
+
+
+def _changes(repo: str, base: str | None) -> Iterator[tuple]:
+    """Paths that differ from ``base``: committed since the two lines parted (scope 'committed'), and on disk now ('worktree'); those gone from disk ('deleted')."""
+    if base is not None:
+        commit = _text(_git(repo, "rev-parse", "--verify", "--end-of-options", base + "^{commit}")).strip()
+        for scope, args in (("committed", [f"{commit}...HEAD"]), ("worktree", [commit])):
+            fields = iter([x for x in _git(repo, "diff", "--name-status", "-z", *args, "--").split(b"\0") if x])
+            for kind in fields:
+                paths = [next(fields)] + ([next(fields)] if kind[:1] in (b"R", b"C") else [])
+                old = _text(paths[0]) if len(paths) > 1 else None
+                yield scope, _text(kind[:1]), _text(paths[-1]), old
+    for path in _git(repo, "ls-files", "-z", "--deleted").split(b"\0"):
+        if path:
+            yield "deleted", "D", _text(path), None
 
 
 def _read(repos: DataFrame, schema: str, rows_of: Callable[[str], Iterator[tuple]]) -> DataFrame:
@@ -96,3 +122,14 @@ def read_repositories(repos: DataFrame) -> DataFrame:
 
 def read_objects(repos: DataFrame, revisions: str = "--all", max_bytes: int = 2_000_000) -> DataFrame:
     return _read(repos, OBJECTS, lambda p: _objects(p, revisions, max_bytes))
+
+
+def read_changes(repos: DataFrame, base: str | None = None) -> DataFrame:
+    """Changed paths by scope, each with git's letter and, if it was renamed or copied, the path before. A base that names no commit is an error row."""
+    return _read(repos, CHANGES, lambda p: _changes(p, base))
+
+
+def changed_paths(changes: DataFrame, scope: str = "worktree") -> DataFrame:
+    """``repo_id, path``, each once: of a rename both paths changed."""
+    rows = changes.where(F.col("error").isNull() & (F.col("scope") == scope))
+    return rows.select("repo_id", F.explode(F.array_compact(F.array("path", "old_path"))).alias("path")).distinct()
