@@ -22,6 +22,18 @@ SECRETS = (
 #: Home folders of three systems (fixed values).
 HOME_PATHS = (rf"[A-Za-z]:[/\\]Users[/\\][^/\\{SPACE}]+", rf"/Users/[^/{SPACE}]+", rf"/home/[^/{SPACE}]+")
 JAPANESE = "[ぁ-んァ-ヶ一-龠]"
+#: Markdown: an opening fence and its info string, code spans, links and their destinations (fixed values).
+FENCE = rf"^[{SPACE}]*(`{{3,}}|~{{3,}})([^`]*)$"
+CODE_SPAN = "`[^`]+`"
+LINK = r"(?<!!)\[[^\]]*\]\(([^)]+)\)"
+LINK_DESTINATION = r"(?<=\])\([^)]*\)"
+#: Mermaid: labels of nodes, asymmetric nodes, edges and messages, and beginnings of lines that have none (fixed values).
+NODE_LABEL = r"[\[(\"{]([^\[\]()\"{}]{2,}?)[\])\"}]"
+ASYMMETRIC_LABEL = r"[\p{L}\p{N}_]>([^\]\n]{2,})\]"
+PIPE_EDGE_LABEL = rf"(?:-->|---|-\.->|==>)[{SPACE}]*\|([^|]{{2,}})\|"
+TEXT_EDGE_LABEL = rf"--[{SPACE}]+(.+?)[{SPACE}]+-->"
+MESSAGE_LABEL = rf"(?:-{{1,2}}>>?|--?[x)])[^:]*:[{SPACE}]*(.+)$"
+DIRECTIVES = ("style ", "classDef ", "class ", "linkStyle ", "click ", "subgraph", "end", "direction ", "%%")
 
 
 def any_of(patterns: Sequence[str]) -> str:
@@ -70,9 +82,10 @@ def base_name(path: Column) -> Column:
 
 
 def redacted_remote(url: Column) -> Column:
-    """A remote's scheme, host, port and path only; null if nothing is left."""
+    """A remote's scheme, lower-cased host, port and path only; null if nothing is left."""
     bare = F.regexp_replace(url, "(?s)[?#].*$", "")
-    with_scheme = F.regexp_replace(bare, r"(?s)^([^:]*://)[^/]*@", "$1")
+    host = F.regexp_extract(bare, r"(?s)^[^:]*://(?:[^/]*@)?([^/]*)", 1)
+    with_scheme = F.concat(F.regexp_extract(bare, "(?s)^[^:]*://", 0), F.lower(host), F.regexp_replace(bare, r"(?s)^[^:]*://[^/]*", ""))
     scp = F.when(F.regexp_like(bare, F.lit("(?s)^[^/:]*@[^/:]*:")) | F.regexp_like(bare, F.lit(r"(?s)^[^/:@]*\.[^/:@]*:")), F.regexp_replace(bare, "(?s)^[^/:]*@", "")).otherwise(bare)
     return F.nullif(F.when(F.contains(url, F.lit("://")), with_scheme).otherwise(scp), F.lit(""))
 

@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gatehouse.functions.patterns import JAPANESE, SPACE
+from gatehouse.functions.patterns import ASYMMETRIC_LABEL, CODE_SPAN, DIRECTIVES, FENCE, JAPANESE, LINK, LINK_DESTINATION, MESSAGE_LABEL, NODE_LABEL, PIPE_EDGE_LABEL, SPACE, TEXT_EDGE_LABEL
 
 _BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
@@ -17,19 +19,29 @@ def lines_of(text: Column) -> Column:
 
 
 def outside_fences(lines: Column) -> Column:
-    """Array of ``(n, line)`` outside fenced blocks. A fence is closed by the same character, at least as often."""
-    start = F.expr("named_struct('mark', '', 'n', 0, 'kept', cast(array() as array<struct<n:int,line:string>>))")
+    """Array of ``(n, line)`` outside fenced blocks. Any line that begins with the opening mark closes a block, whatever follows it.
+
+    Only lines that begin with a mark are folded, into the blocks' first and last lines, so a text's other lines are gone through once.
+    """
+    marked = F.filter(
+        F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), F.regexp_extract(x, FENCE, 1).alias("mark"), F.regexp_replace(x, f"^[{SPACE}]+", "").alias("rest"))),
+        lambda x: F.startswith(x["rest"], F.lit("```")) | F.startswith(x["rest"], F.lit("~~~")),
+    )
+    start = F.expr("named_struct('mark', '', 'first', 0, 'blocks', cast(array() as array<struct<first:int,last:int>>))")
 
-    def step(a: Column, line: Column) -> Column:
-        mark = F.regexp_extract(line, rf"^[{SPACE}]*(`{{3,}}|~{{3,}})([^`]*)$", 1)
-        rest = F.trim(F.regexp_extract(line, rf"^[{SPACE}]*(`{{3,}}|~{{3,}})([^`]*)$", 2))
-        opens = (a["mark"] == "") & (mark != "")
-        closes = (a["mark"] != "") & (mark != "") & (F.substring(mark, 1, 1) == F.substring(a["mark"], 1, 1)) & (F.length(mark) >= F.length(a["mark"])) & (rest == "")
-        n = a["n"] + 1
-        kept = F.when((a["mark"] == "") & ~opens, F.concat(a["kept"], F.array(F.struct(n.alias("n"), line.alias("line"))))).otherwise(a["kept"])
-        return F.struct(F.when(opens, mark).when(closes, F.lit("")).otherwise(a["mark"]).alias("mark"), n.alias("n"), kept.alias("kept"))
+    def step(a: Column, x: Column) -> Column:
+        opens = (a["mark"] == "") & (x["mark"] != "")
+        closes = (a["mark"] != "") & F.startswith(x["rest"], a["mark"])
+        return F.struct(
+            F.when(opens, x["mark"]).when(closes, F.lit("")).otherwise(a["mark"]).alias("mark"),
+            F.when(opens, x["n"]).otherwise(a["first"]).alias("first"),
+            F.when(closes, F.concat(a["blocks"], F.array(F.struct(a["first"].alias("first"), x["n"].alias("last"))))).otherwise(a["blocks"]).alias("blocks"),
+        )
 
-    return F.aggregate(lines, start, step, lambda a: a["kept"])
+    open_end = lambda a: F.when(a["mark"] != "", F.array(F.struct(a["first"].alias("first"), F.lit(2147483647).alias("last")))).otherwise(F.expr("cast(array() as array<struct<first:int,last:int>>)"))
+    blocks = F.aggregate(marked, start, step, lambda a: F.concat(a["blocks"], open_end(a)))
+    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
+    return F.filter(numbered, lambda x: ~F.exists(blocks, lambda b: x["n"].between(b["first"], b["last"])))
 
 
 def stripped(text: Column) -> Column:
@@ -38,24 +50,13 @@ def stripped(text: Column) -> Column:
 
 def _marked(lines: Column, quoted: bool = False) -> Column:
     """Every line with its fence mark (or ''), info string and text without leading white space; ``quoted``: block-quote prefixes are removed first."""
-    fence = rf"^[{SPACE}]*(`{{3,}}|~{{3,}})([^`]*)$"
     bare = F.transform(lines, lambda x: F.regexp_replace(x, rf"^[{SPACE}]*(?:>[{SPACE}]?)+", "")) if quoted else lines
-    return F.transform(bare, lambda x: F.struct(x.alias("line"), F.regexp_extract(x, fence, 1).alias("mark"), stripped(F.regexp_extract(x, fence, 2)).alias("info"), F.regexp_replace(x, f"^[{SPACE}]+", "").alias("rest")))
+    return F.transform(bare, lambda x: F.struct(x.alias("line"), F.regexp_extract(x, FENCE, 1).alias("mark"), stripped(F.regexp_extract(x, FENCE, 2)).alias("info"), F.regexp_replace(x, f"^[{SPACE}]+", "").alias("rest")))
 
 
 def prose_lines(lines: Column) -> Column:
-    """Lines outside fenced blocks as the review of a document sees them: any line that begins with the opening mark closes it."""
-    start = F.expr("named_struct('mark', '', 'kept', cast(array() as array<string>))")
-
-    def step(a: Column, x: Column) -> Column:
-        opens = (a["mark"] == "") & (x["mark"] != "")
-        closes = (a["mark"] != "") & F.startswith(x["rest"], a["mark"])
-        return F.struct(
-            F.when(opens, x["mark"]).when(closes, F.lit("")).otherwise(a["mark"]).alias("mark"),
-            F.when((a["mark"] == "") & ~opens, F.concat(a["kept"], F.array(x["line"]))).otherwise(a["kept"]).alias("kept"),
-        )
-
-    return F.aggregate(_marked(lines), start, step, lambda a: a["kept"])
+    """Lines outside fenced blocks."""
+    return F.transform(outside_fences(lines), lambda x: x["line"])
 
 
 def mermaid_diagrams(lines: Column) -> Column:
@@ -100,16 +101,18 @@ def heading_title(line: Column) -> Column:
 
 
 def link_targets(text: Column) -> Column:
-    """Local targets of links that are no images: first word, without angle brackets, query and fragment."""
-    raw = F.regexp_extract_all(text, F.lit(r"(?<!!)\[[^\]]*\]\(([^)]+)\)"), F.lit(1))
-    first = F.transform(raw, lambda t: F.regexp_replace(F.regexp_extract(t, rf"^[{SPACE}]*([^{SPACE}]*)", 1), "^<|>$", ""))
+    """Local targets of links that are no images: first word, without angle brackets, query and fragment, percent-decoded."""
+    raw = F.regexp_extract_all(text, F.lit(LINK), F.lit(1))
+    first = F.transform(raw, lambda t: F.regexp_replace(F.regexp_extract(t, rf"^[{SPACE}]*([^{SPACE}]*)", 1), "^[<>]+|[<>]+$", ""))
     local = F.filter(first, lambda t: (t != "") & ~t.rlike("^[A-Za-z][A-Za-z0-9+.-]*:|^//|^#"))
-    return F.filter(F.transform(local, lambda t: F.regexp_replace(t, "[?#].*$", "")), lambda t: t != "")
+    # a plus sign and a percent sign before no number stand for themselves
+    decoded = lambda t: F.url_decode(F.regexp_replace(F.replace(F.regexp_replace(t, "(?s)[?#].*$", ""), F.lit("+"), F.lit("%2B")), "%(?![0-9A-Fa-f]{2})", "%25"))
+    return F.filter(F.transform(local, decoded), lambda t: t != "")
 
 
 def resolved(path: Column, target: Column) -> Column:
-    """A target's path seen from a document's path; null if it leaves the repository."""
-    full = F.when(F.startswith(target, F.lit("/")), target).otherwise(F.concat(F.regexp_replace(path, "[^/]*$", ""), target))
+    """A target's path seen from a document's path; null if it leaves the repository, as an absolute one does."""
+    full = F.when(~F.startswith(target, F.lit("/")), F.concat(F.regexp_replace(path, "[^/]*$", ""), target))
     steps = F.filter(F.split(full, "/"), lambda p: (p != "") & (p != "."))
     start = F.expr("named_struct('at', cast(array() as array<string>), 'out', false)")
 
@@ -124,7 +127,7 @@ def resolved(path: Column, target: Column) -> Column:
 
 
 def is_japanese(text: Column, least: int = 20, ratio: float = 0.1) -> Column:
-    prose = F.regexp_replace(F.regexp_replace(text, "`[^`]+`", ""), r"(?<=\])\([^)]*\)", "")
+    prose = F.regexp_replace(F.regexp_replace(text, CODE_SPAN, ""), LINK_DESTINATION, "")
     n = F.regexp_count(prose, F.lit(JAPANESE))
     size = F.length(F.regexp_replace(prose, f"[{SPACE}]", ""))
     return (n >= least) & (n >= F.lit(ratio) * size)
@@ -135,15 +138,10 @@ def diagram_labels(lines: Column) -> Column:
     texts = F.filter(F.transform(lines, stripped), lambda x: x != "")
     sequence = F.lower(F.regexp_extract(F.try_element_at(texts, F.lit(1)), f"^[^{SPACE}]+", 0)) == "sequencediagram"
     body = F.slice(texts, F.lit(2), F.greatest(F.size(texts) - 1, F.lit(0)))
-    kept = F.filter(body, lambda x: ~x.rlike("^(?:style |classDef |class |linkStyle |click |subgraph|end|direction |%%)"))
-    patterns = (
-        r"[\[(\"{]([^\[\]()\"{}]{2,}?)[\])\"}]",
-        r"[\p{L}\p{N}_]>([^\]\n]{2,})\]",  # asymmetric nodes
-        rf"(?:-->|---|-\.->|==>)[{SPACE}]*\|([^|]{{2,}})\|",
-        rf"--[{SPACE}]+(.+?)[{SPACE}]+-->",
-    )
+    kept = F.filter(body, lambda x: ~reduce(lambda a, p: a | F.startswith(x, F.lit(p)), DIRECTIVES, F.lit(False)))
+    patterns = (NODE_LABEL, ASYMMETRIC_LABEL, PIPE_EDGE_LABEL, TEXT_EDGE_LABEL)
     relation = lambda x: F.when(F.contains(x, F.lit(":")) & x.rlike(r"\|\||o[|{]|[}|]o"), F.array(F.substring_index(x, ":", -1))).otherwise(F.array().cast("array<string>"))
     labels = lambda x: F.concat(*[F.regexp_extract_all(x, F.lit(p), F.lit(1)) for p in patterns], relation(x))
-    message = lambda x: F.regexp_extract_all(x, F.lit(rf"(?:-{{1,2}}>>?|--?[x)])[^:]*:[{SPACE}]*(.+)$"), F.lit(1))
+    message = lambda x: F.regexp_extract_all(x, F.lit(MESSAGE_LABEL), F.lit(1))
     found = F.flatten(F.transform(kept, lambda x: F.when(sequence, message(x)).otherwise(labels(x))))
     return F.filter(F.transform(found, stripped), lambda x: x != "")

@@ -11,12 +11,13 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from gatehouse.functions.patterns import HOME_PATHS, SECRETS, base_name, content_has_any, effective_identity, evidence_label
+from gatehouse.functions.patterns import HOME_PATHS, SECRETS, content_has_any, effective_identity, evidence_label
 
 #: Documents that a repository must have (fixed values).
 REQUIRED_DOCUMENTS = ("README.md", "LICENSE", "SECURITY.md", "CONTRIBUTING.md", "PREFLIGHT.md")
 #: Root files that declare dependencies (fixed values).
 DEPENDENCY_FILES = ("pyproject.toml", "requirements.txt", "requirements-dev.txt", "Pipfile", "poetry.lock", "uv.lock", "package.json", "package-lock.json", "pnpm-lock.yaml", "yarn.lock", "Cargo.toml", "Cargo.lock", "go.mod", "go.sum", "Gemfile", "Gemfile.lock", "pom.xml", "build.gradle", "build.gradle.kts")
+#: Checks that decide a status, those only without a base, and those only for a release (fixed values).
 AUDITED = ("clean_worktree", "secret_scan", "personal_path_scan", "commit_identity", "origin", "repository_consistency")
 AUDITED_UNSCOPED = ("required_documents", "dependency_configuration", "ci_configuration")
 AUDITED_RELEASE = ("readme_release_design",)
@@ -38,9 +39,9 @@ def secret_scan(files: DataFrame, history: DataFrame | None = None) -> DataFrame
 
 
 def personal_path_scan(files: DataFrame) -> DataFrame:
-    """repo_id, finding_count, labels (sorted, shown safely), status of ``files(repo_id, path, content)``; contents are bytes or texts."""
+    """repo_id, finding_count, labels (a safely shown path for each finding, sorted), status of ``files(repo_id, path, content)``; contents are bytes or texts."""
     hits = files.select("repo_id", "path", content_has_any(F.col("content"), HOME_PATHS).alias("hit"))
-    found = hits.groupBy("repo_id").agg(F.count_if("hit").alias("finding_count"), F.array_sort(F.collect_set(F.when(F.col("hit"), evidence_label(base_name(F.col("path")))))).alias("labels"))
+    found = hits.groupBy("repo_id").agg(F.count_if("hit").alias("finding_count"), F.array_sort(F.collect_list(F.when(F.col("hit"), evidence_label(F.col("path"))))).alias("labels"))
     return found.withColumn("status", status_of(F.col("finding_count") > 0))
 
 

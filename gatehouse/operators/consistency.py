@@ -8,6 +8,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from gatehouse.functions.config import parsed
 from gatehouse.functions.globs import glob_regex, globs_regex
 from gatehouse.functions.text import link_targets, resolved
 
@@ -22,14 +23,41 @@ ROUTES = {
 }
 
 
+def _regex(globs: Column) -> Column:
+    """The expression of an array of globs, which data holds; for use with rlike."""
+    return F.pandas_udf(lambda s: pd.Series([globs_regex(list(g)) for g in s], index=s.index, dtype=object), "string")(globs)
+
+
 def link_findings(documents: DataFrame, tracked: DataFrame) -> DataFrame:
-    """``repo_id, finding`` of links that leave the repository or lead to nothing tracked (a folder counts by its files)."""
-    links = documents.select("repo_id", "path", F.explode(link_targets(F.col("content"))).alias("target")).withColumn("to", resolved(F.col("path"), F.col("target"))).distinct()
-    outside = links.where("to is null").select("repo_id", F.concat(F.lit("markdown_link_outside_repo:"), "path", F.lit(":"), "target").alias("finding"))
+    """``repo_id, finding`` of links that leave the repository or lead to no tracked file (a folder is none), and of documents that aren't UTF-8.
+
+    ``documents(repo_id, path, content)``: bytes or texts; ``tracked(repo_id, path)``.
+    """
+    read = documents.select("repo_id", "path", F.is_valid_utf8(F.col("content").cast("string")).alias("valid"), F.col("content").cast("string").alias("content"))
+    unreadable = read.where("not valid").select("repo_id", F.concat(F.lit("markdown_unreadable:"), "path").alias("finding"))
+    links = read.where("valid").select("repo_id", "path", F.explode(link_targets(F.col("content"))).alias("target")).withColumn("to", resolved(F.col("path"), F.col("target"))).distinct()
+    named = lambda kind: F.concat(F.lit(f"markdown_link_{kind}:"), "path", F.lit(":"), "target").alias("finding")
+    outside = links.where("to is null").select("repo_id", named("outside_repo"))
+    missing = links.where("to is not null").join(tracked.select("repo_id", F.col("path").alias("to")), ["repo_id", "to"], "left_anti").select("repo_id", named("missing"))
+    return unreadable.unionByName(outside).unionByName(missing)
+
+
+def readme_findings(contracts: DataFrame, files: DataFrame) -> DataFrame:
+    """``repo_id, finding`` of ``contracts(repo_id, required_paths, commands)``: paths that don't exist and commands that README.md doesn't show.
+
+    ``files(repo_id, path, tracked, content)`` are those on disk; their folders exist too.
+    """
+    readme = files.where("path = 'README.md'").groupBy("repo_id").agg(F.bool_or("tracked").alias("tracked"), F.first(F.col("content").cast("string")).alias("body"))
+    joined = contracts.join(readme, "repo_id", "left").withColumn("valid", F.is_valid_utf8("body"))
+    closed = joined.where("not coalesce(tracked, false) or not valid").select("repo_id", F.when(F.col("tracked") & ~F.col("valid"), "readme_unreadable").otherwise("readme_unreadable:README.md").alias("finding"))
+    open_ = joined.where("tracked and valid")
+    shown = open_.select("repo_id", "body", F.posexplode("commands.text").alias("at", "text")).where(~F.contains("body", F.col("text")))
+    commands = shown.select("repo_id", F.concat(F.lit("readme_command_missing:command-"), F.col("at") + 1, F.lit("-"), F.substring(F.sha2("text", 256), 1, 12)).alias("finding"))
+    wanted = open_.select("repo_id", F.explode(F.array_distinct(F.concat("required_paths", F.flatten("commands.paths")))).alias("path")).withColumn("to", resolved(F.lit(""), F.col("path")))
     parents = F.transform(F.sequence(F.lit(1), F.size(F.split("path", "/"))), lambda k: F.array_join(F.slice(F.split(F.col("path"), "/"), F.lit(1), k), "/"))
-    there = tracked.select("repo_id", F.explode(parents).alias("to")).distinct()
-    missing = links.where("to is not null").join(there, ["repo_id", "to"], "left_anti").select("repo_id", F.concat(F.lit("markdown_link_missing:"), "path", F.lit(":"), "target").alias("finding"))
-    return outside.unionByName(missing)
+    there = files.select("repo_id", F.explode(parents).alias("to")).distinct()
+    paths = wanted.where("to <> ''").join(there, ["repo_id", "to"], "left_anti").select("repo_id", F.concat(F.lit("readme_path_missing:"), "path").alias("finding"))
+    return closed.unionByName(commands).unionByName(paths)
 
 
 def artifact_findings(artifacts: DataFrame, files: DataFrame, changes: DataFrame | None = None) -> DataFrame:
@@ -63,9 +91,18 @@ def impact_findings(changes: DataFrame, rules: Sequence[Mapping[str, Sequence[st
 
 
 def capability_routes(changes: DataFrame, routes: Mapping[str, Sequence[str]] = ROUTES) -> DataFrame:
-    """``repo_id, route, paths`` of every route with a changed path, paths sorted and each once."""
+    """``repo_id, route, paths`` of every route with a changed path, paths sorted and each once. A path is matched once, however often it changed."""
+    changed = changes.select("repo_id", "path").distinct()
     matching = F.array_compact(F.array(*[F.when(F.col("path").rlike(globs_regex(g)), F.lit(r)) for r, g in routes.items()]))
-    return changes.select("repo_id", "path", F.explode(matching).alias("route")).groupBy("repo_id", "route").agg(F.array_sort(F.collect_set("path")).alias("paths"))
+    routed = changed.select("path").distinct().select("path", F.explode(matching).alias("route"))
+    return changed.join(routed, "path").groupBy("repo_id", "route").agg(F.array_sort(F.collect_list("path")).alias("paths"))
+
+
+def rule_findings(rules: DataFrame, changes: DataFrame) -> DataFrame:
+    """``repo_id, finding`` of ``rules(repo_id, at, change, requires_any)``, a repository's own: its ``change`` paths changed while none of ``requires_any`` did."""
+    wanted = rules.select("repo_id", "at", _regex(F.col("change")).alias("on_change"), _regex(F.col("requires_any")).alias("on_any"))
+    hits = wanted.join(changes.select("repo_id", "path").distinct(), "repo_id").groupBy("repo_id", "at").agg(F.bool_or(F.expr("path rlike on_change")).alias("hit"), F.bool_or(F.expr("path rlike on_any")).alias("met"))
+    return hits.where("hit and not met").select("repo_id", F.concat(F.lit("related_docs_update_missing:impact-"), "at").alias("finding"))
 
 
 def ratchet(findings: DataFrame, baseline: DataFrame) -> DataFrame:
@@ -87,3 +124,42 @@ def gate_status(mode: Column, findings: Column, new: Column, resolved_: Column,
         .when(mode == "enforce", "fail")
         .otherwise("shadow_findings")
     )
+
+
+def check(repos: DataFrame, configs: DataFrame, files: DataFrame, schema_id: str, changes: DataFrame | None = None, require_config: bool = False, require_mode: str | None = None) -> DataFrame:
+    """``repo_id, mode, status, findings, accepted, new, resolved``: every repository against its own configuration.
+
+    ``configs(repo_id, content)``; ``files(repo_id, path, tracked, content)`` on disk; ``changes(repo_id, path)`` since a base, None without one.
+    A configuration that is not valid, or that asks for changes without a base, is a tool_error, as is a document that can't be read. The
+    exemption of updated action references is not applied.
+    """
+    invalid, parts = parsed(F.col("content"), schema_id)
+    configured = repos.select("repo_id").join(configs.select("repo_id", "content"), "repo_id", "left").select("repo_id", invalid.alias("invalid"), parts.alias("c"))
+    sensitive = F.coalesce((F.size("c.impact") > 0) | F.exists("c.artifacts", lambda a: F.size(a["sources"]) > 0), F.lit(False))
+    configured = configured.withColumn("broken", F.when(F.col("invalid"), "invalid_consistency_config").when(sensitive & F.lit(changes is None), "change_sensitive_scope_unavailable"))
+    live = configured.where("c is not null and broken is null").select("repo_id", "c.*")
+    changed = files.select("repo_id", "path").limit(0) if changes is None else changes
+    tracked = files.where("tracked").select("repo_id", "path", "content")
+
+    # without contracts the README is no document of the check
+    patterns = live.select("repo_id", "has_contracts", F.explode("include").alias("glob")).withColumn("rx", _regex(F.array("glob")))
+    patterns = patterns.where(F.col("has_contracts") | ~F.expr("'README.md' rlike rx"))
+    documents = tracked.alias("f").join(patterns.alias("p"), F.expr("f.repo_id = p.repo_id and f.path rlike p.rx"), "left_semi")
+    rules = live.select("repo_id", F.posexplode("impact").alias("k", "r")).select("repo_id", (F.col("k") + 1).alias("at"), "r.*")
+    artifacts = live.select("repo_id", F.explode("artifacts").alias("a")).select("repo_id", "a.*")
+    late = artifact_findings(artifacts, files, changed).where("state <> 'current'").select("repo_id", F.concat(F.lit("generated_artifact_"), "state", F.lit(":"), "path").alias("finding"))
+    found = link_findings(documents, tracked).unionByName(readme_findings(live.where("has_contracts").select("repo_id", "required_paths", "commands"), files)).unionByName(rule_findings(rules, changed)).unionByName(late).distinct()
+
+    baseline = live.where("mode = 'ratchet'").select("repo_id", F.explode("baseline").alias("finding"))
+    none = F.array().cast("array<string>")
+    listed = found.groupBy("repo_id").agg(F.array_sort(F.collect_list("finding")).alias("found"))
+    sets = ratchet(found.join(live.where("mode = 'ratchet'").select("repo_id"), "repo_id", "left_semi"), baseline)
+    rows = configured.select("repo_id", "broken", F.col("c.mode").alias("mode")).join(listed, "repo_id", "left").join(sets, "repo_id", "left")
+    rows = rows.select("repo_id", "broken", F.when(F.col("broken").isNull(), F.col("mode")).alias("mode"), F.when(F.col("broken").isNotNull(), F.array("broken")).otherwise(F.coalesce("found", none)).alias("findings"), *[F.coalesce(c, none).alias(c) for c in ("accepted", "new", "resolved")])
+    unreadable = F.exists("findings", lambda x: F.startswith(x, F.lit("markdown_unreadable:")) | F.startswith(x, F.lit("readme_unreadable:")))
+    status = F.when(F.col("broken").isNotNull(), "tool_error").otherwise(gate_status(F.col("mode"), F.col("findings"), F.col("new"), F.col("resolved"), unreadable))
+    rows = rows.withColumn("status", status)
+    missing = (F.col("status") == "not_configured") if require_config else F.lit(False)
+    other = ~missing & ~F.col("mode").eqNullSafe(require_mode) if require_mode else F.lit(False)
+    rows = rows.withColumn("findings", F.when(missing, F.array(F.lit("required_consistency_config_missing"))).when(other, F.array_sort(F.array_union("findings", F.array(F.lit("required_consistency_mode_mismatch"))))).otherwise(F.col("findings")))
+    return rows.select("repo_id", "mode", F.when(missing | other, "tool_error").otherwise(F.col("status")).alias("status"), "findings", "accepted", "new", "resolved")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatehouse.functions.patterns import JAPANESE, SPACE
@@ -32,10 +32,12 @@ def headings(docs: DataFrame) -> DataFrame:
     return lines.where(heading_level(F.col("line")) > 0).select("doc_id", (F.col("at") + 1).alias("n"), heading_level(F.col("line")).alias("level"), heading_title(F.col("line")).alias("title"))
 
 
-def level_jumps(heads: DataFrame) -> DataFrame:
-    """Headings more than one level below the heading before them."""
-    before = F.lag("level").over(Window.partitionBy("doc_id").orderBy("n"))
-    return heads.withColumn("before", before).where("level > before + 1").select("doc_id", "n", "before", "level")
+def level_jumps(docs: DataFrame) -> DataFrame:
+    """``doc_id, n, before, level`` of headings more than one level below the heading before them. A row's lines stay where they are."""
+    heads = F.filter(F.transform(lines_of(F.col("text")), lambda x, i: F.struct((i + 1).alias("n"), heading_level(x).alias("level"))), lambda h: h["level"] > 0)
+    rows = docs.select("doc_id", heads.alias("heads"))
+    pairs = F.zip_with(F.slice("heads", F.lit(2), F.greatest(F.size("heads") - 1, F.lit(0))), F.slice("heads", F.lit(1), F.greatest(F.size("heads") - 1, F.lit(0))), lambda h, b: F.struct(h["n"].alias("n"), b["level"].alias("before"), h["level"].alias("level")))
+    return rows.select("doc_id", F.inline(F.filter(pairs, lambda x: x["level"] > x["before"] + 1)))
 
 
 def _names(heads: Column, words: tuple[str, ...]) -> Column:
@@ -43,29 +45,8 @@ def _names(heads: Column, words: tuple[str, ...]) -> Column:
 
 
 def review(docs: DataFrame) -> DataFrame:
-    """``doc_id, codes, status``: sorted error and warning codes of ``docs(doc_id, text)``, and blocked if any is an error.
-
-    Rules of headings, sections, length and wording only; a pass here is no pass of ``release_review``, which has all rules.
-
-    One row's lines are folded where they are; nothing is shuffled.
-    """
-    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("lines", lines_of(F.col("text")))
-    rows = rows.withColumn("heads", F.filter(F.transform("lines", lambda x: F.struct(heading_level(x).alias("level"), heading_title(x).alias("title"))), lambda h: h["level"] > 0))
-    levels = F.transform("heads", lambda h: h["level"])
-    jump = F.exists(F.zip_with(levels, F.slice(levels, F.lit(2), F.greatest(F.size(levels) - 1, F.lit(0))), lambda a, b: b > a + 1), lambda x: F.coalesce(x, F.lit(False)))
-    errors = {
-        "missing_h1": F.coalesce(F.try_element_at(levels, F.lit(1)) != 1, F.lit(True)),
-        "heading_level_jump": jump,
-        "readme_too_long": F.size("lines") > MAX_LINES,
-        **{f"missing_{k}_section": ~_names(F.col("heads"), words) for k, words in SECTIONS.items()},
-    }
-    warnings = {
-        "generic_marketing_copy": reduce(lambda a, p: a | F.contains(F.lower("text"), F.lit(p)), GENERIC, F.lit(False)),
-        "decorative_heading_emoji": F.exists("heads", lambda h: h["title"].rlike(rf"^[^\p{{L}}\p{{N}}_`#{SPACE}]")),
-    }
-    codes = F.array_sort(F.array_compact(F.array(*[F.when(c, F.lit(k)) for k, c in (errors | warnings).items()])))
-    bad = reduce(lambda a, b: a | b, errors.values())
-    return rows.select("doc_id", codes.alias("codes"), F.when(bad, "blocked").otherwise("pass").alias("status"), is_japanese(F.col("text")).alias("japanese"))
+    """``doc_id, codes, status, japanese`` of ``release_review``."""
+    return release_review(docs).select("doc_id", "codes", "status", "japanese")
 
 
 def release_review(docs: DataFrame) -> DataFrame:

@@ -47,31 +47,47 @@ def test_paths_and_white_space(spark):
 
 
 def test_remotes(spark):
-    given = ["https://user:pw@host.org/a/b.git?x=1#y", "git@host:team/x.git", "host.org:x", "/srv/x", "user@h:p?t", "", "ssh://git@h:22/x", "C:/x"]
-    assert column(spark, given, patterns.redacted_remote) == ["https://host.org/a/b.git", "host:team/x.git", "host.org:x", "/srv/x", "h:p", None, "ssh://h:22/x", "C:/x"]
+    given = ["https://user:pw@host.org/a/b.git?x=1#y", "git@host:team/x.git", "host.org:x", "/srv/x", "user@h:p?t", "", "ssh://git@h:22/x", "C:/x", "https://GitHub.COM/X.git"]
+    assert column(spark, given, patterns.redacted_remote) == ["https://host.org/a/b.git", "host:team/x.git", "host.org:x", "/srv/x", "h:p", None, "ssh://h:22/x", "C:/x", "https://github.com/X.git"]
 
 
 def test_links_and_resolution(spark):
-    v = "[a](x)[b](y \"t\") ![i](z.png) [c](<w.md>) [d](http://u/) [e](#f) [g](mailto:a@b) [h](k.md?q#f)"
-    assert column(spark, [v, "[x]( )", None], text.link_targets) == [["x", "y", "w.md", "k.md"], [], None]
+    v = "[a](x)[b](y \"t\") ![i](z.png) [c](<w.md>) [d](http://u/) [e](#f) [g](mailto:a@b) [h](k.md?q#f) [j](my%20f%C3%A9+%zz.md)"
+    assert column(spark, [v, "[x]( )", None], text.link_targets) == [["x", "y", "w.md", "k.md", "my fé+%zz.md"], [], None]
     df = spark.createDataFrame([("docs/a.md", "../b.md"), ("a.md", "../b"), ("d/e/f.md", "./g/../h"), ("d/a.md", "/top.md")], "p string, t string")
-    assert [r.x for r in df.select(text.resolved(F.col("p"), F.col("t")).alias("x")).collect()] == ["b.md", None, "d/e/h", "top.md"]
+    assert [r.x for r in df.select(text.resolved(F.col("p"), F.col("t")).alias("x")).collect()] == ["b.md", None, "d/e/h", None]
+
+
+def fence_free(lines):
+    mark, out = None, []
+    for n, line in enumerate(lines, 1):
+        opens = re.match(r"^\s*(`{3,}|~{3,})([^`]*)$", line)
+        if opens and mark is None:
+            mark = opens[1]
+        elif mark and line.lstrip().startswith(mark):
+            mark = None
+        elif mark is None:
+            out.append((n, line))
+    return out
 
 
 def test_fences(spark):
-    given = "a\n```sh\n# x\n~~~\n````\nb\n~~~~\nc\n~~~\n~~~~\nd\n```\nlast".split("\n")
-    df = spark.createDataFrame([("\n".join(given),)], "v string")
-    assert [(x.n, x.line) for x in df.select(text.outside_fences(text.lines_of(F.col("v"))).alias("x")).first().x] == [(1, "a"), (6, "b"), (11, "d")]
+    rng = random.Random(4)
+    pieces = ["a", "```", "```sh", "````", " ~~~", "~~~~ x", "``` x`", "b", ""]
+    given = ["\n".join(rng.choice(pieces) for _ in range(rng.randint(1, 12))) for _ in range(400)] + ["```\n# in\n```sh\n# out"]
+    found = column(spark, given, lambda c: text.outside_fences(text.lines_of(c)))
+    assert [[(x.n, x.line) for x in f] for f in found] == [fence_free(v.splitlines()) for v in given]
 
 
 def test_review_and_japanese(spark):
-    docs = spark.createDataFrame([(1, "# T\n## Overview\n## What\n## Usage\n## Limits\n"), (2, "### x\n"), (3, None), (4, "# 道具\n" + "これは日本語の文章です。" * 4), (5, "# T\n### j\n" + "x\n" * 300)], "doc_id long, text string")
+    docs = spark.createDataFrame([(1, "# T\nA tool.\n## Overview\n## What\n## Usage\n## Limits\n"), (2, "### x\n"), (3, None), (4, "# 道具\n" + "これは日本語の文章です。" * 4), (5, "# T\n### j\n" + "x\n" * 300), (6, "# T\n## Overview\n## What\n## Usage\n## Limits\n"), (7, "# 道具\n~~~\n" + "これは日本語の文章です。" * 4)], "doc_id long, text string")
     rows = {r.doc_id: r for r in readme.review(docs).collect()}
     assert (rows[1].codes, rows[1].status) == ([], "pass")
     assert "missing_h1" in rows[2].codes
-    assert "missing_h1" in rows[3].codes
-    assert rows[4].japanese
+    assert rows[3].codes == ["readme_missing"]
+    assert rows[4].japanese and not rows[7].japanese  # fenced text is no prose
     assert {"heading_level_jump", "readme_too_long"} <= set(rows[5].codes)
+    assert (rows[6].codes, rows[6].status) == (["missing_lead_summary"], "blocked")
 
 
 def test_unknown_blocks_and_is_no_pass(spark):
