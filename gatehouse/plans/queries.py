@@ -55,8 +55,8 @@ def secret_scan_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.secret_scan(_secrets(spark, sf_dir))
 
 
-@query(f"""with h as (select source as repo_id, concat(cast(doc_id as varchar), '.md') as label, regexp_matches({PATH_TEXT}, {DUCK_PATHS}) as hit from documents)
-    select repo_id, cast(count(*) filter (where hit) as bigint) as finding_count, md5(coalesce(string_agg(distinct label, ',' order by label) filter (where hit), '')) as labels,
+@query(f"""with h as (select source as repo_id, concat('docs/', cast(doc_id as varchar), '.md') as label, regexp_matches({PATH_TEXT}, {DUCK_PATHS}) as hit from documents)
+    select repo_id, cast(count(*) filter (where hit) as bigint) as finding_count, md5(coalesce(string_agg(label, ',' order by label) filter (where hit), '')) as labels,
     case when count(*) filter (where hit) > 0 then 'fail' else 'pass' end as status from h group by repo_id""")
 def personal_path_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = _table(spark, sf_dir, "documents").select(F.col("source").alias("repo_id"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.expr(PATH_TEXT).alias("content"))
@@ -69,11 +69,11 @@ def redact_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", evidence_label(base_name(F.expr(LABEL))).alias("label"))
 
 
-REMOTE = "case when page_id % 4 = 0 then concat('git@host', cast(page_id as varchar(20)), '.org:team/x.git?token=1#f') when page_id % 4 = 1 then replace(url, '://', '://user:secret@') when page_id % 4 = 2 then concat('/srv/git/', cast(page_id as varchar(20)), '#x') else url end"
+REMOTE = "case when page_id % 4 = 0 then concat('git@host', cast(page_id as varchar(20)), '.org:team/x.git?token=1#f') when page_id % 4 = 1 then replace(url, '://', '://user:secret@Sub.') when page_id % 4 = 2 then concat('/srv/git/', cast(page_id as varchar(20)), '#x') else url end"
 
 
 @query(f"""with u as (select page_id, {REMOTE} as url from pages), b as (select page_id, url, regexp_replace(url, '[?#].*$', '', 's') as bare from u)
-    select page_id, nullif(case when url like '%://%' then regexp_replace(bare, '^([^:]*://)[^/]*@', '\\1')
+    select page_id, nullif(case when url like '%://%' then concat(regexp_extract(bare, '(?s)^[^:]*://', 0), lower(regexp_extract(bare, '(?s)^[^:]*://(?:[^/]*@)?([^/]*)', 1)), regexp_replace(bare, '(?s)^[^:]*://[^/]*', ''))
       when regexp_matches(bare, '^[^/:]*@[^/:]*:') or regexp_matches(bare, '^[^/:@]*\\.[^/:@]*:') then regexp_replace(bare, '^[^/:]*@', '') else bare end, '') as remote from b""")
 def redact_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", redacted_remote(F.expr(REMOTE)).alias("remote"))
@@ -118,32 +118,36 @@ def object_dedupe_size_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.history_objects(objects, 2000).groupBy("repo_id").agg(F.count("*").alias("objects"))
 
 
-LINKED = "concat('see [a](../f', cast(doc_id % 40 as varchar(9)), '.md#x) and ![i](no.png)', case when doc_id % 3 = 0 then '[b](<g.md> \"t\")' else '' end, '[c](http://x.y/z) [d](#top)', case when doc_id % 10 = 0 then ' [up](../../../etc)' else '' end)"
+#: Links at the end of each text, by doc_id: percent-encoded ones, a folder, an absolute path, one that leaves the repository.
+LINKED = "concat(coalesce(text, ''), chr(10), 'see [a](../f', cast(doc_id % 40 as varchar(9)), '.md#x) and ![i](no.png)', case when doc_id % 3 = 0 then '[b](<g.md> \"t\")' else '' end, '[c](http://x.y/z) [d](#top) [e](../my%20file.md)', case when doc_id % 8 = 0 then '[f](a%2Bb+c%zz%.md)' else '' end, case when doc_id % 6 = 0 then '[g](../../docs)' else '' end, case when doc_id % 14 = 0 then '[h](/x.md)' else '' end, case when doc_id % 10 = 0 then ' [up](../../../etc)' else '' end)"
 
 
 @query("""with d as (select source as repo_id, concat('docs/', cast(doc_id as varchar), '/r.md') as path, doc_id from documents),
     tracked as (select distinct source as repo_id, concat('docs/f', cast(doc_id % 35 as varchar), '.md') as path from documents),
     f as (select d.repo_id, concat('markdown_link_missing:', d.path, ':../f', cast(d.doc_id % 40 as varchar), '.md') as finding from d left join tracked t on t.repo_id = d.repo_id and t.path = concat('docs/f', cast(d.doc_id % 40 as varchar), '.md') where t.path is null
       union all select repo_id, concat('markdown_link_missing:', path, ':g.md') from d where doc_id % 3 = 0
+      union all select repo_id, concat('markdown_link_missing:', path, ':a+b+c%zz%.md') from d where doc_id % 8 = 0
+      union all select repo_id, concat('markdown_link_missing:', path, ':../../docs') from d where doc_id % 6 = 0
+      union all select repo_id, concat('markdown_link_outside_repo:', path, ':/x.md') from d where doc_id % 14 = 0
       union all select repo_id, concat('markdown_link_outside_repo:', path, ':../../../etc') from d where doc_id % 10 = 0) select distinct repo_id, finding from f""")
 def broken_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents")
     pages = docs.select(F.col("source").alias("repo_id"), F.concat(F.lit("docs/"), F.col("doc_id").cast("string"), F.lit("/r.md")).alias("path"), F.expr(LINKED).alias("content"))
-    tracked = docs.selectExpr("source as repo_id", "concat('docs/f', cast(doc_id % 35 as string), '.md') as path")
+    tracked = docs.select(F.col("source").alias("repo_id"), F.explode(F.expr("array(concat('docs/f', cast(doc_id % 35 as string), '.md'), 'docs/my file.md')")).alias("path")).distinct()
     return consistency.link_findings(pages, tracked).distinct()
 
 
-@query("""with n as (select distinct l_orderkey % 500 as repo_id, concat('f', cast(l_partkey % 20 as varchar)) as finding from lineitem where l_returnflag = 'R'),
-    o as (select distinct l_orderkey % 500 as repo_id, concat('f', cast(l_partkey % 20 as varchar)) as finding from lineitem where l_returnflag = 'A'),
+@query("""with n as (select distinct l_orderkey as repo_id, concat('f', cast(l_partkey % 20 as varchar)) as finding from lineitem where l_returnflag <> 'A'),
+    o as (select distinct l_orderkey as repo_id, concat('f', cast(l_partkey % 20 as varchar)) as finding from lineitem where l_returnflag <> 'R'),
     b as (select coalesce(n.repo_id, o.repo_id) as repo_id, coalesce(n.finding, o.finding) as finding, n.finding is not null as now, o.finding is not null as old from n full join o on n.repo_id = o.repo_id and n.finding = o.finding)
     select repo_id, coalesce(string_agg(finding, ',' order by finding) filter (where now and old), '') as accepted, coalesce(string_agg(finding, ',' order by finding) filter (where now and not old), '') as new, coalesce(string_agg(finding, ',' order by finding) filter (where old and not now), '') as resolved from b group by repo_id""")
 def ratchet_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey % 500 as repo_id", "concat('f', cast(l_partkey % 20 as string)) as finding", "l_returnflag as flag")
-    out = consistency.ratchet(rows.where("flag = 'R'"), rows.where("flag = 'A'"))
+    rows = _table(spark, sf_dir, "lineitem").selectExpr("l_orderkey as repo_id", "concat('f', cast(l_partkey % 20 as string)) as finding", "l_returnflag as flag")
+    out = consistency.ratchet(rows.where("flag <> 'A'"), rows.where("flag <> 'R'"))
     return out.select("repo_id", *[F.concat_ws(",", c).alias(c) for c in ("accepted", "new", "resolved")])
 
 
-@query("""select source as repo_id, concat(cast(doc_id as varchar), '.txt') as path, case when doc_id % 6 = 0 then 'missing' when doc_id % 6 = 1 then 'drift' else 'current' end as state from documents""")
+@query("""select source as repo_id, concat(cast(doc_id as varchar), '.txt') as path, case when doc_id % 6 = 0 then 'missing' when sha256(coalesce(text, '')) <> sha256(case when doc_id % 6 = 1 then concat(coalesce(text, ''), '.') else coalesce(text, '') end) then 'drift' else 'current' end as state from documents""")
 def artifact_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "source as repo_id", "concat(cast(doc_id as string), '.txt') as path", "coalesce(text, '') as content")
     wanted = docs.select("repo_id", "path", F.sha2(F.expr("case when doc_id % 6 = 1 then concat(content, '.') else content end"), 256).alias("sha256"))
@@ -188,14 +192,17 @@ HEADED = "concat('# T', chr(10), 'x', chr(10), repeat('#', 2 + cast(doc_id % 3 a
     h as (select doc_id, n, length(regexp_extract(line, '^(#{{1,6}})[{SPACE}]+[^{SPACE}]', 1)) as level from l), b as (select *, lag(level) over (partition by doc_id order by n) as before from h where level > 0)
     select doc_id, cast(n as int) as n, cast(before as int) as before, cast(level as int) as level from b where level > before + 1""")
 def heading_level_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return readme.level_jumps(readme.headings(_table(spark, sf_dir, "documents").select("doc_id", F.expr(HEADED).alias("text"))))
+    return readme.level_jumps(_table(spark, sf_dir, "documents").select("doc_id", F.expr(HEADED).alias("text")))
 
 
-README = "concat(case when doc_id % 4 = 0 then '## Sub' else '# Tool' end, chr(10), case when doc_id % 3 = 0 then '## Overview' else '## x' end, chr(10), '## Features', chr(10), case when doc_id % 5 < 4 then '## Usage' else '#### Usage' end, chr(10), case when doc_id % 7 = 0 then 'a revolutionary tool' else 'plain' end, chr(10), '## Security', chr(10))"
+#: A README's head before each text (without its headings), by doc_id with and without H1, summary (too long, or in a fence alone) and sections, and Japanese.
+README = "concat(case when doc_id % 4 = 0 then '## Sub' else '# Tool' end, chr(10), case doc_id % 8 when 5 then '' when 6 then concat(repeat('long ', 49), chr(10)) when 7 then concat('```', chr(10), 'fenced', chr(10), '```sh', chr(10)) else concat('What it does.', chr(10)) end, case when doc_id % 3 = 0 then '## Overview' else '## x' end, chr(10), '## Features', chr(10), case when doc_id % 5 < 4 then '## Usage' else '#### Usage' end, chr(10), case when doc_id % 7 = 0 then 'a revolutionary tool' else 'plain' end, chr(10), '## Security', chr(10), case when doc_id % 9 = 0 then repeat('これは日本語', 1 + cast(length(coalesce(text, '')) as int)) else '' end, chr(10), replace(coalesce(text, ''), '#', ''))"
 
 
-@query("""with c as (select doc_id, [case when doc_id % 4 = 0 then 'missing_h1' end, case when doc_id % 5 = 4 then 'heading_level_jump' end, case when doc_id % 3 <> 0 then 'missing_purpose_section' end, case when doc_id % 7 = 0 then 'generic_marketing_copy' end] as a from documents)
-    select doc_id, array_to_string(list_sort(list_filter(a, lambda x: x is not null)), ',') as codes, case when a[1] is not null or a[2] is not null or a[3] is not null then 'blocked' else 'pass' end as status, false as japanese from c""")
+@query(f"""with t as (select doc_id, regexp_split_to_array(regexp_replace({README}, '\\r\\n?', chr(10), 'g'), '[\\n\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') as a from documents),
+    c as (select doc_id, [case when doc_id % 4 = 0 then 'missing_h1' end, case when doc_id % 5 = 4 then 'heading_level_jump' end, case when doc_id % 3 <> 0 then 'missing_purpose_section' end, case when doc_id % 4 = 0 or doc_id % 8 in (5, 7) then 'missing_lead_summary' end, case when doc_id % 8 = 6 then 'lead_summary_too_long' end,
+      case when len(a) - case when a[-1] = '' then 1 else 0 end > 300 then 'readme_too_long' end] as bad, case when doc_id % 7 = 0 then 'generic_marketing_copy' end as warn from t)
+    select doc_id, array_to_string(list_sort(list_filter(list_append(bad, warn), lambda x: x is not null)), ',') as codes, case when len(list_filter(bad, lambda x: x is not null)) > 0 then 'blocked' else 'pass' end as status, doc_id % 9 = 0 as japanese from c""")
 def readme_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readme.review(_table(spark, sf_dir, "documents").select("doc_id", F.expr(README).alias("text"))).withColumn("codes", F.concat_ws(",", "codes"))
 
@@ -211,7 +218,7 @@ RELEASE = "case when doc_id % 17 <> 0 then concat('# Tool', chr(10), case doc_id
       case when not gone then cast(5 + case s when 0 then 3 when 1 then 1 when 2 then 3 else 0 end + case when steps then 4 else 0 end + case when fig then 4 else 0 end + case when ja then 1 else 0 end + case when bare then 0 else 1 end as int) end as line_count, case when not gone then 5 end as heading_count,
       case when not gone then case s when 0 then 15 when 1 then 241 else 0 end end as lead_summary_chars, case when not gone then ja end as japanese, case when not gone then case when fig then 1 else 0 end end as diagram_count, case when not gone then case when fig then 2 else 0 end end as diagram_label_count from c""")
 def readme_release_review(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All rules of a README's release; ``readme_sections`` has the rules of headings, sections and wording only."""
+    """All rules of a README's release with its gate, recommendations and metrics."""
     out = readme.release_review(_table(spark, sf_dir, "documents").select("doc_id", F.expr(RELEASE).alias("text")))
     return out.withColumns({c: F.concat_ws(",", c) for c in ("codes", "recommended")})
 
@@ -301,3 +308,26 @@ def mermaid_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
         else concat('```sh', chr(10), 'A[no diagram]', chr(10), '```', chr(10), coalesce(text, ''), chr(10), '```mermaid', chr(10), array_join({body}, chr(10))) end"""
     found = readme.labels(_table(spark, sf_dir, "documents").select("doc_id", F.expr(text).alias("text")))
     return found.select("doc_id", F.concat_ws(",", "labels").alias("labels"))
+
+
+SCHEMA_ID = "gatehouse.consistency/v1"
+#: A repository a document, by doc_id: no configuration, each mode, a mode that isn't one; paths and commands that the README lacks; artifacts that drifted or are late.
+CONFIG = f"""case when doc_id % 5 > 0 then concat('{{"schema": "{SCHEMA_ID}", "mode": "', case doc_id % 5 when 1 then 'shadow' when 2 then 'ratchet' when 3 then 'enforce' else 'other' end, '", "markdown": {{"include": ["README.md", "docs/**"]}}, "ratchet": {{"baseline": ["generated_artifact_drift:out.txt"]}},',
+    '"readme_contracts": {{"required_paths": ["docs"', case when doc_id % 11 = 0 then ', "none.md"' else '' end, '], "commands": [{{"text": "make"}}', case when doc_id % 13 = 0 then ', {{"text": "make all", "paths": ["docs/my guide.md"]}}' else '' end, ']}},',
+    '"impact_map": [{{"change": ["src/**"], "requires_any": ["docs/*.md"]}}], "generated_artifacts": [{{"path": "out.txt", "sources": ["src/**"], "sha256": "', sha2(case when doc_id % 7 = 0 then concat(coalesce(text, ''), '.') else coalesce(text, '') end, 256), '"}}]}}') end"""
+
+
+@query("""with d as (select doc_id as repo_id, case doc_id % 5 when 1 then 'shadow' when 2 then 'ratchet' when 3 then 'enforce' end as mode, doc_id % 5 = 4 as broken, sha256(coalesce(text, '')) <> sha256(case when doc_id % 7 = 0 then concat(coalesce(text, ''), '.') else coalesce(text, '') end) as drift from documents),
+    f as (select *, list_sort(list_filter([case when drift then 'generated_artifact_drift:out.txt' end, case when repo_id % 4 = 0 then 'generated_artifact_update_missing:out.txt' end, case when repo_id % 3 = 0 then 'markdown_link_missing:README.md:my gone.md' end,
+      case when repo_id % 13 = 0 then concat('readme_command_missing:command-2-', left(sha256('make all'), 12)) end, case when repo_id % 11 = 0 then 'readme_path_missing:none.md' end, case when repo_id % 4 = 0 then 'related_docs_update_missing:impact-1' end], lambda x: x is not null)) as found from d),
+    r as (select *, mode is not null as live, coalesce(mode = 'ratchet', false) as rat, list_filter(found, lambda x: x <> 'generated_artifact_drift:out.txt') as fresh from f)
+    select repo_id, mode, case when broken then 'tool_error' when mode is null then 'not_configured' when rat then case when len(fresh) > 0 or not drift then 'fail' else 'pass' end when len(found) = 0 then 'pass' when mode = 'enforce' then 'fail' else 'shadow_findings' end as status,
+      case when broken then 'invalid_consistency_config' when live then array_to_string(found, ',') else '' end as findings, case when rat and drift then 'generated_artifact_drift:out.txt' else '' end as accepted, case when rat then array_to_string(fresh, ',') else '' end as new, case when rat and not drift then 'generated_artifact_drift:out.txt' else '' end as resolved from r""")
+def consistency_status(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole check of a repository's consistency: configuration, links, README contracts, impact, artifacts, mode."""
+    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id as repo_id", "coalesce(text, '') as text")
+    readme_ = "concat('# T', chr(10), 'run `make` ', case when doc_id % 3 = 0 then '[gone](my%20gone.md) ' else '[ok](docs/my%20guide.md) ' end, text)"
+    files = docs.select("repo_id", F.inline(F.expr(f"array(struct('README.md' as path, {readme_} as content), struct('docs/my guide.md' as path, 'x' as content), struct('out.txt' as path, text as content))"))).withColumn("tracked", F.lit(True))
+    changes = docs.select("repo_id", F.explode(F.expr("case doc_id % 4 when 0 then array('src/app.py') when 1 then array('src/app.py', 'docs/my guide.md', 'out.txt') else array('other.txt') end")).alias("path"))
+    out = consistency.check(docs, docs.select("repo_id", F.expr(CONFIG).alias("content")).where("content is not null"), files, SCHEMA_ID, changes)
+    return out.select("repo_id", "mode", "status", *[F.concat_ws(",", c).alias(c) for c in ("findings", "accepted", "new", "resolved")])
