@@ -1,7 +1,9 @@
 """Corpus pipeline: toxicity, near duplicates, benchmark contamination, personal data, packing.
 
 Each stage takes (spark, docs, sf_dir) with documents' columns and returns them for the documents it keeps;
-the last returns the packed pieces. Null texts and ids pass as each operator defines; extra columns stay.
+the last returns the packed pieces. In every stage a null text counts as empty, a null id is an id of its own, rows that repeat
+an id are judged by their own texts, whole texts of any length are read, an empty table gives none, and
+further columns, whatever their names, stay.
 """
 
 from __future__ import annotations
@@ -10,34 +12,34 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatehouse.llm import decontam, neardup, packing, pii, toxicity
-from gatehouse.llm.common import rows_with, staged, table, text_of
+from gatehouse.llm.common import Scratch, rows_with, table, text_of
 from gatehouse.llm.queries import WORD_VOCAB, vocabulary
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents scored below 0.7 stay. The score goes along with the row, so rows that repeat an id are judged apart."""
+    """Documents scored below 0.7 stay, empty ones too. The score goes along with the row, so rows that repeat an id are judged apart."""
     return toxicity.keep_clean(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate class stays."""
+    """One document of each near-duplicate class stays: the least id, one without an id only where none has one; of rows equal in id and text one."""
     return neardup.deduplicate(docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of which benchmark windows cover a twentieth of the words or more go."""
+    """Documents of which benchmark windows cover a twentieth of the words or more go; texts without words stay, rows of one id are matched by text too."""
     found = decontam.contamination(docs, table(spark, sf_dir, "benchmark")).where("contaminated").select("doc_id", "text_hash").distinct()
     rows = rows_with(docs, own_id=F.col("doc_id").cast("long"), own_hash=F.xxhash64(text_of()))
     return rows.join(found, F.expr("own_id <=> doc_id and own_hash = text_hash"), "left_anti").select("row.*")
 
 
 def redact_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal data is replaced by its kind; n_chars follows the text."""
+    """Personal data is replaced by its kind; n_chars follows the text. No row goes; null texts stay null."""
     return pii.redact(docs).withColumn("n_chars", F.length("text").cast("long"))
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of 2048 tokens."""
+    """Pieces of documents in sequences of 2048 tokens; an empty text is one piece, its end id."""
     return packing.pack(docs, vocabulary(WORD_VOCAB))
 
 
@@ -54,8 +56,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``, each written as Parquet and read again for the next."""
-    docs = table(spark, sf_dir, "documents")
-    for name, stage in STAGES:
-        docs = staged(stage(spark, docs, sf_dir), "stage-" + name.replace(" ", "-"))
+    """All stages over ``documents``, each written as Parquet and read again for the next, after which its predecessor's table goes."""
+    scratch, docs = Scratch(spark, "pipeline"), table(spark, sf_dir, "documents")
+    for k, (_, stage) in enumerate(STAGES):
+        docs = scratch.put(f"stage-{k}", stage(spark, docs, sf_dir))
+        scratch.drop(f"stage-{k - 1}")
     return docs
