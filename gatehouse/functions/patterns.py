@@ -25,6 +25,7 @@ JAPANESE = "[ぁ-んァ-ヶ一-龠]"
 #: Markdown: an opening fence and its info string, code spans, links and their destinations (fixed values).
 FENCE = rf"^[{SPACE}]*(`{{3,}}|~{{3,}})([^`]*)$"
 CODE_SPAN = "`[^`]+`"
+TABLE_DIVIDER = r"^:?-{3,}:?\z"
 LINK = r"(?<!!)\[[^\]]*\]\(([^)]+)\)"
 LINK_DESTINATION = r"(?<=\])\([^)]*\)"
 #: Mermaid: labels of nodes, asymmetric nodes, edges and messages, and beginnings of lines that have none (fixed values).

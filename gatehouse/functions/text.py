@@ -7,8 +7,10 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from gatehouse.functions.patterns import ASYMMETRIC_LABEL, CODE_SPAN, DIRECTIVES, FENCE, JAPANESE, LINK, LINK_DESTINATION, MESSAGE_LABEL, NODE_LABEL, PIPE_EDGE_LABEL, SPACE, TEXT_EDGE_LABEL
+from gatehouse.functions.patterns import ASYMMETRIC_LABEL, CODE_SPAN, DIRECTIVES, FENCE, JAPANESE, LINK, LINK_DESTINATION, MESSAGE_LABEL, NODE_LABEL, PIPE_EDGE_LABEL, SPACE, TABLE_DIVIDER, TEXT_EDGE_LABEL
 
+#: What a table's cell is made of: escaped characters, code spans (an open one runs to the line's end) and others but pipes. Possessive, so no line is too long.
+_CELL = r"(?s)\|((?:\\.|\\\z|`(?:\\.|[^`\\])*+(?:`|\\?\z)|[^|`\\])*+)"
 _BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
@@ -76,6 +78,38 @@ def mermaid_diagrams(lines: Column) -> Column:
     return F.aggregate(_marked(lines, quoted=True), start, step, lambda a: F.when(a["inside"], F.concat(a["done"], F.array(a["block"]))).otherwise(a["done"]))
 
 
+def row_cells(line: Column) -> Column:
+    """Cells of a table's row, split at pipes that are neither escaped nor in a code span; empty first and last cells are none."""
+    cells = F.transform(F.regexp_extract_all(F.concat(F.lit("|"), stripped(line)), F.lit(_CELL), F.lit(1)), stripped)
+    head = F.when(F.try_element_at(cells, F.lit(1)) == "", F.slice(cells, F.lit(2), F.size(cells))).otherwise(cells)
+    return F.when(F.try_element_at(head, F.lit(-1)) == "", F.slice(head, F.lit(1), F.size(head) - 1)).otherwise(head)
+
+
+def code_width(cell: Column) -> Column:
+    """Characters of a cell's code spans."""
+    return F.aggregate(F.regexp_extract_all(cell, F.lit(CODE_SPAN), F.lit(0)), F.lit(0), lambda n, x: n + F.length(x))
+
+
+def table_code_width(lines: Column) -> Column:
+    """Width of code in the widest cell of all tables outside fences, 0 without any.
+
+    A table is a row above a divider and the rows right after it, all of two cells or more. The fold keeps the line before, no list.
+    """
+    shape = lambda cells: F.struct((F.size(cells) >= 2).alias("row"), ((F.size(cells) >= 2) & F.forall(cells, lambda c: c.rlike(TABLE_DIVIDER))).alias("divider"), F.coalesce(F.array_max(F.transform(cells, code_width)), F.lit(0)).alias("width"))
+    rows = F.transform(outside_fences(lines), lambda x: F.when(F.contains(x["line"], F.lit("|")), shape(row_cells(x["line"]))))
+    start = F.expr("named_struct('inside', false, 'before', 0, 'widest', 0)")
+
+    def step(a: Column, x: Column) -> Column:
+        row, divider = F.coalesce(x["row"], F.lit(False)), F.coalesce(x["divider"], F.lit(False))
+        return F.struct(
+            (row & (a["inside"] | divider)).alias("inside"),
+            F.when(row, x["width"]).otherwise(0).alias("before"),
+            F.greatest(a["widest"], F.when(divider, a["before"]).otherwise(0), F.when(row & a["inside"], x["width"]).otherwise(0)).alias("widest"),
+        )
+
+    return F.aggregate(rows, start, step, lambda a: a["widest"])
+
+
 def lead_summary(prose: Column) -> Column:
     """The first paragraph after the first H1 and before the next H2 of lines outside fences, joined by spaces; '' if there is none."""
     at = lambda a, p: F.coalesce(F.array_position(F.transform(a, p), True), F.lit(0)).cast("int")

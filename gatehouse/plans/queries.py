@@ -80,7 +80,7 @@ def redact_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""with p as (select distinct c_mktsegment as repo_id, case when c_mktsegment < 'C' then 'one' else concat('p', cast(c_nationkey as varchar)) end as author, 'one' as committer from customer)
-    select repo_id, cast(count(*) as bigint) as identities, cast(count(*) filter (where author <> 'one' or committer <> 'one') as bigint) as mismatches, 'configured' as policy,
+    select repo_id, cast(count(*) as bigint) as identities, cast(count(*) filter (where author <> 'one' or committer <> 'one') as bigint) as mismatches, 'expected_identity' as policy,
     case when count(*) filter (where author <> 'one' or committer <> 'one') > 0 then 'fail' else 'pass' end as status from p group by repo_id""")
 def commit_identity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _table(spark, sf_dir, "customer").selectExpr("c_mktsegment as repo_id", "case when c_mktsegment < 'C' then 'one 1700000000 +0900' else concat('p', cast(c_nationkey as string), ' 1700000000 -0100') end as author", "'one' as committer")
@@ -208,14 +208,14 @@ def readme_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: By doc_id: a summary after the H1, too long a one, one in a fence, none; a diagram, steps, a screen with and without an image, Japanese prose.
-RELEASE = "case when doc_id % 17 <> 0 then concat('# Tool', chr(10), case doc_id % 4 when 0 then concat(chr(10), 'A short', chr(10), ' summary ', chr(10)) when 1 then concat(repeat('long ', 48), 'x', chr(10)) when 2 then concat('  ~~~~', chr(10), 'no summary', chr(10), '~~~~', chr(10)) else '' end, '## Overview of the UI', chr(10), '## Features', chr(10), '## Usage', chr(10), case when doc_id % 3 = 0 then concat('1. a', chr(10), ' 2) b', chr(10), '3. c', chr(10), '4. d', chr(10)) else '' end, '## Security', chr(10), case when doc_id % 5 = 0 then concat('> ```mermaid', chr(10), '> graph LR', chr(10), '> A[one] --> B>two]', chr(10), '> ```', chr(10)) else '' end, case when doc_id % 7 = 0 then concat(repeat('これは日本語の文章です', 9), chr(10)) else '' end, case when doc_id % 11 = 0 then '![i](a.png)' else '' end) end"
+RELEASE = "case when doc_id % 17 <> 0 then concat('# Tool', chr(10), case doc_id % 4 when 0 then concat(chr(10), 'A short', chr(10), ' summary ', chr(10)) when 1 then concat(repeat('long ', 48), 'x', chr(10)) when 2 then concat('  ~~~~', chr(10), 'no summary', chr(10), '~~~~', chr(10)) else '' end, '## Overview of the UI', chr(10), '## Features', chr(10), '## Usage', chr(10), case when doc_id % 3 = 0 then concat('1. a', chr(10), ' 2) b', chr(10), '3. c', chr(10), '4. d', chr(10)) else '' end, '## Security', chr(10), case when doc_id % 5 = 0 then concat('> ```mermaid', chr(10), '> graph LR', chr(10), '> A[one] --> B>two]', chr(10), '> ```', chr(10)) else '' end, case when doc_id % 7 = 0 then concat(repeat('これは日本語の文章です', 9), chr(10)) else '' end, case when doc_id % 11 = 0 then concat('![i](a.png)', chr(10)) else '' end, case when doc_id % 13 = 0 and doc_id % 5 > 0 then concat('| a | b |', chr(10), '| --- | :---: |', chr(10), '| x \\\\| y | `', repeat('c', 98 + cast(doc_id % 2 as int)), '` `|` |', chr(10)) else '' end) end"
 
 
-@query("""with d as (select doc_id, doc_id % 17 = 0 as gone, doc_id % 4 as s, doc_id % 3 = 0 as steps, doc_id % 5 = 0 as fig, doc_id % 7 = 0 as ja, doc_id % 11 <> 0 as bare from documents),
-    c as (select *, [case when ja and fig then 'diagram_labels_not_localized' end, case when s = 1 then 'lead_summary_too_long' end, case when s > 1 then 'missing_lead_summary' end] as codes, [case when bare then 'Figma or frontend-design' end, case when ja and fig then 'Localize Diagram' end, case when s > 1 then 'Product Design' end, case when steps and not fig then 'Visualize' end] as advice from d)
+@query("""with d as (select doc_id, doc_id % 17 = 0 as gone, doc_id % 4 as s, doc_id % 3 = 0 as steps, doc_id % 5 = 0 as fig, doc_id % 7 = 0 as ja, doc_id % 11 <> 0 as bare, doc_id % 13 = 0 and doc_id % 5 > 0 as tab from documents),
+    c as (select *, [case when ja and fig then 'diagram_labels_not_localized' end, case when s = 1 then 'lead_summary_too_long' end, case when s > 1 then 'missing_lead_summary' end, case when ja and tab then 'table_command_cell_too_wide' end] as codes, [case when bare then 'Figma or frontend-design' end, case when ja and fig then 'Localize Diagram' end, case when s > 1 then 'Product Design' end, case when ja and tab then 'Template Creator' end, case when steps and not fig then 'Visualize' end] as advice from d)
     select doc_id, case when gone then 'readme_missing' else array_to_string(list_filter(codes, lambda x: x is not null), ',') end as codes, case when gone or s > 0 then 'blocked' else 'pass' end as status,
       case when gone then 'blocked_readme_missing' when s > 0 then 'blocked_readme_design' else 'passed_readme_design' end as release_gate, case when gone then 'Template Creator' else array_to_string(list_filter(advice, lambda x: x is not null), ',') end as recommended,
-      case when not gone then cast(5 + case s when 0 then 3 when 1 then 1 when 2 then 3 else 0 end + case when steps then 4 else 0 end + case when fig then 4 else 0 end + case when ja then 1 else 0 end + case when bare then 0 else 1 end as int) end as line_count, case when not gone then 5 end as heading_count,
+      case when not gone then cast(5 + case s when 0 then 3 when 1 then 1 when 2 then 3 else 0 end + case when steps then 4 else 0 end + case when fig then 4 else 0 end + case when ja then 1 else 0 end + case when bare then 0 else 1 end + case when tab then 3 else 0 end as int) end as line_count, case when not gone then case when tab then 103 + cast(doc_id % 2 as int) else 0 end end as widest_table_command_cell, case when not gone then 5 end as heading_count,
       case when not gone then case s when 0 then 15 when 1 then 241 else 0 end end as lead_summary_chars, case when not gone then ja end as japanese, case when not gone then case when fig then 1 else 0 end end as diagram_count, case when not gone then case when fig then 2 else 0 end end as diagram_label_count from c""")
 def readme_release_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules of a README's release with its gate, recommendations and metrics."""
