@@ -55,7 +55,7 @@ def commit_identity(commits: DataFrame, expected: str | None) -> DataFrame:
     pairs = commits.select("repo_id", effective_identity(F.col("author")).alias("author"), effective_identity(F.col("committer")).alias("committer")).distinct()
     wrong = F.lit(False) if expected is None else (F.col("author") != expected) | (F.col("committer") != expected)
     out = pairs.groupBy("repo_id").agg(F.count("*").alias("identities"), F.count_if(wrong).alias("mismatches"))
-    return out.select("*", F.lit("configured" if expected else "not_configured").alias("policy"), status_of(F.col("mismatches") > 0).alias("status"))
+    return out.select("*", F.lit("expected_identity" if expected else "not_configured").alias("policy"), status_of(F.col("mismatches") > 0).alias("status"))
 
 
 def required_documents(repos: DataFrame, files: DataFrame, names: Sequence[str] = REQUIRED_DOCUMENTS, marker: str | None = None, marked: str = "PREFLIGHT.md") -> DataFrame:
@@ -100,5 +100,12 @@ def as_checks(**results: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, rows)
 
 
-def exit_code(status: Column) -> Column:
+def exit_code(status: Column, kind: str = "scan") -> Column:
+    """A process's exit code of a status, by ``kind`` of report: scan, dialogue, consistency or readme."""
+    if kind == "dialogue":
+        return F.when(status == "ready_after_confirmation", 0).when(status.isin("blocked", "needs_human_input"), 1).otherwise(2)
+    if kind == "consistency":
+        return F.when(status.isin("pass", "not_configured"), 0).otherwise(1)
+    if kind == "readme":
+        return F.when(status == "pass", 0).otherwise(1)
     return F.when(status == "pass", 0).when(status == "tool_error", 2).otherwise(1)

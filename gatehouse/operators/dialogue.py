@@ -62,9 +62,15 @@ def conversation(scans: DataFrame, checks: DataFrame, intent: str, audience: str
 
 
 def confirmations(scans: DataFrame, intent: str) -> DataFrame:
-    """``repo_id, id, kind, severity, blocks_intent, action``: the last question before an intent, one a repository."""
+    """``repo_id, id, kind, severity, blocks_intent, action, binding``: the last question before an intent, one a repository.
+
+    Where ``scans`` has ``head``, ``base_ref`` and ``base_oid`` and the intent is none of publishing or creating, the approval is bound to
+    them: it has to be asked anew once the base or the head moved.
+    """
+    bound = {"head", "base_ref", "base_oid"} <= set(scans.columns) and intent not in ("publish", "create_repo")
+    binding = F.when(F.col("base_ref").isNotNull() & F.col("base_oid").isNotNull(), F.struct("base_ref", "base_oid", F.col("head").alias("head_oid"))) if bound else F.lit(None).cast("struct<base_ref:string,base_oid:string,head_oid:string>")
     action = {"publish": "expand_audience", "create_repo": "create_private_repository"}.get(intent, intent)
-    return scans.select("repo_id", F.lit(f"confirm_{intent}").alias("id"), F.lit("intent_confirmation").alias("kind"), F.lit("required").alias("severity"), F.lit(True).alias("blocks_intent"), F.lit(action).alias("action"))
+    return scans.select("repo_id", F.lit(f"confirm_{intent}").alias("id"), F.lit("intent_confirmation").alias("kind"), F.lit("required").alias("severity"), F.lit(True).alias("blocks_intent"), F.lit(action).alias("action"), binding.alias("binding"))
 
 
 def proposals(checks: DataFrame, intent: str) -> DataFrame:
@@ -95,9 +101,9 @@ def is_active(mode: Column, until: Column, as_of: Column) -> Column:
 
 
 def record_dismissal(mode: Column, as_of: Column) -> Column:
-    """Struct (mode, until) of an answer: ``Nd``, ``snooze_Nd`` or forever; null for others."""
-    days = F.regexp_extract(mode, "^(?:snooze_)?(7|30|90)d$", 1)
-    return F.when(mode == "forever", F.struct(F.lit("forever").alias("mode"), F.lit(None).cast("date").alias("until"))).when(days != "", F.struct(F.lit("snooze").alias("mode"), F.date_add(as_of, F.try_to_number(days, F.lit("99")).cast("int")).alias("until")))
+    """Struct (mode, until) of an answer: 7d, 30d, 90d, ``snooze_Nd`` of any N, or forever; null for others, which aren't answers."""
+    days = F.regexp_extract(mode, r"^(?:snooze_(?=[0-9]{1,6}d*\z)|(?=(?:7|30|90)d\z))([0-9]+)", 1)
+    return F.when(mode == "forever", F.struct(F.lit("forever").alias("mode"), F.lit(None).cast("date").alias("until"))).when(days != "", F.struct(F.lit("snooze").alias("mode"), F.date_add(as_of, days.try_cast("int")).alias("until")))
 
 
 def with_suppressed(props: DataFrame, dismissals: DataFrame, as_of: Column) -> DataFrame:
@@ -117,3 +123,21 @@ def dialogue_status(scans: DataFrame, props: DataFrame) -> DataFrame:
     joined = scans.select("repo_id", F.col("status").alias("scan")).join(open_, "repo_id", "left")
     status = F.when((F.col("scan") == "tool_error") | F.coalesce("hold", F.lit(False)), "blocked").when(F.coalesce("needs", F.lit(False)) | (F.col("scan") == "blocked"), "needs_human_input").otherwise("ready_after_confirmation")
     return joined.select("repo_id", status.alias("status"))
+
+
+def packet(scans: DataFrame, props: DataFrame, dismissals: DataFrame, intent: str, as_of: Column, audience: str = "unspecified") -> DataFrame:
+    """``repo_id, status, visible, suppressed, packet``: what is asked of a repository's people before an intent, as one JSON document each.
+
+    ``scans(repo_id, status)``, with ``head``, ``base_ref`` and ``base_oid`` where approvals are bound; ``props`` as of ``conversation``, of any
+    further columns; ``dismissals(repo_id, id, mode, until)``. Dismissed proposals are listed but decide no status. Every scan has a row.
+    """
+    marked = with_suppressed(props, dismissals, as_of).withColumn("max_dismissal", max_dismissal(F.col("kind"), F.col("severity")))
+    item = F.struct("id", "kind", "severity", "blocks_intent", F.col("max_dismissal").isNotNull().alias("dismissible"), "max_dismissal")
+    lists = marked.groupBy("repo_id").agg(F.array_sort(F.collect_list(F.when(~F.col("suppressed"), item))).alias("asked"), F.array_sort(F.collect_set(F.when(F.col("suppressed"), F.col("id")))).alias("suppressed"))
+    last = confirmations(scans, intent).select("repo_id", F.array(F.struct("id", "kind", "severity", "blocks_intent", "action", "binding")).alias("confirmations"))
+    status = dialogue_status(scans, marked.where("not suppressed"))
+    rows = status.join(lists, "repo_id", "left").join(last, "repo_id", "left")
+    asked = F.coalesce("asked", F.expr("cast(array() as array<struct<id:string,kind:string,severity:string,blocks_intent:boolean,dismissible:boolean,max_dismissal:string>>)"))
+    rows = rows.select("repo_id", "status", asked.alias("asked"), F.coalesce("suppressed", F.array().cast("array<string>")).alias("suppressed"), "confirmations")
+    body = F.struct(F.lit(intent).alias("intent"), "status", F.lit("blocked_human_review_required").alias("publication_decision"), F.lit(audience).alias("audience"), F.col("asked").alias("proposals"), F.col("suppressed").alias("suppressed_proposals"), "confirmations")
+    return rows.select("repo_id", "status", F.transform("asked", lambda p: p["id"]).alias("visible"), "suppressed", F.to_json(body).alias("packet"))

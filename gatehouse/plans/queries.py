@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from gatehouse.functions.globs import globs_regex
 from gatehouse.functions.patterns import HOME_PATHS, SECRETS, SPACE, any_of, base_name, evidence_label, redacted_remote
 from gatehouse.functions.text import heading_level
-from gatehouse.operators import checks, consistency, dialogue, readme
+from gatehouse.operators import checks, consistency, dialogue, preferences, readme, scan
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -331,3 +331,63 @@ def consistency_status(spark: SparkSession, sf_dir: str) -> DataFrame:
     changes = docs.select("repo_id", F.explode(F.expr("case doc_id % 4 when 0 then array('src/app.py') when 1 then array('src/app.py', 'docs/my guide.md', 'out.txt') else array('other.txt') end")).alias("path"))
     out = consistency.check(docs, docs.select("repo_id", F.expr(CONFIG).alias("content")).where("content is not null"), files, SCHEMA_ID, changes)
     return out.select("repo_id", "mode", "status", *[F.concat_ws(",", c).alias(c) for c in ("findings", "accepted", "new", "resolved")])
+
+
+#: A repository a document: files by doc_id, with a secret, a home folder, a document that is missing or lacks its marker, a workflow without jobs.
+SCANNED = """array(named_struct('path', 'README.md', 'content', concat(coalesce(text, ''), if(doc_id % 7 = 0, concat(' sk-', repeat('A', 24)), ''))), named_struct('path', if(doc_id % 11 = 0, 'LICENCE', 'LICENSE'), 'content', 'x'), named_struct('path', 'SECURITY.md', 'content', 'x'), named_struct('path', 'CONTRIBUTING.md', 'content', 'x'),
+    named_struct('path', 'PREFLIGHT.md', 'content', if(doc_id % 13 = 0, 'x', 'all reviewed')), named_struct('path', '.github/workflows/ci.yml', 'content', if(doc_id % 17 = 0, ' jobs:', 'name: x\njobs:')), named_struct('path', if(doc_id % 3 = 0, 'go.mod', 'sub/go.mod'), 'content', if(doc_id % 19 = 0, concat('/home/', 'someone/x'), 'x')))"""
+
+
+@query("""with d as (select doc_id as repo_id, doc_id % 31 = 0 as gone, list_sort(list_filter([case when doc_id % 17 = 0 then 'ci_configuration:fail' end, case when doc_id % 23 = 0 then 'clean_worktree:fail' end, case when doc_id % 37 = 0 then 'commit_identity:fail' when doc_id % 47 = 0 then 'commit_identity:unknown' end, case when doc_id % 3 > 0 then 'dependency_configuration:not_applicable' end,
+      case when doc_id % 29 = 0 then 'origin:unknown' end, case when doc_id % 19 = 0 then 'personal_path_scan:fail' end, case when doc_id % 43 = 0 then 'repository_consistency:tool_error' end, case when doc_id % 11 = 0 or doc_id % 13 = 0 then 'required_documents:fail' end, case when doc_id % 7 = 0 or doc_id % 41 = 0 then 'secret_scan:fail' end], lambda x: x is not null)) as bad,
+      cast(case when doc_id % 7 = 0 then 1 else 0 end + case when doc_id % 41 = 0 then 1 else 0 end as bigint) as n, case when doc_id % 19 = 0 then case when doc_id % 3 = 0 then 'go.mod' else 'sub/go.mod' end end as home, doc_id % 29 <> 0 as remote from documents),
+    s as (select *, case when gone or list_contains(bad, 'repository_consistency:tool_error') then 'tool_error' when len(list_filter(bad, lambda x: x not like '%not_applicable')) > 0 then 'blocked' else 'pass' end as status from d)
+    select repo_id, status, case when gone then 'not_git_repository' else '' end as issues, case when gone then '' else array_to_string(bad, ',') end as checks, case status when 'pass' then 0 when 'tool_error' then 2 else 1 end as exit_code, case when not gone then n end as finding_count, case when not gone then home end as home, case when not gone and remote then 'https://host.org/x.git' end as origin from s""")
+def scan_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole scans with their reports: worktree, documents, contents, history, identities, origin, consistency."""
+    docs = _table(spark, sf_dir, "documents")
+    repos = docs.selectExpr("doc_id as repo_id", "'h' as head", "doc_id % 23 = 0 as dirty", "case when doc_id % 29 <> 0 then 'https://U:p@Host.org/x.git?q' end as origin", "case when doc_id % 31 = 0 then 'NotARepository' end as error")
+    files = docs.select(F.col("doc_id").alias("repo_id"), F.inline(F.expr(SCANNED)))
+    commits = docs.selectExpr("doc_id as repo_id", "'me' as author", "if(doc_id % 37 = 0, 'you', 'me') as committer")
+    objects = docs.selectExpr("doc_id as repo_id", "md5(cast(doc_id as string)) as oid", "if(doc_id % 41 = 0, concat('AKIA', repeat('Z', 16)), coalesce(text, '')) as content")
+    now = docs.selectExpr("doc_id as repo_id", "'me 1700000000 +0900' as author", "case when doc_id % 47 > 0 then 'me 1700000000 +0900' end as committer")
+    judged = docs.selectExpr("doc_id as repo_id", "if(doc_id % 43 = 0, 'tool_error', 'pass') as status", "'shadow' as mode", "cast(array() as array<string>) as findings")
+    out = scan.scan(repos, files, commits, objects, now, judged, expected="me", marker="reviewed")
+    named = F.map_filter("checks", lambda k, v: k.isin(*checks.audited_checks()) & (v != "pass"))
+    listed = F.array_join(F.array_sort(F.transform(F.map_entries(named), lambda e: F.concat_ws(":", e["key"], e["value"]))), ",")
+    of = lambda path: F.get_json_object("report", f"$.checks.{path}")
+    return out.select("repo_id", "status", F.concat_ws(",", "issues").alias("issues"), F.coalesce(listed, F.lit("")).alias("checks"), "exit_code", of("secret_scan.finding_count").cast("long").alias("finding_count"), of("personal_path_scan.files[0]").alias("home"), of("origin.url").alias("origin"))
+
+
+PREFERENCES = """case o_orderkey % 7 when 0 then null when 1 then '{"dismissals": {' when 2 then '[1]' when 3 then '{"dismissals": [1]}' else concat('{"dismissals": {"a": {"mode": "', if(o_orderkey % 3 = 0, 'forever', 'none'), '"}, "b": {"mode": "snooze", "until": "', date_format(o_orderdate, 'yyyy-MM-dd'), 'T09:00"}, "c": "forever"}}') end"""
+GUIDE = """case o_orderkey % 5 when 0 then null when 1 then '# Guide' else concat('# Guide\n<!--  guide-age\n last_reviewed: ', if(o_orderkey % 5 = 2, '1998-02-30', date_format(o_orderdate, 'yyyy-MM-dd')), ' max_age_days: ', cast(o_orderkey % 400 as string), '\n-->') end"""
+
+
+@query("""with d as (select *, date_diff('day', cast(o_orderdate as date), date '1996-06-01') as age from orders)
+    select o_orderkey as repo_id, case o_orderkey % 7 when 1 then 'preferences_unreadable' when 2 then 'preferences_invalid' end as load_error,
+      case when o_orderkey % 7 > 3 then concat_ws(',', case when o_orderkey % 3 = 0 then 'a' end, case when age <= 0 then 'b' end) else '' end as active,
+      case when o_orderkey % 5 < 3 then 'unknown' when age > o_orderkey % 400 then 'stale' else 'fresh' end as status, case o_orderkey % 5 when 0 then 'baseline_document_missing' when 1 then 'baseline_marker_missing' when 2 then 'baseline_marker_missing' end as reason, case when o_orderkey % 5 > 2 then cast(age as int) end as age_days from d""")
+def preference_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference documents, broken ones too, with the dismissals that hold, and the age of guides by their markers."""
+    day = F.expr("date '1996-06-01'")
+    rows = _table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("repo_id"), F.expr(PREFERENCES).alias("content"), preferences.baseline_document(F.expr(GUIDE), "guide-age", day).alias("guide"))
+    prefs = preferences.loaded(rows)
+    held = preferences.active(prefs, day).groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("active"))
+    out = rows.select("repo_id", "guide").join(prefs.select("repo_id", "load_error"), "repo_id").join(held, "repo_id", "left")
+    return out.select("repo_id", "load_error", F.coalesce("active", F.lit("")).alias("active"), "guide.status", "guide.reason", "guide.age_days")
+
+
+@query(f"""with c as (select o_custkey as repo_id, {CHECK_ROWS} from orders), s as (select repo_id, case when bool_or(status = 'tool_error') then 'tool_error' when bool_or(status in ('fail', 'unknown')) then 'blocked' else 'pass' end as status from c where name <> 'human_visual_review' group by repo_id),
+    p as (select repo_id, bool_or(name = 'secret_scan' and status = 'fail') as hold, bool_or(name = 'origin' and status = 'unknown') as origin from c group by repo_id),
+    l as (select s.repo_id, s.status, hold, origin, s.repo_id % 3 = 0 as audit, s.repo_id % 2 = 0 as no_audit, s.repo_id % 5 = 0 as ci, s.repo_id % 7 = 0 as no_ci from s join p on p.repo_id = s.repo_id)
+    select repo_id, case when status = 'tool_error' or hold then 'blocked' when origin or status = 'blocked' or (ci and not no_ci) then 'needs_human_input' else 'ready_after_confirmation' end as status,
+      concat_ws(',', case when origin then 'configure_origin' end, case when ci and not no_ci then 'confirm_ci_runtime' end, case when hold then 'resolve_secret_findings' end, case when audit and not no_audit then 'run_dependency_audit' end) as visible,
+      concat_ws(',', case when ci and no_ci then 'confirm_ci_runtime' end, case when audit and no_audit then 'run_dependency_audit' end) as suppressed, 'confirm_publish' as confirmation from l""")
+def dialogue_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is asked before publishing, without what was dismissed; holds are asked whatever was dismissed."""
+    rows = _table(spark, sf_dir, "orders").selectExpr("o_custkey as repo_id", *_split(CHECK_ROWS))
+    scans = checks.rollup(rows).select("repo_id", "status")
+    planted = scans.selectExpr("repo_id", "inline(array(struct('dependency_vulnerability_audit' as name, if(repo_id % 3 = 0, 'unknown', 'pass') as status), struct('ci_runtime_result' as name, if(repo_id % 5 = 0, 'unknown', 'pass') as status)))")
+    gone = scans.selectExpr("repo_id", "inline(array(struct('run_dependency_audit' as id, if(repo_id % 2 = 0, 'forever', 'none') as mode, cast(null as date) as until), struct('confirm_ci_runtime' as id, 'snooze' as mode, if(repo_id % 7 = 0, date '2024-06-01', date '2024-05-31') as until), struct('resolve_secret_findings' as id, 'forever' as mode, cast(null as date) as until)))")
+    out = dialogue.packet(scans, dialogue.proposals(rows.unionByName(planted), "publish"), gone, "publish", F.expr(AS_OF))
+    return out.select("repo_id", "status", F.concat_ws(",", "visible").alias("visible"), F.concat_ws(",", "suppressed").alias("suppressed"), F.get_json_object("packet", "$.confirmations[0].id").alias("confirmation"))

@@ -15,6 +15,8 @@ from pyspark.sql import functions as F
 
 FILES = "repo_id string, path string, mode string, stage int, tracked boolean, content binary, error string"
 COMMITS = "repo_id string, author string, committer string, error string"
+IDENTITIES = "repo_id string, author string, committer string, error string"
+BASES = "repo_id string, oid string, ref string, valid boolean, error string"
 REPOS = "repo_id string, head string, dirty boolean, origin string, error string"
 CHANGES = "repo_id string, scope string, kind string, path string, old_path string, error string"
 OBJECTS = "repo_id string, oid string, type string, size long, content binary, error string"
@@ -44,14 +46,36 @@ def _commits(repo: str, revisions: str) -> Iterator[tuple]:
         yield tuple(map(_text, line.split(b"\0", 1)))
 
 
-def _facts(repo: str) -> Iterator[tuple]:
+class NotARepository(ValueError):
+    """The path is no folder of a Git repository."""
+
+
+def _answer(repo: str, *args: str) -> str | None:
+    """What git says, None where it refuses."""
     try:
-        origin = _text(_git(repo, "remote", "get-url", "origin")).strip()
+        return _text(_git(repo, *args)).strip()
     except subprocess.CalledProcessError:
-        origin = None
+        return None
+
+
+def _facts(repo: str) -> Iterator[tuple]:
+    if not os.path.isdir(repo) or _answer(repo, "rev-parse", "--show-toplevel") is None:
+        raise NotARepository
+    origin = _answer(repo, "remote", "get-url", "origin") or None
     yield _text(_git(repo, "rev-parse", "HEAD")).strip(), bool(_git(repo, "status", "--porcelain").strip()), origin
 
 
+def _identities(repo: str) -> Iterator[tuple]:
+    yield _answer(repo, "var", "GIT_AUTHOR_IDENT"), _answer(repo, "var", "GIT_COMMITTER_IDENT")
+
+
+def _base(repo: str, name: str) -> Iterator[tuple]:
+    oid = None if name.startswith("-") else _answer(repo, "rev-parse", "--verify", name + "^{commit}")
+    ref = oid and _answer(repo, "rev-parse", "--symbolic-full-name", name)
+    remote = bool(ref) and ref.startswith("refs/remotes/origin/")
+    yield oid, ref or None, remote and _answer(repo, "merge-base", "--is-ancestor", oid, "HEAD") is not None
+
+
 def _objects(repo: str, revisions: str, max_bytes: int) -> Iterator[tuple]:
     oids = list(dict.fromkeys(_git(repo, "rev-list", "--objects", "--no-object-names", revisions).split()))
     wanted = []
@@ -116,6 +140,16 @@ def read_commits(repos: DataFrame, revisions: str = "--all") -> DataFrame:
     return _read(repos, COMMITS, lambda p: _commits(p, revisions))
 
 
+def read_identities(repos: DataFrame) -> DataFrame:
+    """The author and committer of a commit made now, each with time and zone; null where git knows none."""
+    return _read(repos, IDENTITIES, _identities)
+
+
+def read_bases(repos: DataFrame, name: str) -> DataFrame:
+    """The commit and full name of a base; valid if it is a branch of origin and an ancestor of HEAD."""
+    return _read(repos, BASES, lambda p: _base(p, name))
+
+
 def read_repositories(repos: DataFrame) -> DataFrame:
     return _read(repos, REPOS, _facts)
 
