@@ -1,4 +1,4 @@
-"""Queries of the ten operators and of the pipeline, with SQL where it can express them."""
+"""Queries of the numbered operators and of the pipeline, with SQL where it can express them."""
 
 from __future__ import annotations
 
@@ -7,10 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatehouse.llm import decontam, fingerprints, neardup, packing, pii, quality, sharding, tokenfile, toxicity, urls
+from gatehouse.llm import bytebpe, decontam, fingerprints, neardup, packing, pii, quality, sharding, tokenfile, toxicity, urls
 from gatehouse.llm.common import table
 
-WORD_VOCAB, BYTE_VOCAB, BYTE_VOCAB_SIZE = "word_bpe_49k.json", "byte_bpe_50k.json", 50_257
+WORD_VOCAB, BYTE_VOCAB, BYTE_VOCAB_SIZE, RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", 50_257, "byte_bpe_multi_50k.tiktoken"
 URL_RULES = (("com/en/", "block"), ("example.com/en/7", "allow"), ("net/de/", "allow"), ("example.net/de/8", "block"), ("org/es/", "block"))
 
 
@@ -63,6 +63,13 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.classify(table(spark, sf_dir, "documents"))
 
 
+def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from public_tokenizers import PATTERN
+
+    path = vocabulary(RANKS)
+    return bytebpe.digest(bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), path, PATTERN), path, PATTERN))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -71,7 +78,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_token_file, op3_fingerprints, op4_toxicity, op5_url_filter, op6_pii, op7_hash_tree_sharding, op8_decontamination, op9_quality, op10_near_duplicates, pipeline)
+    for f in (op1_best_fit_packing, op2_token_file, op3_fingerprints, op4_toxicity, op5_url_filter, op6_pii, op7_hash_tree_sharding, op8_decontamination, op9_quality, op10_near_duplicates, op11_byte_bpe, pipeline)
 }
 
 _FOLDED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
