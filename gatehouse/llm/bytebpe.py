@@ -22,10 +22,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatehouse.llm.common import documents_of
+from gatehouse.llm.textvec import text_blocks
 from gatehouse.llm.tokens import Encoder, Pieces
 
 #: Pairs of neighbours that a worker remembers, and pre-tokens within one run of odd texts; beyond them it starts anew.
-MAX_PAIRS, MAX_PRE_TOKENS = 400_000, 200_000
+MAX_PAIRS, MAX_PRE_TOKENS = 400_000, 100_000
 
 #: Letters and numbers that Unicode assigned after version 16 (fixed values): to rank-based encoders they are neither yet.
 NEWER = regex.compile(
@@ -51,7 +52,7 @@ class Merges:
             self.token[i] = raw
         n = len(self.token)
         self.left, self.right = [-1] * n, [-1] * n
-        self.made: dict[tuple[int, int], int] = {}
+        self.made: dict[int, int] = {}  # by left * 2**32 + right
         reached = [False] * n
         for i, raw in enumerate(self.token):
             if len(raw) == 1:
@@ -60,7 +61,7 @@ class Merges:
             for cut in range(len(raw) - 1, 0, -1):
                 a, b = ranks.get(raw[:cut], n), ranks.get(raw[cut:], n)
                 if a < n and b < n and self._before(a, i) and self._before(b, i) and reached[a] and reached[b] and self.neighbours(a, b):
-                    self.left[i], self.right[i], self.made[a, b] = a, b, i
+                    self.left[i], self.right[i], self.made[a << 32 | b] = a, b, i
                     reached[i] = True
                     break
         self.shorter = [next((j for cut in range(len(raw) - 1, 0, -1) if (j := ranks.get(raw[:cut], -1)) >= 0 and reached[j]), -1) for raw in self.token]
@@ -71,7 +72,7 @@ class Merges:
                 self.automaton.add_word(raw.decode("latin-1"), i)
         if len(self.automaton):
             self.automaton.make_automaton()
-        self.known: dict[tuple[int, int], bool] = {}
+        self.known: dict[int, bool] = {}
 
     @classmethod
     def from_file(cls, path: str) -> Merges:
@@ -90,7 +91,7 @@ class Merges:
         """
         ends_a = ends_b = len(self.token)
         while True:
-            crossing = self.made.get((a, b))
+            crossing = self.made.get(a << 32 | b)
             if crossing is not None and crossing < ends_a and crossing <= ends_b:
                 return False
             born_a, born_b = (a if self.left[a] >= 0 else -1), (b if self.left[b] >= 0 else -1)
@@ -102,7 +103,7 @@ class Merges:
                 return True
 
     def _fits(self, a: int, b: int) -> bool:
-        pair = (a, b)
+        pair = a << 32 | b
         fits = self.known.get(pair)
         if fits is None:
             if len(self.known) >= MAX_PAIRS:
@@ -178,31 +179,38 @@ def encoder(path: str, pattern: str) -> RankEncoder:
     return _encoders[path, pattern]
 
 
+def _token_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    known = encoder(path, pattern)
+    for batch in batches:
+        for a, b, texts in text_blocks(batch.column(1)):
+            yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(known.encode(texts), pa.binary())], ["doc_id", "ids"])
+
+
+def _content_batches(batches: Iterator[pa.RecordBatch], path: str, pattern: str) -> Iterator[pa.RecordBatch]:
+    known = encoder(path, pattern).merges
+    for batch in batches:
+        out = [known.decode(np.frombuffer(raw.as_buffer(), "<u4").tolist()) if raw.is_valid else b"" for raw in batch.column(1)]
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "content"])
+
+
 def encode(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``doc_id, ids`` (unsigned 32-bit, little-endian) of every row's whole text; no special token is ever given.
 
     Null and empty texts have no ids; rows that repeat an id or a text, and a null id, are rows of their own. Texts of any length are read whole, block by
     block. An empty table gives none; further columns, whatever their names, are ignored.
     """
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            ids = encoder(path, pattern).encode(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.binary())], ["doc_id", "ids"])
-
-    return documents_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary")
+    return documents_of(docs, id_col, text_col).mapInArrow(lambda batches: _token_batches(batches, path, pattern), "doc_id long, ids binary")
 
 
 def decode(tokens: DataFrame, path: str, pattern: str) -> DataFrame:
     """``doc_id, ids, content`` of ``tokens(doc_id, ids)``: the ids' bytes. No ids, or null, give empty bytes; an id that the file lacks is an error."""
+    return tokens.select("doc_id", "ids").mapInArrow(lambda batches: _content_batches(batches, path, pattern), "doc_id long, ids binary, content binary")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            known = encoder(path, pattern).merges
-            out = [known.decode(np.frombuffer(raw.as_buffer(), "<u4").tolist()) if raw.is_valid else b"" for raw in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], ["doc_id", "ids", "content"])
 
-    return tokens.select("doc_id", "ids").mapInArrow(run, "doc_id long, ids binary, content binary")
+def round_trip(docs: DataFrame, path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``decode(encode(docs))`` by one worker a task, which holds one table of tokens and hands ids on without leaving it."""
+    run = lambda batches: _content_batches(_token_batches(batches, path, pattern), path, pattern)
+    return documents_of(docs, id_col, text_col).mapInArrow(run, "doc_id long, ids binary, content binary")
 
 
 def digest(decoded: DataFrame) -> DataFrame:

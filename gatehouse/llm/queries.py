@@ -66,8 +66,7 @@ def op10_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from public_tokenizers import PATTERN
 
-    path = vocabulary(RANKS)
-    return bytebpe.digest(bytebpe.decode(bytebpe.encode(table(spark, sf_dir, "documents"), path, PATTERN), path, PATTERN))
+    return bytebpe.digest(bytebpe.round_trip(table(spark, sf_dir, "documents"), vocabulary(RANKS), PATTERN))
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -89,6 +89,7 @@ def test_odd_rows(spark, odd_docs, no_docs, library):
     key = lambda r: (r[0] is None, r[0] or 0, r[1])
     want = [(i, as_bytes(library.encode_ordinary(t or "")), (t or "").encode()) for i, t in odd_rows()]
     assert sorted(((r[0], bytes(r[1]), bytes(r[2])) for r in rows), key=key) == sorted(want, key=key)
+    assert sorted(map(tuple, bytebpe.round_trip(odd_docs, PATH, public.PATTERN).collect()), key=key) == sorted(map(tuple, rows), key=key)
     assert bytebpe.digest(bytebpe.decode(bytebpe.encode(no_docs, PATH, public.PATTERN), PATH, public.PATTERN)).count() == 0
 
 
