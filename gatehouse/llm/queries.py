@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gatehouse.llm import bytebpe, decontam, fingerprints, neardup, packing, pii, quality, sharding, tokenfile, toxicity, urls
+from gatehouse.llm import bytebpe, decontam, filteraudit, fingerprints, neardup, packing, pii, quality, sharding, tokenfile, toxicity, urls, yinyang
 from gatehouse.llm.common import table
 
 WORD_VOCAB, BYTE_VOCAB, BYTE_VOCAB_SIZE, RANKS = "word_bpe_49k.json", "byte_bpe_50k.json", 50_257, "byte_bpe_multi_50k.tiktoken"
@@ -69,6 +69,14 @@ def op11_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bytebpe.digest(bytebpe.round_trip(table(spark, sf_dir, "documents"), vocabulary(RANKS), PATTERN))
 
 
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filteraudit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_yinyang_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return yinyang.cluster(table(spark, sf_dir, "embeddings"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -77,7 +85,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_best_fit_packing, op2_token_file, op3_fingerprints, op4_toxicity, op5_url_filter, op6_pii, op7_hash_tree_sharding, op8_decontamination, op9_quality, op10_near_duplicates, op11_byte_bpe, pipeline)
+    for f in (op1_best_fit_packing, op2_token_file, op3_fingerprints, op4_toxicity, op5_url_filter, op6_pii, op7_hash_tree_sharding, op8_decontamination, op9_quality, op10_near_duplicates, op11_byte_bpe, op12_filter_audit, op13_yinyang_clusters, pipeline)
 }
 
 _FOLDED = "translate({0}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -137,6 +145,53 @@ select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, c
 from docs left join hits using (rid) left join hit_items using (rid)
 """
 
+_AUDIT = r"""
+with words as (select doc_id, coalesce(lang, '') as part, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') as w from documents),
+judged as (select doc_id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+fails as (
+  select words.doc_id, part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic,
+    len(w) < 200 as a, 100 * len(list_distinct(w)) < 50 * len(w) as b, 100 * length(regexp_replace(t, '[^A-Z]', '', 'g')) > 3 * length(t) as c, regexp_matches(t, '[#$%&*|]') as d,
+    coalesce(words.doc_id > min(words.doc_id) over (partition by t), false) as e
+  from words left join judged using (doc_id)),
+masks as (
+  select part, concat(case when a then 'A' else '' end, case when b then 'B' else '' end, case when c then 'C' else '' end, case when d then 'D' else '' end, case when e then 'E' else '' end) as mask, count(*) as n, sum(good) as good, sum(toxic) as toxic
+  from fails group by all),
+letters as (select unnest(['A', 'B', 'C', 'D', 'E']) as x),
+orders as (
+  select concat(p.x, q.x, r.x, s.x, t.x) as filter_order from letters p, letters q, letters r, letters s, letters t
+  where q.x <> p.x and r.x not in (p.x, q.x) and s.x not in (p.x, q.x, r.x) and t.x not in (p.x, q.x, r.x, s.x)),
+steps as (select filter_order, step, filter_order[step] as x, filter_order[1:step - 1] as earlier from orders, (select unnest(range(1, 6)) as step) k),
+places as (
+  select part, filter_order, step, x, n, good, toxic, mask, contains(mask, x) as failed, earlier <> '' and regexp_matches(mask, concat('[', case when earlier = '' then '-' else earlier end, ']')) as gone
+  from masks, steps),
+counts as (
+  select part, filter_order, cast(step as int) as step, x, cast(coalesce(sum(n) filter (not failed and not gone), 0) as bigint) as kept, cast(coalesce(sum(n) filter (failed and not gone), 0) as bigint) as removed,
+    cast(coalesce(sum(n) filter (failed and gone), 0) as bigint) as redundant, cast(coalesce(sum(n) filter (mask = x), 0) as bigint) as unique_fails,
+    cast(coalesce(sum(good) filter (failed and not gone), 0) as bigint) as good_lost, cast(coalesce(sum(toxic) filter (failed and not gone), 0) as bigint) as toxic_lost
+  from places group by all)
+select part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, cast(sum(removed) over (partition by part, x) as bigint) as shapley from counts
+"""
+
+_SQUARES = "list_sum(list_transform(range(1, 65), lambda i: (v[i] - w[i]) * (v[i] - w[i])))::hugeint"
+
+
+def _kmeans_round(r: int) -> str:
+    """Clusters under centroids ``c{r}``, then the centroids of the next round."""
+    return f"""a{r} as materialized (select rid, any_value(vec_id) as vec_id, any_value(v) as v, arg_min(c, {_SQUARES} * 64 + c) as c, min({_SQUARES}) as d from kept, c{r} group by rid),
+s{r} as (select c, i, sum(x) as s, count(*) as n from (select c, unnest(v) as x, unnest(range(1, 65)) as i from a{r}) group by c, i),
+m{r} as (select c, list((s - ((s % n) + n) % n) // n order by i)::bigint[] as w from s{r} group by c),
+c{r + 1} as materialized (select c, coalesce(m{r}.w, c{r}.w) as w from c{r} left join m{r} using (c))"""
+
+
+_CLUSTERS = f"""
+with kept as materialized (
+  select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v from embeddings
+  where len(embedding) = 64 and len(list_filter(embedding, lambda x: x is not null and isfinite(x::double))) = 64),
+c0 as materialized (select row_number() over (order by sha256(concat('2:', vec_id::varchar))) - 1 as c, v as w from kept order by sha256(concat('2:', vec_id::varchar)) limit 40),
+{", ".join(_kmeans_round(r) for r in range(6))}
+select vec_id, cast(a5.c as int) as cluster, d::bigint as distance, (sum(d) over (partition by a5.c))::bigint as cluster_inertia, (sum(d) over ())::bigint as inertia, sha256(array_to_string(w, ',')) as centroid_sha256 from a5 join c5 using (c)
+"""
+
 #: The others need something that SQL lacks (a tokenizer, Spark's hashes, training, graph classes,
 #: places of matches), so each is tested against a second implementation in tests/llm.
-ORACLE_SQL: dict[str, str] = {"op5_url_filter": _URLS, "op8_decontamination": _CONTAMINATION}
+ORACLE_SQL: dict[str, str] = {"op5_url_filter": _URLS, "op8_decontamination": _CONTAMINATION, "op12_filter_audit": _AUDIT, "op13_yinyang_clusters": _CLUSTERS}
