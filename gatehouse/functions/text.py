@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -11,78 +12,83 @@ from gatehouse.functions.patterns import ASYMMETRIC_LABEL, CODE_SPAN, DIRECTIVES
 
 #: What a table's cell is made of: escaped characters, code spans (an open one runs to the line's end) and others but pipes. Possessive, so no line is too long.
 _CELL = r"(?s)\|((?:\\.|\\\z|`(?:\\.|[^`\\])*+(?:`|\\?\z)|[^|`\\])*+)"
+#: A block of words (see fence_blocks), or one word that opens none.
+_BLOCK = r"(`{3,}+|~{3,}+)o;(?:(?!\1)[`~]++[ox];)*+(?:[`~]++[ox];)?+|[`~]++[ox];"
 _BREAK = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]"
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def lines_of(text: Column) -> Column:
     """Array of lines; an empty last one is no line."""
-    parts = F.split(text, _BREAK, -1)
-    return F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts)
+    return bound(F.split(text, _BREAK, -1), lambda parts: F.when(F.element_at(parts, -1) == "", F.slice(parts, F.lit(1), F.size(parts) - 1)).otherwise(parts))
 
 
-def outside_fences(lines: Column) -> Column:
-    """Array of ``(n, line)`` outside fenced blocks. Any line that begins with the opening mark closes a block, whatever follows it.
+def fence_blocks(lines: Column) -> Column:
+    """Array of ``(first, last, info, closed)``, a row per fenced block in order; any line that begins with the opening mark closes it, whatever follows.
 
-    Only lines that begin with a mark are folded, into the blocks' first and last lines, so a text's other lines are gone through once.
+    Lines that begin with a mark are written as one word each (the mark, and whether it may open a block). One expression cuts the row of words into blocks
+    and words outside of any; it goes on where it stopped, and no array grows step by step, so time grows with the lines.
     """
-    marked = F.filter(
-        F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), F.regexp_extract(x, FENCE, 1).alias("mark"), F.regexp_replace(x, f"^[{SPACE}]+", "").alias("rest"))),
-        lambda x: F.startswith(x["rest"], F.lit("```")) | F.startswith(x["rest"], F.lit("~~~")),
+    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
+    marked = F.transform(
+        F.filter(numbered, lambda x: x["line"].rlike(f"^[{SPACE}]*(?:```|~~~)")),
+        lambda x: F.struct(x["n"].alias("n"), F.regexp_extract(x["line"], f"^[{SPACE}]*(`+|~+)", 1).alias("mark"), x["line"].rlike(FENCE).alias("opens"), stripped(F.regexp_extract(x["line"], FENCE, 2)).alias("info")),
     )
-    start = F.expr("named_struct('mark', '', 'first', 0, 'blocks', cast(array() as array<struct<first:int,last:int>>))")
 
-    def step(a: Column, x: Column) -> Column:
-        opens = (a["mark"] == "") & (x["mark"] != "")
-        closes = (a["mark"] != "") & F.startswith(x["rest"], a["mark"])
-        return F.struct(
-            F.when(opens, x["mark"]).when(closes, F.lit("")).otherwise(a["mark"]).alias("mark"),
-            F.when(opens, x["n"]).otherwise(a["first"]).alias("first"),
-            F.when(closes, F.concat(a["blocks"], F.array(F.struct(a["first"].alias("first"), x["n"].alias("last"))))).otherwise(a["blocks"]).alias("blocks"),
-        )
+    def ends(block: Column) -> Column:
+        """A block's words as 1 for the first, 2 for the one that closes it, and 0."""
+        n = F.regexp_count(block, F.lit(";"))
+        closed = (n > 1) & F.startswith(F.substring_index(block, ";", -2), F.regexp_extract(block, "^[`~]+", 0))
+        return F.concat(F.array(F.lit(1)), F.array_repeat(F.lit(0), n - 1 - F.when(closed, 1).otherwise(0)), F.when(closed, F.array(F.lit(2))).otherwise(F.expr("cast(array() as array<int>)")))
 
-    open_end = lambda a: F.when(a["mark"] != "", F.array(F.struct(a["first"].alias("first"), F.lit(2147483647).alias("last")))).otherwise(F.expr("cast(array() as array<struct<first:int,last:int>>)"))
-    blocks = F.aggregate(marked, start, step, lambda a: F.concat(a["blocks"], open_end(a)))
-    numbered = F.transform(lines, lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
-    return F.filter(numbered, lambda x: ~F.exists(blocks, lambda b: x["n"].between(b["first"], b["last"])))
+    def blocks(marks: Column) -> Column:
+        words = F.array_join(F.transform(marks, lambda m: F.concat(m["mark"], F.when(m["opens"], "o;").otherwise("x;"))), "")
+        cut = F.regexp_extract_all(words, F.lit(_BLOCK), F.lit(0))
+        states = F.flatten(F.transform(cut, lambda e: F.when(e.rlike("^[`~]+o"), ends(e)).otherwise(F.array(F.lit(0)))))
+        told = F.filter(F.zip_with(marks, states, lambda m, s: F.struct(m["n"].alias("n"), m["info"].alias("info"), s.alias("s"))), lambda x: x["s"] > 0)
+        return bound(told, lambda a: F.zip_with(F.filter(a, lambda x: x["s"] == 1), F.filter(a, lambda x: x["s"] == 2), lambda b, e: F.struct(b["n"].alias("first"), F.coalesce(e["n"], F.size(lines)).alias("last"), b["info"].alias("info"), e.isNotNull().alias("closed"))))
 
+    return bound(marked, blocks)
 
-def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
+def outside_fences(lines: Column) -> Column:
+    """Array of ``(n, line)`` outside fenced blocks. A flag a line is laid out block by block, so a text takes as long as it has lines."""
 
-def _marked(lines: Column, quoted: bool = False) -> Column:
-    """Every line with its fence mark (or ''), info string and text without leading white space; ``quoted``: block-quote prefixes are removed first."""
-    bare = F.transform(lines, lambda x: F.regexp_replace(x, rf"^[{SPACE}]*(?:>[{SPACE}]?)+", "")) if quoted else lines
-    return F.transform(bare, lambda x: F.struct(x.alias("line"), F.regexp_extract(x, FENCE, 1).alias("mark"), stripped(F.regexp_extract(x, FENCE, 2)).alias("info"), F.regexp_replace(x, f"^[{SPACE}]+", "").alias("rest")))
+    def kept(a: Column) -> Column:
+        before = F.concat(F.array(F.lit(0)), F.transform(a["blocks"], lambda b: b["last"]))
+        runs = F.zip_with(before, a["blocks"], lambda p, b: F.when(b.isNotNull(), F.concat(F.array_repeat(F.lit(True), b["first"] - p - 1), F.array_repeat(F.lit(False), b["last"] - b["first"] + 1))).otherwise(F.array_repeat(F.lit(True), F.size(a["lines"]) - p)))
+        at = F.transform(a["lines"], lambda x, i: F.struct((i + 1).alias("n"), x.alias("line")))
+        flagged = F.zip_with(at, F.flatten(runs), lambda x, out: F.struct(x.alias("x"), out.alias("out")))
+        return F.transform(F.filter(flagged, lambda f: f["out"]), lambda f: f["x"])
 
+    return bound(lines, lambda x: bound(F.struct(x.alias("lines"), fence_blocks(x).alias("blocks")), kept))
 
-def prose_lines(lines: Column) -> Column:
-    """Lines outside fenced blocks."""
-    return F.transform(outside_fences(lines), lambda x: x["line"])
+
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def mermaid_diagrams(lines: Column) -> Column:
     """Array of the line arrays of every Mermaid block, quoted ones too; a block that nothing closes ends with the text."""
-    start = F.expr("named_struct('mark', '', 'inside', false, 'block', cast(array() as array<string>), 'done', cast(array() as array<array<string>>))")
 
-    def step(a: Column, x: Column) -> Column:
-        opens = (a["mark"] == "") & (x["mark"] != "")
-        closes = (a["mark"] != "") & F.startswith(x["rest"], a["mark"])
-        return F.struct(
-            F.when(opens, x["mark"]).when(closes, F.lit("")).otherwise(a["mark"]).alias("mark"),
-            F.when(opens, F.lower(x["info"]) == "mermaid").when(closes, F.lit(False)).otherwise(a["inside"]).alias("inside"),
-            F.when(opens | closes, F.expr("cast(array() as array<string>)")).when(a["inside"], F.concat(a["block"], F.array(x["line"]))).otherwise(a["block"]).alias("block"),
-            F.when(closes & a["inside"], F.concat(a["done"], F.array(a["block"]))).otherwise(a["done"]).alias("done"),
-        )
+    def inside(a: Column) -> Column:
+        found = F.filter(a["blocks"], lambda b: F.lower(b["info"]) == "mermaid")
+        return F.transform(found, lambda b: F.slice(a["lines"], b["first"] + 1, b["last"] - b["first"] - F.when(b["closed"], 1).otherwise(0)))
 
-    return F.aggregate(_marked(lines, quoted=True), start, step, lambda a: F.when(a["inside"], F.concat(a["done"], F.array(a["block"]))).otherwise(a["done"]))
+    bare = F.transform(lines, lambda x: F.regexp_replace(x, rf"^[{SPACE}]*(?:>[{SPACE}]?)+", ""))
+    return bound(bare, lambda x: bound(F.struct(x.alias("lines"), fence_blocks(x).alias("blocks")), inside))
 
 
 def row_cells(line: Column) -> Column:
     """Cells of a table's row, split at pipes that are neither escaped nor in a code span; empty first and last cells are none."""
     cells = F.transform(F.regexp_extract_all(F.concat(F.lit("|"), stripped(line)), F.lit(_CELL), F.lit(1)), stripped)
-    head = F.when(F.try_element_at(cells, F.lit(1)) == "", F.slice(cells, F.lit(2), F.size(cells))).otherwise(cells)
-    return F.when(F.try_element_at(head, F.lit(-1)) == "", F.slice(head, F.lit(1), F.size(head) - 1)).otherwise(head)
+    head = lambda c: F.when(F.try_element_at(c, F.lit(1)) == "", F.slice(c, F.lit(2), F.size(c))).otherwise(c)
+    tail = lambda c: F.when(F.try_element_at(c, F.lit(-1)) == "", F.slice(c, F.lit(1), F.size(c) - 1)).otherwise(c)
+    return bound(bound(cells, head), tail)
 
 
 def code_width(cell: Column) -> Column:
@@ -90,13 +96,13 @@ def code_width(cell: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(cell, F.lit(CODE_SPAN), F.lit(0)), F.lit(0), lambda n, x: n + F.length(x))
 
 
-def table_code_width(lines: Column) -> Column:
-    """Width of code in the widest cell of all tables outside fences, 0 without any.
+def table_code_width(outside: Column) -> Column:
+    """Width of code in the widest cell of all tables among ``outside``, the ``(n, line)`` outside fences; 0 without any.
 
     A table is a row above a divider and the rows right after it, all of two cells or more. The fold keeps the line before, no list.
     """
     shape = lambda cells: F.struct((F.size(cells) >= 2).alias("row"), ((F.size(cells) >= 2) & F.forall(cells, lambda c: c.rlike(TABLE_DIVIDER))).alias("divider"), F.coalesce(F.array_max(F.transform(cells, code_width)), F.lit(0)).alias("width"))
-    rows = F.transform(outside_fences(lines), lambda x: F.when(F.contains(x["line"], F.lit("|")), shape(row_cells(x["line"]))))
+    rows = F.transform(outside, lambda x: F.when(F.contains(x["line"], F.lit("|")), bound(row_cells(x["line"]), shape)))
     start = F.expr("named_struct('inside', false, 'before', 0, 'widest', 0)")
 
     def step(a: Column, x: Column) -> Column:
@@ -112,17 +118,12 @@ def table_code_width(lines: Column) -> Column:
 
 def lead_summary(prose: Column) -> Column:
     """The first paragraph after the first H1 and before the next H2 of lines outside fences, joined by spaces; '' if there is none."""
-    at = lambda a, p: F.coalesce(F.array_position(F.transform(a, p), True), F.lit(0)).cast("int")
-    begin = at(prose, lambda x: F.startswith(x, F.lit("# ")))
-    after = F.when(begin > 0, F.slice(prose, begin + 1, F.size(prose))).otherwise(F.expr("cast(array() as array<string>)"))
-    start = F.expr("named_struct('over', false, 'kept', cast(array() as array<string>))")
-
-    def step(a: Column, x: Column) -> Column:
-        line = stripped(x)
-        over = a["over"] | F.startswith(x, F.lit("## ")) | ((line == "") & (F.size(a["kept"]) > 0))
-        return F.struct(over.alias("over"), F.when(over | (line == ""), a["kept"]).otherwise(F.concat(a["kept"], F.array(line))).alias("kept"))
-
-    return F.aggregate(after, start, step, lambda a: F.array_join(a["kept"], " "))
+    at = lambda a, p: F.coalesce(F.nullif(F.array_position(F.transform(a, p), True), F.lit(0).cast("long")), F.size(a) + 1).cast("int")
+    upto = lambda a, k: F.slice(a, F.lit(1), k - 1)
+    after = bound(prose, lambda a: F.slice(a, at(a, lambda x: F.startswith(x, F.lit("# "))) + 1, F.size(a)))
+    body = F.transform(bound(after, lambda a: upto(a, at(a, lambda x: F.startswith(x, F.lit("## "))))), stripped)
+    begun = bound(body, lambda a: F.slice(a, at(a, lambda x: x != ""), F.size(a)))
+    return F.array_join(bound(begun, lambda a: upto(a, at(a, lambda x: x == ""))), " ")
 
 
 def heading_level(line: Column) -> Column:

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from gatehouse.functions.patterns import JAPANESE, SPACE, TABLE_DIVIDER
-from gatehouse.functions.text import code_width, diagram_labels, heading_level, heading_title, is_japanese, lead_summary, lines_of, mermaid_diagrams, outside_fences, prose_lines, row_cells, table_code_width
+from gatehouse.functions.text import code_width, diagram_labels, heading_level, heading_title, is_japanese, lead_summary, lines_of, mermaid_diagrams, outside_fences, row_cells, table_code_width
 
 #: Words of headings that name a section (fixed values).
 SECTIONS = {
@@ -58,8 +58,9 @@ def release_review(docs: DataFrame) -> DataFrame:
     rows = docs.select("doc_id", F.col("text").isNull().alias("absent"), F.regexp_replace(F.coalesce("text", F.lit("")), r"\r\n?", "\n").alias("text")).withColumn("lines", lines_of(F.col("text")))
     # a heading of white space alone counts, as in the reference
     heads = F.transform("lines", lambda x: F.struct(F.length(F.regexp_extract(x, rf"^(#{{1,6}})[{SPACE}]+.", 1)).alias("level"), F.regexp_extract(x, rf"^#{{1,6}}[{SPACE}]+(.*?)[{SPACE}]*$", 1).alias("title")))
-    rows = rows.withColumn("heads", F.filter(heads, lambda h: h["level"] > 0)).withColumn("prose", prose_lines(F.col("lines"))).withColumn("diagrams", F.transform(mermaid_diagrams(F.col("lines")), diagram_labels))
-    rows = rows.withColumn("summary", lead_summary(F.col("prose"))).withColumn("japanese", is_japanese(F.array_join("prose", ""))).withColumn("table_code", table_code_width(F.col("lines")))
+    rows = rows.withColumn("heads", F.filter(heads, lambda h: h["level"] > 0)).withColumn("outside", outside_fences(F.col("lines"))).withColumn("diagrams", F.transform(mermaid_diagrams(F.col("lines")), diagram_labels))
+    rows = rows.withColumn("table_code", table_code_width(F.col("outside"))).withColumn("prose", F.transform("outside", lambda x: x["line"]))
+    rows = rows.withColumn("summary", lead_summary(F.col("prose"))).withColumn("japanese", is_japanese(F.array_join("prose", "")))
     levels = F.transform("heads", lambda h: h["level"])
     jump = F.exists(F.zip_with(levels, F.slice(levels, F.lit(2), F.greatest(F.size(levels) - 1, F.lit(0))), lambda a, b: b > a + 1), lambda x: F.coalesce(x, F.lit(False)))
     lacks = {k: ~_names(F.col("heads"), words) for k, words in SECTIONS.items()}

@@ -185,7 +185,7 @@ def capability_routes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return consistency.capability_routes(rows).select("repo_id", "route", F.concat_ws(",", "paths").alias("paths"))
 
 
-HEADED = "concat('# T', chr(10), 'x', chr(10), repeat('#', 2 + cast(doc_id % 3 as int)), ' Usage', chr(10), case when doc_id % 2 = 0 then concat('#### ', chr(9731), ' deep', chr(10)) else '' end, '#no', chr(10), '## Limits', chr(13), chr(10), coalesce(replace(text, '#', ''), ''))"
+HEADED = "concat('# T', chr(10), 'x', chr(10), repeat('#', 2 + cast(doc_id % 3 as int)), ' Usage', chr(10), case when doc_id % 2 = 0 then concat('#### ', chr(9731), ' deep', chr(10)) else '' end, '#no', chr(10), '## Limits', chr(13), chr(10), coalesce(text, ''))"
 
 
 @query(f"""with l as (select doc_id, unnest(range(1, len(a) + 1)) as n, unnest(a) as line from (select doc_id, regexp_split_to_array({HEADED}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') as a from documents)),
@@ -195,8 +195,8 @@ def heading_level_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readme.level_jumps(_table(spark, sf_dir, "documents").select("doc_id", F.expr(HEADED).alias("text")))
 
 
-#: A README's head before each text (without its headings), by doc_id with and without H1, summary (too long, or in a fence alone) and sections, and Japanese.
-README = "concat(case when doc_id % 4 = 0 then '## Sub' else '# Tool' end, chr(10), case doc_id % 8 when 5 then '' when 6 then concat(repeat('long ', 49), chr(10)) when 7 then concat('```', chr(10), 'fenced', chr(10), '```sh', chr(10)) else concat('What it does.', chr(10)) end, case when doc_id % 3 = 0 then '## Overview' else '## x' end, chr(10), '## Features', chr(10), case when doc_id % 5 < 4 then '## Usage' else '#### Usage' end, chr(10), case when doc_id % 7 = 0 then 'a revolutionary tool' else 'plain' end, chr(10), '## Security', chr(10), case when doc_id % 9 = 0 then repeat('これは日本語', 1 + cast(length(coalesce(text, '')) as int)) else '' end, chr(10), replace(coalesce(text, ''), '#', ''))"
+#: A README's head before each text, by doc_id with and without H1, summary (too long, or in a fence alone) and sections, and Japanese.
+README = "concat(case when doc_id % 4 = 0 then '## Sub' else '# Tool' end, chr(10), case doc_id % 8 when 5 then '' when 6 then concat(repeat('long ', 49), chr(10)) when 7 then concat('```', chr(10), 'fenced', chr(10), '```sh', chr(10)) else concat('What it does.', chr(10)) end, case when doc_id % 3 = 0 then '## Overview' else '## x' end, chr(10), '## Features', chr(10), case when doc_id % 5 < 4 then '## Usage' else '#### Usage' end, chr(10), case when doc_id % 7 = 0 then 'a revolutionary tool' else 'plain' end, chr(10), '## Security', chr(10), case when doc_id % 9 = 0 then repeat('これは日本語', 1 + cast(length(coalesce(text, '')) as int)) else '' end, chr(10), coalesce(text, ''))"
 
 
 @query(f"""with t as (select doc_id, regexp_split_to_array(regexp_replace({README}, '\\r\\n?', chr(10), 'g'), '[\\n\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') as a from documents),
@@ -207,15 +207,16 @@ def readme_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
     return readme.review(_table(spark, sf_dir, "documents").select("doc_id", F.expr(README).alias("text"))).withColumn("codes", F.concat_ws(",", "codes"))
 
 
-#: By doc_id: a summary after the H1, too long a one, one in a fence, none; a diagram, steps, a screen with and without an image, Japanese prose.
-RELEASE = "case when doc_id % 17 <> 0 then concat('# Tool', chr(10), case doc_id % 4 when 0 then concat(chr(10), 'A short', chr(10), ' summary ', chr(10)) when 1 then concat(repeat('long ', 48), 'x', chr(10)) when 2 then concat('  ~~~~', chr(10), 'no summary', chr(10), '~~~~', chr(10)) else '' end, '## Overview of the UI', chr(10), '## Features', chr(10), '## Usage', chr(10), case when doc_id % 3 = 0 then concat('1. a', chr(10), ' 2) b', chr(10), '3. c', chr(10), '4. d', chr(10)) else '' end, '## Security', chr(10), case when doc_id % 5 = 0 then concat('> ```mermaid', chr(10), '> graph LR', chr(10), '> A[one] --> B>two]', chr(10), '> ```', chr(10)) else '' end, case when doc_id % 7 = 0 then concat(repeat('これは日本語の文章です', 9), chr(10)) else '' end, case when doc_id % 11 = 0 then concat('![i](a.png)', chr(10)) else '' end, case when doc_id % 13 = 0 and doc_id % 5 > 0 then concat('| a | b |', chr(10), '| --- | :---: |', chr(10), '| x \\\\| y | `', repeat('c', 98 + cast(doc_id % 2 as int)), '` `|` |', chr(10)) else '' end) end"
+#: Before each text, by doc_id: a summary after the H1, too long a one, one in a fence, none; a diagram, steps, a screen with and without an image, Japanese prose.
+RELEASE = "case when doc_id % 17 <> 0 then concat('# Tool', chr(10), case doc_id % 4 when 0 then concat(chr(10), 'A short', chr(10), ' summary ', chr(10)) when 1 then concat(repeat('long ', 48), 'x', chr(10)) when 2 then concat('  ~~~~', chr(10), 'no summary', chr(10), '~~~~', chr(10)) else '' end, '## Overview of the UI', chr(10), '## Features', chr(10), '## Usage', chr(10), case when doc_id % 3 = 0 then concat('1. a', chr(10), ' 2) b', chr(10), '3. c', chr(10), '4. d', chr(10)) else '' end, '## Security', chr(10), case when doc_id % 5 = 0 then concat('> ```mermaid', chr(10), '> graph LR', chr(10), '> A[one] --> B>two]', chr(10), '> ```', chr(10)) else '' end, case when doc_id % 7 = 0 then concat(repeat('これは日本語の文章です', 9 + cast(length(coalesce(text, '')) as int)), chr(10)) else '' end, case when doc_id % 11 = 0 then concat('![i](a.png)', chr(10)) else '' end, case when doc_id % 13 = 0 and doc_id % 5 > 0 then concat('| a | b |', chr(10), '| --- | :---: |', chr(10), '| x \\\\| y | `', repeat('c', 98 + cast(doc_id % 2 as int)), '` `|` |', chr(10)) else '' end, coalesce(text, '')) end"
 
 
-@query("""with d as (select doc_id, doc_id % 17 = 0 as gone, doc_id % 4 as s, doc_id % 3 = 0 as steps, doc_id % 5 = 0 as fig, doc_id % 7 = 0 as ja, doc_id % 11 <> 0 as bare, doc_id % 13 = 0 and doc_id % 5 > 0 as tab from documents),
-    c as (select *, [case when ja and fig then 'diagram_labels_not_localized' end, case when s = 1 then 'lead_summary_too_long' end, case when s > 1 then 'missing_lead_summary' end, case when ja and tab then 'table_command_cell_too_wide' end] as codes, [case when bare then 'Figma or frontend-design' end, case when ja and fig then 'Localize Diagram' end, case when s > 1 then 'Product Design' end, case when ja and tab then 'Template Creator' end, case when steps and not fig then 'Visualize' end] as advice from d)
-    select doc_id, case when gone then 'readme_missing' else array_to_string(list_filter(codes, lambda x: x is not null), ',') end as codes, case when gone or s > 0 then 'blocked' else 'pass' end as status,
-      case when gone then 'blocked_readme_missing' when s > 0 then 'blocked_readme_design' else 'passed_readme_design' end as release_gate, case when gone then 'Template Creator' else array_to_string(list_filter(advice, lambda x: x is not null), ',') end as recommended,
-      case when not gone then cast(5 + case s when 0 then 3 when 1 then 1 when 2 then 3 else 0 end + case when steps then 4 else 0 end + case when fig then 4 else 0 end + case when ja then 1 else 0 end + case when bare then 0 else 1 end + case when tab then 3 else 0 end as int) end as line_count, case when not gone then case when tab then 103 + cast(doc_id % 2 as int) else 0 end end as widest_table_command_cell, case when not gone then 5 end as heading_count,
+@query("""with d as (select doc_id, doc_id % 17 = 0 as gone, doc_id % 4 as s, doc_id % 3 = 0 as steps, doc_id % 5 = 0 as fig, doc_id % 7 = 0 as ja, doc_id % 11 <> 0 as bare, doc_id % 13 = 0 and doc_id % 5 > 0 as tab, len(a) - case when a[-1] = '' then 1 else 0 end as own from (select doc_id, regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') as a from documents)),
+    b as (select *, 5 + case s when 0 then 3 when 1 then 1 when 2 then 3 else 0 end + case when steps then 4 else 0 end + case when fig then 4 else 0 end + case when ja then 1 else 0 end + case when bare then 0 else 1 end + case when tab then 3 else 0 end + own as n from d),
+    c as (select *, [case when ja and fig then 'diagram_labels_not_localized' end, case when s = 1 then 'lead_summary_too_long' end, case when s > 1 then 'missing_lead_summary' end, case when n > 300 then 'readme_too_long' end, case when ja and tab then 'table_command_cell_too_wide' end] as codes, [case when bare then 'Figma or frontend-design' end, case when ja and fig then 'Localize Diagram' end, case when s > 1 then 'Product Design' end, case when ja and tab then 'Template Creator' end, case when steps and not fig then 'Visualize' end] as advice from b)
+    select doc_id, case when gone then 'readme_missing' else array_to_string(list_filter(codes, lambda x: x is not null), ',') end as codes, case when gone or s > 0 or n > 300 then 'blocked' else 'pass' end as status,
+      case when gone then 'blocked_readme_missing' when s > 0 or n > 300 then 'blocked_readme_design' else 'passed_readme_design' end as release_gate, case when gone then 'Template Creator' else array_to_string(list_filter(advice, lambda x: x is not null), ',') end as recommended,
+      case when not gone then cast(n as int) end as line_count, case when not gone then case when tab then 103 + cast(doc_id % 2 as int) else 0 end end as widest_table_command_cell, case when not gone then 5 end as heading_count,
       case when not gone then case s when 0 then 15 when 1 then 241 else 0 end end as lead_summary_chars, case when not gone then ja end as japanese, case when not gone then case when fig then 1 else 0 end end as diagram_count, case when not gone then case when fig then 2 else 0 end end as diagram_label_count from c""")
 def readme_release_review(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules of a README's release with its gate, recommendations and metrics."""
@@ -288,12 +289,15 @@ def dependency_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.dependency_configuration(repos, files).withColumn("files", F.concat_ws(",", "files"))
 
 
-FENCED = "concat('a', chr(10), repeat('`', 3 + cast(doc_id % 2 as int)), 'sh', chr(10), '# in', chr(10), '```', chr(10), case when doc_id % 2 = 1 then concat('````', chr(10)) else '' end, '# out', chr(10), '~~~', chr(10), coalesce(text, ''))"
+#: Fences before each text, by doc_id with longer marks, and after some texts one that nothing closes.
+FENCED = "concat('a', chr(10), repeat('`', 3 + cast(doc_id % 2 as int)), 'sh', chr(10), '# in', chr(10), '```', chr(10), case when doc_id % 2 = 1 then concat('````', chr(10)) else '' end, '# out', chr(10), '  ~~~', chr(10), '```', chr(10), '~~~~ more', chr(10), coalesce(text, ''), case when doc_id % 3 = 0 then concat(chr(10), '~~~', chr(10), '## tail') else '' end)"
 
 
-@query()
+@query(f"""with l as (select doc_id, a, unnest(range(1, len(a) + 1)) as n, unnest(a) as line from (select doc_id, case when a[-1] = '' then a[:-2] else a end as a from (select doc_id, regexp_split_to_array({FENCED}, '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') as a from documents)))
+    select doc_id, cast(n as int) as n, line, cast(coalesce(length(regexp_extract(line, '^(#{{1,6}})[{SPACE}]+[^{SPACE}]', 1)), 0) as int) as level from l
+    where (n = 1 or n = 5 + doc_id % 2 or n > 8 + doc_id % 2) and not (doc_id % 3 = 0 and n > len(a) - 2)""")
 def outside_fences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Lines outside fenced blocks; closing depends on the opening mark, which SQL doesn't say well."""
+    """Lines outside fenced blocks of whole texts, with the level of headings."""
     return readme.fence_free_lines(_table(spark, sf_dir, "documents").select("doc_id", F.expr(FENCED).alias("text"))).withColumn("level", heading_level(F.col("line"))).select("doc_id", "n", "line", "level")
 
 

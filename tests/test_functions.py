@@ -154,3 +154,26 @@ def test_empty_tables(spark, empty):
     assert checks.secret_scan(files).count() == 0
     assert checks.personal_path_scan(files).count() == 0
     assert consistency.link_findings(files, files).count() == 0
+
+
+def test_fences_take_linear_time(spark):
+    import time
+
+    def seconds(n):
+        df = spark.createDataFrame([("```sh\nx\n```\ny\n" * (n // 4),)], "t string").select(F.size(text.outside_fences(text.lines_of(F.col("t")))))
+        best = 9e9
+        for _ in range(4):
+            began = time.perf_counter()
+            assert df.collect()[0][0] == n // 4
+            best = min(best, time.perf_counter() - began)
+        return best
+
+    seconds(8000)
+    assert seconds(64_000) < 20 * seconds(8000)  # eight times the lines; quadratic work would take 64 times as long
+
+
+def test_blocks_beyond_one_chunk(spark):
+    given = "".join(f"~~~ i{k}\nin\n~~~\nout{k}\n" for k in range(700)) + "```\nopen"
+    row = spark.createDataFrame([(given,)], "t string").select(text.fence_blocks(text.lines_of(F.col("t"))).alias("b"), text.outside_fences(text.lines_of(F.col("t"))).alias("o")).collect()[0]
+    assert [(b["first"], b["last"], b["info"], b["closed"]) for b in row["b"]] == [(4 * k + 1, 4 * k + 3, f"i{k}", True) for k in range(700)] + [(2801, 2802, "", False)]
+    assert [tuple(x) for x in row["o"]] == [(4 * k + 4, f"out{k}") for k in range(700)]
