@@ -83,14 +83,16 @@ def base_name(path: Column) -> Column:
 
 
 def redacted_remote(url: Column) -> Column:
-    """A remote's scheme, lower-cased host, port and path only; null if nothing is left."""
+    """A remote's scheme, host (both in lower case), port and path only; null if nothing is left."""
     bare = F.regexp_replace(url, "(?s)[?#].*$", "")
     host = F.regexp_extract(bare, r"(?s)^[^:]*://(?:[^/]*@)?([^/]*)", 1)
-    with_scheme = F.concat(F.regexp_extract(bare, "(?s)^[^:]*://", 0), F.lower(host), F.regexp_replace(bare, r"(?s)^[^:]*://[^/]*", ""))
-    scp = F.when(F.regexp_like(bare, F.lit("(?s)^[^/:]*@[^/:]*:")) | F.regexp_like(bare, F.lit(r"(?s)^[^/:@]*\.[^/:@]*:")), F.regexp_replace(bare, "(?s)^[^/:]*@", "")).otherwise(bare)
+    named = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.lower(host), r":0*\z", ""), r":0+(?=[1-9][0-9]*\z)", ":"), r"^\[([^\]]*)\]", "$1")
+    with_scheme = F.concat(F.lower(F.regexp_extract(bare, "(?s)^[^:]*://", 0)), named, F.regexp_replace(bare, r"(?s)^[^:]*://[^/]*", ""))
+    # user@host:path; what stands before the first @ is the user's, whatever follows
+    scp = F.regexp_replace(bare, r"^[^@/:]+@(?=[^/:]+:[^\n]+\z)", "")
     return F.nullif(F.when(F.contains(url, F.lit("://")), with_scheme).otherwise(scp), F.lit(""))
 
 
 def effective_identity(value: Column) -> Column:
-    """An identity without its time and zone."""
-    return F.regexp_replace(value, r" [0-9]+ [+-][0-9]{4}$", "")
+    """An identity without its time and zone, and without white space around it."""
+    return F.regexp_replace(F.regexp_replace(value, rf"[{SPACE}]+\p{{Nd}}+[{SPACE}]+[+-]\p{{Nd}}{{4}}(?=\n?\z)", ""), rf"^[{SPACE}]+|[{SPACE}]+\z", "")

@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatehouse.functions.patterns import SPACE
-from gatehouse.operators.dialogue import baseline_status, is_active, max_dismissal, record_dismissal
+from gatehouse.functions.text import bound
+from gatehouse.operators.dialogue import DISMISSALS, baseline_status, is_active, max_dismissal, record_dismissal
 
-#: Answers that dismiss a question, their modes, and the labels of the first three (fixed values).
+#: Answers that dismiss a question, and their modes (fixed values).
 ANSWERS = {"dismiss_30d": "30d", "dismiss_90d": "90d", "dismiss_forever": "forever", "dismiss_7d": "7d"}
-LABELS = {"dismiss_30d": "30日間はこの項目を出さない", "dismiss_90d": "90日間はこの項目を出さない", "dismiss_forever": "次からこの項目は出さない (設定を残したまま)"}
 _ENTRIES = "map<string,variant>"
 
 
@@ -27,12 +29,15 @@ def loaded(documents: DataFrame) -> DataFrame:
     without a ``dismissals`` object and a null content (no document, no error). An object that names a key twice counts as unreadable.
     """
     text = F.col("content").cast("string")
-    value = F.try_parse_json(F.when(F.is_valid_utf8(text), text))
-    rows = documents.select("repo_id", F.col("content").isNull().alias("absent"), value.alias("v"))
-    is_object = F.startswith(F.schema_of_variant("v"), F.lit("OBJECT"))
-    error = F.when(F.col("absent"), F.lit(None).cast("string")).when(F.col("v").isNull(), "preferences_unreadable").when(~is_object, "preferences_invalid")
-    entries = F.when(is_object, F.try_variant_get("v", "$.dismissals", _ENTRIES))
-    return rows.select("repo_id", error.alias("load_error"), F.coalesce(entries, F.create_map().cast(_ENTRIES)).alias("entries"))
+
+    def read(v: Column) -> Column:
+        is_object = F.startswith(F.schema_of_variant(v), F.lit("OBJECT"))
+        error = F.when(v.isNull(), "preferences_unreadable").when(~is_object, "preferences_invalid")
+        return F.struct(error.alias("error"), F.when(is_object, F.try_variant_get(v, "$.dismissals", _ENTRIES)).alias("entries"))
+
+    parsed = bound(text, lambda t: bound(F.try_parse_json(F.when(F.is_valid_utf8(t), t)), read))
+    rows = documents.select("repo_id", F.when(F.col("content").isNotNull(), parsed).alias("r"))
+    return rows.select("repo_id", F.col("r.error").alias("load_error"), F.coalesce("r.entries", F.create_map().cast(_ENTRIES)).alias("entries"))
 
 
 def dismissals(prefs: DataFrame) -> DataFrame:
@@ -51,17 +56,17 @@ def answer_mode(answer: Column) -> Column:
     return F.try_element_at(F.create_map(*[F.lit(x) for pair in ANSWERS.items() for x in pair]), answer)
 
 
-def dismissal_options(kind: Column, severity: Column) -> Column:
-    """Array of ``(id, label)`` by which a proposal can be dismissed, empty where it can't."""
+def dismissal_options(kind: Column, severity: Column, labels: Mapping[str, str] | None = None) -> Column:
+    """Array of ``(id, label)`` by which a proposal can be dismissed, empty where it can't. Labels are the caller's words; an answer without one has its id."""
     most = max_dismissal(kind, severity)
-    option = lambda i: F.struct(F.lit(i).alias("id"), F.lit(LABELS[i]).alias("label"))
-    return F.array_compact(F.array(F.when(most.isNotNull(), option("dismiss_30d")), F.when(most.isin("90d", "forever"), option("dismiss_90d")), F.when(most == "forever", option("dismiss_forever"))))
+    option = lambda i: F.struct(F.lit(i).alias("id"), F.lit((labels or {}).get(i, i)).alias("label"))
+    return F.array_compact(F.array(*[F.when(most.isin(*longest), option(i)) for i, longest in DISMISSALS.items()]))
 
 
-def enriched(props: DataFrame) -> DataFrame:
+def enriched(props: DataFrame, labels: Mapping[str, str] | None = None) -> DataFrame:
     """``props`` with ``dismissible``, ``max_dismissal`` and ``options``."""
     most = max_dismissal(F.col("kind"), F.col("severity"))
-    return props.withColumns({"dismissible": most.isNotNull(), "max_dismissal": most, "options": dismissal_options(F.col("kind"), F.col("severity"))})
+    return props.withColumns({"dismissible": most.isNotNull(), "max_dismissal": most, "options": dismissal_options(F.col("kind"), F.col("severity"), labels)})
 
 
 def answered(prefs: DataFrame, answers: DataFrame, as_of: Column, schema_id: str, notes: str | None = None) -> DataFrame:
@@ -91,10 +96,17 @@ def baseline_document(content: Column, tag: str, as_of: Column) -> Column:
     No document, bytes that aren't UTF-8 and a document without the marker or with no real date are unknown, each with its reason.
     """
     text = content.cast("string")
-    plain = F.lit(rf"<!--[{SPACE}]*{tag}[{SPACE}]+last_reviewed:[{SPACE}]*([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})[{SPACE}]+max_age_days:[{SPACE}]*([0-9]+)[{SPACE}]*-->")
-    last = iso_date(F.regexp_substr(F.regexp_substr(text, plain), F.lit("[0-9]{4}-[0-9]{2}-[0-9]{2}")))
-    most = F.regexp_substr(F.regexp_substr(F.regexp_substr(text, plain), F.lit(rf"max_age_days:[{SPACE}]*[0-9]+")), F.lit("[0-9]+")).try_cast("long")
-    reason = F.when(content.isNull(), "baseline_document_missing").when(~F.is_valid_utf8(text), "baseline_unreadable").when(last.isNull() | most.isNull(), "baseline_marker_missing")
-    known = lambda c: F.when(reason.isNull(), c)
-    status = F.when(reason.isNotNull(), "unknown").otherwise(baseline_status(last, most, as_of))
-    return F.struct(status.alias("status"), reason.alias("reason"), known(last).alias("last_reviewed"), known(most).alias("max_age_days"), known(F.datediff(as_of, last)).alias("age_days"))
+    marker = rf"<!--[{SPACE}]*{tag}[{SPACE}]+last_reviewed:[{SPACE}]*([0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}})[{SPACE}]+max_age_days:[{SPACE}]*([0-9]+)[{SPACE}]*-->"
+
+    def dated(m: Column) -> Column:
+        return F.struct(m["absent"].alias("absent"), m["valid"].alias("valid"), iso_date(F.regexp_extract(m["found"], marker, 1)).alias("last"), F.regexp_extract(m["found"], marker, 2).try_cast("long").alias("most"))
+
+    def judged(m: Column) -> Column:
+        reason = F.when(m["absent"], "baseline_document_missing").when(~m["valid"], "baseline_unreadable").when(m["last"].isNull() | m["most"].isNull(), "baseline_marker_missing")
+        known = lambda c: F.when(reason.isNull(), c)
+        status = F.when(reason.isNotNull(), "unknown").otherwise(baseline_status(m["last"], m["most"], as_of))
+        return F.struct(status.alias("status"), reason.alias("reason"), known(m["last"]).alias("last_reviewed"), known(m["most"]).alias("max_age_days"), known(F.datediff(as_of, m["last"])).alias("age_days"))
+
+    # each step's values are bound, so that the text is searched once
+    found = bound(text, lambda t: F.struct(t.isNull().alias("absent"), F.is_valid_utf8(t).alias("valid"), F.regexp_substr(t, F.lit(marker)).alias("found")))
+    return bound(bound(found, dated), judged)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from gatehouse.functions.patterns import HOME_PATHS, SECRETS, content_has_any, effective_identity, evidence_label, redacted_remote
 from gatehouse.operators import readme
 from gatehouse.operators.checks import DEPENDENCY_FILES, REQUIRED_DOCUMENTS, audited_checks, exit_code, status_of
+from gatehouse.sources.repositories import UNREADABLE
 
 #: A person has to decide about every publication (fixed value).
 DECISION = "blocked_human_review_required"
@@ -25,7 +28,8 @@ def _worktree(files: DataFrame, marked: str, marker: str | None) -> DataFrame:
     seen = files.select(
         "repo_id",
         "path",
-        F.col("error").isNotNull().alias("broken") if "error" in files.columns else F.lit(False).alias("broken"),
+        (F.col("error").isNotNull() & (F.col("path").isNull() | (F.col("error") != UNREADABLE)) if "error" in files.columns else F.lit(False)).alias("broken"),
+        (F.when(F.col("path").isNotNull() & (F.col("error") == UNREADABLE), F.struct((~F.col("tracked") if "tracked" in files.columns else F.lit(False)).alias("untracked"), "path")) if "error" in files.columns else F.lit(None).cast("struct<untracked:boolean,path:string>")).alias("unread"),
         content_has_any(F.col("content"), SECRETS).alias("secret"),
         content_has_any(F.col("content"), HOME_PATHS).alias("home"),
         F.col("path").rlike(r"^\.github/workflows/[^/]*\.y[^/]*ml\z").alias("flow"),
@@ -35,6 +39,7 @@ def _worktree(files: DataFrame, marked: str, marker: str | None) -> DataFrame:
     )
     return seen.groupBy("repo_id").agg(
         F.bool_or("broken").alias("broken_files"),
+        F.min("unread").getField("path").alias("unread_file"),
         F.count_if("secret").alias("secrets"),
         _listed(F.col("home"), evidence_label(F.col("path"))).alias("homes"),
         F.collect_set(F.when(F.col("path").isin(*REQUIRED_DOCUMENTS), F.col("path"))).alias("documents"),
@@ -61,7 +66,7 @@ def _identities(commits: DataFrame, expected: str | None) -> DataFrame:
     return pairs.groupBy("repo_id").agg(F.bool_or("broken").alias("broken_log"), F.count_if(~F.col("broken")).alias("identity_count"), F.count_if(wrong).alias("mismatch_count"))
 
 
-def _checks(expected: str | None, scoped: bool, release: bool) -> dict[str, Column]:
+def _checks(expected: str | None, scoped: bool, release: bool, asked: bool) -> dict[str, Column]:
     """A struct of status and details for every check, over one wide row a repository."""
     part = lambda status, **more: F.struct(status.alias("status"), *[(c if isinstance(c, Column) else F.lit(c)).alias(k) for k, c in more.items()])
     none = F.array().cast(_NAMES)
@@ -98,7 +103,7 @@ def _checks(expected: str | None, scoped: bool, release: bool) -> dict[str, Colu
         "ci_runtime_result": part(F.when(workflows > 0, "unknown").otherwise("not_applicable"), reason="requires_current_remote_ci_evidence"),
         "human_visual_review": part(F.lit("unknown"), reason="explicit_human_review_required"),
         "origin": part(status_of(F.lit(False), F.coalesce(F.col("origin"), F.lit("")) == ""), url=redacted_remote(F.col("origin"))),
-        "repository_consistency": part(F.coalesce("consistency.status", F.lit("not_configured")), mode=F.col("consistency.mode"), findings=F.coalesce("consistency.findings", none)),
+        "repository_consistency": part(F.coalesce("consistency.status", F.lit("unknown" if asked else "not_configured")), mode=F.col("consistency.mode"), findings=F.coalesce("consistency.findings", none)),
     }
     if release:
         passed = F.col("design.status") == "pass"
@@ -118,12 +123,15 @@ def scan(
     release: bool = False,
     marked: str = "PREFLIGHT.md",
     marker: str | None = None,
+    consistency_bases: DataFrame | None = None,
+    consistency_expected: bool = True,
 ) -> DataFrame:
     """``repo_id, status, issues, checks, exit_code, report``: one row for every row of ``repos``.
 
     The tables are those of ``sources.repositories``: ``repos(repo_id, head, dirty, origin, error)``, ``files`` on disk, ``commits``, ``objects``
-    of the history, the ``identities`` of commits made now, ``bases`` where a scan is of changes since a base alone; ``consistency`` is the result
-    of ``consistency.check``. ``checks`` has a status by name; ``report`` is the JSON of all. What couldn't be read is an issue, its status
+    of the history, the ``identities`` of commits made now; ``consistency`` is the result of ``consistency.check``. A scan since a base has ``bases``, and its files, commits and
+    objects are those since it (``files_since``, and readers of ``repos`` with a ``base``). ``consistency_bases`` are bases of the consistency check of a whole scan.
+    Without a row of ``consistency`` that check is unknown, which blocks, unless the caller says that none is expected. ``checks`` has a status by name; ``report`` is the JSON of all. What couldn't be read is an issue, its status
     tool_error and its checks none: never a pass. Without ``files`` rows a repository lacks its documents; with ``expected`` and without
     ``identities`` the current identity is unknown.
     """
@@ -148,6 +156,11 @@ def scan(
         wide = wide.join(bases.select("repo_id", F.struct("oid", "ref", "valid").alias("base")), "repo_id", "left")
         base_fault = F.when(~F.coalesce("base.valid", F.lit(False)), "invalid_non_remote_or_non_ancestor_base_ref")
         scope = F.struct(F.lit("target_diff").alias("mode"), evidence_label(F.col("base.ref")).alias("resolved_base_ref"), F.col("base.oid").alias("base_oid"))
+    own_scope = F.struct(F.lit("same_as_scan").alias("mode"))
+    if consistency_bases is not None and bases is None:
+        wide = wide.join(consistency_bases.select("repo_id", F.struct("oid", "ref", "valid").alias("own_base")), "repo_id", "left")
+        base_fault = F.when(~F.coalesce("own_base.valid", F.lit(False)), "invalid_consistency_base_ref")
+        own_scope = F.struct(F.lit("target_diff").alias("mode"), evidence_label(F.col("own_base.ref")).alias("resolved_base_ref"), F.col("own_base.oid").alias("base_oid"))
     if release:
         # the rules are columns of the README's own row, under the repository's id
         design = readme.release_review(wide.select(F.col("repo_id").alias("doc_id"), F.col("readme").alias("text")))
@@ -159,9 +172,10 @@ def scan(
         base_fault,
         F.when(F.col("fault").isNotNull() | yes("broken_log"), "git_probe_failed"),
         F.when(yes("broken_files"), "git_worktree_inventory_failed"),
+        F.concat(F.lit("worktree_file_unreadable:"), evidence_label(F.col("unread_file"))),
         F.when(yes("broken_history"), "git_history_inventory_failed"),
     )
-    parts = _checks(expected, scoped, release)
+    parts = _checks(expected, scoped, release, consistency_expected)
     rows = wide.withColumn("issue", issue).withColumns({f"check_{k}": c for k, c in parts.items()})
     audited = [F.col(f"check_{k}.status") for k in parts if k in audited_checks(scoped, release)]
     some = lambda *values: F.exists(F.array(*audited), lambda s: s.isin(*values))
@@ -178,6 +192,7 @@ def scan(
             evidence_label(F.col("repo_id").cast("string")).alias("repo"),
             F.when(intact, F.col("head")).alias("head"),
             F.when(intact, scope).alias("scan_scope"),
+            F.when(intact, own_scope).alias("consistency_scope"),
             named.alias("checks"),
         )
     )
@@ -190,3 +205,16 @@ def check_rows(scanned: DataFrame) -> DataFrame:
     rows = scanned.select("repo_id", F.from_json("report", parts).alias("r"), F.explode("checks").alias("name", "status"))
     of = lambda name, c: F.when(F.col("name") == name, F.col(f"r.checks.{name}.{c}")).alias(c)
     return rows.select("repo_id", "name", "status", of("required_documents", "missing"), of("required_documents", "invalid"), of("commit_identity", "policy"))
+
+
+def enriched(scanned: DataFrame, schema_id: str, audience: str | Column = "unspecified", intent: str | None = None, release: bool = False, expected: str | None = None, guarantees: Sequence[str] = (), non_guarantees: Sequence[str] = ()) -> DataFrame:
+    """``scanned`` with what a report's reader has to know beside it: the schema, the options of the run and the boundaries, in the caller's words.
+
+    The options' bases are those of the report's own scopes; a report of a scan that failed has none.
+    """
+    base = lambda scope: F.get_json_object("report", f"$.{scope}.resolved_base_ref")
+    mode = F.when(base("scan_scope").isNotNull(), "target_diff").otherwise("release" if release else "standard")
+    options = F.struct((F.lit(audience) if isinstance(audience, str) else audience).alias("audience"), mode.alias("mode"), F.lit(bool(expected)).alias("expected_identity_configured"), F.lit(intent).cast("string").alias("intent"), base("scan_scope").alias("base_ref"), base("consistency_scope").alias("consistency_base_ref"))
+    words = lambda w: F.array(*map(F.lit, w)).cast("array<string>")
+    more = F.to_json(F.struct(F.lit(schema_id).alias("schema"), options.alias("options"), words(guarantees).alias("guarantees"), words(non_guarantees).alias("non_guarantees")))
+    return scanned.withColumn("report", F.concat(F.regexp_replace("report", r"\}\z", ","), F.substr(more, F.lit(2))))

@@ -6,15 +6,18 @@ groups that pass and groups that fail. Every query reads its whole table.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gatehouse.functions.globs import globs_regex
-from gatehouse.functions.patterns import HOME_PATHS, SECRETS, SPACE, any_of, base_name, evidence_label, redacted_remote
+from gatehouse.functions.patterns import HOME_PATHS, SECRETS, SPACE, any_of, base_name, content_has_any, evidence_label, redacted_remote
 from gatehouse.functions.text import heading_level
+from gatehouse.functions.workflows import action_line_numbers
 from gatehouse.operators import checks, consistency, dialogue, preferences, readme, scan
+from gatehouse.sources import repositories
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -69,12 +72,12 @@ def redact_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "documents").select("doc_id", evidence_label(base_name(F.expr(LABEL))).alias("label"))
 
 
-REMOTE = "case when page_id % 4 = 0 then concat('git@host', cast(page_id as varchar(20)), '.org:team/x.git?token=1#f') when page_id % 4 = 1 then replace(url, '://', '://user:secret@Sub.') when page_id % 4 = 2 then concat('/srv/git/', cast(page_id as varchar(20)), '#x') else url end"
+REMOTE = "case when page_id % 4 = 0 then concat(case when page_id % 8 = 0 then 'a@' else '' end, 'git@host', cast(page_id as varchar(20)), '.org:team/x.git?token=1#f') when page_id % 4 = 1 then replace(replace(url, '://', '://user:secret@Sub.'), 'http', 'HTTP') when page_id % 4 = 2 then concat('/srv/git/', cast(page_id as varchar(20)), '@h:x#x') else url end"
 
 
 @query(f"""with u as (select page_id, {REMOTE} as url from pages), b as (select page_id, url, regexp_replace(url, '[?#].*$', '', 's') as bare from u)
-    select page_id, nullif(case when url like '%://%' then concat(regexp_extract(bare, '(?s)^[^:]*://', 0), lower(regexp_extract(bare, '(?s)^[^:]*://(?:[^/]*@)?([^/]*)', 1)), regexp_replace(bare, '(?s)^[^:]*://[^/]*', ''))
-      when regexp_matches(bare, '^[^/:]*@[^/:]*:') or regexp_matches(bare, '^[^/:@]*\\.[^/:@]*:') then regexp_replace(bare, '^[^/:]*@', '') else bare end, '') as remote from b""")
+    select page_id, nullif(case when url like '%://%' then concat(lower(regexp_extract(bare, '(?s)^[^:]*://', 0)), lower(regexp_extract(bare, '(?s)^[^:]*://(?:[^/]*@)?([^/]*)', 1)), regexp_replace(bare, '(?s)^[^:]*://[^/]*', ''))
+      else regexp_replace(bare, '^[^@/:]+@([^/:]+:.)', '\\1') end, '') as remote from b""")
 def redact_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "pages").select("page_id", redacted_remote(F.expr(REMOTE)).alias("remote"))
 
@@ -83,7 +86,7 @@ def redact_remote(spark: SparkSession, sf_dir: str) -> DataFrame:
     select repo_id, cast(count(*) as bigint) as identities, cast(count(*) filter (where author <> 'one' or committer <> 'one') as bigint) as mismatches, 'expected_identity' as policy,
     case when count(*) filter (where author <> 'one' or committer <> 'one') > 0 then 'fail' else 'pass' end as status from p group by repo_id""")
 def commit_identity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _table(spark, sf_dir, "customer").selectExpr("c_mktsegment as repo_id", "case when c_mktsegment < 'C' then 'one 1700000000 +0900' else concat('p', cast(c_nationkey as string), ' 1700000000 -0100') end as author", "'one' as committer")
+    rows = _table(spark, sf_dir, "customer").selectExpr("c_mktsegment as repo_id", "case when c_mktsegment < 'C' then ' one   1700000000  +0900' else concat('p', cast(c_nationkey as string), ' 1700000000 -0100') end as author", "'one' as committer")
     return checks.commit_identity(rows, "one")
 
 
@@ -386,12 +389,150 @@ def preference_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     l as (select s.repo_id, s.status, hold, origin, s.repo_id % 3 = 0 as audit, s.repo_id % 2 = 0 as no_audit, s.repo_id % 5 = 0 as ci, s.repo_id % 7 = 0 as no_ci from s join p on p.repo_id = s.repo_id)
     select repo_id, case when status = 'tool_error' or hold then 'blocked' when origin or status = 'blocked' or (ci and not no_ci) then 'needs_human_input' else 'ready_after_confirmation' end as status,
       concat_ws(',', case when origin then 'configure_origin' end, case when ci and not no_ci then 'confirm_ci_runtime' end, case when hold then 'resolve_secret_findings' end, case when audit and not no_audit then 'run_dependency_audit' end) as visible,
-      concat_ws(',', case when ci and no_ci then 'confirm_ci_runtime' end, case when audit and no_audit then 'run_dependency_audit' end) as suppressed, 'confirm_publish' as confirmation from l""")
+      concat_ws(',', case when ci and no_ci then 'confirm_ci_runtime' end, case when audit and no_audit then 'run_dependency_audit' end) as suppressed, 'confirm_publish' as confirmation,
+      concat_ws(',', case when origin then 'configure_origin:yes/no:yes' end, case when ci and not no_ci then 'confirm_ci_runtime:yes/no/dismiss_30d:yes' end, case when hold then 'resolve_secret_findings:fix/stop:fix' end, case when audit and not no_audit then 'run_dependency_audit:done/later/dismiss_30d/dismiss_90d/dismiss_forever:later' end) as offered,
+      case repo_id % 4 when 0 then 'team' when 1 then 'public' else 'unspecified' end as audience, case when repo_id % 6 = 0 then 'fresh' end as guide from l""")
 def dialogue_packet(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What is asked before publishing, without what was dismissed; holds are asked whatever was dismissed."""
     rows = _table(spark, sf_dir, "orders").selectExpr("o_custkey as repo_id", *_split(CHECK_ROWS))
     scans = checks.rollup(rows).select("repo_id", "status")
     planted = scans.selectExpr("repo_id", "inline(array(struct('dependency_vulnerability_audit' as name, if(repo_id % 3 = 0, 'unknown', 'pass') as status), struct('ci_runtime_result' as name, if(repo_id % 5 = 0, 'unknown', 'pass') as status)))")
     gone = scans.selectExpr("repo_id", "inline(array(struct('run_dependency_audit' as id, if(repo_id % 2 = 0, 'forever', 'none') as mode, cast(null as date) as until), struct('confirm_ci_runtime' as id, 'snooze' as mode, if(repo_id % 7 = 0, date '2024-06-01', date '2024-05-31') as until), struct('resolve_secret_findings' as id, 'forever' as mode, cast(null as date) as until)))")
-    out = dialogue.packet(scans, dialogue.proposals(rows.unionByName(planted), "publish"), gone, "publish", F.expr(AS_OF))
-    return out.select("repo_id", "status", F.concat_ws(",", "visible").alias("visible"), F.concat_ws(",", "suppressed").alias("suppressed"), F.get_json_object("packet", "$.confirmations[0].id").alias("confirmation"))
+    differing = scans.selectExpr("repo_id", "status", "case repo_id % 4 when 0 then 'team' when 1 then 'public' end as audience", "if(repo_id % 6 = 0, 'fresh', null) as baseline")
+    out = dialogue.packet(differing, dialogue.proposals(rows.unionByName(planted), "publish"), gone, "publish", F.expr(AS_OF))
+    offer = F.from_json("packet", "proposals array<struct<id:string,options:array<string>,default:string>>")["proposals"]
+    offered = F.array_join(F.transform(offer, lambda p: F.concat_ws(":", p["id"], F.array_join(p["options"], "/"), p["default"])), ",")
+    of = lambda path: F.get_json_object("packet", f"$.{path}")
+    return out.select("repo_id", "status", F.concat_ws(",", "visible").alias("visible"), F.concat_ws(",", "suppressed").alias("suppressed"), of("confirmations[0].id").alias("confirmation"), offered.alias("offered"), of("audience").alias("audience"), of("guide").alias("guide"))
+
+
+@query("""select o_orderkey as repo_id, 'confirm_merge' as id, case when o_orderkey % 7 = 0 then 'never_approved' when o_orderkey % 11 = 0 then '' else concat_ws(',', case when o_orderkey % 2 = 0 then 'head_moved' end, case when o_orderkey % 3 = 0 then 'base_moved' end, case when o_orderkey % 5 = 0 then 'consistency_base_moved' end) end as reasons,
+      o_orderkey % 7 = 0 or (o_orderkey % 11 <> 0 and (o_orderkey % 2 = 0 or o_orderkey % 3 = 0 or o_orderkey % 5 = 0)) as due from orders""")
+def approvals_due(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Approvals of a merge, given when head, base and consistency base were others or the same; by order some were given anew."""
+    orders = _table(spark, sf_dir, "orders").withColumn("repo_id", F.col("o_orderkey"))
+    now = orders.selectExpr("repo_id", "'pass' as status", "concat('h', o_custkey) as head", "'origin/main' as base_ref", "concat('b', o_orderkey) as base_oid", "'origin/main' as consistency_base_ref", "concat('c', o_orderkey) as consistency_base_oid")
+    asked = dialogue.confirmations(now, "merge")
+    old = "struct(base_ref, concat({0}, if(repo_id % {1} = 0, 'x', '')) as base_oid, concat(head, if(repo_id % 2 = 0, 'x', '')) as head_oid)"
+    given = now.where("repo_id % 7 <> 0").selectExpr("repo_id", "'confirm_merge' as id", old.format("base_oid", 3) + " as binding", old.replace("base_ref", "consistency_base_ref as base_ref", 1).format("consistency_base_oid", 5) + " as consistency_binding")
+    anew = asked.where("repo_id % 11 = 0 and repo_id % 7 <> 0").select("repo_id", "id", "binding", "consistency_binding")
+    return dialogue.approvals_due(asked, given.unionByName(anew)).withColumn("reasons", F.concat_ws(",", "reasons"))
+
+
+REQUEST = "event_id as request_id, case when event_id % 7 = 0 then null else concat('r', user_id) end as repo, case event_id % 8 when 0 then 'push' when 1 then 'open_pr' when 2 then 'merge' when 3 then 'publish' when 4 then 'release' when 5 then 'create_repo' when 6 then 'other' end as intent, case when event_id % 3 = 0 then 'origin/main' else '' end as base_ref, case when event_id % 5 = 0 then 'origin/main' end as consistency_base_ref, event_id % 2 = 0 as release"
+
+
+@query(f"""with r as (select {REQUEST} from events)
+    select request_id, case when intent = 'other' then 'unknown_intent' when base_ref <> '' and consistency_base_ref is not null then 'base_refs_are_exclusive' when base_ref <> '' and coalesce(intent not in ('push', 'open_pr', 'merge'), true) then 'base_ref_requires_push_open_pr_or_merge'
+      when consistency_base_ref is not null and not (coalesce(intent in ('publish', 'release'), false) or (intent is null and release)) then 'consistency_base_ref_requires_publish_or_release' when repo is null and coalesce(intent, '') <> 'create_repo' then 'repo_required' end as error from r""")
+def request_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests for scans and dialogues whose options exclude each other or lack what they need."""
+    return dialogue.request_errors(_table(spark, sf_dir, "events").selectExpr(*re.split(r", (?=case|event_id % 2)", REQUEST)))
+
+
+def _rows(names: str, *rows: tuple[str, ...]) -> str:
+    """An array of structs of the same names, as Spark SQL has it."""
+    fields = names.split(", ")
+    return "array(" + ", ".join("named_struct(" + ", ".join(f"'{k}', {v}" for k, v in zip(fields, row, strict=True)) + ")" for row in rows) + ")"
+
+
+def _spelled(text: str) -> str:
+    """A text as an expression that both dialects read alike: line ends, tabs, quotes and backslashes by their numbers."""
+    parts = re.split("([\n\t'\\\\])", text)
+    return "concat('', " + ", ".join(f"chr({ord(x)})" if k % 2 else f"'{x}'" for k, x in enumerate(parts)) + ")"
+
+
+#: A workflow a document: the text is the script of its first step, then one of many ways to write an action's line, and the numbers of such lines (None: ambiguous).
+SCRIPT = _spelled("name: x\njobs:\n  one:\n    runs-on: u\n    steps:\n      - run: |\n          ") + ", replace(replace(coalesce(text, ''), chr(9), ' '), chr(10), concat(chr(10), repeat(' ', 10))), chr(10)"
+WRITTEN = (
+    ("      - uses: a/b@c", "1"),
+    ("      - name: y\n        uses: a/b@c\n        with:\n          uses: no", "2"),
+    ("  two:\n    uses: a/b/c.yml@d\n    steps:\n      - uses: e/f@g", "2,4"),
+    ("  two:\n    env:\n      uses: a/b@c\n    steps:\n      - run: x", ""),
+    ("      - run: >-\n          uses: a/b@c\n      - {name}: x", None),
+    ("      - run: x\n    env: {\n      uses: a/b@c\n    }", None),
+    ("      - run: &s |\n          uses: a/b@c", None),
+    ("      - name: y\n\t        uses: a/b@c", None),
+    ('      - run: "echo\n        uses: a/b@c\n"', None),
+    ("      - run: 'it''s'\n      - uses: a/b@c\n        not a key", None),
+    ("      - uses: a/b@c\n       - uses: a/b@c", None),
+    ('      - run: "x \\\\"\n      - uses: a/b@c', "2"),
+    ('      - run: "x \\"\n      - uses: a/b@c', None),
+    ("on:\n  uses: a/b@c\njobs:\n  - uses: a/b@c", None),
+    ("# note\n\non: push\njobs:\n   two:\n     uses: a/b@c", "6"),
+    ("    steps:\n      - uses: a/b@c\n    - uses: a/b@c", "2"),
+    (" three: x", None),
+)
+_WAYS = len(WRITTEN)
+_NUMBERS = " ".join(f"when {k} then " + ("concat_ws(','" + "".join(f", cast(n + {x} as varchar)" for x in lines.split(",") if x) + ", '')" if lines else "''") for k, (_, lines) in enumerate(WRITTEN) if lines is not None)
+
+
+@query(f"""with d as (select doc_id, 6 + length(coalesce(text, '')) - length(replace(coalesce(text, ''), chr(10), '')) + 1 as n from documents)
+    select doc_id, nullif(rtrim(case doc_id % {_WAYS} {_NUMBERS} end, ','), '-') as lines, doc_id % {_WAYS} in ({", ".join(str(k) for k, (_, lines) in enumerate(WRITTEN) if lines is None)}) as ambiguous from d""")
+def action_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that name an action, in workflows whose first step holds the whole text."""
+    tail = f"case doc_id % {_WAYS} " + " ".join(f"when {k} then {_spelled(w)}" for k, (w, _) in enumerate(WRITTEN)) + " end"
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.expr(f"concat({SCRIPT}, {tail})").alias("content"))
+    found = rows.select("doc_id", action_line_numbers(F.col("content")).alias("lines"))
+    return found.select("doc_id", F.when(F.col("lines").isNotNull(), F.concat_ws(",", "lines")).alias("lines"), F.col("lines").isNull().alias("ambiguous"))
+
+
+_APP, _GUIDE = "'src/app.py'", "'docs/x.md'"
+#: Two versions of a document's workflow, by doc_id: the pinned commit alone moved (0, with its comment 1), or more or other things changed.
+_PIN = "concat('      - uses: ', {0}, '@', repeat('{1}', 40), '{2}', chr(10), {3})"
+VERSION_AFTER = "case doc_id % 13 when 0 then " + _PIN.format("'a/b'", "2", "", "'      - run: make'") + " when 1 then " + _PIN.format("'a/b'", "2", " # v7", "'      - run: make'") + " when 2 then " + _PIN.format("'evil/b'", "2", "", "'      - run: make'") + " when 3 then " + _PIN.format("'a/b'", "2", "", "'      - run: test'") + " when 7 then " + _PIN.format("'a/b'", "2", "", "concat('      - run: make', chr(10), '      - run: more')") + " when 8 then " + _PIN.format("'a/b'", "2", "#no comment", "'      - run: make'") + " when 9 then concat('    env:', chr(10), '      uses: a/b@', repeat('2', 40)) when 10 then " + _PIN.format("'a/b'", "1", "", "'      - run: make'") + " else " + _PIN.format("'a/b'", "2", "", "'      - run: make'") + " end"
+
+
+@query("""with d as (select doc_id // 2 as repo_id, bool_and(doc_id % 13 in (0, 1)) and any_value(doc_id // 2) % 5 <> 0 as pins from documents group by doc_id // 2)
+    select repo_id, 1 as at, case when pins or repo_id % 7 = 0 then 'pass' else 'fail' end as status, pins as action_ref_update_only from d
+    union all select repo_id, 2, case when repo_id % 7 = 0 then 'pass' else 'fail' end, false from d""")
+def pinned_actions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Impact rules of repositories of two workflows each, with and without the exemption of changes that only move pinned commits."""
+    docs = _table(spark, sf_dir, "documents").withColumn("repo_id", F.expr("doc_id div 2"))
+    path = F.expr("concat('.github/workflows/', if(doc_id % 13 = 6, 't/', ''), 'w', doc_id, '.yml')")
+    before = f"case doc_id % 13 when 9 then concat('    env:', chr(10), '      uses: a/b@', repeat('1', 40)) else {_PIN.format(chr(39) + 'a/b' + chr(39), '1', '', chr(39) + '      - run: make' + chr(39))} end"
+    side = lambda tail: F.expr(f"concat({SCRIPT}, {tail})").cast("binary")
+    versions = docs.select("repo_id", path.alias("path"), F.expr("if(doc_id % 13 = 5, 'A', 'M')").alias("kind"), F.lit("100644").alias("base_mode"), F.expr("if(doc_id % 13 = 12, '120000', '100644')").alias("index_mode"), F.expr("if(doc_id % 13 = 4, '100755', '100644')").alias("disk_mode"), side(before).alias("before"), F.when(F.expr("doc_id % 13 <> 11"), side(VERSION_AFTER)).alias("after"), F.expr("if(doc_id % 13 = 11, 'FileUnreadable', null)").alias("error"))
+    repos = docs.select("repo_id").distinct()
+    changes = docs.select("repo_id", path.alias("path")).unionByName(repos.selectExpr("repo_id", f"inline(filter({_rows('path, is_in', (_APP, 'repo_id % 5 = 0'), (_GUIDE, 'repo_id % 7 = 0'))}, x -> x.is_in))").select("repo_id", "path"))
+    rules = repos.selectExpr("repo_id", "inline(" + _rows("at, change, requires_any, exempt", ("1", "array('.github/workflows/**', 'src/**')", "array('docs/*.md')", "true"), ("2", "array('.github/**')", "array('docs/**')", "false")) + ")")
+    return consistency.impact_results(rules, changes, consistency.pin_updates(versions))
+
+
+FAULT_CONFIG = f'{{"schema": "{SCHEMA_ID}", "mode": "enforce", "markdown": {{"include": ["docs/**"]}}, "impact_map": [{{"change": ["src/**"], "requires_any": ["docs/**"]}}]}}'
+
+
+@query("""select doc_id as repo_id, case doc_id % 20 when 0 then 'pass' when 10 then 'fail' else 'tool_error' end as status, case when doc_id % 10 in (0, 7) then 'enforce' end as mode,
+    case doc_id % 10 when 0 then case when doc_id % 20 = 10 then 'related_docs_update_missing:impact-1' else '' end when 1 then 'git_consistency_diff_failed' when 2 then 'git_consistency_diff_failed' when 7 then 'markdown_unreadable:docs/a.md' when 9 then 'invalid_consistency_config' else 'git_consistency_inventory_failed' end as findings from documents""")
+def consistency_faults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repositories of which something could not be read: a base, the list of files, a conflict, a mode, a document, the repository, its configuration. None of them passes."""
+    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id as repo_id", "coalesce(text, '') as text")
+    repos = docs.selectExpr("repo_id", "if(doc_id % 10 = 8, 'NotARepository', null) as error")
+    configs = docs.select("repo_id", F.lit(FAULT_CONFIG).alias("content"), F.expr("if(doc_id % 10 = 9, 'FileUnreadable', null)").alias("error"))
+    rows = _rows(
+        "path, mode, stage, content, error",
+        ("'README.md'", "'100644'", "0", "text", "string(null)"),
+        ("'docs/a.md'", "'100644'", "0", "if(doc_id % 10 = 7, null, text)", "if(doc_id % 10 = 7, 'FileUnreadable', null)"),
+        ("if(doc_id % 10 = 3, null, 'c.txt')", "if(doc_id % 10 = 6, '040000', '100644')", "if(doc_id % 10 = 5, 2, 0)", "string(null)", "case doc_id % 10 when 3 then 'CalledProcessError' when 6 then 'UnknownMode' end"),
+    )
+    files = docs.where("doc_id % 10 <> 4").selectExpr("repo_id", "true as tracked", f"inline({rows})")
+    row = "scope, kind, path, old_path, error"
+    some = _rows(row, ("'base'", "string(null)", "'c0ffee'", "string(null)", "string(null)"), ("if(doc_id % 20 = 10, 'worktree', 'committed')", "'M'", _APP, "string(null)", "string(null)"))
+    answers = f"case doc_id % 10 when 1 then {_rows(row, (*['string(null)'] * 4, repr('CalledProcessError')))} when 2 then filter({some}, x -> false) else {some} end"
+    changes = docs.select("repo_id", F.inline(F.expr(answers)))
+    out = consistency.check(repos, configs, files, SCHEMA_ID, changes)
+    return out.select("repo_id", "status", "mode", F.concat_ws(",", "findings").alias("findings"))
+
+
+@query(f"""with d as (select source, doc_id % 3 <> 0 and doc_id % 5 <> 0 as there, doc_id % 11 = 0 as two, doc_id % 13 = 0 as link, doc_id % 17 = 0 as odd, regexp_matches({SECRET_TEXT}, {DUCK_SECRETS}) as hit from documents)
+    select source as repo_id, cast(count(*) filter (where there and not two and not link and not odd) as bigint) as files, cast(count(*) filter (where there and not two and not link and not odd and hit) as bigint) as findings, cast(count(*) filter (where there and (two or (odd and not link))) as bigint) as errors
+    from d group by source having count(*) filter (where there and (two or not link)) > 0""")
+def changed_since_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files committed since a base and their secrets: older findings, deleted files and links are left out, entries that don't add up are errors."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", F.col("source").alias("repo_id"), F.concat(F.lit("d/"), F.col("doc_id").cast("string"), F.lit(".md")).alias("path"), F.expr(SECRET_TEXT).alias("content"))
+    files = docs.select("repo_id", "path", "content", F.lit(None).cast("string").alias("error"))
+    index = docs.select("repo_id", "path", F.expr("case when doc_id % 13 = 0 then '120000' when doc_id % 17 = 0 then '040000' else '100644' end").alias("mode"), F.explode(F.expr("if(doc_id % 11 = 0, array(1, 2), array(0))")).alias("stage"), F.lit(None).cast("string").alias("error"))
+    changes = docs.select("repo_id", F.expr("if(doc_id % 3 = 0, 'worktree', 'committed')").alias("scope"), "path", F.expr("doc_id % 5 <> 0").alias("on_disk"), F.lit(None).cast("string").alias("error"))
+    out = repositories.files_since(files, index, changes)
+    hit = content_has_any(F.col("content"), SECRETS)
+    return out.groupBy("repo_id").agg(F.count_if(F.col("error").isNull()).alias("files"), F.count_if(F.col("error").isNull() & hit).alias("findings"), F.count_if(F.col("error").isNotNull()).alias("errors"))

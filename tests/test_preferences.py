@@ -74,6 +74,6 @@ def test_packet(spark):
     assert (rows["r"].status, rows["r"].visible, rows["r"].suppressed) == ("ready_after_confirmation", [], ["confirm_ci_runtime"])
     assert (rows["s"].status, rows["s"].visible, rows["s"].suppressed) == ("needs_human_input", ["run_scan_first"], [])
     last = json.loads(rows["r"].packet)["confirmations"]
-    assert last == [{"id": "confirm_merge", "kind": "intent_confirmation", "severity": "required", "blocks_intent": True, "action": "merge", "binding": {"base_ref": "origin/main", "base_oid": "b1", "head_oid": "h1"}}]
+    assert last == [{"id": "confirm_merge", "kind": "intent_confirmation", "severity": "required", "blocks_intent": True, "action": "merge", "options": ["approve", "cancel"], "default": "cancel", "binding": {"base_ref": "origin/main", "base_oid": "b1", "head_oid": "h1"}}]
     assert "binding" not in json.loads(rows["s"].packet)["confirmations"][0]
     assert "binding" not in json.loads(dialogue.packet(scans, props, gone, "publish", day()).where("repo_id = 'r'").first().packet)["confirmations"][0]

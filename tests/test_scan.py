@@ -51,7 +51,7 @@ def trees(tmp_path_factory):
 def scanned(spark, trees, names=("clean", "bad", "other", "plain"), base=None, revisions="--all", **more):
     repos = spark.createDataFrame([(n, str(trees / n)) for n in names], "repo_id string, path string")
     bases = repositories.read_bases(repos, base) if base else None
-    out = scan.scan(repositories.read_repositories(repos), repositories.read_files(repos), repositories.read_commits(repos, revisions), repositories.read_objects(repos, revisions), repositories.read_identities(repos), bases=bases, expected=ME, marker="reviewed", **more)
+    out = scan.scan(repositories.read_repositories(repos), repositories.read_files(repos), repositories.read_commits(repos, revisions), repositories.read_objects(repos, revisions), repositories.read_identities(repos), bases=bases, expected=ME, marker="reviewed", consistency_expected=False, **more)
     return {r.repo_id: r for r in out.collect()}
 
 
@@ -105,3 +105,13 @@ def test_what_is_unknown_is_no_pass(spark):
     more = scan.scan(repos, files.limit(0), commits, expected="x").where("repo_id = 'a'").first()
     assert more.checks["commit_identity"] == "unknown"
     assert scan.scan(repos.limit(0), files, commits).count() == 0
+
+
+def test_reports_with_their_options_and_boundaries(spark, trees):
+    repos = spark.createDataFrame([("clean", str(trees / "clean")), ("plain", str(trees / "plain"))], "repo_id string, path string")
+    bases = repositories.read_bases(repos, "origin/main")
+    out = scan.scan(repositories.read_repositories(repos), repositories.read_files(repos), repositories.read_commits(repos), consistency_bases=bases, consistency_expected=False)
+    rows = {r.repo_id: json.loads(r.report) for r in scan.enriched(out, "report/v1", "team", "release", True, ME, ["reads only"], ["no approval"]).collect()}
+    assert rows["clean"]["options"] == {"audience": "team", "mode": "release", "expected_identity_configured": True, "intent": "release", "consistency_base_ref": "refs/remotes/origin/main"}
+    assert rows["clean"]["schema"] == "report/v1" and rows["clean"]["consistency_scope"]["mode"] == "target_diff" and rows["clean"]["non_guarantees"] == ["no approval"]
+    assert rows["plain"]["issues"] == ["not_git_repository"] and rows["plain"]["options"]["mode"] == "release"

@@ -2,7 +2,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from gatehouse.functions.text import row_cells, table_code_width
+from gatehouse.functions.text import outside_fences, row_cells, table_code_width
 from gatehouse.operators import readme
 
 
@@ -46,7 +46,7 @@ TEXTS = [
 
 def test_code_in_tables(spark):
     docs = spark.createDataFrame([(k, t) for k, t in enumerate(TEXTS)], "doc_id int, text string")
-    widths = docs.select("doc_id", table_code_width(F.split(F.coalesce("text", F.lit("")), "\n")).alias("w")).orderBy("doc_id").collect()
+    widths = docs.select("doc_id", table_code_width(outside_fences(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("w")).orderBy("doc_id").collect()
     assert [r.w for r in widths] == [7, 0, 6, 4, 5, 0, 0, 0]
     rows = readme.wide_table_rows(docs, 3).orderBy("doc_id", "n").collect()
     assert [(r.doc_id, r.n, r.width) for r in rows] == [(0, 3, 7), (2, 1, 6), (3, 4, 4), (4, 3, 5)]
