@@ -84,13 +84,12 @@ def path_keys(path: Column) -> Column:
 def glob_matches(globs: DataFrame, paths: DataFrame) -> DataFrame:
     """``globs``' rows joined with the ``path`` of ``paths(repo_id, path)`` that they match, each pair once.
 
-    ``globs`` has ``repo_id``, ``glob`` and columns of its own. Candidates meet by repository and key, so pairs grow with what may match, not with globs times
+    ``globs`` has ``repo_id``, ``glob`` and columns of its own, none named path. Candidates meet by repository and key, so pairs grow with what may match, not with globs times
     paths, and a large repository is dealt out by key; the expression only verifies.
     """
     own = [c for c in globs.columns if c != "repo_id"]
-    keys = F.pandas_udf(lambda s: pd.Series([glob_keys(g) for g in s], index=s.index, dtype=object), "array<string>")
-    regex = F.pandas_udf(lambda s: pd.Series([glob_regex(g) for g in s], index=s.index, dtype=object), "string")
-    wanted = globs.where("glob is not null").distinct().withColumn("rx", regex("glob")).withColumn("key", F.explode(keys("glob")))
-    keyed = paths.select("repo_id", "path").distinct().withColumnRenamed("path", "matched").withColumn("key", F.explode(path_keys(F.col("matched"))))
+    read = F.pandas_udf(lambda s: pd.DataFrame({"rx": [glob_regex(g) for g in s], "keys": [glob_keys(g) for g in s]}, index=s.index), "rx string, keys array<string>")
+    wanted = globs.where("glob is not null").withColumn("read", read("glob")).select("repo_id", *own, F.col("read.rx").alias("rx"), F.explode("read.keys").alias("key"))
+    keyed = paths.select("repo_id", F.col("path").alias("matched"), F.explode(path_keys(F.col("path"))).alias("key"))
     found = wanted.join(keyed, ["repo_id", "key"]).where(F.expr("matched rlike rx"))
-    return found.select("repo_id", *own, F.col("matched").alias("path") if "path" not in own else "matched").distinct()
+    return found.select("repo_id", *own, F.col("matched").alias("path")).distinct()

@@ -14,6 +14,7 @@ from gatehouse.functions.globs import glob_matches, globs_regex
 from gatehouse.functions.text import link_targets, resolved
 from gatehouse.functions.workflows import action_line_numbers, byte_lines, moves_pins_only
 from gatehouse.sources.repositories import UNKNOWN_MODE, WORKFLOWS, changed_paths
+from gatehouse.sources.staging import staged
 
 #: Kinds of review that changed paths call for (fixed values).
 ROUTES = {
@@ -118,14 +119,17 @@ def impact_results(rules: DataFrame, changes: DataFrame, pins: DataFrame | None
 
     A rule fails where ``change`` paths changed, unless one of ``requires_any`` did, or it is exempt and all the paths that it is about, one at least, are ``pins(repo_id, path)``.
     """
-    changed = changes.select("repo_id", "path").distinct()
-    of = lambda key: glob_matches(rules.select("repo_id", "at", F.explode(key).alias("glob")), changed).select("repo_id", "at", "path").distinct()
-    pinned = (changed.limit(0) if pins is None else pins.select("repo_id", "path").distinct()).withColumn("pin", F.lit(True))
-    about = of("change").join(pinned, ["repo_id", "path"], "left").groupBy("repo_id", "at").agg(F.count("*").alias("n"), F.bool_and(F.coalesce("pin", F.lit(False))).alias("all_pins"))
-    met = of("requires_any").groupBy("repo_id", "at").agg(F.lit(True).alias("met"))
-    rows = rules.select("repo_id", "at", "exempt").join(about, ["repo_id", "at"], "left").join(met, ["repo_id", "at"], "left")
-    hit, spared = F.coalesce(F.col("n") > 0, F.lit(False)), F.coalesce(F.col("exempt") & F.col("all_pins"), F.lit(False))
-    return rows.select("repo_id", "at", F.when(hit & ~spared & F.col("met").isNull(), "fail").otherwise("pass").alias("status"), (hit & spared).alias("action_ref_update_only"))
+    sides = F.array(F.struct(F.lit(True).alias("about"), F.col("change").alias("globs")), F.struct(F.lit(False).alias("about"), F.col("requires_any").alias("globs")))
+    globs = rules.select("repo_id", "at", F.inline(sides)).select("repo_id", "at", "about", F.explode("globs").alias("glob"))
+    met = glob_matches(globs, changes.select("repo_id", "path"))
+    if pins is None:
+        met = met.withColumn("pin", F.lit(False))
+    else:
+        met = met.join(pins.select("repo_id", "path").distinct().withColumn("pinned", F.lit(True)), ["repo_id", "path"], "left").withColumn("pin", F.coalesce("pinned", F.lit(False)))
+    told = met.groupBy("repo_id", "at").agg(F.bool_or("about").alias("hit"), F.bool_and(F.when(F.col("about"), F.col("pin"))).alias("all_pins"), F.bool_or(~F.col("about")).alias("met"))
+    rows = rules.select("repo_id", "at", "exempt").join(told, ["repo_id", "at"], "left")
+    hit, spared = F.coalesce("hit", F.lit(False)), F.coalesce(F.col("exempt") & F.col("all_pins"), F.lit(False))
+    return rows.select("repo_id", "at", F.when(hit & ~spared & ~F.coalesce("met", F.lit(False)), "fail").otherwise("pass").alias("status"), (hit & spared).alias("action_ref_update_only"))
 
 
 def rule_findings(rules: DataFrame, changes: DataFrame, pins: DataFrame | None = None) -> DataFrame:
@@ -214,7 +218,7 @@ def check(
         .when(F.col("undiffed") & F.col("c").isNotNull(), DIFF)
         .when(sensitive & F.lit(changes is None), "change_sensitive_scope_unavailable")
     )
-    configured = configured.withColumn("broken", fault)
+    configured = staged(configured.withColumn("broken", fault), "configured")  # a row a repository; ten branches read it
     live = configured.where("c is not null and broken is null").select("repo_id", "c.*")
     changed = files.select("repo_id", "path").limit(0) if changes is None else changed_paths(changes) if "scope" in changes.columns else changes
     readable = F.col("path").isNotNull() if "error" in files.columns else F.lit(True)

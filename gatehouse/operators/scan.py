@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from gatehouse.functions.patterns import HOME_PATHS, SECRETS, content_has_any, effective_identity, evidence_label, redacted_remote
 from gatehouse.operators import readme
-from gatehouse.operators.checks import DEPENDENCY_FILES, REQUIRED_DOCUMENTS, audited_checks, exit_code, status_of
+from gatehouse.operators.checks import DEPENDENCY_FILES, MAX_OBJECT_BYTES, REQUIRED_DOCUMENTS, audited_checks, exit_code, status_of
 from gatehouse.sources.repositories import UNREADABLE
 
 #: A person has to decide about every publication (fixed value).
@@ -51,10 +51,30 @@ def _worktree(files: DataFrame, marked: str, marker: str | None) -> DataFrame:
     )
 
 
+def object_verdicts(objects: DataFrame) -> DataFrame:
+    """``oid, secret, home, error`` of ``objects(oid, content)``, each content matched once, whatever repositories hold it; an object has one row."""
+    broken = F.col("error") if "error" in objects.columns else F.lit(None).cast("string")
+    seen = objects.select("oid", content_has_any(F.col("content"), SECRETS).alias("secret"), content_has_any(F.col("content"), HOME_PATHS).alias("home"), broken.alias("error"))
+    return seen.groupBy("oid").agg(F.bool_or("secret").alias("secret"), F.bool_or("home").alias("home"), F.min("error").alias("error"))
+
+
+def history_of(inventory: DataFrame, verdicts: DataFrame, max_bytes: int = MAX_OBJECT_BYTES) -> DataFrame:
+    """``repo_id, oid, secret, home, error``: every repository's blobs of at most ``max_bytes`` with the verdicts on them.
+
+    ``inventory(repo_id, oid, type, size)`` and its error rows; a blob without a verdict is an error, not a pass.
+    """
+    fault = F.col("error") if "error" in inventory.columns else F.lit(None).cast("string")
+    listed = inventory.select("repo_id", "oid", "type", "size", fault.alias("fault")).where(F.col("fault").isNotNull() | ((F.col("type") == "blob") & (F.col("size") <= max_bytes)))
+    joined = listed.join(verdicts.withColumn("known", F.lit(True)), "oid", "left")
+    error = F.coalesce("fault", "error", F.when(F.col("known").isNull(), "NoVerdict"))
+    return joined.select("repo_id", "oid", F.coalesce("secret", F.lit(False)).alias("secret"), F.coalesce("home", F.lit(False)).alias("home"), error.alias("error"))
+
+
 def _history(objects: DataFrame) -> DataFrame:
-    """Labels of objects with findings, each once."""
+    """Labels of objects with findings, each once; ``objects`` have contents, or the verdicts on them."""
     label = F.concat(F.lit("history:"), F.substring("oid", 1, 12))
-    hits = objects.select("repo_id", label.alias("label"), content_has_any(F.col("content"), SECRETS).alias("secret"), content_has_any(F.col("content"), HOME_PATHS).alias("home"), F.col("error").isNotNull().alias("broken") if "error" in objects.columns else F.lit(False).alias("broken"))
+    flags = [content_has_any(F.col("content"), p).alias(k) for k, p in (("secret", SECRETS), ("home", HOME_PATHS))] if "content" in objects.columns else ["secret", "home"]
+    hits = objects.select("repo_id", label.alias("label"), *flags, F.col("error").isNotNull().alias("broken") if "error" in objects.columns else F.lit(False).alias("broken"))
     found = hits.groupBy("repo_id").agg(F.bool_or("broken").alias("broken_history"), F.size(F.collect_set(F.when(F.col("secret"), F.col("label")))).alias("old_secrets"), F.array_sort(F.collect_set(F.when(F.col("home"), F.col("label")))).alias("old_homes"))
     return found
 
@@ -129,7 +149,7 @@ def scan(
     """``repo_id, status, issues, checks, exit_code, report``: one row for every row of ``repos``.
 
     The tables are those of ``sources.repositories``: ``repos(repo_id, head, dirty, origin, error)``, ``files`` on disk, ``commits``, ``objects``
-    of the history, the ``identities`` of commits made now; ``consistency`` is the result of ``consistency.check``. A scan since a base has ``bases``, and its files, commits and
+    of the history (with contents, or ``history_of`` where repositories share them), the ``identities`` of commits made now; ``consistency`` is the result of ``consistency.check``. A scan since a base has ``bases``, and its files, commits and
     objects are those since it (``files_since``, and readers of ``repos`` with a ``base``). ``consistency_bases`` are bases of the consistency check of a whole scan.
     Without a row of ``consistency`` that check is unknown, which blocks, unless the caller says that none is expected. ``checks`` has a status by name; ``report`` is the JSON of all. What couldn't be read is an issue, its status
     tool_error and its checks none: never a pass. Without ``files`` rows a repository lacks its documents; with ``expected`` and without

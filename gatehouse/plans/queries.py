@@ -211,7 +211,7 @@ def readme_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: Before each text, by doc_id: a summary after the H1, too long a one, one in a fence, none; a diagram, steps, a screen with and without an image, Japanese prose.
-RELEASE = "case when doc_id % 17 <> 0 then concat('# Tool', chr(10), case doc_id % 4 when 0 then concat(chr(10), 'A short', chr(10), ' summary ', chr(10)) when 1 then concat(repeat('long ', 48), 'x', chr(10)) when 2 then concat('  ~~~~', chr(10), 'no summary', chr(10), '~~~~', chr(10)) else '' end, '## Overview of the UI', chr(10), '## Features', chr(10), '## Usage', chr(10), case when doc_id % 3 = 0 then concat('1. a', chr(10), ' 2) b', chr(10), '3. c', chr(10), '4. d', chr(10)) else '' end, '## Security', chr(10), case when doc_id % 5 = 0 then concat('> ```mermaid', chr(10), '> graph LR', chr(10), '> A[one] --> B>two]', chr(10), '> ```', chr(10)) else '' end, case when doc_id % 7 = 0 then concat(repeat('これは日本語の文章です', 9 + cast(length(coalesce(text, '')) as int)), chr(10)) else '' end, case when doc_id % 11 = 0 then concat('![i](a.png)', chr(10)) else '' end, case when doc_id % 13 = 0 and doc_id % 5 > 0 then concat('| a | b |', chr(10), '| --- | :---: |', chr(10), '| x \\\\| y | `', repeat('c', 98 + cast(doc_id % 2 as int)), '` `|` |', chr(10)) else '' end, coalesce(text, '')) end"
+RELEASE = "case when doc_id % 17 <> 0 then concat('# Tool', chr(10), case doc_id % 4 when 0 then concat(chr(10), 'A short', chr(10), ' summary ', chr(10)) when 1 then concat(repeat('long ', 48), 'x', chr(10)) when 2 then concat('  ~~~~', chr(10), 'no summary', chr(10), '~~~~', chr(10)) else '' end, '## Overview of the UI', chr(10), '## Features', chr(10), '## Usage', chr(10), case when doc_id % 3 = 0 then concat('1. a', chr(10), ' 2) b', chr(10), '3. c', chr(10), '4. d', chr(10)) else '' end, '## Security', chr(10), case when doc_id % 5 = 0 then concat('> ```mermaid', chr(10), '> graph LR', chr(10), '> A[one] --> B>two]', chr(10), '> ```', chr(10)) else '' end, case when doc_id % 7 = 0 then concat(repeat('これは日本語の文章です', 9 + cast(length(coalesce(text, '')) / 80 as int)), chr(10)) else '' end, case when doc_id % 11 = 0 then concat('![i](a.png)', chr(10)) else '' end, case when doc_id % 13 = 0 and doc_id % 5 > 0 then concat('| a | b |', chr(10), '| --- | :---: |', chr(10), '| x \\\\| y | `', repeat('c', 98 + cast(doc_id % 2 as int)), '` `|` |', chr(10)) else '' end, coalesce(text, '')) end"
 
 
 @query("""with d as (select doc_id, doc_id % 17 = 0 as gone, doc_id % 4 as s, doc_id % 3 = 0 as steps, doc_id % 5 = 0 as fig, doc_id % 7 = 0 as ja, doc_id % 11 <> 0 as bare, doc_id % 13 = 0 and doc_id % 5 > 0 as tab, len(a) - case when a[-1] = '' then 1 else 0 end as own from (select doc_id, regexp_split_to_array(coalesce(text, ''), '\\r\\n|[\\n\\r\\x0b\\x0c\\x1c-\\x1e\\x{85}\\x{2028}\\x{2029}]') as a from documents)),
@@ -536,3 +536,16 @@ def changed_since_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = repositories.files_since(files, index, changes)
     hit = content_has_any(F.col("content"), SECRETS)
     return out.groupBy("repo_id").agg(F.count_if(F.col("error").isNull()).alias("files"), F.count_if(F.col("error").isNull() & hit).alias("findings"), F.count_if(F.col("error").isNotNull()).alias("errors"))
+
+
+@query(f"""with d as (select concat('o', cast(doc_id as varchar)) as oid, source, doc_id, octet_length(encode(coalesce(text, ''))) as size, regexp_matches({SECRET_TEXT}, {DUCK_SECRETS}) as hit from documents),
+    i as (select source as repo_id, * from d union all select concat('fork of ', source), * from d where doc_id % 2 = 0)
+    select repo_id, cast(count(*) filter (where size <= 20000) as bigint) as blobs, cast(count(*) filter (where hit and doc_id % 500 <> 3 and size <= 20000) as bigint) as findings, bool_or(doc_id % 500 = 3 and size <= 20000) as unknown from i where repo_id is not null group by repo_id having count(*) filter (where size <= 20000) > 0""")
+def shared_history(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Histories of repositories and their forks: a shared object's text is matched once, its verdict joined to every repository that holds it; a missing one is unknown."""
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "source", F.concat(F.lit("o"), F.col("doc_id").cast("string")).alias("oid"), F.octet_length(F.coalesce("text", F.lit(""))).cast("long").alias("size"), F.expr(SECRET_TEXT).alias("content"))
+    verdicts = scan.object_verdicts(docs.where("doc_id % 500 <> 3").select("oid", "content"))
+    repos = F.explode(F.expr("if(doc_id % 2 = 0, array(source, concat('fork of ', source)), array(source))"))
+    inventory = docs.select(repos.alias("repo_id"), "oid", F.lit("blob").alias("type"), "size").where("repo_id is not null")
+    held = scan.history_of(inventory, verdicts, 20000)
+    return held.groupBy("repo_id").agg(F.count("*").alias("blobs"), F.count_if("secret").alias("findings"), F.bool_or(F.col("error").isNotNull()).alias("unknown"))

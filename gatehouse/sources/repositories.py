@@ -10,7 +10,8 @@ from __future__ import annotations
 import os
 import re
 import subprocess
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from itertools import groupby
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -24,6 +25,8 @@ BASES = "repo_id string, oid string, ref string, valid boolean, error string"
 REPOS = "repo_id string, head string, dirty boolean, origin string, error string"
 CHANGES = "repo_id string, scope string, kind string, path string, old_path string, on_disk boolean, error string"
 OBJECTS = "repo_id string, oid string, type string, size long, content binary, error string"
+INVENTORY = "repo_id string, oid string, type string, size long, error string"
+BLOBS = "oid string, content binary, error string"
 VERSIONS = "repo_id string, path string, kind string, base_mode string, index_mode string, disk_mode string, before binary, after binary, error string"
 
 #: A batch ends with so many rows, or once its contents have so many bytes.
@@ -128,7 +131,7 @@ def _base(repo: str, name: str) -> Iterator[tuple]:
     yield oid, ref or None, remote and _answer(repo, "merge-base", "--is-ancestor", oid, "HEAD") is not None, None
 
 
-def _contents(repo: str, wanted: list[tuple[bytes, int | None]]) -> Iterator[bytes]:
+def _contents(repo: str, wanted: Iterable[tuple[bytes, int | None]]) -> Iterator[bytes]:
     """Contents of blobs in order, by one stream; every header, size and end is verified."""
     with subprocess.Popen(["git", "-C", repo, "cat-file", "--batch"], stdin=subprocess.PIPE, stdout=subprocess.PIPE) as stream:
         for oid, size in wanted:  # one at a time, so neither pipe fills
@@ -144,13 +147,15 @@ def _contents(repo: str, wanted: list[tuple[bytes, int | None]]) -> Iterator[byt
         stream.stdin.close()
 
 
-def _objects(repo: str, revisions: str, max_bytes: int) -> Iterator[tuple]:
+def _inventory(repo: str, revisions: str) -> Iterator[tuple]:
     oids = list(dict.fromkeys(_git(repo, "rev-list", "--objects", "--no-object-names", revisions).split()))
-    wanted = []
     for line in _git(repo, "cat-file", "--batch-check", given=b"\n".join(oids)).splitlines():
         oid, kind, size = line.split(b" ")
-        if kind == b"blob" and int(size) <= max_bytes:
-            wanted.append((oid, int(size)))
+        yield _text(oid), _text(kind), int(size), None
+
+
+def _objects(repo: str, revisions: str, max_bytes: int) -> Iterator[tuple]:
+    wanted = [(oid.encode(), size) for oid, kind, size, _ in _inventory(repo, revisions) if kind == "blob" and size <= max_bytes]
     for (oid, size), content in zip(wanted, _contents(repo, wanted), strict=True):
         yield _text(oid), "blob", size, content, None
 
@@ -261,6 +266,41 @@ def read_objects(repos: DataFrame, revisions: str = "--all", max_bytes: int = 2_
     return _read(repos, OBJECTS, lambda repo, base, _: _objects(repo, _range(repo, base, revisions), max_bytes))
 
 
+def read_inventory(repos: DataFrame, revisions: str = "--all") -> DataFrame:
+    """What ``read_objects`` would read, of any type and size, without contents."""
+    return _read(repos, INVENTORY, lambda repo, base, _: _inventory(repo, _range(repo, base, revisions)))
+
+
+def read_shared_blobs(repos: DataFrame, inventory: DataFrame, max_bytes: int = 2_000_000, parts: int = 1) -> DataFrame:
+    """``oid, content, error`` of the distinct blobs of all repositories together: what forks share is read from one of them, once.
+
+    ``parts`` tasks share a repository's objects. An object that can't be read is an error row of its own.
+    """
+    holders = inventory.where((F.col("type") == "blob") & (F.col("size") <= max_bytes)).groupBy("oid").agg(F.min("repo_id").alias("repo_id"))
+    wanted = holders.join(repos.select(F.col("repo_id").cast("string").alias("repo_id"), F.col("path").cast("string").alias("path")), "repo_id")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows: list[tuple] = []
+        size = 0
+        for path, own in groupby(((path, oid) for batch in batches for path, oid in batch[["path", "oid"]].itertuples(index=False)), key=lambda x: x[0]):
+            oids = [oid for _, oid in own]
+            done = 0
+            try:
+                for content in _contents(_root(path), ((oid.encode(), None) for oid in oids)):
+                    rows.append((oids[done], content, None))
+                    done, size = done + 1, size + len(content)
+                    if len(rows) >= BATCH_ROWS or size >= BATCH_BYTES:
+                        yield pd.DataFrame(rows, columns=["oid", "content", "error"], dtype=object)
+                        rows, size = [], 0
+            except (OSError, ValueError, subprocess.CalledProcessError) as e:
+                rows += [(oid, None, type(e).__name__) for oid in oids[done:]]
+        if rows:
+            yield pd.DataFrame(rows, columns=["oid", "content", "error"], dtype=object)
+
+    part = F.pmod(F.xxhash64("oid"), F.lit(parts))
+    return wanted.repartition("repo_id", part).sortWithinPartitions("path", "oid").select("path", "oid").mapInPandas(run, BLOBS)
+
+
 def read_changes(repos: DataFrame, base: str | None = None) -> DataFrame:
     """Changed paths by scope, each with git's letter, the path before a rename or copy, and whether the path is on disk.
 

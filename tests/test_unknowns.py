@@ -141,3 +141,28 @@ def test_scans_since_a_base_leave_older_findings_out(spark, tmp_path):
     broken = snapshots.snapshot(repos, f"file://{tmp_path}/t", since=True)
     rows = repositories.files_since(broken.files, broken.index, broken.changes).collect()
     assert [(r.path, r.error) for r in rows] == [(None, "UnknownMode")]
+
+
+def test_forks_share_what_is_read(spark, tmp_path):
+    at = tmp_path / "a"
+    subprocess.run(["git", "init", "-q", "-b", "main", str(at)], check=True)
+    for k in range(5):
+        (at / f"f{k}").write_text(f"{k}" + ("ghp_" + "a" * 24 if k == 3 else ""))
+    git = lambda *a: subprocess.run(["git", "-c", "user.name=T", "-c", "user.email=t@example.invalid", *a], check=True, capture_output=True)
+    git("-C", str(at), "add", ".")
+    git("-C", str(at), "commit", "-qm", "one")
+    git("clone", "-q", str(at), str(tmp_path / "b"))
+    (tmp_path / "b/own").write_text("see /home/" + "someone/x")
+    git("-C", str(tmp_path / "b"), "add", ".")
+    git("-C", str(tmp_path / "b"), "commit", "-qm", "two")
+    repos = spark.createDataFrame([("a", str(at)), ("b", str(tmp_path / "b"))], "repo_id string, path string")
+    inventory = snapshots.stored(repositories.read_inventory(repos), f"file://{tmp_path}/i")
+    blobs = snapshots.stored(repositories.read_shared_blobs(repos, inventory, parts=3), f"file://{tmp_path}/blobs")
+    assert blobs.count() == 6 and blobs.where("error is not null").count() == 0
+    held = scan.history_of(inventory, scan.object_verdicts(blobs))
+    whole = scan._history(repositories.read_objects(repos)).collect()
+    assert sorted(map(tuple, scan._history(held).collect())) == sorted(map(tuple, whole)) and {(r.repo_id, r.old_secrets, len(r.old_homes)) for r in whole} == {("a", 1, 0), ("b", 1, 1)}
+    lost = scan.history_of(inventory, scan.object_verdicts(blobs.limit(2)))
+    assert {r.broken_history for r in scan._history(lost).collect()} == {True}
+    gone = repositories.read_shared_blobs(spark.createDataFrame([("a", str(tmp_path / "none")), ("b", str(tmp_path / "b"))], "repo_id string, path string"), inventory)
+    assert {r.error for r in gone.collect()} == {"NotARepository", None}
