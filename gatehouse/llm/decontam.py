@@ -102,6 +102,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = 7, window:
     Returns doc_id, n_words, n_hit, item_ids (sorted as strings), contaminated. Null and empty texts have no
     words and no hits; rows that repeat an id are judged by their own texts; null ids and null item ids are kept as
     ids like others (a null item id shows as ``null``); an empty benchmark hits nothing; further columns are ignored.
+    Whole texts of any length are read, a block at a time; an empty table of documents gives no rows.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontamination")

@@ -140,7 +140,8 @@ def fingerprint_edits(docs: DataFrame, k: int = 128, words: int = 5, id_col: str
     The edited text is the document's first ceil(n/2) code points and then as many of the next document's
     first ones as were cut off (or all). The next document is that of the next id (null ids come first,
     equal ids in order of their texts, the last is followed by the first); a lone document follows itself.
-    Null and empty texts have empty sketches; an empty table gives no rows.
+    Null and empty texts have empty sketches; an empty table gives no rows. Whole texts of any length are read, one text and its
+    successor at a time; further columns, whatever their names, are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

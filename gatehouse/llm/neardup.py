@@ -273,7 +273,8 @@ def classify(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int
     least ``threshold``; ``n_verified`` counts the links to other texts that were verified on the way to the classes (not all that a
     text may have), and one document of each class, that of the least id, is kept. Texts without words match equal texts only.
     Null texts count as empty; a null id is as a document of its own class member, never kept before another; of
-    rows that repeat an id one is kept. An empty table gives no rows; further columns, whatever their names, are ignored.
+    rows that repeat an id one is kept. An empty table gives no rows; further columns, whatever their names, are ignored. Whole texts of any length are
+    compared; a text longer than a block is read alone.
     """
     return _placed(docs, words, threshold, bands, rows, id_col, text_col).drop("text_key")
 

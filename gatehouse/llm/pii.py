@@ -127,7 +127,8 @@ def find(docs: DataFrame, rounds: int = 3, threshold: float = 0.6, min_seeds: in
     """Personal data of every document: doc_id, text_hash, arrays email, ip, card, phone and id of spans (code points).
 
     Null and empty texts have none; rows that repeat an id are judged by their own texts; null ids stay;
-    an empty table gives no rows; further columns are ignored.
+    an empty table gives no rows; further columns are ignored. Whole texts of any length are matched, in time that grows with them. An instance
+    is found if its best pattern reaches the threshold exactly; equal scores need no order, since nothing is ranked.
     """
     text = text_of(text_col)
     rows = base_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")))
@@ -148,7 +149,8 @@ def digest(found: DataFrame) -> DataFrame:
 def redact(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", **settings: object) -> DataFrame:
     """``docs`` with every span replaced by its kind in angle brackets; a span that overlaps an earlier one joins it.
 
-    Other columns stay as they are; null texts stay null.
+    Other columns stay as they are, whatever their names; null texts stay null, empty ones empty. Rows that repeat an id, with equal texts or others, are
+    each redacted by their own text; an empty table stays empty. Whole texts of any length are rebuilt span by span.
     """
     spans = F.array_sort(F.concat(*[F.expr(f"transform({k}, s -> named_struct('start', s.start, 'end', s.end, 'kind', '{k}'))") for k in (*KINDS, "id")]))
     found = find(docs, id_col=id_col, text_col=text_col, **settings).select("doc_id", "text_hash", spans.alias("spans")).where(F.size("spans") > 0).distinct()

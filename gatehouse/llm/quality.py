@@ -283,7 +283,7 @@ def score_quality(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, ho
 
     Null and empty texts get the score of a text without characters; null ids are scored and never train; without
     trusted documents every text scores 0.5; ties and repeated rows are scored alike. The
-    features are of the text alone.
+    features are of the text alone, the whole of it however long. An empty table gives no rows; further columns, whatever their names, are ignored.
     """
     own = features_of(documents_of(docs, id_col, text_col))
     scored = score(own, fit(own, labels, holdout_mod, holdout_rest, max_positive, max_unlabelled))

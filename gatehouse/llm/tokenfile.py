@@ -259,7 +259,8 @@ def token_file_round_trip(docs: DataFrame, tokenizer_path: str, vocab_size: int,
     """Write the documents' token file (in the shared folder unless a path is given) and read it back.
 
     Null and empty texts hold the end id alone; null ids come first; rows that share an id stay separate,
-    ordered by text; an empty table gives no rows.
+    ordered by text; an empty table gives no rows. A text of more than ``shard_tokens`` tokens stays whole, in a shard that is closed behind it;
+    further columns, whatever their names, are ignored.
     """
     spark = docs.sparkSession
     path = path or new_path(spark, "tokens")
