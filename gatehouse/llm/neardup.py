@@ -200,21 +200,39 @@ def components(edges: DataFrame, scratch: Scratch, rounds: int = 60) -> DataFram
     raise RuntimeError(f"components still change after {rounds} rounds")
 
 
+def block_cells(open_: DataFrame) -> DataFrame:
+    """``open_(band, node, class, ...)`` with ``block`` (owner, part) of each member and ``others``, the blocks of its band that it has to meet.
+
+    A class of more than ``BLOCK`` members in a band fills blocks of its own (owner: the class), which meet those of no owner and of other classes but never each
+    other; the members of smaller classes share blocks (owner -1), which meet all, themselves included. So what a band costs grows with the pairs between its classes,
+    not with its square, and a task holds at most two blocks.
+    """
+    sizes = open_.groupBy("band", "class").agg(F.count("*").alias("own"))
+    parts = lambda n: F.ceil(n / F.lit(BLOCK)).cast("int")
+    blocks = lambda owner, n: F.transform(F.sequence(F.lit(0), n - 1), lambda k: F.struct(owner.cast("long").alias("owner"), k.alias("part")))
+    large = F.col("own") > BLOCK
+    of_band = sizes.groupBy("band").agg(F.sum(F.when(large, 0).otherwise(F.col("own"))).alias("rest"), F.flatten(F.collect_list(F.when(large, blocks(F.col("class"), parts(F.col("own")))))).alias("owned"))
+    shared = F.when(F.col("rest") > 0, blocks(F.lit(-1), parts(F.col("rest")))).otherwise(F.expr("cast(array() as array<struct<owner:bigint,part:int>>)"))
+    of_band = of_band.select("band", "rest", F.concat(shared, "owned").alias("all"))
+    known = open_.join(sizes, ["band", "class"]).join(of_band, "band")
+    part = F.pmod(F.xxhash64("node"), parts(F.when(large, F.col("own")).otherwise(F.col("rest")))).cast("int")
+    dealt = known.withColumn("block", F.struct(F.when(large, F.col("class")).otherwise(F.lit(-1)).cast("long").alias("owner"), part.alias("part")))
+    return dealt.withColumn("others", F.filter("all", lambda o: (o["owner"] != F.col("block.owner")) | (o["owner"] == -1))).drop("own", "rest", "all")
+
+
 def close_pairs(open_: DataFrame, sets: DataFrame, bands_of: DataFrame, threshold: float, scratch: Scratch) -> DataFrame:
     """``a, b``, each once: members of different classes in one band whose likeness may reach ``threshold``.
 
-    ``open_`` has band, node, weight, class and n, the members of the band. A band's members are dealt into blocks, and each pair of blocks
-    meets in a cell of its own, so a task holds at most two blocks of a band.
+    ``open_`` has band, node, weight and class. Each pair of blocks (see ``block_cells``) meets in a cell of its own.
     """
     inside = open_.select("node").distinct()
     facts = profiles(sets.join(inside, "node")).join(bands_of.withColumnRenamed("node", "of"), "of")
-    blocks_of = F.ceil(F.col("n") / F.lit(BLOCK)).cast("int")
-    dealt = open_.withColumn("blocks", blocks_of).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    scratch.put("bounded", dealt.join(facts, F.col("node") == F.col("of")).select("band", "node", "weight", "class", "blocks", "block", "profile", "bands"))
+    dealt = block_cells(open_)
+    scratch.put("bounded", dealt.join(facts, F.col("node") == F.col("of")).select("band", "node", "weight", "class", "block", "others", "profile", "bands"))
 
     def side(name: str) -> DataFrame:
         own = scratch.spark.read.parquet(scratch.path("bounded"))
-        return own.withColumn("other", F.explode(F.expr("sequence(0, blocks - 1)"))).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).alias(name)
+        return own.withColumn("other", F.explode("others")).withColumns({"low": F.least("block", "other"), "high": F.greatest("block", "other")}).drop("others").alias(name)
 
     # a pair is made in the first band that it shares, in the one cell of its blocks, and only if the bound on its likeness reaches the threshold
     shared = "cast(size(array_intersect(x.profile, y.profile)) as double)"
@@ -248,7 +266,7 @@ def _placed(docs: DataFrame, words: int = 5, threshold: float = 0.8, bands: int
     classes = scratch.put("classes", rooted(first, scratch))
 
     state = scratch.put("state", members.select("band", "node", "weight").join(classes, "node", "left").withColumn("class", F.coalesce("class", "node")))
-    split = state.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band", "n")
+    split = state.groupBy("band").agg(F.count("*").alias("n"), F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("band")
     open_ = scratch.put("open", state.join(split, "band"))
     pairs = scratch.put("pairs", close_pairs(open_, sets, seen.select(F.col("rid").alias("node"), "bands"), threshold, scratch))
     second = scratch.put("links", verified(pairs, sets, threshold))
