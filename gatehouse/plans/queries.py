@@ -549,3 +549,66 @@ def shared_history(spark: SparkSession, sf_dir: str) -> DataFrame:
     inventory = docs.select(repos.alias("repo_id"), "oid", F.lit("blob").alias("type"), "size").where("repo_id is not null")
     held = scan.history_of(inventory, verdicts, 20000)
     return held.groupBy("repo_id").agg(F.count("*").alias("blobs"), F.count_if("secret").alias("findings"), F.bool_or(F.col("error").isNotNull()).alias("unknown"))
+
+
+#: First headings of each document: marks, letters of any script, code and punctuation.
+TITLES = ("# 🚀 Go", "# Go", "## `x` y", "## _x", "##  ☃ deep", "### é", "# (x)", "## 日本", "#☃", "####### ☃")
+
+
+@query(f"select doc_id, doc_id % {len(TITLES)} in (0, 4, 6) as decorated from documents")
+def decorated_headings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings that begin with a mark that is no letter, number, code or white space."""
+    title = f"case doc_id % {len(TITLES)} " + " ".join(f"when {k} then '{t}'" for k, t in enumerate(TITLES)) + " end"
+    rows = _table(spark, sf_dir, "documents").select("doc_id", F.expr(f"concat({title}, chr(10), coalesce(text, ''))").alias("text"))
+    return readme.release_review(rows).select("doc_id", F.array_contains("codes", "decorative_heading_emoji").alias("decorated"))
+
+
+ANSWER = "case event_id % 9 when 0 then 'dismiss_30d' when 1 then 'dismiss_90d' when 2 then 'dismiss_forever' when 3 then 'dismiss_7d' when 4 then 'yes' when 5 then 'snooze_12d' when 6 then 'snooze_d' when 7 then '31d' end"
+
+
+@query(f"""with a as (select event_id, {ANSWER} as answer from events), m as (select event_id, answer, case answer when 'dismiss_30d' then '30d' when 'dismiss_90d' then '90d' when 'dismiss_forever' then 'forever' when 'dismiss_7d' then '7d' end as mode from a)
+    select event_id, mode, case when mode = 'forever' then 'forever' when mode is not null or answer = 'snooze_12d' then 'snooze' end as recorded,
+      case when mode = '30d' then date '2024-07-01' when mode = '90d' then date '2024-08-30' when mode = '7d' then date '2024-06-08' when answer = 'snooze_12d' then date '2024-06-13' end as until from m""")
+def dismissal_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Answers as modes, and modes, named or spelled out in days, as entries; others record nothing."""
+    rows = _table(spark, sf_dir, "events").select("event_id", F.expr(ANSWER).alias("answer")).withColumn("mode", preferences.answer_mode(F.col("answer")))
+    recorded = dialogue.record_dismissal(F.coalesce("mode", "answer"), F.expr(AS_OF))
+    return rows.select("event_id", "mode", recorded.getField("mode").alias("recorded"), recorded.getField("until").alias("until"))
+
+
+@query("""with d as (select o_orderkey as repo_id, o_orderkey % 7 > 3 as had, case when o_orderkey % 3 = 0 then 'forever' else 'none' end as a, strftime(cast(o_orderdate as date), '%Y-%m-%d') as day from orders where o_orderkey % 4 > 0)
+    select repo_id, case when repo_id % 4 > 1 then 'snooze' when had then a end as a_mode, case when repo_id % 4 > 1 then '2024-07-01' end as a_until, case when repo_id % 4 = 3 then 'forever' when had then 'snooze' end as b_mode, case when repo_id % 4 < 3 and had then concat(day, 'T09:00') end as b_until, case when had then 'forever' end as c, case when repo_id % 4 < 3 then 'x' else '' end as refused from d""")
+def preferences_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Preference documents after answers: entries that were there stay, those answered are replaced, unknown answers refused."""
+    orders = _table(spark, sf_dir, "orders").withColumn("repo_id", F.col("o_orderkey"))
+    prefs = preferences.loaded(orders.select("repo_id", F.expr(PREFERENCES).alias("content")))
+    given = _rows("id, mode, reason, is_in", ("'a'", "'30d'", "'later'", "repo_id % 4 > 1"), ("'a'", "'7d'", "'soon'", "repo_id % 4 = 2"), ("'b'", "'forever'", "string(null)", "repo_id % 4 = 3"), ("'x'", "'whenever'", "''", "repo_id % 4 in (1, 2)"))
+    answers = orders.selectExpr("repo_id", f"inline(filter({given}, x -> x.is_in))")
+    out = preferences.answered(prefs, answers, F.expr(AS_OF), "gatehouse.preferences/v1")
+    of = lambda path: F.get_json_object("content", f"$.dismissals.{path}")
+    return out.select("repo_id", of("a.mode").alias("a_mode"), of("a.until").alias("a_until"), of("b.mode").alias("b_mode"), of("b.until").alias("b_until"), of("c").alias("c"), F.concat_ws(",", "refused").alias("refused"))
+
+
+@query("""with d as (select doc_id as repo_id, case doc_id % 4 when 1 then 'shadow' when 2 then 'enforce' when 3 then 'ratchet' end as mode from documents)
+    select repo_id, mode, case when mode = 'enforce' then 'pass' else 'tool_error' end as status, case when mode is null then 'required_consistency_config_missing' when mode <> 'enforce' then 'required_consistency_mode_mismatch' else '' end as findings from d""")
+def required_modes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Checks that call for a configuration and for one mode of it: another mode, or none, is an error whatever was found."""
+    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id as repo_id", "coalesce(text, '') as text")
+    mode = F.expr("case doc_id % 4 when 1 then 'shadow' when 2 then 'enforce' else 'ratchet' end")
+    config = F.to_json(F.struct(F.lit(SCHEMA_ID).alias("schema"), mode.alias("mode"), F.struct(F.array().cast("array<string>").alias("baseline")).alias("ratchet")))
+    configs = docs.where("doc_id % 4 > 0").select("repo_id", config.alias("content"))
+    files = docs.selectExpr("repo_id", "'docs/a.md' as path", "true as tracked", "text as content")
+    out = consistency.check(docs, configs, files, SCHEMA_ID, require_config=True, require_mode="enforce")
+    return out.select("repo_id", "mode", "status", F.concat_ws(",", "findings").alias("findings"))
+
+
+@query("""select c_custkey as repo_id, case c_custkey % 3 when 1 then 'fix_tool_error' else concat('confirm_repo_identity,confirm_visibility_private_default,', case when c_custkey % 3 = 2 and c_custkey % 5 = 0 then 'create_missing_license,' else '' end, case when c_custkey % 2 = 0 then 'refresh_github_settings_baseline,' else '' end, 'seed_required_documents') end
+      || case when c_custkey % 3 = 1 and c_custkey % 2 = 0 then ',refresh_github_settings_baseline' else '' end as ids, case c_custkey % 3 when 1 then 'blocked' else 'needs_human_input' end as status from customer""")
+def new_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What is asked before a repository is created: unscanned, scanned with a broken scan, and scanned with a missing document; some with a stale guide."""
+    customer = _table(spark, sf_dir, "customer").withColumn("repo_id", F.col("c_custkey"))
+    scans = customer.selectExpr("repo_id", "case repo_id % 3 when 1 then 'tool_error' when 2 then 'pass' end as status", "if(repo_id % 2 = 0, 'stale', 'unknown') as baseline")
+    found = customer.where("repo_id % 5 = 0").selectExpr("repo_id", "'required_documents' as name", "'fail' as status", "array('LICENSE') as missing")
+    props = dialogue.conversation(scans, found, "create_repo")
+    ids = props.groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
+    return dialogue.dialogue_status(scans, props).join(ids, "repo_id").select("repo_id", "ids", "status")
