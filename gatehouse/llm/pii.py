@@ -4,7 +4,8 @@ All of it is Spark SQL expressions. Base entities are seeds. The letters-only wo
 identifier-shaped token are its lexical patterns. Patterns and instances form a bipartite graph, on which
 scores are passed a fixed number of times: a pattern is as good as the mean of its instances (smoothed, so
 that few instances don't suffice), an instance that is no seed is as good as its best pattern. Unseen tokens of
-high-scored patterns are found identifiers, of kind ``id``.
+high-scored patterns are found identifiers, of kind ``id``. Patterns of the highest scores then discover what no shape suggests: any other token with a digit or
+an underscore behind them, a short number, a user's name or a key of any length, in that place alone.
 
 Matching is linear in a text's length: separators inside digit groups and dots inside domain names are
 first replaced by a marker of the same length, so that no pattern repeats a group, and runs are
@@ -30,6 +31,8 @@ PHONE = r"\+[0-9][ ().0-9\-]+[0-9]"
 _TOKEN = r"A-Za-z0-9_.@+\-"
 # six to 64 characters, four digits or more
 TOKEN = rf"(?<![{_TOKEN}])(?=(?:[A-Za-z_.@+\-]*+[0-9]){{4}})[{_TOKEN}]{{6,64}}+(?![{_TOKEN}])"
+# any other token of three characters or more with a digit or an underscore
+WIDE = rf"(?<![{_TOKEN}])(?=[A-Za-z.@+\-]*+[0-9_])[{_TOKEN}]{{3,}}+"
 SPANS = "array<struct<start:int,end:int,value:string>>"
 
 
@@ -69,8 +72,12 @@ _VALID = {
 }
 
 
+#: A maximal token that ``TOKEN`` has, too.
+_SHAPED = "(length(t.value) between 6 and 64 and length(regexp_replace(t.value, '[^0-9]', '')) >= 4)"
+
+
 def base_spans(rows: DataFrame, text_col: str = "text") -> DataFrame:
-    """Adds array columns ``email, ip, card, phone`` of valid spans and ``token`` of identifier-shaped tokens outside them."""
+    """Adds array columns ``email, ip, card, phone`` of valid spans, and ``token`` of identifier-shaped and ``wide`` of other tokens outside them."""
     clean = F.translate(F.col(text_col), MARK, OTHER)
     has_digit = F.col("clean").rlike("[0-9]")
     out = rows.withColumn("clean", clean).withColumns(
@@ -85,13 +92,15 @@ def base_spans(rows: DataFrame, text_col: str = "text") -> DataFrame:
         ("card", "grouped", CARD, F.length("grouped") > 0),
         ("phone", "clean", PHONE, F.instr("clean", "+") > 0),
         ("token", "clean", TOKEN, has_digit),
+        ("wide", "clean", WIDE, has_digit | (F.instr("clean", "_") > 0)),
     ):
         out = out.withColumns({f"{kind}_{k}": c for k, c in _hits(F.col(text), pattern, when).items()})
-    out = out.withColumns({k: _spans(k) for k in (*KINDS, "token")})
+    out = out.withColumns({k: _spans(k) for k in (*KINDS, "token", "wide")})
     out = out.withColumns({k: F.expr(f"filter({k}, s -> {v})") for k, v in _VALID.items()})
     overlaps = " or ".join(f"exists({k}, b -> b.start < t.end and t.start < b.end)" for k in KINDS)
     out = out.withColumn("token", F.expr(f"filter(token, t -> not ({overlaps}))"))
-    return out.drop("clean", "dotted", "grouped", *(f"{k}_{x}" for k in (*KINDS, "token") for x in ("hit", "gap")))
+    out = out.withColumn("wide", F.expr(f"filter(wide, t -> not ({_SHAPED} or {overlaps}))"))
+    return out.drop("clean", "dotted", "grouped", *(f"{k}_{x}" for k in (*KINDS, "token", "wide") for x in ("hit", "gap")))
 
 
 def _listed(*kinds: str) -> Column:
@@ -99,16 +108,27 @@ def _listed(*kinds: str) -> Column:
     return F.concat_ws(",", F.concat(*[F.expr(f"transform({k}, s -> concat('{k}:', s.start, ':', s.end))") for k in kinds]))
 
 
+_BEFORE = r"filter(split(regexp_replace(lower(left), '[^\\p{L}]+', ' '), ' '), w -> w != '')"
+_TWO_WORDS = "if(size(w) > 1, concat(w[size(w) - 2], ' ', w[size(w) - 1]), null)"
+
+
 def contexts(seen: DataFrame) -> DataFrame:
-    """``instance, seed, pattern`` edges, each once; ``seen`` has the arrays ``before_seed`` and ``before_token``."""
+    """``instance, seed, pattern`` edges, each once; ``seen`` has the arrays ``seeds`` and ``tokens``, each entry with the text left of it."""
     rows = seen.select(F.explode(F.expr("concat(transform(seeds, s -> named_struct('instance', s.value, 'left', s.left, 'seed', true)), transform(tokens, s -> named_struct('instance', s.value, 'left', s.left, 'seed', false)))")).alias("m")).select("m.*")
-    words = rows.select("instance", "seed", F.expr(r"filter(split(regexp_replace(lower(left), '[^\\p{L}]+', ' '), ' '), w -> w != '')").alias("w")).where("size(w) > 0")
-    patterns = F.expr("array_compact(array(if(size(w) > 1, concat(w[size(w) - 2], ' ', w[size(w) - 1]), null), if(length(w[size(w) - 1]) >= 4, w[size(w) - 1], null)))")
+    words = rows.select("instance", "seed", F.expr(_BEFORE).alias("w")).where("size(w) > 0")
+    patterns = F.expr(f"array_compact(array({_TWO_WORDS}, if(length(w[size(w) - 1]) >= 4, w[size(w) - 1], null)))")
     return words.select("instance", "seed", F.explode(patterns).alias("pattern")).distinct()
 
 
-def bootstrap(edges: DataFrame, rounds: int = 3, smoothing: float = 2.0, threshold: float = 0.6, min_seeds: int = 3) -> DataFrame:
-    """``instance`` of every non-seed whose best pattern scores at least ``threshold`` after ``rounds`` passes.
+def discovered(seen: DataFrame, patterns: DataFrame) -> DataFrame:
+    """``doc_id, th, span`` of other tokens that stand behind two words of ``patterns(pattern)``."""
+    rows = seen.where("size(others) > 0").select("doc_id", "th", F.explode("others").alias("t")).select("doc_id", "th", F.struct(*[F.col(f"t.{c}").alias(c) for c in ("start", "end", "value")]).alias("span"), F.col("t.left").alias("left"))
+    keyed = rows.select("doc_id", "th", "span", F.expr(_BEFORE).alias("w")).select("doc_id", "th", "span", F.expr(_TWO_WORDS).alias("pattern"))
+    return keyed.join(patterns, "pattern", "left_semi").select("doc_id", "th", "span")
+
+
+def bootstrap(edges: DataFrame, rounds: int = 3, smoothing: float = 2.0, threshold: float = 0.6, min_seeds: int = 3) -> tuple[DataFrame, DataFrame]:
+    """``instance`` of every non-seed whose best pattern scores at least ``threshold`` after ``rounds`` passes, and ``pattern, quality`` of the last pass.
 
     A pattern counts only with ``min_seeds`` distinct seeds.
     """
@@ -120,10 +140,10 @@ def bootstrap(edges: DataFrame, rounds: int = 3, smoothing: float = 2.0, thresho
         own = F.when(F.col("seed"), F.lit(1.0)).otherwise(F.lit(0.0) if scores is None else F.coalesce("score", F.lit(0.0)))
         patterns = known.groupBy("pattern").agg((F.sum(own) / (F.count("*") + smoothing)).alias("quality"))
         scores = graph.where("not seed").join(patterns, "pattern").groupBy("instance").agg(F.max("quality").alias("score"))
-    return scores.where(F.col("score") >= threshold).select("instance")
+    return scores.where(F.col("score") >= threshold).select("instance"), patterns
 
 
-def find(docs: DataFrame, rounds: int = 3, threshold: float = 0.6, min_seeds: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def find(docs: DataFrame, rounds: int = 3, threshold: float = 0.6, min_seeds: int = 3, wide_threshold: float = 0.8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Personal data of every document: doc_id, text_hash, arrays email, ip, card, phone and id of spans (code points).
 
     Null and empty texts have none; rows that repeat an id are judged by their own texts; null ids stay;
@@ -133,10 +153,12 @@ def find(docs: DataFrame, rounds: int = 3, threshold: float = 0.6, min_seeds: in
     text = text_of(text_col)
     rows = base_spans(docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("th"), text.alias("text")))
     left = lambda k: f"transform({k}, s -> named_struct('value', s.value, 'start', s.start, 'end', s.end, 'left', substring(text, greatest(1, s.start - 59), least(60, s.start))))"
-    seen = staged(rows.select("doc_id", "th", *KINDS, F.expr(left("concat(email, ip, card, phone)")).alias("seeds"), F.expr(left("token")).alias("tokens")), "pii-spans")
-    found = bootstrap(contexts(seen), rounds, threshold=threshold, min_seeds=min_seeds)
+    seen = staged(rows.select("doc_id", "th", *KINDS, F.expr(left("concat(email, ip, card, phone)")).alias("seeds"), F.expr(left("token")).alias("tokens"), F.expr(left("wide")).alias("others")), "pii-spans")
+    found, patterns = bootstrap(contexts(seen), rounds, threshold=threshold, min_seeds=min_seeds)
     placed = seen.where(F.size("tokens") > 0).select("doc_id", "th", F.explode("tokens").alias("t")).select("doc_id", "th", F.col("t.value").alias("instance"), F.struct(F.col("t.start").alias("start"), F.col("t.end").alias("end"), F.col("t.value").alias("value")).alias("span"))
-    per_text = placed.join(found, "instance", "left_semi").groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("span")).alias("id"))
+    known = placed.join(found, "instance", "left_semi").select("doc_id", "th", "span")
+    both = known.unionByName(discovered(seen, patterns.where(F.col("quality") >= wide_threshold).select("pattern")))
+    per_text = both.groupBy("doc_id", "th").agg(F.array_sort(F.collect_set("span")).alias("id"))
     joined = seen.alias("s").join(per_text.alias("p"), F.expr("s.doc_id <=> p.doc_id and s.th = p.th"), "left")
     return joined.select("s.doc_id", F.col("s.th").alias("text_hash"), *KINDS, F.coalesce("id", F.array().cast(SPANS)).alias("id"))
 

@@ -93,3 +93,15 @@ def test_long_runs_are_matched_in_linear_time(spark):
     make = lambda n: [(1, "1" * n), (2, "1." * n), (3, "a@" * n), (4, "a." * n + "@"), (5, "+1" + " " * n), (6, "1 " * n)]
     check(pii.find(docs_of(spark, make(500))), make(500))
     assert pii.find(docs_of(spark, make(20_000))).count() == 6
+
+
+def test_sure_patterns_discover_tokens_of_any_shape_in_their_place_alone(spark):
+    long = "k" * 80 + "9"
+    docs = [(k, f"{prose(k, 30)} please write to contact person{k}@mail.example and so on") for k in range(60)]
+    docs += [(100 + k, f"{prose(100 + k, 30)} please write to contact {w} and so on") for k, w in enumerate(("jane_doe", "x77", long, "kate", "12"))]
+    docs += [(200, f"{prose(200, 30)} the room jane_doe and x77 of the house"), (201, "_" * 5000 + " " + "a1" * 5000)]
+    rows = {r.doc_id: [s.value for s in r.id] for r in pii.find(docs_of(spark, docs)).collect()}
+    assert [rows[100 + k] for k in range(5)] == [["jane_doe"], ["x77"], [long], [], []]
+    assert rows[200] == rows[201] == [] and all(not rows[k] for k in range(60))
+    clean = {r.doc_id: r.text for r in pii.redact(docs_of(spark, docs)).collect()}
+    assert clean[100].endswith("to contact <ID> and so on") and clean[200] == docs[65][1]
