@@ -7,6 +7,7 @@ groups that pass and groups that fail. Every query reads its whole table.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,6 +19,8 @@ from gatehouse.functions.text import heading_level
 from gatehouse.functions.workflows import action_line_numbers
 from gatehouse.operators import checks, consistency, dialogue, preferences, readme, scan
 from gatehouse.sources import repositories
+from gatehouse.sources.archives import write_archives
+from gatehouse.sources.staging import staging_root
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -199,7 +202,7 @@ def heading_level_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A README's head before each text, by doc_id with and without H1, summary (too long, or in a fence alone) and sections, and Japanese.
-README = "concat(case when doc_id % 4 = 0 then '## Sub' else '# Tool' end, chr(10), case doc_id % 8 when 5 then '' when 6 then concat(repeat('long ', 49), chr(10)) when 7 then concat('```', chr(10), 'fenced', chr(10), '```sh', chr(10)) else concat('What it does.', chr(10)) end, case when doc_id % 3 = 0 then '## Overview' else '## x' end, chr(10), '## Features', chr(10), case when doc_id % 5 < 4 then '## Usage' else '#### Usage' end, chr(10), case when doc_id % 7 = 0 then 'a revolutionary tool' else 'plain' end, chr(10), '## Security', chr(10), case when doc_id % 9 = 0 then repeat('これは日本語', 1 + cast(length(coalesce(text, '')) as int)) else '' end, chr(10), coalesce(text, ''))"
+README = "concat(case when doc_id % 4 = 0 then '## Sub' else '# Tool' end, chr(10), case doc_id % 8 when 5 then '' when 6 then concat(repeat('long ', 49), chr(10)) when 7 then concat('```', chr(10), 'fenced', chr(10), '```sh', chr(10)) else concat('What it does.', chr(10)) end, case when doc_id % 3 = 0 then '## Overview' else '## x' end, chr(10), '## Features', chr(10), case when doc_id % 5 < 4 then '## Usage' else '#### Usage' end, chr(10), case when doc_id % 7 = 0 then 'a revolutionary tool' else 'plain' end, chr(10), '## Security', chr(10), case when doc_id % 9 = 0 then repeat('これは日本語', 1 + cast(length(coalesce(text, '')) / 40 as int)) else '' end, chr(10), coalesce(text, ''))"
 
 
 @query(f"""with t as (select doc_id, regexp_split_to_array(regexp_replace({README}, '\\r\\n?', chr(10), 'g'), '[\\n\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') as a from documents),
@@ -612,3 +615,52 @@ def new_repositories(spark: SparkSession, sf_dir: str) -> DataFrame:
     props = dialogue.conversation(scans, found, "create_repo")
     ids = props.groupBy("repo_id").agg(F.array_join(F.array_sort(F.collect_list("id")), ",").alias("ids"))
     return dialogue.dialogue_status(scans, props).join(ids, "repo_id").select("repo_id", "ids", "status")
+
+
+def _archived(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as repositories of 200 files, in two commits and a worktree: by doc_id a file stays, is changed, deleted or added, committed or not."""
+    docs = _table(spark, sf_dir, "documents").selectExpr("doc_id", "doc_id div 200 as repo_id", "concat('d', doc_id % 7, '/f', doc_id, '.md') as path", "coalesce(text, '') as text")
+    later = "if(doc_id % 10 in (1, 4), null, concat(text, '!'))"
+    steps = _rows("revision, content, is_in", ("0", "text", "doc_id % 10 not in (0, 6)"), ("1", later, "doc_id % 10 in (0, 1, 2)"), ("2", later, "doc_id % 10 in (3, 4, 6)"))
+    rows = docs.selectExpr("repo_id", "path", f"inline(filter({steps}, x -> x.is_in))")
+    folder = staging_root(spark).removeprefix("file://") + f"/repositories-{uuid.uuid4().hex}"
+    return write_archives(rows, folder, worktree=2, author="me <me@x.org>", origin="https://u:p@Host.org/x.git?q").withColumn("base", F.lit("origin/main"))
+
+
+_ARCHIVED = "select doc_id, doc_id // 200 as repo_id, concat('d', cast(doc_id % 7 as varchar), '/f', cast(doc_id as varchar), '.md') as path, coalesce(text, '') as text, doc_id % 10 as k from documents where doc_id is not null"
+
+
+@query(f"""with d as ({_ARCHIVED})
+    select cast(repo_id as varchar) as repo_id, path, k <> 6 as tracked, md5(case when k in (0, 2, 3, 6) then concat(text, '!') else text end) as digest from d where k not in (1, 4)""")
+def git_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents committed to repositories and read back from their index and disk: changed, deleted and untracked ones as they are on disk."""
+    files = repositories.read_files(_archived(spark, sf_dir), parts=2)
+    return files.select("repo_id", "path", "tracked", F.md5("content").alias("digest"))
+
+
+@query(f"""with d as ({_ARCHIVED})
+    select cast(repo_id as varchar) as repo_id, 'committed' as scope, case k when 0 then 'A' when 1 then 'D' else 'M' end as kind, path, k <> 1 as on_disk from d where k in (0, 1, 2)
+    union all select cast(repo_id as varchar), 'worktree', case when k = 0 then 'A' when k in (1, 4) then 'D' else 'M' end, path, k not in (1, 4) from d where k in (0, 1, 2, 3, 4)
+    union all select cast(repo_id as varchar), 'deleted', 'D', path, false from d where k = 4""")
+def git_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What differs from the base: committed since, on disk now, and gone from disk, each path with git's letter."""
+    rows = repositories.read_changes(_archived(spark, sf_dir)).where("scope <> 'base' or error is not null")
+    # a rename is both its paths
+    paths = F.array_compact(F.array(F.struct(F.when(F.col("kind") == "R", "A").otherwise(F.col("kind")).alias("kind"), F.col("path").alias("path"), F.col("on_disk").alias("on_disk")), F.when(F.col("kind") == "R", F.struct(F.lit("D").alias("kind"), F.col("old_path").alias("path"), F.lit(False).alias("on_disk")))))
+    return rows.select("repo_id", "scope", F.inline(paths))
+
+
+@query(f"""with d as ({_ARCHIVED}), r as (select repo_id, count(*) filter (where k not in (1, 6)) as entries, bool_or(k in (3, 4, 6)) as dirty from d group by repo_id),
+    o as (select repo_id, count(distinct t) as blobs from (select repo_id, text as t from d where k not in (0, 6) union all select repo_id, concat(text, '!') from d where k in (0, 2)) x group by repo_id)
+    select cast(repo_id as varchar) as repo_id, dirty, 'https://host.org/x.git' as origin, true as valid, 'refs/remotes/origin/main' as ref, 'me <me@x.org>' as identities, cast(entries as bigint) as entries, cast(coalesce(blobs, 0) as bigint) as blobs from r left join o using (repo_id)""")
+def git_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Head, origin, base, identities, index and history of the repositories: one row each."""
+    repos = _archived(spark, sf_dir)
+    facts = repositories.read_repositories(repos).select("repo_id", "dirty", redacted_remote(F.col("origin")).alias("origin"))
+    bases = repositories.read_bases(repos).select("repo_id", "valid", "ref")
+    people = repositories.read_commits(repos.drop("base")).groupBy("repo_id").agg(F.array_join(F.array_sort(F.array_union(F.collect_set("author"), F.collect_set("committer"))), ",").alias("identities"))
+    entries = repositories.read_index(repos).where("error is null").groupBy("repo_id").agg(F.count("*").alias("entries"))
+    blobs = repositories.read_objects(repos.drop("base"), max_bytes=1 << 40).where("error is null").groupBy("repo_id").agg(F.count("*").alias("blobs"))
+    for other in (bases, people, entries, blobs):
+        facts = facts.join(other, "repo_id", "left")
+    return facts
