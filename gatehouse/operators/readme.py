@@ -23,7 +23,7 @@ MAX_LINES = 300
 MAX_SUMMARY = 240
 MAX_TABLE_CODE = 100
 _WORD = r"\p{L}\p{N}_"
-#: Headings that announce a user interface (fixed values).
+#: Headings that announce a user interface (fixed values); those of letters stand together behind one word border, which Java has to be told letter by letter.
 UI = rf"(?i)(?<![{_WORD}])(?:ui|interface|dashboard|frontend|web app)(?![{_WORD}])|画面|screenshots?"
 
 

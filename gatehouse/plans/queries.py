@@ -47,7 +47,7 @@ def _quoted(s: str) -> str:
 #: Texts with planted secrets (only in some sources) and near misses.
 SECRET_TEXT = "case when doc_id % 7 = 0 and length(source) = 4 then concat(coalesce(text, ''), ' sk-', repeat('A', 24)) when doc_id % 7 = 1 then concat(coalesce(text, ''), ' sk-', repeat('A', 19)) when doc_id % 7 = 2 and source = 'src11' then concat(coalesce(text, ''), ' AKIA', repeat('Z', 16)) else coalesce(text, '') end"
 PATH_TEXT = "case when doc_id % 5 = 0 and length(source) = 4 then concat(coalesce(text, ''), ' /home/', 'someone/x') when doc_id % 5 = 1 then concat(coalesce(text, ''), ' /home/', '　', 'x') when doc_id % 11 = 0 and source = 'src12' then concat(coalesce(text, ''), ' C:/Users/', 'abc') else coalesce(text, '') end"
-LABEL = "case when doc_id % 9 = 0 then concat('dir/ghp_', repeat('b', 22), '.txt') when doc_id % 9 = 1 then concat('a/b/ghp_', repeat('b', 12)) else concat('docs/', cast(doc_id as varchar(20)), '.md') end"
+LABEL = "case when doc_id % 9 = 0 then concat('dir/ghp_', repeat('b', 22), '.txt') when doc_id % 9 = 1 then concat('a/b/ghp_', repeat('b', 12)) else concat('docs/', substr(replace(coalesce(text, ''), chr(10), ' '), 1, 80), '.md') end"
 DUCK_SECRETS, DUCK_PATHS = _quoted(any_of(SECRETS)), _quoted(any_of(HOME_PATHS))
 
 
@@ -202,7 +202,7 @@ def heading_level_jump(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: A README's head before each text, by doc_id with and without H1, summary (too long, or in a fence alone) and sections, and Japanese.
-README = "concat(case when doc_id % 4 = 0 then '## Sub' else '# Tool' end, chr(10), case doc_id % 8 when 5 then '' when 6 then concat(repeat('long ', 49), chr(10)) when 7 then concat('```', chr(10), 'fenced', chr(10), '```sh', chr(10)) else concat('What it does.', chr(10)) end, case when doc_id % 3 = 0 then '## Overview' else '## x' end, chr(10), '## Features', chr(10), case when doc_id % 5 < 4 then '## Usage' else '#### Usage' end, chr(10), case when doc_id % 7 = 0 then 'a revolutionary tool' else 'plain' end, chr(10), '## Security', chr(10), case when doc_id % 9 = 0 then repeat('これは日本語', 1 + cast(length(coalesce(text, '')) / 40 as int)) else '' end, chr(10), coalesce(text, ''))"
+README = "concat(case when doc_id % 4 = 0 then '## Sub' else '# Tool' end, chr(10), case doc_id % 8 when 5 then '' when 6 then concat(repeat('long ', 49), chr(10)) when 7 then concat('```', chr(10), 'fenced', chr(10), '```sh', chr(10)) else concat('What it does.', chr(10)) end, case when doc_id % 3 = 0 then '## Overview' else '## x' end, chr(10), '## Features', chr(10), case when doc_id % 5 < 4 then '## Usage' else '#### Usage' end, chr(10), case when doc_id % 7 = 0 then 'a revolutionary tool' else 'plain' end, chr(10), '## Security', chr(10), case when doc_id % 9 = 0 then repeat('これは日本語', 9 + cast(length(coalesce(text, '')) / 40 as int)) else '' end, chr(10), coalesce(text, ''))"
 
 
 @query(f"""with t as (select doc_id, regexp_split_to_array(regexp_replace({README}, '\\r\\n?', chr(10), 'g'), '[\\n\\x0b\\x0c\\x1c-\\x1e\\x{{85}}\\x{{2028}}\\x{{2029}}]') as a from documents),
