@@ -20,7 +20,7 @@ from gatehouse.functions.workflows import action_line_numbers
 from gatehouse.operators import checks, consistency, dialogue, preferences, readme, scan
 from gatehouse.sources import repositories
 from gatehouse.sources.archives import write_archives
-from gatehouse.sources.staging import staging_root
+from gatehouse.sources.staging import staging_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -623,7 +623,7 @@ def _archived(spark: SparkSession, sf_dir: str) -> DataFrame:
     later = "if(doc_id % 10 in (1, 4), null, concat(text, '!'))"
     steps = _rows("revision, content, is_in", ("0", "text", "doc_id % 10 not in (0, 6)"), ("1", later, "doc_id % 10 in (0, 1, 2)"), ("2", later, "doc_id % 10 in (3, 4, 6)"))
     rows = docs.selectExpr("repo_id", "path", f"inline(filter({steps}, x -> x.is_in))")
-    folder = staging_root(spark).removeprefix("file://") + f"/repositories-{uuid.uuid4().hex}"
+    folder = f"{staging_folder(spark)}/repositories-{uuid.uuid4().hex}"
     return write_archives(rows, folder, worktree=2, author="me <me@x.org>", origin="https://u:p@Host.org/x.git?q").withColumn("base", F.lit("origin/main"))
 
 

@@ -19,6 +19,17 @@ def staging_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+def staging_folder(spark: SparkSession) -> str:
+    """``staging_root`` as a path of the operating system, for programs that know no other file systems."""
+    root = staging_root(spark)
+    scheme, colon, rest = root.partition(":")
+    if colon and "/" not in scheme:
+        if scheme != "file":
+            raise ValueError("spark.checkpoint.dir must be a mounted folder here")
+        return "/" + rest.lstrip("/")
+    return root
+
+
 def staged(table: DataFrame, label: str) -> DataFrame:
     """``table`` written once and read back: branches that follow don't compute it again, and a lost executor costs no more than a read.
 

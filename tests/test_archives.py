@@ -12,3 +12,17 @@ def test_histories_as_given(spark, tmp_path):
     assert files == {("a", "x/1", True, b"one"), ("a", "x/3", True, b"\xff"), ("a", "left", False, b"on disk"), ("d", "only", False, b"late")}
     assert repositories.read_objects(repos.where("repo_id = 'a'")).count() == 3
     assert archives.write_archives(df.limit(0), str(tmp_path / "none"), worktree=2).count() == 0
+
+
+def test_shared_folders_by_any_spelling(spark, monkeypatch):
+    import pytest
+
+    from gatehouse.sources import staging
+
+    for root, want in (("/a/b", "/a/b"), ("file:/a/b", "/a/b"), ("file:///a/b/", "/a/b"), ("viewfs://c/in", None), ("hdfs://n:1/x", None)):
+        monkeypatch.setattr(staging, "staging_root", lambda _, r=root: r.rstrip("/"))
+        if want:
+            assert staging.staging_folder(spark) == want
+        else:
+            with pytest.raises(ValueError):
+                staging.staging_folder(spark)
