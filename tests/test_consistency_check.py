@@ -60,7 +60,7 @@ def test_a_repository_with_a_rename_from_git_to_status(spark, tmp_path):
     changes = repositories.read_changes(repos, "base")
     assert {(r.scope, r.kind, r.path, r.old_path) for r in changes.where("scope <> 'base'").collect()} == {("committed", "R", "lib.py", "src/old.py"), ("worktree", "R", "lib.py", "src/old.py"), ("worktree", "D", "gone.txt", None), ("deleted", "D", "gone.txt", None)}
     assert [(r.scope, r.error) for r in repositories.read_changes(repos, "no-such").collect()] == [(None, "CalledProcessError")]
-    paths = repositories.changed_paths(changes)
+    paths = snapshots.stored(repositories.changed_paths(changes), f"file://{tmp_path}/paths")
     assert {r.path for r in paths.collect()} == {"lib.py", "src/old.py", "gone.txt"}
 
     files = snapshots.stored(repositories.read_files(repos), f"file://{tmp_path}/files")
