@@ -31,7 +31,7 @@ def as_bytes(ids):
 
 def test_every_code_point_as_the_library(encoder, library):
     marks = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
-    texts = ["".join(f"a{c}1{c} {c}'ll" for c in marks[i : i + 500]) for i in range(0, len(marks), 500)]
+    texts = ["".join(f"a{c}'ll {c}1" for c in marks[i : i + 500]) for i in range(0, len(marks), 500)]
     assert encoder.encode(texts) == [as_bytes(library.encode_ordinary(t)) for t in texts]
 
 
