@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatehouse.llm.common import Scratch
-from gatehouse.llm.textvec import U64, Words, grams, mix, text_blocks, words_of
+from gatehouse.llm.textvec import FEW_BYTES, U64, Words, grams, mix, text_blocks, words_of
 
 #: Bits of the filter for each test fingerprint, and the most bits that it has.
 BITS_EACH, MOST_BITS = 32, 1 << 27
@@ -113,7 +113,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, gram: int = 7, window:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in text_blocks(batch.column(2)):
+            for a, b, texts in text_blocks(batch.column(2), FEW_BYTES):
                 words = words_of(texts)
                 w = _windows(words, gram, window, short, shared.value)
                 border = pa.array(np.searchsorted(w["doc"], np.arange(b - a + 1)), pa.int32())

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatehouse.llm.common import Scratch, documents_of, rows_with, text_of
-from gatehouse.llm.textvec import U64, mix, shingles, text_blocks, words_of
+from gatehouse.llm.textvec import FEW_BYTES, U64, give_back, mix, shingles, text_blocks, words_of
 
 #: Members of a band that meet each other in one task at most.
 BLOCK = 1024
@@ -124,7 +124,7 @@ def shingle_sets(docs: DataFrame, words: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, texts in text_blocks(batch.column(1)):
+            for a, b, texts in text_blocks(batch.column(1), FEW_BYTES):
                 value, doc = shingles(words_of(texts), words)
                 border = np.searchsorted(doc, np.arange(b - a + 1)).tolist()
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array([np.sort(value[i:j] >> U64(16)).astype("<u8").view(np.uint8).reshape(-1, 8)[:, :6].tobytes() for i, j in zip(border, border[1:], strict=False)], pa.binary())], ["node", "shingles"])
@@ -146,6 +146,7 @@ def verified(pairs: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
         for batch in batches:
             alike = [weighted_jaccard(_hashes(x.as_py()), _hashes(y.as_py())) >= threshold for x, y in zip(batch.column(2), batch.column(3), strict=True)]
             yield pa.RecordBatch.from_arrays([c.filter(pa.array(alike, pa.bool_())) for c in batch.columns[:2]], ["a", "b"])
+            give_back()
 
     return both.select("a", "b", "sa", "sb").mapInArrow(run, "a long, b long")
 
@@ -165,6 +166,7 @@ def profiles(sets: DataFrame, limit: int = 1500) -> DataFrame:
                 repeat = np.arange(len(own)) - np.searchsorted(own, own)
                 rows.append(None if len(own) > limit or (repeat > 2047).any() else ((own << 11) | repeat).astype(np.int32))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(rows, pa.list_(pa.int32()))], ["of", "profile"])
+            give_back()
 
     return sets.select("node", "shingles").mapInArrow(run, "of long, profile array<int>")
 

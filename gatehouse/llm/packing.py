@@ -20,7 +20,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatehouse.llm.common import Scratch, documents_of
-from gatehouse.llm.tokens import encoder
+from gatehouse.llm.textvec import text_blocks
+from gatehouse.llm.tokens import BLOCK, encoder
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 PACKED = PIECES + ", rid long, sequence_id long, offset long, given boolean"
@@ -32,13 +33,14 @@ def tokenized_pieces(docs: DataFrame, tokenizer_path: str, capacity: int, end_id
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer_path).encode, np.array([end_id], "<u4").tobytes()
         for batch in batches:
-            ids, rows = batch.column(0).to_pylist(), []
-            for doc_id, raw in zip(ids, encode(batch.column(1).to_pylist()), strict=True):
-                raw += end
-                for k, at in enumerate(range(0, len(raw), 4 * capacity)):
-                    part = raw[at : at + 4 * capacity]
-                    rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"]) if rows else pa.RecordBatch.from_pylist([], pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())]))
+            for a, b, texts in text_blocks(batch.column(1), BLOCK):
+                rows = []
+                for doc_id, raw in zip(batch.column(0).slice(a, b - a).to_pylist(), encode(texts), strict=True):
+                    raw += end
+                    for k, at in enumerate(range(0, len(raw), 4 * capacity)):
+                        part = raw[at : at + 4 * capacity]
+                        rows.append((doc_id, k, at // 4, len(part) // 4, zlib.crc32(part)))
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()), strict=True)], ["doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select("doc_id", "text").mapInArrow(run, PIECES)
 

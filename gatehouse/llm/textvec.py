@@ -7,6 +7,7 @@ is a handful of numpy passes over a block of bytes, whatever the number of words
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -15,7 +16,12 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 U64 = np.uint64
-BLOCK_BYTES = 1 << 20
+#: Bytes of texts worked on at once; the fewer serve the pipeline's stages, whose arrays take some fifty times as much.
+BLOCK_BYTES, FEW_BYTES = 1 << 20, 1 << 18
+try:
+    _trim = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError, TypeError):  # another C library
+    _trim = None
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -104,8 +110,18 @@ def blocks(texts: Sequence[str], limit: int = BLOCK_BYTES) -> Iterator[tuple[int
         yield begin, len(texts)
 
 
+def give_back() -> None:
+    """Return to the system what Arrow and NumPy have freed and hold for later.
+
+    Spark's Python workers go from stage to stage, and would keep the most that any of them took beside the JVM's heap.
+    """
+    pa.default_memory_pool().release_unused()
+    if _trim:
+        _trim(0)
+
+
 def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[int, int, list[str]]]:
-    """Ranges of about ``limit`` bytes each (a longer text stands alone) and their texts, made one range at a time."""
+    """Ranges of about ``limit`` bytes each (a longer text stands alone) and their texts, made one range at a time; free memory goes back after the last."""
     ends = np.cumsum(pc.binary_length(column).to_numpy(zero_copy_only=False) + 1)
     begin = 0
     while begin < len(ends):
@@ -113,6 +129,7 @@ def text_blocks(column: pa.Array, limit: int = BLOCK_BYTES) -> Iterator[tuple[in
         end = max(begin + 1, int(np.searchsorted(ends, before + limit, "right")))
         yield begin, end, column.slice(begin, end - begin).to_pylist()
         begin = end
+    give_back()
 
 
 def grams(hashes: np.ndarray, n: int, salt: int = 0) -> np.ndarray:

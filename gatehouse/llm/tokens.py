@@ -19,8 +19,8 @@ import numpy as np
 
 from gatehouse.llm.textvec import U64, mix
 
-#: Slots of a worker's table, and the pieces after which it starts anew.
-SLOTS, MAX_PIECES = 1 << 21, 1_200_000
+#: Slots that a worker's table begins with (it doubles before it is half full), and the pieces after which it starts anew.
+SLOTS, MAX_PIECES = 1 << 16, 1_200_000
 #: Bytes of pieces in the table; longer ones of at most so many are kept in a dictionary of bounded size, the rest not at all.
 SHORT, MAX_LENGTH, MAX_LONG = 15, 40, 200_000
 BLOCK = 1 << 19
@@ -53,9 +53,8 @@ class Pieces:
         self.fill += total
         return at << 32 | size
 
-    @staticmethod
-    def _slot(low: np.ndarray, high: np.ndarray) -> np.ndarray:
-        return (mix(low ^ (high * U64(0x9E3779B97F4A7C15))) & U64(SLOTS - 1)).astype(np.int64)
+    def _slot(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
+        return (mix(low ^ (high * U64(0x9E3779B97F4A7C15))) & U64(len(self.value) - 1)).astype(np.int64)
 
     def find(self, low: np.ndarray, high: np.ndarray) -> np.ndarray:
         """Values, -1 where a key is new."""
@@ -66,13 +65,19 @@ class Pieces:
             hit = (there == high[todo]) & (self.low[at] == low[todo])
             out[todo[hit]] = self.value[at[hit]]
             todo = todo[~hit & (there != 0)]
-            slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
+            slot[todo] = (slot[todo] + 1) & (len(self.value) - 1)
         return out
 
     def insert(self, low: np.ndarray, high: np.ndarray, value: np.ndarray) -> None:
         """New keys, each once."""
-        slot, todo = self._slot(low, high), np.arange(len(low))
         self.count += len(low)
+        if 2 * self.count > (slots := len(self.value)):
+            while 2 * self.count > slots:
+                slots *= 2
+            there = np.flatnonzero(self.high)
+            low, high, value = (np.concatenate([old[there], new]) for old, new in ((self.low, low), (self.high, high), (self.value, value)))
+            self.low, self.high, self.value = np.zeros(slots, U64), np.zeros(slots, U64), np.zeros(slots, np.int64)
+        slot, todo = self._slot(low, high), np.arange(len(low))
         while len(todo):
             free = todo[self.high[slot[todo]] == 0]
             first = free[np.unique(slot[free], return_index=True)[1]]  # of keys that want one slot the first
@@ -80,7 +85,7 @@ class Pieces:
             self.low[at], self.high[at], self.value[at] = low[first], high[first], value[first]
             taken = self.high[slot[todo]] != high[todo]
             todo = todo[taken | (self.low[slot[todo]] != low[todo])]
-            slot[todo] = (slot[todo] + 1) & (SLOTS - 1)
+            slot[todo] = (slot[todo] + 1) & (len(self.value) - 1)
 
 
 class Encoder:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from gatehouse.llm.common import Scratch, documents_of, id_remainder
-from gatehouse.llm.textvec import U64, Words, mix, text_blocks, words_of
+from gatehouse.llm.textvec import FEW_BYTES, U64, Words, mix, text_blocks, words_of
 
 FEATURE_BITS = 20
 PREFIX_BYTES = (4, 5)
@@ -224,7 +224,7 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.7, id_co
         own = Model(*shared.value)
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
-            for a, b, texts in text_blocks(batch.column(column).fill_null("")):
+            for a, b, texts in text_blocks(batch.column(column).fill_null(""), FEW_BYTES):
                 clean[a:b] = noisy_or(*own.sentence_scores(words_of(texts)), b - a) < threshold
             yield batch.filter(pa.array(clean))
 
